@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, url_filter
+from . import ann, chat_format, html_extract, media, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat_format.op1,
     "op2_url_filters": url_filter.op2,
+    "op3_html_extraction": html_extract.op3,
+    "op4_approximate_nearest_neighbours": ann.op4,
+    "op7_media_columns": media.op7,
 }
 
 ORACLE_SQL: dict[str, str] = {

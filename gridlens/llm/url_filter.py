@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 
 @dataclass(frozen=True)
@@ -85,6 +85,7 @@ def build_templates(
             .select(*node, f"s{k}", F.col(f"s{k}").alias(levels[k - 1]))
         )
         cur = cur.join(literal, [*node, f"s{k}"], "left").withColumn(levels[k - 1], F.coalesce(levels[k - 1], F.lit("*"))).drop(f"s{k}")
+        cur = materialize(cur, "url-level")
     stats = cur.groupBy("host", *levels).agg(F.count("bad").alias("n_labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"))
     merged = stats.select("*", F.lit(0).alias("merged_levels"))
     for k in range(depth, 0, -1):

@@ -136,7 +136,7 @@ def search(
 
     def rank(_: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
-            return pd.DataFrame({"q": [], "ids": [], "score": []})
+            return pd.DataFrame({"q": [], "ids": pd.Series([], dtype=object), "score": []})
         x = np.stack(held["v"].to_numpy()).astype(np.float64)
         ids, out = held["ids"].to_numpy(), []
         first = np.array([i[0] for i in ids])

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat_format, html_extract, media, url_filter
+from . import ann, chat_format, html_extract, media, quality, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat_format.op1,
     "op2_url_filters": url_filter.op2,
     "op3_html_extraction": html_extract.op3,
     "op4_approximate_nearest_neighbours": ann.op4,
+    "op5_toxicity": toxicity.op5,
     "op7_media_columns": media.op7,
+    "op10_quality_classifier": quality.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat_format, html_extract, media, quality, toxicity, url_filter
+from . import ann, chat_format, html_extract, media, ngram_join, quality, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat_format.op1,
@@ -15,9 +15,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_approximate_nearest_neighbours": ann.op4,
     "op5_toxicity": toxicity.op5,
     "op7_media_columns": media.op7,
+    "op9_ngram_jaccard_join": ngram_join.op9,
     "op10_quality_classifier": quality.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": chat_format.OP1_SQL,
+    "op9_ngram_jaccard_join": ngram_join.OP9_SQL,
 }

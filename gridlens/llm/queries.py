@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat_format, html_extract, media, ngram_join, quality, toxicity, url_filter
+from . import ann, chat_format, html_extract, media, mixing, ngram_join, quality, sentencepiece_codec, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat_format.op1,
@@ -14,7 +14,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": html_extract.op3,
     "op4_approximate_nearest_neighbours": ann.op4,
     "op5_toxicity": toxicity.op5,
+    "op6_sentencepiece_codec": sentencepiece_codec.op6,
     "op7_media_columns": media.op7,
+    "op8_mixing_sources": mixing.op8,
     "op9_ngram_jaccard_join": ngram_join.op9,
     "op10_quality_classifier": quality.op10,
 }

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, mix64, table
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -52,14 +52,15 @@ def capped_shares(sizes: list[int], weights: list[float], passes: float, total:
     return out
 
 
-def permuted(x: Column, n: Column, key: Column, rounds: int = 30) -> Column:
-    """A pseudorandom permutation of 0..n-1: in each round x may swap with its mirror image about a keyed point."""
-
-    def step(v: Column, r: Column) -> Column:
-        mirror = F.pmod(F.pmod(F.xxhash64(key, r), n) - v, n)
-        return F.when(F.xxhash64(key, r, F.greatest(v, mirror)).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(v)
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), x.cast("long"), lambda v, r: step(v, r))
+def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Pseudorandom permutations of 0..n-1, one for each key: in each round x may swap with its mirror image about a keyed point."""
+    x, n = x.astype(np.int64), n.astype(np.int64)
+    for r in range(rounds):
+        turn = mix64(key + np.uint64(2 * r))
+        mirror = ((turn % n.astype(np.uint64)).astype(np.int64) - x) % n
+        coin = mix64(turn ^ mix64(np.maximum(x, mirror).astype(np.uint64) + np.uint64(1))) & np.uint64(1)
+        x = np.where(coin == 1, mirror, x)
+    return x
 
 
 def mix(
@@ -140,20 +141,31 @@ def mix(
         elif surplus < 0:
             under.append((at_under, at_under - surplus, k, tops.get(k, 0)))
             at_under -= surplus
-    quotas = F.array(*[F.lit(q) for q in quota]) if quota else F.array(F.lit(0))
-    slots = numbered.select("shard", "src", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
-    if over:
-        surplus = F.create_map(*[x for k, _, at in over for x in (F.lit(k), F.lit(at))])
-        extra = F.try_element_at(surplus, F.col("src")) + F.col("slot") - F.get(quotas, F.col("src"))
-        moved = F.col("slot") >= F.get(quotas, F.col("src"))
-        to_src, to_slot = F.col("src"), F.col("slot")
-        for lo, hi, k, at in under:
-            mine = moved & (extra >= lo) & (extra < hi)
-            to_src, to_slot = F.when(mine, F.lit(k)).otherwise(to_src), F.when(mine, extra - lo + at).otherwise(to_slot)
-        slots = slots.select("shard", to_src.alias("src"), to_slot.alias("slot"))
-    n = F.get(F.array(*[F.lit(max(1, x)).cast("long") for x in n_blocks]) if n_blocks else F.array(F.lit(1).cast("long")), F.col("src"))
-    turn = F.floor(F.col("slot") / n)
-    slots = slots.select("shard", "src", turn.alias("pass"), permuted(F.pmod(F.col("slot"), n), n, F.xxhash64(F.lit(seed), F.col("src"), turn)).alias("block"))
+    quotas, blocks = np.array(quota, dtype=np.int64), np.maximum(np.array(n_blocks, dtype=np.int64), 1)
+    over_at = np.zeros(len(quota), dtype=np.int64)
+    for k, _, at in over:
+        over_at[k] = at
+    under_from = np.array([u[0] for u in under], dtype=np.int64)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), 50):
+                part = b.iloc[lo : lo + 50]
+                count = part["n"].to_numpy(np.int64)
+                src = np.repeat(part["src"].to_numpy(np.int64), count)
+                shard = np.repeat(part["shard"].to_numpy(np.int64), count)
+                slot = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - part["first"].to_numpy(np.int64), count)
+                beyond = np.flatnonzero(slot >= quotas[src])
+                if len(beyond):
+                    extra = over_at[src[beyond]] + slot[beyond] - quotas[src[beyond]]
+                    to = np.searchsorted(under_from, extra, side="right") - 1
+                    src[beyond] = np.array([u[2] for u in under])[to]
+                    slot[beyond] = extra - under_from[to] + np.array([u[3] for u in under])[to]
+                turn = slot // blocks[src]
+                key = mix64((np.uint64(seed) << np.uint64(48)) + (src.astype(np.uint64) << np.uint64(8)) + turn.astype(np.uint64))
+                yield pd.DataFrame({"shard": shard, "src": src, "pass": turn, "block": permuted(slot % blocks[src], blocks[src], key)})
+
+    slots = numbered.repartition("shard", "src").mapInPandas(deal, "shard long, src int, pass long, block long")
 
     # a block's uses are counted before the join, so a document's words meet one row a block
     uses = slots.groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))

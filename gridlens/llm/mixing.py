@@ -165,12 +165,13 @@ def mix(
                 key = mix64((np.uint64(seed) << np.uint64(48)) + (src.astype(np.uint64) << np.uint64(8)) + turn.astype(np.uint64))
                 yield pd.DataFrame({"shard": shard, "src": src, "pass": turn, "block": permuted(slot % blocks[src], blocks[src], key)})
 
-    slots = numbered.repartition("shard", "src").mapInPandas(deal, "shard long, src int, pass long, block long")
+    # a draw grows a thousandfold here, so the number of tasks follows the slots rather than the draws' size
+    slots = numbered.repartition(max(1, -(-total // 500_000)), "shard", "src").mapInPandas(deal, "shard long, src int, pass long, block long")
 
     # a block's uses are counted before the join, so a document's words meet one row a block
     uses = slots.groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
     words = F.col("words") * F.coalesce("uses", F.lit(0))
-    sized = spans.join(uses, ["src", "block"], "left").groupBy("src", "id", "start", "size").agg(F.sum(words).alias("taken")).select("src", "id", "size", "taken")
+    sized = spans.join(uses.hint("merge"), ["src", "block"], "left").groupBy("src", "id", "start", "size").agg(F.sum(words).alias("taken")).select("src", "id", "size", "taken")
     empty = tagged.where("size = 0").select("src", "id", "size", F.lit(0).cast("long").alias("taken"))
     out = sized.union(empty).join(plan, "src").select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken")
     return out, slots, spans

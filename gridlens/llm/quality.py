@@ -211,7 +211,7 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def learn(docs: DataFrame, most_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
+def learn(docs: DataFrame, most_rows: int = 6_000, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """The label model from all rows; the scorer from ``most_rows`` rows or so, chosen by a hash of their ids."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     m = len(STATS)

@@ -54,6 +54,12 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
+def _sets(texts: pd.Series, width: int, step: int = 500) -> Iterator[np.ndarray]:
+    """As above for a column, encoding a few texts at a time."""
+    for lo in range(0, len(texts), step):
+        yield from shingle_sets([encode(t) for t in texts.iloc[lo : lo + step]], width)
+
+
 def class_key(s: np.ndarray) -> int:
     return int(mix64(mix64(s ^ _MULTIPLIERS[63]).sum(keepdims=True) + np.uint64(len(s)))[0].view(np.int64))
 
@@ -111,7 +117,7 @@ class CountTree:
         return self.order[nodes]
 
 
-def _heavy(rows: DataFrame, width: int, most: int, window: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+def _heavy(rows: DataFrame, width: int, most: int, window: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many texts share, with their counts: the ``most`` most frequent. Steers the order of step 2."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,7 +128,7 @@ def _heavy(rows: DataFrame, width: int, most: int, window: int = 4 << 20) -> tup
             return pd.DataFrame({"key": key[n > 2].view(np.int64), "n": n[n > 2]})
 
         for b in batches:
-            for s in shingle_sets([encode(t) for t in b["text"]], width):
+            for s in _sets(b["text"], width):
                 if len(s) and (key := class_key(s)) not in seen:
                     seen.add(key)
                     held.append(s)

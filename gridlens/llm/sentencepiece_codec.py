@@ -81,6 +81,10 @@ class Codec:
         self._pairs(words)
         self._splits(words)
         self.usable = np.array([i for i in words if self.real[i]], dtype=np.int64)
+        spelt = [[ord(c) for c in model.pieces[i]] for i in self.usable.tolist()]
+        self.spelling = np.zeros((len(spelt), max(map(len, spelt))), dtype=np.int64)
+        for row, points in zip(self.spelling, spelt, strict=True):
+            row[: len(points)] = points
         self.cache_keys = np.full(1 << 21, -1, dtype=np.int64)
         self.cache_said = np.zeros(1 << 21, dtype=bool)
         self.known: dict[str, bytes] = {}
@@ -171,11 +175,11 @@ class Codec:
             self.cache_said[place[mine]] = answer[mine]
         return said
 
-    def _edges(self, codes: np.ndarray, alphabet: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Start and piece of every occurrence of every piece in ``codes`` (0 ends a part)."""
-        bits = max(1, (len(alphabet) + 1).bit_length())
+    def _edges(self, codes: np.ndarray, code_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and piece of every occurrence of every piece in ``codes`` (0 ends a part); ``code_of`` maps code points."""
+        bits = max(1, (int(code_of.max()) + 1).bit_length())
         per = 63 // bits
-        longest = int(self.length[self.usable].max())
+        longest = self.spelling.shape[1]
         padded = np.concatenate((codes, np.zeros(per * (-(-longest // per)) + per, dtype=np.int64)))
         keys = []
         for base in range(0, longest, per):
@@ -185,19 +189,19 @@ class Codec:
             keys.append(k)
         suffixes = np.lexsort(keys[::-1])
         keys = [k[suffixes] for k in keys]
-        wanted = [i for i in self.usable.tolist() if all(c in alphabet for c in self.model.pieces[i])]
-        if not wanted:
+        letters = np.where(self.spelling < len(code_of), code_of[np.minimum(self.spelling, len(code_of) - 1)], 0)
+        lengths = self.length[self.usable]
+        there = (letters > 0).sum(1) == lengths
+        wanted, letters, lengths = self.usable[there], letters[there], lengths[there]
+        if not len(wanted):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         low_keys, high_keys = np.zeros((len(keys), len(wanted)), np.int64), np.zeros((len(keys), len(wanted)), np.int64)
-        lengths = self.length[wanted]
         full = (1 << bits) - 1
-        for row, i in enumerate(wanted):
-            c = [alphabet[x] for x in self.model.pieces[i]]
-            for b in range(len(keys)):
-                lo = hi = 0
-                for j in range(b * per, b * per + per):
-                    lo, hi = (lo << bits) | (c[j] if j < len(c) else 0), (hi << bits) | (c[j] if j < len(c) else full)
-                low_keys[b, row], high_keys[b, row] = lo, hi
+        for j in range(len(keys) * per):
+            inside = j < lengths
+            letter = letters[:, j] if j < longest else np.zeros(len(wanted), np.int64)
+            low_keys[j // per] = (low_keys[j // per] << bits) | np.where(inside, letter, 0)
+            high_keys[j // per] = (high_keys[j // per] << bits) | np.where(inside, letter, full)
         low, high = np.searchsorted(keys[0], low_keys[0]), np.searchsorted(keys[0], high_keys[0], side="right")
         for b in range(1, len(keys)):
             deeper = np.flatnonzero((lengths > b * per) & (low < high))
@@ -205,7 +209,7 @@ class Codec:
             high[deeper] = _bisect(keys[b], low[deeper], high[deeper], high_keys[b, deeper], True)
         n = np.maximum(high - low, 0)
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return suffixes[np.repeat(low, n) + offset], np.repeat(np.array(wanted), n)
+        return suffixes[np.repeat(low, n) + offset], np.repeat(wanted, n)
 
     def _learn(self, parts: list[str]) -> None:
         """Ids of parts not met so far, all at once."""
@@ -214,14 +218,13 @@ class Codec:
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
         points = np.unique(raw)
-        alphabet = {chr(p): 0 for p in points.tolist() if chr(p) in self.id_of}
-        table_ = np.zeros(int(points[-1]) + 1, dtype=np.int64)
-        for k, c in enumerate(sorted(alphabet), start=1):
-            alphabet[c] = table_[ord(c)] = k
-        codes = table_[raw]
+        code_of = np.zeros(int(points[-1]) + 1, dtype=np.int64)
+        spelled = [p for p in points.tolist() if chr(p) in self.id_of]
+        code_of[spelled] = np.arange(1, len(spelled) + 1)
+        codes = code_of[raw]
         unknown = codes == 0
         unknown[begin + sizes] = False
-        starts, pieces = self._edges(codes, alphabet)
+        starts, pieces = self._edges(codes, code_of)
         lone = np.flatnonzero(unknown)
         starts, pieces = np.concatenate((starts, lone)), np.concatenate((pieces, np.full(len(lone), -1)))
         lengths = np.where(pieces >= 0, self.length[pieces], 1)
@@ -277,24 +280,24 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = []
-        for t in texts:
-            split.append(_PARTS.findall((MARK if self.model.dummy_prefix else "") + t.replace(" ", MARK)) if t else [])
-        fresh = {p for parts in split for p in parts if p not in self.known}
+        marked = [(MARK if self.model.dummy_prefix else "") + t.replace(" ", MARK) if t else "" for t in texts]
+        split = [_PARTS.findall(t) for t in marked]
+        fresh = set().union(*split).difference(self.known)
         if fresh:
             if len(self.known) + len(fresh) > self.most:
                 self.known.clear()
-                fresh = {p for parts in split for p in parts}
-            marks = {p for p in fresh if not p.strip(MARK)}
+                fresh = set().union(*split)
+            marks = {p for p in fresh if p[0] == MARK and not p.strip(MARK)}
             for p in marks:
                 self.known[p] = self._run(len(p))
-            if rest := sorted(fresh - marks):
+            if rest := list(fresh - marks):
                 self._learn(rest)
         lone = np.array([self.id_of[MARK]], dtype="<i4").tobytes()
         out = []
-        for parts in split:
+        for text, parts in zip(marked, split, strict=True):
             ids = [self.known[p] for p in parts]
-            for k, p in enumerate(parts[:-1]):
+            for k in range(len(parts) - 1) if MARK + MARK in text else ():
+                p = parts[k]
                 if p[0] == MARK and not p.strip(MARK) and parts[k + 1][0] == MARK and ids[k + 1][:4] == lone:
                     # the mark before the word stayed alone, so it belongs to the run
                     ids[k], ids[k + 1] = self._run(len(p) + 1), ids[k + 1][4:]

@@ -220,8 +220,20 @@ def _first_pairs(entries: DataFrame, small: int, t: Threshold) -> DataFrame:
     return entries.mapInPandas(run, "kind int, a long, b long")
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, t: Threshold) -> DataFrame:
-    """Pairs a, b whose sets reach the threshold: the count bound first, then the exact overlap."""
+_SLOTS = 1 << 23
+
+
+def _wanted(ids: DataFrame) -> np.ndarray:
+    """A bit for each of a fixed number of id hashes. More ids only mean more rows that pass it in vain."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(_SLOTS))
+    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 31 AS INT)))").alias("bits")).toPandas()
+    table_ = np.zeros(_SLOTS >> 5, dtype=np.uint32)
+    table_[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return table_
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
+    """Distinct pairs a, b that the count bound leaves, with the ids that stand for them."""
     side = lambda k: classes.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), F.col("counts").alias(f"c_{k}"), F.col("rep").alias(f"rep_{k}"))
 
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,19 +245,26 @@ def _confirm(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int,
             ok = np.minimum(x, y).sum(1, dtype=np.int64) >= t.overlap(p["n_a"].to_numpy(), p["n_b"].to_numpy())
             yield p.loc[ok, ["a", "b", "rep_a", "rep_b"]]
 
-    likely = materialize(pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").mapInPandas(bounded, "a long, b long, rep_a long, rep_b long"), "join-likely")
+    return pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").mapInPandas(bounded, "a long, b long, rep_a long, rep_b long")
+
+
+def _confirm(likely: DataFrame, rows: DataFrame, width: int, t: Threshold) -> DataFrame:
+    """Pairs a, b whose sets reach the threshold. Sets are made again where the texts lie; texts are never shuffled."""
     needed = likely.select(F.col("rep_a").alias("id"), F.col("a").alias("cls")).union(likely.select("rep_b", "b")).distinct()
+    shared = rows.sparkSession.sparkContext.broadcast(_wanted(needed))  # of fixed size
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo in range(0, len(b), 1000):
-                part = b.iloc[lo : lo + 1000]
-                found = list(shingle_sets([encode(x) for x in part["text"]], width))
-                keep = [k for k, s in enumerate(found) if len(s) and class_key(s) == part["cls"].iloc[k]]
-                yield pd.DataFrame({"cls": part["cls"].to_numpy()[keep], "items": [found[k].view(np.int64) for k in keep]})
+            slot = b["slot"].to_numpy(dtype=np.int64)
+            texts = b["text"][(shared.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1]
+            for lo in range(0, len(texts), 500):
+                found = [s for s in _sets(texts.iloc[lo : lo + 500], width) if len(s)]
+                yield pd.DataFrame({"cls": [class_key(s) for s in found], "items": [s.view(np.int64) for s in found]})
 
-    # an id may stand on several texts: the class key of the text decides
-    items = materialize(rows.join(needed, "id").select("cls", "text").mapInPandas(sets, "cls long, items array<long>").dropDuplicates(["cls"]), "join-sets")
+    placed = rows.where("id IS NOT NULL").select(F.pmod(F.xxhash64("id"), F.lit(_SLOTS)).alias("slot"), "text")
+    # an id may stand on several texts, and a slot for several ids: the class key of the text decides
+    made = placed.mapInPandas(sets, "cls long, items array<long>")
+    items = materialize(made.join(needed.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "join-sets")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -283,10 +302,17 @@ def connected(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
+def _different_buckets(members: DataFrame) -> DataFrame:
+    """One of all buckets with the same members: near copies share many shingles, and each bucket would compare them anew."""
+    print_ = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    keep = members.groupBy("shingle").agg(*print_, F.count(F.lit(1)).alias("size")).groupBy("x0", "x1", "size").agg(F.min("shingle").alias("shingle"))
+    return materialize(members.join(keep.select("shingle"), "shingle", "left_semi"), "join-members")
+
+
 def _tree_pairs(members: DataFrame, t: Threshold, width: int) -> DataFrame:
     """Within a bucket: pairs of different components that the R-tree leaves, the ``width`` best for each class and component.
 
-    ``cut`` says whether any were left out this time.
+    A row with ``cut`` names, in a, a bucket of which some were left out this time.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -309,7 +335,8 @@ def _tree_pairs(members: DataFrame, t: Threshold, width: int) -> DataFrame:
             hit = hit[rank < width]
             a += [int(cls[i])] * len(hit)
             b += cls[hit].tolist()
-        return pd.DataFrame({"a": [*a, *([0] * cut)], "b": [*b, *([0] * cut)], "cut": [False] * len(a) + [True] * cut})
+        own = [int(pdf["shingle"].iloc[0])] * cut
+        return pd.DataFrame({"a": [*a, *own], "b": [*b, *own], "cut": [False] * len(a) + [True] * cut})
 
     return members.groupBy("shingle").applyInPandas(run, "a long, b long, cut boolean")
 
@@ -330,10 +357,10 @@ def jaccard_components(
     entries = stands.select("cls", "n", "n_index", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "n", "cls", (F.col("pos") < F.col("n_index")).cast("int").alias("lead"))
     # as many partitions as the entries need, at some 100 bytes each in memory
     first = materialize(_first_pairs(entries.repartition("shingle").sortWithinPartitions("shingle", "n", "cls"), small, t), "join-first")
-    links = _confirm(first.where("kind = 0"), classes, rows, width, t)
-    links = materialize(links, "join-links")
-    members = first.where("kind = 1").select(F.col("a").alias("cls"), F.col("b").alias("shingle"))
-    best = 8
+    tried = materialize(_likely(first.where("kind = 0"), classes, t), "join-likely")
+    links = materialize(_confirm(tried, rows, width, t), "join-links")
+    members = _different_buckets(first.where("kind = 1").select(F.col("a").alias("cls"), F.col("b").alias("shingle")))
+    best = 64
     while True:
         roots = connected(links)
         named = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -341,9 +368,12 @@ def jaccard_components(
         asked = named.join(mixed, "shingle").join(classes.select("cls", "n", "counts"), "cls")
         found = materialize(_tree_pairs(asked, t, best), "join-tree")
         pairs = found.where("NOT cut").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = materialize(_confirm(pairs, classes, rows, width, t), "join-links")
+        fresh = materialize(_likely(pairs.join(tried, ["a", "b"], "left_anti"), classes, t), "join-likely")
         cut = bool(found.where("cut").limit(1).count())
-        links = links.union(more)
+        more = materialize(_confirm(fresh, rows, width, t), "join-links")
+        links, tried = links.union(more), tried.union(fresh)
+        # what a bucket without cut left is settled
+        members = members.join(found.where("cut").select(F.col("a").alias("shingle")), "shingle", "left_semi")
         if not cut:
             roots = connected(links)
             break

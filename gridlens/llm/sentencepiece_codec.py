@@ -291,7 +291,10 @@ class Codec:
             for p in marks:
                 self.known[p] = self._run(len(p))
             if rest := list(fresh - marks):
-                self._learn(rest)
+                # some hundred thousand characters at a time keep the arrays of edges small
+                size = np.cumsum([len(p) for p in rest]) // 400_000
+                for lot in np.split(np.array(rest, dtype=object), np.flatnonzero(np.diff(size)) + 1):
+                    self._learn(lot.tolist())
         lone = np.array([self.id_of[MARK]], dtype="<i4").tobytes()
         out = []
         for text, parts in zip(marked, split, strict=True):

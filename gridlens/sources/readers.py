@@ -24,10 +24,10 @@ def read_json_array(spark: SparkSession, path: str | list[str], schema: T.Struct
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str | list[str], schema: T.StructType = RULE) -> tuple[DataFrame, DataFrame]:
-    """Parsed records, and the lines that did not parse (``_corrupt_record``) so that they can be counted."""
-    whole = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(whole).option("mode", "PERMISSIVE").json(path)
-    return rows.where("_corrupt_record IS NULL").drop("_corrupt_record"), rows.where("_corrupt_record IS NOT NULL").select("_corrupt_record")
+    """Parsed records, and the lines that did not parse (``line``) so that they can be counted; blank lines are neither."""
+    lines = spark.read.text(path).where("trim(value) != ''").withColumnRenamed("value", "line")
+    rows = parse_tolerant(lines, "line", schema)
+    return rows.where("record IS NOT NULL").select("record.*"), rows.where("record IS NULL").select("line")
 
 
 def parse_tolerant(rows: DataFrame, text_col: str, schema: T.StructType) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, encode, materialize, mix64, slices, table
 
-GROUPS = 64
+GROUPS = 512
 _MULTIPLIERS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -65,7 +65,16 @@ def class_key(s: np.ndarray) -> int:
 
 
 def group_counts(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<u4")
+    """Members per hash group in one byte each; 255 stands for that many or more."""
+    return np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
+
+
+def _vectors(counts: pd.Series, sizes: np.ndarray) -> np.ndarray:
+    """Count vectors as a matrix; a full byte becomes the set's size, so that bounds stay bounds."""
+    x = np.frombuffer(b"".join(counts), np.uint8).reshape(-1, GROUPS)
+    if (x == 255).any():
+        x = np.where(x == 255, np.asarray(sizes)[:, None], x)
+    return x
 
 
 def _ceil(a: int, b: int) -> int:
@@ -145,20 +154,28 @@ def _heavy(rows: DataFrame, width: int, most: int, window: int = 2 << 20) -> tup
 
 
 def _signatures(rows: DataFrame, width: int, t: Threshold, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """id, cls, n, prefix (first shingles in order), n_index (how many of them index), counts (binary)."""
+    """id, cls, n, prefix (first shingles in order; null where this task had the class before), n_index (how many of them index), counts."""
     shared = rows.sparkSession.sparkContext.broadcast(heavy)  # bounded by the number of heavy shingles
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts = shared.value
+        met: set[int] = set()
         for b in batches:
-            for lo in range(0, len(b), 2000):
-                part = b.iloc[lo : lo + 2000]
+            for lo in range(0, len(b), 1000):
+                part = b.iloc[lo : lo + 1000]
                 out = []
-                for s in shingle_sets([encode(x) for x in part["text"]], width):
+                for s in _sets(part["text"], width):
                     n = len(s)
                     if not n:
-                        out.append((None, 0, np.zeros(0, np.int64), 0, b""))
+                        out.append((None, 0, None, 0, b""))
+                        continue
+                    key = class_key(s)
+                    if key in met:
+                        out.append((key, n, None, 0, group_counts(s).tobytes()))
                         continue
+                    if len(met) >= 1_000_000:
+                        met.clear()
+                    met.add(key)
                     probe = t.probe(n)
                     if len(keys):
                         at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
@@ -169,7 +186,7 @@ def _signatures(rows: DataFrame, width: int, t: Threshold, heavy: tuple[np.ndarr
                             prefix = np.concatenate((prefix, common[np.argsort(counts[at[known]], kind="stable")][: probe - len(prefix)]))
                     else:
                         prefix = s[:probe]
-                    out.append((class_key(s), n, prefix.view(np.int64), t.index(n), group_counts(s).tobytes()))
+                    out.append((key, n, prefix.view(np.int64), t.index(n), group_counts(s).tobytes()))
                 yield pd.DataFrame(
                     {"id": part["id"].to_numpy(), "cls": pd.array([o[0] for o in out], dtype="Int64"), "n": [o[1] for o in out], "prefix": [o[2] for o in out], "n_index": [o[3] for o in out], "counts": [o[4] for o in out]}
                 )
@@ -183,7 +200,8 @@ def _first_pairs(entries: DataFrame, small: int, t: Threshold) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for b in batches:
-            chunk = np.stack((b["shingle"].to_numpy(np.int64), b["n"].to_numpy(np.int64), b["cls"].to_numpy(np.int64), b["lead"].to_numpy(np.int64)))
+            mark = b["mark"].to_numpy(np.int64)
+            chunk = np.stack((b["shingle"].to_numpy(np.int64), mark >> 1, b["cls"].to_numpy(np.int64), 1 - (mark & 1)))
             rest = chunk if rest is None else np.concatenate((rest, chunk), axis=1)
             last = np.searchsorted(rest[0], rest[0, -1])
             if last:
@@ -193,11 +211,14 @@ def _first_pairs(entries: DataFrame, small: int, t: Threshold) -> DataFrame:
             yield from work(rest)
 
     def work(x: np.ndarray) -> Iterator[pd.DataFrame]:
+        again = np.zeros(x.shape[1], bool)
+        again[1:] = (x[0, 1:] == x[0, :-1]) & (x[2, 1:] == x[2, :-1])
+        x = x[:, ~again]
         start = np.flatnonzero(np.concatenate(([True], x[0, 1:] != x[0, :-1])))
         size = np.diff(np.append(start, x.shape[1]))
         run_of = np.repeat(np.arange(len(start)), size)
         a, b = [], []
-        # within a bucket rows are sorted by (n, cls): the earlier one is the smaller set and has to index this shingle
+        # within a bucket rows are sorted by n, indexing ones first: the earlier one is the smaller set and has to index this shingle
         for step in range(1, min(small, int(size.max(initial=0)))):
             i = np.flatnonzero((run_of[step:] == run_of[:-step]) & (size[run_of[step:]] <= small))
             ok = i[(x[3, i] == 1) & (x[1, i] * t.den >= x[1, i + step] * t.num)]
@@ -240,8 +261,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
         for p in batches:
             if not len(p):
                 continue
-            x = np.frombuffer(b"".join(p["c_a"]), "<u4").reshape(-1, GROUPS)
-            y = np.frombuffer(b"".join(p["c_b"]), "<u4").reshape(-1, GROUPS)
+            x, y = _vectors(p["c_a"], p["n_a"].to_numpy()), _vectors(p["c_b"], p["n_b"].to_numpy())
             ok = np.minimum(x, y).sum(1, dtype=np.int64) >= t.overlap(p["n_a"].to_numpy(), p["n_b"].to_numpy())
             yield p.loc[ok, ["a", "b", "rep_a", "rep_b"]]
 
@@ -318,7 +338,7 @@ def _tree_pairs(members: DataFrame, t: Threshold, width: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cls").reset_index(drop=True)
         root, cls, size = pdf["root"].to_numpy(), pdf["cls"].to_numpy(), pdf["n"].to_numpy(np.int64)
-        counts = np.frombuffer(b"".join(pdf["counts"]), "<u4").reshape(-1, GROUPS)
+        counts = _vectors(pdf["counts"], size)
         _, of, many = np.unique(root, return_inverse=True, return_counts=True)
         tree = CountTree(counts, size, t)
         a, b, cut = [], [], False
@@ -352,11 +372,10 @@ def jaccard_components(
     usable = signed.where("id IS NOT NULL AND n > 0")
     classes = usable.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts"))
     classes = materialize(classes, "join-classes")
-    # the prefix of a class comes with the row that stands for it; equal rows are dropped again in the bucket
-    stands = usable.join(classes.select(F.col("cls").alias("own"), "rep"), (F.col("cls") == F.col("own")) & (F.col("id") == F.col("rep")), "left_semi").select("cls", "n", "n_index", "prefix").dropDuplicates(["cls"])
-    entries = stands.select("cls", "n", "n_index", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "n", "cls", (F.col("pos") < F.col("n_index")).cast("int").alias("lead"))
-    # as many partitions as the entries need, at some 100 bytes each in memory
-    first = materialize(_first_pairs(entries.repartition("shingle").sortWithinPartitions("shingle", "n", "cls"), small, t), "join-first")
+    # a class comes once from each task that met it; its repeats are dropped again in the bucket
+    exploded = usable.where("prefix IS NOT NULL").select("cls", "n", "n_index", F.posexplode("prefix").alias("pos", "shingle"))
+    entries = exploded.select("shingle", "cls", (F.col("n") * 2 + (F.col("pos") >= F.col("n_index")).cast("int")).alias("mark"))
+    first = materialize(_first_pairs(entries.repartition("shingle").sortWithinPartitions("shingle", "mark", "cls"), small, t), "join-first")
     tried = materialize(_likely(first.where("kind = 0"), classes, t), "join-likely")
     links = materialize(_confirm(tried, rows, width, t), "join-links")
     members = _different_buckets(first.where("kind = 1").select(F.col("a").alias("cls"), F.col("b").alias("shingle")))

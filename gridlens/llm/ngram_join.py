@@ -22,6 +22,7 @@ Two different sets with equal 64-bit class keys would be taken as one: about n *
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,9 +70,14 @@ def group_counts(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """Count vector for storage; most counts are 0, 1 or 2."""
+    return zlib.compress(group_counts(s).tobytes(), 1)
+
+
 def _vectors(counts: pd.Series, sizes: np.ndarray) -> np.ndarray:
     """Count vectors as a matrix; a full byte becomes the set's size, so that bounds stay bounds."""
-    x = np.frombuffer(b"".join(counts), np.uint8).reshape(-1, GROUPS)
+    x = np.frombuffer(b"".join(map(zlib.decompress, counts)), np.uint8).reshape(-1, GROUPS)
     if (x == 255).any():
         x = np.where(x == 255, np.asarray(sizes)[:, None], x)
     return x
@@ -171,7 +177,7 @@ def _signatures(rows: DataFrame, width: int, t: Threshold, heavy: tuple[np.ndarr
                         continue
                     key = class_key(s)
                     if key in met:
-                        out.append((key, n, None, 0, group_counts(s).tobytes()))
+                        out.append((key, n, None, 0, _packed(s)))
                         continue
                     if len(met) >= 1_000_000:
                         met.clear()
@@ -186,7 +192,7 @@ def _signatures(rows: DataFrame, width: int, t: Threshold, heavy: tuple[np.ndarr
                             prefix = np.concatenate((prefix, common[np.argsort(counts[at[known]], kind="stable")][: probe - len(prefix)]))
                     else:
                         prefix = s[:probe]
-                    out.append((key, n, prefix.view(np.int64), t.index(n), group_counts(s).tobytes()))
+                    out.append((key, n, prefix.view(np.int64), t.index(n), _packed(s)))
                 yield pd.DataFrame(
                     {"id": part["id"].to_numpy(), "cls": pd.array([o[0] for o in out], dtype="Int64"), "n": [o[1] for o in out], "prefix": [o[2] for o in out], "n_index": [o[3] for o in out], "counts": [o[4] for o in out]}
                 )
@@ -301,27 +307,42 @@ def _confirm(likely: DataFrame, rows: DataFrame, width: int, t: Threshold) -> Da
     return left.join(items.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInPandas(exact, "a long, b long")
 
 
-def connected(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """node, root: the smallest node that each linked node reaches, by alternating large and small stars.
+def _as_edges(links: DataFrame) -> DataFrame:
+    return links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
+
+
+def contract(edges: DataFrame, most_rounds: int) -> tuple[DataFrame, bool]:
+    """Rounds of large and small stars over edges (u, v < u): the edges after them, and whether nothing changes any more.
 
-    Each round is written; a hub's links are re-pointed to its smallest neighbour, so no list of neighbours is built.
+    Each round is written; a hub's edges are re-pointed to its smallest neighbour, so no list of neighbours is built.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
+    edges = materialize(edges, "edges")
+    mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    last = mark(edges)
     for _ in range(most_rounds):
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).where("u != v").distinct()
+        large = large.union(low.select("u", F.col("m").alias("v"))).where("u != v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         after = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = materialize(after.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "links")
-        sums = [e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for e in (edges, after)]
-        edges = after
-        if sums[0] == sums[1]:
-            break
+        edges = materialize(after.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
+        now = mark(edges)
+        if now == last:
+            return edges, True
+        last = now
+    return edges, False
+
+
+def _roots(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
+def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """node, root: the smallest node that each linked node reaches; nodes that are the smallest themselves are left out."""
+    return _roots(contract(_as_edges(links), most_rounds)[0])
+
+
 def _different_buckets(members: DataFrame) -> DataFrame:
     """One of all buckets with the same members: near copies share many shingles, and each bucket would compare them anew."""
     print_ = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
@@ -377,26 +398,28 @@ def jaccard_components(
     entries = exploded.select("shingle", "cls", (F.col("n") * 2 + (F.col("pos") >= F.col("n_index")).cast("int")).alias("mark"))
     first = materialize(_first_pairs(entries.repartition("shingle").sortWithinPartitions("shingle", "mark", "cls"), small, t), "join-first")
     tried = materialize(_likely(first.where("kind = 0"), classes, t), "join-likely")
-    links = materialize(_confirm(tried, rows, width, t), "join-links")
+    # two rounds contract most of what is linked; how far they come only decides which pairs are looked at below
+    edges, settled = contract(_as_edges(_confirm(tried, rows, width, t)), 2)
     members = _different_buckets(first.where("kind = 1").select(F.col("a").alias("cls"), F.col("b").alias("shingle")))
-    best = 64
+    best = 512
     while True:
-        roots = connected(links)
-        named = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        named = members.join(_roots(edges).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         mixed = named.groupBy("shingle").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one != two").select("shingle")
         asked = named.join(mixed, "shingle").join(classes.select("cls", "n", "counts"), "cls")
         found = materialize(_tree_pairs(asked, t, best), "join-tree")
         pairs = found.where("NOT cut").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = materialize(_likely(pairs.join(tried, ["a", "b"], "left_anti"), classes, t), "join-likely")
         cut = bool(found.where("cut").limit(1).count())
-        more = materialize(_confirm(fresh, rows, width, t), "join-links")
-        links, tried = links.union(more), tried.union(fresh)
-        # what a bucket without cut left is settled
-        members = members.join(found.where("cut").select(F.col("a").alias("shingle")), "shingle", "left_semi")
+        more = materialize(_as_edges(_confirm(fresh, rows, width, t)), "join-links")
+        if more.limit(1).count():
+            edges, settled = contract(edges.union(more), 2)
         if not cut:
-            roots = connected(links)
             break
+        tried = tried.union(fresh)
+        # what a bucket without cut left is settled
+        members = members.join(found.where("cut").select(F.col("a").alias("shingle")), "shingle", "left_semi")
         best *= 8
+    roots = _roots(edges if settled else contract(edges, 60)[0])
     named = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_class = named.join(lowest, "root").select("cls", "component_id")

@@ -23,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": chat_format.OP1_SQL,
+    "op2_url_filters": url_filter.OP2_SQL,
     "op9_ngram_jaccard_join": ngram_join.OP9_SQL,
 }

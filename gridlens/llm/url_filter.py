@@ -147,3 +147,53 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     bad = F.greatest(1 - F.col("quality"), F.col("toxic"))
     return judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("key"), bad.alias("bad")))
+
+
+OP2_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), marked AS (
+  SELECT doc_id AS key, max(greatest(1 - quality, toxic)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
+), rows_ AS (
+  SELECT s.*, bad, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs
+  FROM split s LEFT JOIN marked ON key = TRY_CAST(nullif(regexp_extract(path, '([0-9]{1,18})[^0-9]*$', 1), '') AS BIGINT)
+), parts AS (
+  SELECT page_id, host, path, bad, coalesce(segs[1], '') AS s1, coalesce(segs[2], '') AS s2, array_to_string(segs[3:], '/') AS s3 FROM rows_
+), c1 AS (SELECT *, count(*) OVER (PARTITION BY host, s1) AS n, count(*) OVER (PARTITION BY host) AS m FROM parts),
+l1 AS (SELECT * EXCLUDE (n, m), CASE WHEN s1 = '' OR (n >= 0.05::DOUBLE * m AND n >= 8) THEN s1 ELSE '*' END AS t1 FROM c1),
+c2 AS (SELECT *, count(*) OVER (PARTITION BY host, t1, s2) AS n, count(*) OVER (PARTITION BY host, t1) AS m FROM l1),
+l2 AS (SELECT * EXCLUDE (n, m), CASE WHEN s2 = '' OR (n >= 0.05::DOUBLE * m AND n >= 8) THEN s2 ELSE '*' END AS t2 FROM c2),
+c3 AS (SELECT *, count(*) OVER (PARTITION BY host, t1, t2, s3) AS n, count(*) OVER (PARTITION BY host, t1, t2) AS m FROM l2),
+l3 AS (SELECT * EXCLUDE (n, m), CASE WHEN s3 = '' OR (n >= 0.05::DOUBLE * m AND n >= 8) THEN s3 ELSE '*' END AS t3 FROM c3),
+stats AS (
+  SELECT host, t1, t2, t3, count(bad)::DOUBLE AS nl, coalesce(sum(bad), 0)::DOUBLE AS nb FROM l3 GROUP BY ALL
+), pools AS (
+  SELECT *, sum(nl) OVER w3 AS n3, sum(nb) OVER w3 AS b3, sum(nl) OVER w2 AS n2, sum(nb) OVER w2 AS b2, sum(nl) OVER w1 AS n1, sum(nb) OVER w1 AS b1
+  FROM stats WINDOW w3 AS (PARTITION BY host, t1, t2), w2 AS (PARTITION BY host, t1), w1 AS (PARTITION BY host)
+), m3 AS (
+  SELECT *, coalesce(nl = 0 OR abs(nb / nullif(nl, 0) - b3 / nullif(n3, 0)) <= 2 * sqrt(b3 / nullif(n3, 0) * (1 - b3 / nullif(n3, 0)) * (1 / nullif(nl, 0) + 1 / nullif(n3, 0))), false) AS up3 FROM pools
+), v3 AS (SELECT *, CASE WHEN up3 THEN n3 ELSE nl END AS x3, CASE WHEN up3 THEN b3 ELSE nb END AS y3 FROM m3),
+m2 AS (
+  SELECT *, up3 AND coalesce(x3 = 0 OR abs(y3 / nullif(x3, 0) - b2 / nullif(n2, 0)) <= 2 * sqrt(b2 / nullif(n2, 0) * (1 - b2 / nullif(n2, 0)) * (1 / nullif(x3, 0) + 1 / nullif(n2, 0))), false) AS up2 FROM v3
+), v2 AS (SELECT *, CASE WHEN up2 THEN n2 ELSE x3 END AS x2, CASE WHEN up2 THEN b2 ELSE y3 END AS y2 FROM m2),
+m1 AS (
+  SELECT *, up2 AND coalesce(x2 = 0 OR abs(y2 / nullif(x2, 0) - b1 / nullif(n1, 0)) <= 2 * sqrt(b1 / nullif(n1, 0) * (1 - b1 / nullif(n1, 0)) * (1 / nullif(x2, 0) + 1 / nullif(n1, 0))), false) AS up1 FROM v2
+), merged AS (SELECT host, t1, t2, t3, CASE WHEN up1 THEN n1 ELSE x2 END AS n, CASE WHEN up1 THEN b1 ELSE y2 END AS b FROM m1),
+base AS (SELECT (sum(nl) - sum(nb) + 1) / (sum(nl) + 2) AS base FROM stats),
+judged AS (
+  SELECT page_id, host, path, '/' || concat_ws('/', nullif(t1, ''), nullif(t2, ''), nullif(t3, '')) AS template, round((n - b + 4 * base) / (n + 4), 9) AS purity
+  FROM l3 JOIN merged USING (host, t1, t2, t3) CROSS JOIN base
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM judged
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN purity < 0.5 THEN 'block' ELSE 'allow' END AS verdict, template, purity
+FROM ruled
+"""

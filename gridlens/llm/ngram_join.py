@@ -10,7 +10,7 @@ drops a link between different sets:
    texts share last; it comes from counts over all texts and only steers the cost, never the result.
 3. Buckets of up to ``small`` classes, and a star around one class in larger ones, give first candidates. The count
    bound prunes them, exact overlap of the sets confirms them, and confirmed links are contracted into components.
-4. In the larger buckets, classes of different components are then compared by a packed R-tree over their count
+4. In the larger buckets, classes of different components are then compared by packed R-trees over their count
    vectors: a node holds the coordinate maxima and the range of set sizes of what is below it, and is left out if the
    bound with the query vector falls short. Rounds of growing width go on until no unseen pair survives.
 
@@ -343,43 +343,45 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return _roots(contract(_as_edges(links), most_rounds)[0])
 
 
-def _different_buckets(members: DataFrame) -> DataFrame:
-    """One of all buckets with the same members: near copies share many shingles, and each bucket would compare them anew."""
-    print_ = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
-    keep = members.groupBy("shingle").agg(*print_, F.count(F.lit(1)).alias("size")).groupBy("x0", "x1", "size").agg(F.min("shingle").alias("shingle"))
-    return materialize(members.join(keep.select("shingle"), "shingle", "left_semi"), "join-members")
+def _tree_pairs(named: DataFrame, classes: DataFrame, t: Threshold, width: int, block: int = 4096) -> DataFrame:
+    """``named``: shingle, cls, root. Pairs of different components that share a bucket and that R-trees leave.
 
-
-def _tree_pairs(members: DataFrame, t: Threshold, width: int) -> DataFrame:
-    """Within a bucket: pairs of different components that the R-tree leaves, the ``width`` best for each class and component.
-
-    A row with ``cut`` names, in a, a bucket of which some were left out this time.
+    Buckets with one largest component form a family: near copies share many shingles, and their buckets would all compare
+    the same classes. The family's classes are cut into blocks with a tree each; members of the largest component
+    needn't ask, as every pair of two components has another end, which asks all blocks. For each class and component the
+    ``width`` best pairs are given; a row with ``cut`` says that some were left out.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cls").reset_index(drop=True)
-        root, cls, size = pdf["root"].to_numpy(), pdf["cls"].to_numpy(), pdf["n"].to_numpy(np.int64)
-        counts = _vectors(pdf["counts"], size)
-        _, of, many = np.unique(root, return_inverse=True, return_counts=True)
-        tree = CountTree(counts, size, t)
+        ask, held = pdf[pdf["ask"]], pdf[~pdf["ask"]]
+        sizes, cls, root = held["n"].to_numpy(np.int64), held["cls"].to_numpy(), held["root"].to_numpy()
+        counts = _vectors(held["counts"], sizes)
+        tree = CountTree(counts, sizes, t)
         a, b, cut = [], [], False
-        # members of the largest component needn't ask: every cross pair has another end, which asks
-        for i in np.flatnonzero(of != many.argmax()):
-            hit = tree.query(counts[i], int(size[i]))
-            hit = hit[of[hit] != of[i]]
+        wanted = _vectors(ask["counts"], ask["n"].to_numpy(np.int64)) if len(ask) else []
+        for own, n, r, vector in zip(ask["cls"].tolist(), ask["n"].tolist(), ask["root"].tolist(), wanted, strict=True):
+            hit = tree.query(vector, n)
+            hit = hit[root[hit] != r]
             if not len(hit):
                 continue
-            bound = np.minimum(counts[hit], counts[i]).sum(1, dtype=np.int64) / (size[hit] + size[i])
+            bound = np.minimum(counts[hit], vector).sum(1, dtype=np.int64) / (sizes[hit] + n)
             hit = hit[np.lexsort((cls[hit], -bound))]
-            rank = pd.Series(of[hit]).groupby(of[hit]).cumcount().to_numpy()
+            rank = pd.Series(root[hit]).groupby(root[hit]).cumcount().to_numpy()
             cut |= bool((rank >= width).any())
             hit = hit[rank < width]
-            a += [int(cls[i])] * len(hit)
+            a += [own] * len(hit)
             b += cls[hit].tolist()
-        own = [int(pdf["shingle"].iloc[0])] * cut
-        return pd.DataFrame({"a": [*a, *own], "b": [*b, *own], "cut": [False] * len(a) + [True] * cut})
+        pairs = np.unique(np.sort(np.array([a, b], dtype=np.int64).reshape(2, -1), axis=0), axis=1)
+        return pd.DataFrame({"a": [*pairs[0], *([0] * cut)], "b": [*pairs[1], *([0] * cut)], "cut": [False] * pairs.shape[1] + [True] * cut})
 
-    return members.groupBy("shingle").applyInPandas(run, "a long, b long, cut boolean")
+    per = named.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"))
+    top = per.groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle", F.col("top.root").alias("family"))
+    family = named.join(top, "shingle").select("family", "cls", "root").distinct()
+    parts = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    rows = family.join(parts, "family").join(classes.select("cls", "n", "counts"), "cls")
+    held = rows.select("family", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part"), "cls", "root", "n", "counts", F.lit(False).alias("ask"))
+    ask = rows.where("root != family").select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cls", "root", "n", "counts", F.lit(True).alias("ask"))
+    return held.union(ask).groupBy("family", "part").applyInPandas(run, "a long, b long, cut boolean")
 
 
 def jaccard_components(
@@ -398,26 +400,22 @@ def jaccard_components(
     entries = exploded.select("shingle", "cls", (F.col("n") * 2 + (F.col("pos") >= F.col("n_index")).cast("int")).alias("mark"))
     first = materialize(_first_pairs(entries.repartition("shingle").sortWithinPartitions("shingle", "mark", "cls"), small, t), "join-first")
     tried = materialize(_likely(first.where("kind = 0"), classes, t), "join-likely")
-    # two rounds contract most of what is linked; how far they come only decides which pairs are looked at below
-    edges, settled = contract(_as_edges(_confirm(tried, rows, width, t)), 2)
-    members = _different_buckets(first.where("kind = 1").select(F.col("a").alias("cls"), F.col("b").alias("shingle")))
-    best = 512
+    # one round contracts most of what is linked; how far it comes only decides which pairs are looked at below
+    edges, settled = contract(_as_edges(_confirm(tried, rows, width, t)), 1)
+    members = first.where("kind = 1").select(F.col("a").alias("cls"), F.col("b").alias("shingle"))
+    best = 1024
     while True:
         named = members.join(_roots(edges).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        mixed = named.groupBy("shingle").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one != two").select("shingle")
-        asked = named.join(mixed, "shingle").join(classes.select("cls", "n", "counts"), "cls")
-        found = materialize(_tree_pairs(asked, t, best), "join-tree")
-        pairs = found.where("NOT cut").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = materialize(_tree_pairs(named, classes, t, best), "join-tree")
+        pairs = found.where("NOT cut").select("a", "b")
         fresh = materialize(_likely(pairs.join(tried, ["a", "b"], "left_anti"), classes, t), "join-likely")
         cut = bool(found.where("cut").limit(1).count())
-        more = materialize(_as_edges(_confirm(fresh, rows, width, t)), "join-links")
-        if more.limit(1).count():
-            edges, settled = contract(edges.union(more), 2)
+        if fresh.limit(1).count():
+            more = _as_edges(_confirm(fresh, rows, width, t)).select("u", "v")
+            edges, settled = contract(edges.union(more), 1 if cut else 60)
+            tried = tried.union(fresh)
         if not cut:
             break
-        tried = tried.union(fresh)
-        # what a bucket without cut left is settled
-        members = members.join(found.where("cut").select(F.col("a").alias("shingle")), "shingle", "left_semi")
         best *= 8
     roots = _roots(edges if settled else contract(edges, 60)[0])
     named = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

@@ -349,7 +349,7 @@ def _tree_pairs(named: DataFrame, classes: DataFrame, t: Threshold, width: int,
     Buckets with one largest component form a family: near copies share many shingles, and their buckets would all compare
     the same classes. The family's classes are cut into blocks with a tree each; members of the largest component
     needn't ask, as every pair of two components has another end, which asks all blocks. For each class and component the
-    ``width`` best pairs are given; a row with ``cut`` says that some were left out.
+    ``width`` best pairs are given; a row with ``cut`` names a class and the root of a component of which some were left out.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -357,7 +357,7 @@ def _tree_pairs(named: DataFrame, classes: DataFrame, t: Threshold, width: int,
         sizes, cls, root = held["n"].to_numpy(np.int64), held["cls"].to_numpy(), held["root"].to_numpy()
         counts = _vectors(held["counts"], sizes)
         tree = CountTree(counts, sizes, t)
-        a, b, cut = [], [], False
+        a, b, cut = [], [], set()
         wanted = _vectors(ask["counts"], ask["n"].to_numpy(np.int64)) if len(ask) else []
         for own, n, r, vector in zip(ask["cls"].tolist(), ask["n"].tolist(), ask["root"].tolist(), wanted, strict=True):
             hit = tree.query(vector, n)
@@ -367,12 +367,13 @@ def _tree_pairs(named: DataFrame, classes: DataFrame, t: Threshold, width: int,
             bound = np.minimum(counts[hit], vector).sum(1, dtype=np.int64) / (sizes[hit] + n)
             hit = hit[np.lexsort((cls[hit], -bound))]
             rank = pd.Series(root[hit]).groupby(root[hit]).cumcount().to_numpy()
-            cut |= bool((rank >= width).any())
+            cut |= {(own, int(x)) for x in root[hit[rank >= width]]}
             hit = hit[rank < width]
             a += [own] * len(hit)
             b += cls[hit].tolist()
         pairs = np.unique(np.sort(np.array([a, b], dtype=np.int64).reshape(2, -1), axis=0), axis=1)
-        return pd.DataFrame({"a": [*pairs[0], *([0] * cut)], "b": [*pairs[1], *([0] * cut)], "cut": [False] * pairs.shape[1] + [True] * cut})
+        left = np.array(sorted(cut), dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": np.concatenate((pairs[0], left[:, 0])), "b": np.concatenate((pairs[1], left[:, 1])), "cut": [False] * pairs.shape[1] + [True] * len(left)})
 
     per = named.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"))
     top = per.groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle", F.col("top.root").alias("family"))
@@ -403,19 +404,19 @@ def jaccard_components(
     # one round contracts most of what is linked; how far it comes only decides which pairs are looked at below
     edges, settled = contract(_as_edges(_confirm(tried, rows, width, t)), 1)
     members = first.where("kind = 1").select(F.col("a").alias("cls"), F.col("b").alias("shingle"))
-    best = 1024
+    best = 32
     while True:
         named = members.join(_roots(edges).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         found = materialize(_tree_pairs(named, classes, t, best), "join-tree")
         pairs = found.where("NOT cut").select("a", "b")
         fresh = materialize(_likely(pairs.join(tried, ["a", "b"], "left_anti"), classes, t), "join-likely")
-        cut = bool(found.where("cut").limit(1).count())
-        if fresh.limit(1).count():
-            more = _as_edges(_confirm(fresh, rows, width, t)).select("u", "v")
-            edges, settled = contract(edges.union(more), 1 if cut else 60)
-            tried = tried.union(fresh)
-        if not cut:
+        edges, settled = contract(edges.union(_as_edges(_confirm(fresh, rows, width, t)).select("u", "v")), 60)
+        # pairs left out matter only between what is still apart
+        by = [_roots(edges).select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b")]
+        apart = found.where("cut").join(by[0], "a", "left").join(by[1], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+        if not apart.limit(1).count():
             break
+        tried = tried.union(fresh)
         best *= 8
     roots = _roots(edges if settled else contract(edges, 60)[0])
     named = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, encode, materialize, mix64, slices, table
+from .common import Words, drop_ids, encode, id_bits, id_slot, materialize, mix64, slices, table
 
 GROUPS = 512
 _MULTIPLIERS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -232,10 +232,12 @@ def _first_pairs(entries: DataFrame, small: int, t: Threshold) -> DataFrame:
             b.append(x[2, ok + step])
         large = size[run_of] > small
         if large.any():
-            middle = (start + size // 2)[run_of[large]]
-            lo, hi = np.minimum(x[1, middle], x[1, large]), np.maximum(x[1, middle], x[1, large])
-            ok = (x[2, middle] != x[2, large]) & (lo * t.den >= hi * t.num)
-            a.append(x[2, middle][ok])
+            # the smallest key: the buckets of near copies then mostly agree on one class
+            order = np.lexsort((x[2], run_of))
+            centre = order[start][run_of[large]]
+            lo, hi = np.minimum(x[1, centre], x[1, large]), np.maximum(x[1, centre], x[1, large])
+            ok = (x[2, centre] != x[2, large]) & (lo * t.den >= hi * t.num)
+            a.append(x[2, centre][ok])
             b.append(x[2, large][ok])
         if a and (total := sum(map(len, a))):
             one, two = np.concatenate(a), np.concatenate(b)
@@ -247,16 +249,15 @@ def _first_pairs(entries: DataFrame, small: int, t: Threshold) -> DataFrame:
     return entries.mapInPandas(run, "kind int, a long, b long")
 
 
-_SLOTS = 1 << 23
+def _short(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, still sorted: a chance match between two sets of 500 has odds of 1 to 10 ** 9."""
+    return (s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _wanted(ids: DataFrame) -> np.ndarray:
-    """A bit for each of a fixed number of id hashes. More ids only mean more rows that pass it in vain."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(_SLOTS))
-    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 31 AS INT)))").alias("bits")).toPandas()
-    table_ = np.zeros(_SLOTS >> 5, dtype=np.uint32)
-    table_[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
-    return table_
+def _long(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
@@ -277,7 +278,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
 def _confirm(likely: DataFrame, rows: DataFrame, width: int, t: Threshold) -> DataFrame:
     """Pairs a, b whose sets reach the threshold. Sets are made again where the texts lie; texts are never shuffled."""
     needed = likely.select(F.col("rep_a").alias("id"), F.col("a").alias("cls")).union(likely.select("rep_b", "b")).distinct()
-    shared = rows.sparkSession.sparkContext.broadcast(_wanted(needed))  # of fixed size
+    shared = rows.sparkSession.sparkContext.broadcast(id_bits(needed))  # of fixed size
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -285,18 +286,18 @@ def _confirm(likely: DataFrame, rows: DataFrame, width: int, t: Threshold) -> Da
             texts = b["text"][(shared.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1]
             for lo in range(0, len(texts), 500):
                 found = [s for s in _sets(texts.iloc[lo : lo + 500], width) if len(s)]
-                yield pd.DataFrame({"cls": [class_key(s) for s in found], "items": [s.view(np.int64) for s in found]})
+                yield pd.DataFrame({"cls": [class_key(s) for s in found], "items": [_short(s) for s in found]})
 
-    placed = rows.where("id IS NOT NULL").select(F.pmod(F.xxhash64("id"), F.lit(_SLOTS)).alias("slot"), "text")
+    placed = rows.where("id IS NOT NULL").select(id_slot("id").alias("slot"), "text")
     # an id may stand on several texts, and a slot for several ids: the class key of the text decides
-    made = placed.mapInPandas(sets, "cls long, items array<long>")
+    made = placed.mapInPandas(sets, "cls long, items binary")
     items = materialize(made.join(needed.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "join-sets")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             ok = []
             for x, y in zip(p["x"], p["y"], strict=True):
-                x, y = np.asarray(x, np.int64).view(np.uint64), np.asarray(y, np.int64).view(np.uint64)
+                x, y = _long(x), _long(y)
                 x, y = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 common = int((y[at] == x).sum())
@@ -377,7 +378,7 @@ def _tree_pairs(named: DataFrame, classes: DataFrame, t: Threshold, width: int,
 
     per = named.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"))
     top = per.groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle", F.col("top.root").alias("family"))
-    family = named.join(top, "shingle").select("family", "cls", "root").distinct()
+    family = materialize(named.join(top, "shingle").select("family", "cls", "root").distinct(), "join-family")
     parts = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     rows = family.join(parts, "family").join(classes.select("cls", "n", "counts"), "cls")
     held = rows.select("family", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part"), "cls", "root", "n", "counts", F.lit(False).alias("ask"))
@@ -436,8 +437,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the row with the smallest id stays, once; all columns stay. Rows without id stay."""
     found = materialize(jaccard_components(docs), "join-stage")
-    gone = found.where("component_id IS NOT NULL AND doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return drop_ids(docs, found.where("component_id IS NOT NULL AND doc_id != component_id").select("doc_id"), "doc_id")
 
 
 OP9_SQL = r"""

@@ -8,7 +8,9 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,14 +28,56 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def clear_intermediates(spark: SparkSession) -> None:
+    """Deletes what this driver's operators wrote; for when their results have been used."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+SLOTS = 1 << 23
+
+
+def id_slot(col: str) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(SLOTS))
+
+
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """A bit for each of a fixed number of hashes of the column ``id``. More ids only mean more rows that pass in vain."""
+    words = ids.select(id_slot("id").alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 31 AS INT)))").alias("bits")).toPandas()
+    bits = np.zeros(SLOTS >> 5, dtype=np.uint32)
+    bits[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return bits
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the ids in ``gone``; rows with null id stay. Only rows whose hash occurs in ``gone`` are shuffled."""
+    gone = gone.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(id_bits(gone))  # of fixed size
+
+    @F.pandas_udf("boolean")
+    def met(slot: pd.Series) -> pd.Series:
+        s = slot.to_numpy(dtype=np.int64)
+        return pd.Series((shared.value[s >> 5] >> (s & 31).astype(np.uint32)) & 1 == 1)
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(*columns, met(id_slot(id_col)).alias("__met"))
+    doubtful = marked.where("__met").join(gone.withColumnRenamed("id", "__gone"), F.col(id_col) == F.col("__gone"), "left_anti")
+    return marked.where("NOT __met").union(doubtful).select(*columns)
+
+
 def separators(extra: bytes = b"") -> np.ndarray:
     """Lookup table over byte values: ASCII white space, and ``extra``, part words."""
     mask = np.zeros(256, dtype=bool)

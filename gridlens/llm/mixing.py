@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, table
+from .common import drop_ids, materialize, mix64, table
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -183,7 +183,6 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents of which the mix takes any word stay; all columns stay. What a document adds to the mix is its whole text."""
+    """Pipeline stage: documents of which the mix takes any word stay, and rows without id; all columns stay."""
     found, _, _ = mix(docs)
-    kept = materialize(found.where("taken > 0").select("doc_id").distinct(), "mix-kept")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return drop_ids(docs, materialize(found.where("taken = 0").select("doc_id"), "mix-left"), "doc_id")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def share(spark: SparkSession, model: object) -> Callable[[], object]:
+    """Broadcasts a model of bounded size by value, so that executors need not have its class installed."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    read: list[object] = []
+
+    def get() -> object:
+        if not read:
+            read.append(pickle.loads(sent.value))
+        return read[0]
+
+    return get
+
+
 _written: list[str] = []
 
 

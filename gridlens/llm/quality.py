@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, Words, encode, mix64, slices, table
+from .common import WHITE, Words, encode, mix64, share, slices, table
 
 STATS = ("repeats", "symbols", "shouts", "capitals", "bars", "variety", "stops", "commonest", "word_length", "marked", "runs")
 #: Per statistic: poor at or beyond the first bound, good at or beyond the second, no vote between; and the fewest words for a vote.
@@ -242,13 +242,13 @@ def learn(docs: DataFrame, most_rows: int = 6_000, id_col: str = "doc_id", text_
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``poor_score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    shared = share(docs.sparkSession, model)  # of fixed size
     position = docs.columns.index(text_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = b.copy()
-            out["poor_score"] = shared.value.score([encode(t) for t in b.iloc[:, position]])
+            out["poor_score"] = shared().score([encode(t) for t in b.iloc[:, position]])
             yield out
 
     return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField("poor_score", T.DoubleType())]))

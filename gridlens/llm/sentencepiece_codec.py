@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import share, table
 
 MARK = "▁"
 _PARTS = re.compile(f"{MARK}+(?={MARK}[^{MARK}\n])|{MARK}+(?=\n|\\Z)|{MARK}?[^{MARK}\n]+|\n")
@@ -335,24 +335,12 @@ def _bisect(keys: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndar
     return low
 
 
-_codecs: dict[int, Codec] = {}
-
-
-def _codec(shared) -> Codec:
-    """One codec a worker and model."""
-    key = getattr(shared, "_jbroadcast", None) or id(shared.value)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(shared.value)
-    return _codecs[key]
-
-
 def encode_texts(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", step: int = 1500) -> DataFrame:
     """Id and ids (array<int>)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # one vocabulary
+    shared = share(docs.sparkSession, model)  # one vocabulary
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = _codec(shared)
+        codec = Codec(shared())
         for b in batches:
             for lo in range(0, len(b), step):
                 part = b.iloc[lo : lo + step]
@@ -366,10 +354,10 @@ def encode_texts(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", tex
 
 def decode_ids(encoded: DataFrame, model: PieceModel, id_col: str = "doc_id") -> DataFrame:
     """Id, n_tokens, ids_sha256 (of little-endian 32-bit ids), and the decoded text with its digest."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    shared = share(encoded.sparkSession, model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = _codec(shared)
+        codec = Codec(shared())
         for b in batches:
             for lo in range(0, len(b), 1500):
                 part = b.iloc[lo : lo + 1500]

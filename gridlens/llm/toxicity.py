@@ -1,10 +1,11 @@
 """Toxicity by maximum-scoring segments of token log-odds, calibrated by an extreme-value law.
 
 Learning: token counts by class come from a bounded sample of labelled texts. A token's share of toxic texts has a
-Dirichlet prior centred on the share of its opening letters, which has one centred on the share of all; its score is
-the log-odds against that overall share, less ``drift``. Scoring: one linear scan finds all maximal-scoring segments of
+Dirichlet prior centred on the share of tokens with the same first 8 bytes, that one on the same first 6, then 4, then
+all; its score is the log-odds against the overall share, less ``drift``. Scoring: one linear scan finds all maximal-scoring segments of
 a text (Ruzzo and Tompa 1999). Their scores are put on the scale of Gumbel's law for texts of that length, fitted on
-clean labelled texts, the significant ones are summed, and a logistic curve maps the sum to 0..1.
+clean labelled texts, the significant ones are summed (or the best one counts, if none is), and a logistic curve maps
+that to 0..1.
 
 Cases: null and empty texts have no token and get the score of a text without significant segment; texts are read
 whole; labels that are null or whose id is null are ignored, and of several labels of one id the highest counts;
@@ -15,7 +16,7 @@ an empty table gives no rows. Ids, languages and sources are never inputs of a s
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -23,20 +24,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, encode, materialize, separators, slices, table
+from .common import Words, encode, materialize, separators, share, slices, table
 
 SEPS = separators(b".,!?;:\"'()[]{}|<>*%$&#/\\+=~`^_-")
-_ROOT = 4
+#: Bytes of a token's beginnings, the longest last.
+ROOTS = (4, 6, 8)
 
 
 @dataclass(frozen=True)
 class SegmentModel:
-    """Sorted token keys with their toxic and clean text counts, the same for opening letters, and the calibration."""
+    """For each of ROOTS and for whole tokens: sorted keys with their toxic and clean text counts. And the calibration."""
 
-    words: np.ndarray
-    word_counts: np.ndarray
-    roots: np.ndarray
-    root_counts: np.ndarray
+    tables: tuple[tuple[np.ndarray, np.ndarray], ...]
     base: float
     weight: float
     drift: float
@@ -60,21 +59,27 @@ def _lookup(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndar
     return np.where((keys[at] == wanted)[:, None], counts[at], 0)
 
 
-def token_scores(m: SegmentModel, words: np.ndarray, roots: np.ndarray, left_out: np.ndarray | None = None) -> np.ndarray:
-    """Log-odds less drift. ``left_out``: the class of the text of each token, whose own count is taken out (training)."""
+def token_scores(m: SegmentModel, keys: list[np.ndarray], left_out: np.ndarray | None = None) -> np.ndarray:
+    """Log-odds less drift from the keys of beginnings and whole tokens. ``left_out``: the class of each token's text,
+    whose own count is taken out (training)."""
+    words = keys[-1]
     unique, inverse = np.unique(words if left_out is None else words + left_out.astype(np.uint64), return_inverse=True)
     first = np.zeros(len(unique), dtype=np.int64)
     first[inverse] = np.arange(len(words))
-    w, r = _lookup(m.words, m.word_counts, words[first]).astype(float), _lookup(m.roots, m.root_counts, roots[first]).astype(float)
-    if left_out is not None:
-        own = np.stack((left_out[first] == 1, left_out[first] == 0), axis=1)
-        w, r = np.maximum(w - own, 0), np.maximum(r - own, 0)
-    share = (r[:, 0] + m.weight * m.base) / (r.sum(1) + m.weight)
-    share = (w[:, 0] + m.weight * share) / (w.sum(1) + m.weight)
+    share = m.base
+    for (known, counts), k in zip(m.tables, keys, strict=True):
+        seen = _lookup(known, counts, k[first]).astype(float)
+        if left_out is not None:
+            seen = np.maximum(seen - np.stack((left_out[first] == 1, left_out[first] == 0), axis=1), 0)
+        share = (seen[:, 0] + m.weight * share) / (seen.sum(1) + m.weight)
     odds = np.log(share / (1 - share)) - np.log(m.base / (1 - m.base))
     return (odds - m.drift)[inverse]
 
 
+def _keys(w: Words) -> list[np.ndarray]:
+    return [*(w.hashes(n) for n in ROOTS), w.hashes()]
+
+
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score) of one sequence, in linear time."""
     up = scores > 0
@@ -101,42 +106,64 @@ def _scan(m: SegmentModel, texts: list[bytes], labels: np.ndarray | None = None)
     """Per text: number of tokens, segments (word indexes within the batch), the batch's words, and its first word."""
     for lo, hi in slices(texts):
         w = Words([t.lower() for t in texts[lo:hi]], SEPS)
-        words, roots = w.hashes(), w.hashes(_ROOT)
         left = None if labels is None else np.repeat(labels[lo:hi], np.diff(w.first))
-        scores = token_scores(m, words, roots, left)
+        keys = _keys(w)
+        scores = token_scores(m, keys, left)
+        # a token speaks once in a text, as its counts are of texts: repeats only separate
+        up = np.flatnonzero(scores > 0)
+        of = np.repeat(np.arange(hi - lo), np.diff(w.first))[up]
+        order = np.lexsort((up, keys[-1][up], of))
+        again = np.zeros(len(up), bool)
+        again[1:] = (of[order][1:] == of[order][:-1]) & (keys[-1][up][order][1:] == keys[-1][up][order][:-1])
+        scores[up[order][again]] = -m.drift
         for i in range(hi - lo):
             a, b = w.first[i], w.first[i + 1]
             yield int(b - a), [(s + a, e + a, v) for s, e, v in maximal_segments(scores[a:b])], w, int(a)
 
 
-def _counts(sample: DataFrame, most_tokens: int) -> tuple[np.ndarray, ...]:
-    """Texts by class that hold a token, or a token's opening letters: the ``most_tokens`` most frequent of each."""
+def _counts(sample: DataFrame, most_tokens: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """Texts by class that hold a token, or a token's beginning: the ``most_tokens`` most frequent of each."""
+
+    def merged(parts: list[tuple]) -> tuple:
+        keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return keys, *(np.bincount(at, weights=np.concatenate([p[k] for p in parts]), minlength=len(keys)).astype(np.int64) for k in (1, 2))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[list[tuple]] = [[] for _ in range(len(ROOTS) + 1)]
         for b in batches:
             texts, labels = [encode(t).lower() for t in b["text"]], b["label"].to_numpy()
-            for lo, hi in slices(texts, 4 << 20):
+            for lo, hi in slices(texts):
                 w = Words(texts[lo:hi], SEPS)
                 of = np.repeat(np.arange(hi - lo), np.diff(w.first))
-                for kind, keys in ((0, w.hashes()), (1, w.hashes(_ROOT))):
+                for kind, keys in enumerate(_keys(w)):
                     order = np.lexsort((of, keys))
                     k, o = keys[order], of[order]
                     once = np.ones(len(k), bool)
                     once[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
                     k, y = k[once], labels[lo:hi][o[once]]
-                    if not len(k):
-                        continue
-                    start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-                    yield pd.DataFrame({"kind": kind, "key": k[start].view(np.int64), "toxic": np.add.reduceat(y, start), "n": np.diff(np.append(start, len(k)))})
+                    if len(k):
+                        start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+                        held[kind].append((k[start], np.add.reduceat(y, start), np.diff(np.append(start, len(k)))))
+                    # counts of a task meet here before they are sent on
+                    if len(held[kind]) >= 16:
+                        held[kind] = [merged(held[kind])]
+                        if len(held[kind][0][0]) > 1_000_000:
+                            yield out(kind, held[kind].pop())
+        for kind, parts in enumerate(held):
+            if parts:
+                yield out(kind, merged(parts))
+
+    def out(kind: int, part: tuple) -> pd.DataFrame:
+        return pd.DataFrame({"kind": kind, "key": part[0].view(np.int64), "toxic": part[1], "n": part[2]})
 
     counted = sample.select("text", "label").mapInPandas(run, "kind int, key long, toxic long, n long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     out = []
-    for kind in (0, 1):
+    for kind in range(len(ROOTS) + 1):
         top = counted.where((F.col("kind") == kind) & (F.col("n") > 1)).orderBy(F.desc("n"), "key").limit(most_tokens).toPandas()
         keys = top["key"].to_numpy(dtype=np.int64).view(np.uint64)
         order = np.argsort(keys)
         toxic = top["toxic"].to_numpy(dtype=np.int64)[order]
-        out += [keys[order], np.stack((toxic, top["n"].to_numpy(dtype=np.int64)[order] - toxic), axis=1)]
+        out.append((keys[order], np.stack((toxic, top["n"].to_numpy(dtype=np.int64)[order] - toxic), axis=1)))
     return tuple(out)
 
 
@@ -168,22 +195,21 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _summed(m: SegmentModel, segments: np.ndarray, length: int) -> float:
-    """Sum of the evidence of significant segments."""
-    e = m.evidence(segments, np.full(len(segments), length)) if len(segments) else segments
-    return float(e[e > 0].sum()) if len(segments) else 0.0
+    """Sum of the evidence of significant segments; without any, that of the best segment, which is below nought."""
+    e = m.evidence(np.append(segments, 0.0), np.full(len(segments) + 1, length))
+    return float(e[e > 0].sum() or e.max())
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, most_tokens: int = 200_000, weight: float = 6.0, drift: float = 1.0) -> SegmentModel:
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, most_tokens: int = 150_000, weight: float = 4.0, drift: float = 2.0) -> SegmentModel:
     """``docs``: doc_id, text; ``labels``: doc_id, label 0/1. At most ``most_rows`` labelled rows, by a hash of the id, are learned from."""
     named = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("long").alias("label"))
     picked = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "toxic-sample")  # most_rows bounds the broadcast
     classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     pos, neg = classes.get(1, 0), classes.get(0, 0)
-    words, word_counts, roots, root_counts = _counts(sample, most_tokens)
-    m = SegmentModel(words, word_counts, roots, root_counts, (pos + 0.5) / (pos + neg + 1), weight, drift)
+    m = SegmentModel(_counts(sample, most_tokens), (pos + 0.5) / (pos + neg + 1), weight, drift)
     if not pos or not neg:
-        return SegmentModel(words[:0], word_counts[:0], roots[:0], root_counts[:0], m.base, weight, drift, offset=float(np.log(m.base / (1 - m.base))))
+        return replace(m, tables=tuple((k[:0], c[:0]) for k, c in m.tables), slope=0.0, offset=float(np.log(m.base / (1 - m.base))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -197,30 +223,30 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, most_toke
     best = np.array([max(s, default=0.0) for s in pdf["segments"]])
     y, n = pdf["label"].to_numpy(), pdf["n"].to_numpy()
     scale, size = _gumbel(best[y == 0], n[y == 0])
-    m = SegmentModel(words, word_counts, roots, root_counts, m.base, weight, drift, scale, size)
+    m = replace(m, scale=scale, size=size)
     x = np.array([_summed(m, np.asarray(s, dtype=float), k) for s, k in zip(pdf["segments"], n, strict=True)])
     slope, offset = _logistic(np.minimum(x, 40), y)
-    return SegmentModel(words, word_counts, roots, root_counts, m.base, weight, drift, scale, size, slope, offset)
+    return replace(m, slope=slope, offset=offset)
 
 
 def score(docs: DataFrame, model: SegmentModel, passages: bool = True, text_col: str = "text") -> DataFrame:
     """``docs`` with ``toxic_score`` and, if asked for, ``toxic_passages``: array<struct<text, evidence>>."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by the number of tokens that learn() keeps
+    shared = share(docs.sparkSession, model)  # bounded by the number of tokens that learn() keeps
     position = docs.columns.index(text_col)
     extra = [T.StructField("toxic_score", T.DoubleType())]
     if passages:
         extra.append(T.StructField("toxic_passages", T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("evidence", T.DoubleType())]))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m = shared()
         for b in batches:
             texts = [encode(t) for t in b.iloc[:, position]]
             sums, found = [], []
             for n, seg, w, _ in _scan(m, texts):
-                e = m.evidence(np.array([s[2] for s in seg]), np.full(len(seg), n)) if seg else np.zeros(0)
-                sums.append(float(e[e > 0].sum()))
+                best = np.array([s[2] for s in seg])
+                sums.append(_summed(m, best, n))
                 if passages:
+                    e = m.evidence(best, np.full(len(seg), n))
                     found.append([{"text": w.buffer[w.starts[s] : w.ends[t - 1]].tobytes().decode("utf-8", "replace"), "evidence": float(v)} for (s, t, _), v in zip(seg, e, strict=True) if v > 0])
             out = b.copy()
             out["toxic_score"] = m.probability(np.minimum(np.array(sums), 40))

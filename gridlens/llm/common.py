@@ -77,18 +77,23 @@ def id_bits(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without the ids in ``gone``; rows with null id stay. Only rows whose hash occurs in ``gone`` are shuffled."""
-    gone = gone.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(id_bits(gone))  # of fixed size
+def may_be_in(ids: DataFrame, col: str) -> Column:
+    """Whether the value of ``col`` may be among ``ids`` (column ``id``): never wrong about a no, seldom about a yes."""
+    shared = ids.sparkSession.sparkContext.broadcast(id_bits(ids))  # of fixed size
 
     @F.pandas_udf("boolean")
     def met(slot: pd.Series) -> pd.Series:
         s = slot.to_numpy(dtype=np.int64)
         return pd.Series((shared.value[s >> 5] >> (s & 31).astype(np.uint32)) & 1 == 1)
 
+    return met(id_slot(col))
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the ids in ``gone``; rows with null id stay. Only rows whose hash occurs in ``gone`` are shuffled."""
+    gone = gone.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.select(*columns, met(id_slot(id_col)).alias("__met"))
+    marked = docs.select(*columns, may_be_in(gone, id_col).alias("__met"))
     doubtful = marked.where("__met").join(gone.withColumnRenamed("id", "__gone"), F.col(id_col) == F.col("__gone"), "left_anti")
     return marked.where("NOT __met").union(doubtful).select(*columns)
 

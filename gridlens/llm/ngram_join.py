@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, drop_ids, encode, id_bits, id_slot, materialize, mix64, slices, table
+from .common import Words, drop_ids, encode, id_bits, id_slot, materialize, may_be_in, mix64, slices, table
 
 GROUPS = 512
 _MULTIPLIERS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -250,18 +250,20 @@ def _first_pairs(entries: DataFrame, small: int, t: Threshold) -> DataFrame:
 
 
 def _short(s: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash, still sorted: a chance match between two sets of 500 has odds of 1 to 10 ** 9."""
-    return (s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """The upper 40 bits of each hash, still sorted: sets of 500 have a chance match in 2 of 10 ** 7 pairs."""
+    return (s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
 def _long(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
     return out.view("<u8").ravel()
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
     """Distinct pairs a, b that the count bound leaves, with the ids that stand for them."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    classes = classes.where(may_be_in(asked, "cls"))  # so that only these are shuffled
     side = lambda k: classes.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), F.col("counts").alias(f"c_{k}"), F.col("rep").alias(f"rep_{k}"))
 
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,17 +283,19 @@ def _confirm(likely: DataFrame, rows: DataFrame, width: int, t: Threshold) -> Da
     shared = rows.sparkSession.sparkContext.broadcast(id_bits(needed))  # of fixed size
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: set[int] = set()
         for b in batches:
             slot = b["slot"].to_numpy(dtype=np.int64)
             texts = b["text"][(shared.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1]
             for lo in range(0, len(texts), 500):
-                found = [s for s in _sets(texts.iloc[lo : lo + 500], width) if len(s)]
-                yield pd.DataFrame({"cls": [class_key(s) for s in found], "items": [_short(s) for s in found]})
+                found = {class_key(s): s for s in _sets(texts.iloc[lo : lo + 500], width) if len(s)}
+                found = {k: s for k, s in found.items() if k not in met}
+                met.update(found)
+                yield pd.DataFrame({"cls": list(found), "items": [_short(s) for s in found.values()]})
 
     placed = rows.where("id IS NOT NULL").select(id_slot("id").alias("slot"), "text")
-    # an id may stand on several texts, and a slot for several ids: the class key of the text decides
-    made = placed.mapInPandas(sets, "cls long, items binary")
-    items = materialize(made.join(needed.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "join-sets")
+    # an id may stand on several texts, and a slot for several ids: the class key of the text decides in the joins below
+    items = materialize(placed.mapInPandas(sets, "cls long, items binary"), "join-sets")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -380,7 +384,8 @@ def _tree_pairs(named: DataFrame, classes: DataFrame, t: Threshold, width: int,
     top = per.groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle", F.col("top.root").alias("family"))
     family = materialize(named.join(top, "shingle").select("family", "cls", "root").distinct(), "join-family")
     parts = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    rows = family.join(parts, "family").join(classes.select("cls", "n", "counts"), "cls")
+    known = classes.where(may_be_in(family.select(F.col("cls").alias("id")), "cls")).select("cls", "n", "counts")
+    rows = family.join(parts, "family").join(known, "cls")
     held = rows.select("family", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part"), "cls", "root", "n", "counts", F.lit(False).alias("ask"))
     ask = rows.where("root != family").select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cls", "root", "n", "counts", F.lit(True).alias("ask"))
     return held.union(ask).groupBy("family", "part").applyInPandas(run, "a long, b long, cut boolean")
@@ -415,9 +420,12 @@ def jaccard_components(
         # pairs left out matter only between what is still apart
         by = [_roots(edges).select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b")]
         apart = found.where("cut").join(by[0], "a", "left").join(by[1], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-        if not apart.limit(1).count():
+        again = materialize(apart.select(F.col("a").alias("cls")).distinct(), "join-apart")
+        if not again.limit(1).count():
             break
         tried = tried.union(fresh)
+        touched = members.join(again, "cls", "left_semi").select("shingle").distinct()
+        members = materialize(members.join(touched, "shingle", "left_semi"), "join-members")
         best *= 8
     roots = _roots(edges if settled else contract(edges, 60)[0])
     named = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

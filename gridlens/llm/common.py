@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import pickle
 import tempfile
@@ -113,6 +114,7 @@ _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.ui
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
+        gc.collect()  # a worker that is used again may still hold the tables of earlier tasks
         size = 1 << (n - 1).bit_length()
         for k, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(size, base, dtype=np.uint64)
@@ -164,7 +166,7 @@ def encode(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-def slices(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[bytes], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` bytes, at least one text each; bounds numpy's working set."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -46,7 +46,7 @@ def capped_shares(sizes: list[int], weights: list[float], passes: float, total:
                 out[i] = left * weights[i] / weight
             break
         for i in full:
-            out[i] = passes * sizes[i]
+            out[i] = float(passes * sizes[i])
             left -= out[i]
         open_ = [i for i in open_ if i not in set(full)]
     return out

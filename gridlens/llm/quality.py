@@ -68,7 +68,8 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     span = lambda c: (c[text_at[1:]] - c[text_at[:-1]]).astype(np.float64)
     letters, upper, marks = span(count(_LETTER)), span(count(_UPPER)), span(count(_MARK))
     shouts, stops, bars = span(count(_byte == 33)), span(count((_byte == 46) | (_byte == 44))), span(count(_byte == 124))
-    chars = np.maximum(_per_text((w.ends - w.starts).astype(np.float64), w.first), 1)
+    bytes_in_words = _per_text((w.ends - w.starts).astype(np.float64), w.first)
+    chars = np.maximum(bytes_in_words, 1)
     mark_count = count(_MARK)
     marked = _per_text(mark_count[w.ends] > mark_count[w.starts], w.first)
     doubled = np.zeros(len(buf), bool)
@@ -89,7 +90,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     distinct = np.bincount(o[start], minlength=len(texts))
     # the variety of a text falls with its length; the square root evens that out roughly
     variety = distinct / np.minimum(n, np.sqrt(n * 200))
-    stats = np.stack((_per_text(same, w.first) / n, marks / chars, shouts / n, upper / np.maximum(letters, 1), bars / n, variety, stops / n, commonest / n, chars / n, marked / n, runs / n), axis=1)
+    stats = np.stack((_per_text(same, w.first) / n, marks / chars, shouts / n, upper / np.maximum(letters, 1), bars / n, variety, stops / n, commonest / n, bytes_in_words / n, marked / n, runs / n), axis=1)
     kinds = _CLASS[buf]
     keep = np.ones(len(kinds), bool)
     keep[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == 32)
@@ -247,9 +248,7 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataF
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = b.copy()
-            out["poor_score"] = shared().score([encode(t) for t in b.iloc[:, position]])
-            yield out
+            yield b.assign(poor_score=shared().score([encode(t) for t in b.iloc[:, position]]))
 
     return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField("poor_score", T.DoubleType())]))
 

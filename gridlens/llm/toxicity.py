@@ -147,7 +147,7 @@ def _counts(sample: DataFrame, most_tokens: int) -> tuple[tuple[np.ndarray, np.n
                     # counts of a task meet here before they are sent on
                     if len(held[kind]) >= 16:
                         held[kind] = [merged(held[kind])]
-                        if len(held[kind][0][0]) > 1_000_000:
+                        if len(held[kind][0][0]) > 300_000:
                             yield out(kind, held[kind].pop())
         for kind, parts in enumerate(held):
             if parts:
@@ -248,11 +248,8 @@ def score(docs: DataFrame, model: SegmentModel, passages: bool = True, text_col:
                 if passages:
                     e = m.evidence(best, np.full(len(seg), n))
                     found.append([{"text": w.buffer[w.starts[s] : w.ends[t - 1]].tobytes().decode("utf-8", "replace"), "evidence": float(v)} for (s, t, _), v in zip(seg, e, strict=True) if v > 0])
-            out = b.copy()
-            out["toxic_score"] = m.probability(np.minimum(np.array(sums), 40))
-            if passages:
-                out["toxic_passages"] = found
-            yield out
+            scores = m.probability(np.minimum(np.array(sums), 40))
+            yield b.assign(toxic_score=scores, toxic_passages=found) if passages else b.assign(toxic_score=scores)
 
     return docs.mapInPandas(run, T.StructType([*docs.schema.fields, *extra]))
 

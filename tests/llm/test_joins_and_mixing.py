@@ -63,7 +63,7 @@ def test_join_of_odd_rows(spark, odd_docs, no_docs):
     got = J.jaccard_components(odd_docs).collect()
     assert len(got) == odd_docs.count()
     by = {(r.doc_id, r.n_shingles): r.component_id for r in got}
-    assert by[(1, 5)] == 1 and by[(None, 5)] is None and by[(2, 0)] == 2 and by[(5, 1)] == 5 and by[(3, 0)] == 3
+    assert by[(1, 6)] == 1 and by[(None, 6)] is None and by[(2, 0)] == 2 and by[(5, 1)] == 5 and by[(3, 0)] == 3
     assert J.jaccard_components(no_docs).count() == 0
 
 

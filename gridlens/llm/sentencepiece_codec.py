@@ -15,6 +15,7 @@ to nothing.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -64,9 +65,9 @@ def load_model(path: str) -> PieceModel:
 
 
 class Codec:
-    """Encodes and decodes; keeps the ids of parts it has met, up to ``most_parts``."""
+    """Encodes; keeps the ids of parts it has met, up to ``most_parts``."""
 
-    def __init__(self, model: PieceModel, most_parts: int = 600_000):
+    def __init__(self, model: PieceModel, most_parts: int = 450_000):
         self.model, self.most = model, most_parts
         normal = [i for i, k in enumerate(model.kinds) if k == 1]
         self.id_of = {model.pieces[i]: i for i in normal}
@@ -88,7 +89,6 @@ class Codec:
         self.cache_keys = np.full(1 << 21, -1, dtype=np.int64)
         self.cache_said = np.zeros(1 << 21, dtype=bool)
         self.known: dict[str, bytes] = {}
-        self.as_bytes = [self._decoded(i) for i in range(size)]
 
     def _pairs(self, words: list[int]) -> None:
         """All (left, right) whose concatenation is a piece, as sorted keys with that piece."""
@@ -292,7 +292,7 @@ class Codec:
                 self.known[p] = self._run(len(p))
             if rest := list(fresh - marks):
                 # some hundred thousand characters at a time keep the arrays of edges small
-                size = np.cumsum([len(p) for p in rest]) // 400_000
+                size = np.cumsum([len(p) for p in rest]) // 250_000
                 for lot in np.split(np.array(rest, dtype=object), np.flatnonzero(np.diff(size)) + 1):
                     self._learn(lot.tolist())
         lone = np.array([self.id_of[MARK]], dtype="<i4").tobytes()
@@ -307,15 +307,21 @@ class Codec:
             out.append(b"".join(ids))
         return out
 
-    def _decoded(self, i: int) -> bytes:
-        kind, piece = self.model.kinds[i], self.model.pieces[i]
+
+class Decoder:
+    def __init__(self, model: PieceModel):
+        self.dummy_prefix = model.dummy_prefix
+        self.as_bytes = [self._spelt(kind, piece) for kind, piece in zip(model.kinds, model.pieces, strict=True)]
+
+    @staticmethod
+    def _spelt(kind: int, piece: str) -> bytes:
         if kind == 6:
             return bytes([int(piece[3:5], 16)])
         return b"" if kind == 3 else " ⁇ ".encode() if kind == 2 else piece.replace(MARK, " ").encode("utf-8", "surrogatepass")
 
     def decode(self, ids: np.ndarray) -> str:
         out = b"".join(map(self.as_bytes.__getitem__, ids.tolist()))
-        if self.model.dummy_prefix and out[:1] == b" ":
+        if self.dummy_prefix and out[:1] == b" ":
             out = out[1:]
         try:
             return out.decode("utf-8", "surrogatepass")
@@ -335,11 +341,12 @@ def _bisect(keys: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndar
     return low
 
 
-def encode_texts(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", step: int = 1500) -> DataFrame:
+def encode_texts(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", step: int = 500) -> DataFrame:
     """Id and ids (array<int>)."""
     shared = share(docs.sparkSession, model)  # one vocabulary
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gc.collect()  # the caches of earlier tasks of this worker
         codec = Codec(shared())
         for b in batches:
             for lo in range(0, len(b), step):
@@ -357,12 +364,13 @@ def decode_ids(encoded: DataFrame, model: PieceModel, id_col: str = "doc_id") ->
     shared = share(encoded.sparkSession, model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(shared())
+        gc.collect()
+        decoder = Decoder(shared())
         for b in batches:
-            for lo in range(0, len(b), 1500):
-                part = b.iloc[lo : lo + 1500]
+            for lo in range(0, len(b), 500):
+                part = b.iloc[lo : lo + 500]
                 ids = [np.asarray(x, dtype="<i4") for x in part["ids"]]
-                texts = [codec.decode(x) for x in ids]
+                texts = [decoder.decode(x) for x in ids]
                 yield pd.DataFrame(
                     {
                         "id": part["id"].to_numpy(),

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, tidy
 
 
 def usable(v: Column) -> Column:
@@ -114,7 +114,7 @@ def search(
                 x = np.stack(b["v"].to_numpy()).astype(np.float64)
                 yield b.assign(c1=_nearest(x[:, :half], books[0]), c2=_nearest(x[:, half:], books[1]))
 
-    index = materialize(kept.mapInPandas(assign, "v array<float>, ids array<long>, c1 int, c2 int"), "ann-index")
+    index = materialize(kept.mapInPandas(tidy(assign), "v array<float>, ids array<long>, c1 int, c2 int"), "ann-index")
     sizes = {(r["c1"], r["c2"]): r["count"] for r in index.groupBy("c1", "c2").count().collect()}
     slabs: dict[int, int] = {}
     for (c1, _), count in sizes.items():
@@ -142,7 +142,7 @@ def search(
     # queries with equal vectors walk once: the smallest id stands for them
     asking = rows.where(queries).dropDuplicates(["vec_id", "v"])
     stands = asking.groupBy("v").agg(F.min("vec_id").alias("query_id"))
-    visits = stands.select("query_id", "v").mapInPandas(walk, "c1 int, part int, seconds array<int>, q long, qv array<float>")
+    visits = stands.select("query_id", "v").mapInPandas(tidy(walk), "c1 int, part int, seconds array<int>, q long, qv array<float>")
     pieces = F.create_map(*[x for c1, count in sorted(blocks.items()) for x in (F.lit(c1), F.lit(count))])
     dealt = index.withColumn("part", F.pmod(F.xxhash64(F.col("ids")[0]), F.try_element_at(pieces, F.col("c1"))).cast("int"))
 

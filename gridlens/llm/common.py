@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import pickle
@@ -11,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,6 +137,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that leaves its worker small: workers are kept for later tasks, and several wait at a time."""
+
+    def inner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for k in range(2):
+                _powers[k] = np.ones(1, dtype=np.uint64)
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only where the C library can do it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return inner
+
+
 class Words:
     """Words of a list of texts: byte spans in one buffer, and where each text's words begin."""
 

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import encode, table
+from .common import encode, table, tidy
 
 WIDTH = 192
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -141,7 +141,7 @@ def to_png(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(tidy(run), f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def png_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -160,7 +160,7 @@ def png_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     rows = media.select(media[id_col].alias("id"), "n_bytes", "media")
     kind = rows.schema["id"].dataType.simpleString()
     out = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, hash binary"
-    return rows.mapInPandas(run, out).withColumnRenamed("id", id_col)
+    return rows.mapInPandas(tidy(run), out).withColumnRenamed("id", id_col)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

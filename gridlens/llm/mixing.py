@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_ids, materialize, mix64, table
+from .common import drop_ids, materialize, mix64, table, tidy
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -126,7 +126,7 @@ def mix(
                         out.append((shard, src, n))
             yield pd.DataFrame(out, columns=["shard", "src", "n"])
 
-    drawn = materialize(spark.range(n_shards).mapInPandas(draw, "shard long, src int, n long"), "mix-draws")
+    drawn = materialize(spark.range(n_shards).mapInPandas(tidy(draw), "shard long, src int, n long"), "mix-draws")
     run = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     numbered = drawn.withColumn("first", F.coalesce(F.sum("n").over(run), F.lit(0)))
     tops = {r["src"]: int(r["n"]) for r in drawn.groupBy("src").agg(F.sum("n").alias("n")).collect()}
@@ -166,7 +166,7 @@ def mix(
                 yield pd.DataFrame({"shard": shard, "src": src, "pass": turn, "block": permuted(slot % blocks[src], blocks[src], key)})
 
     # a draw grows a thousandfold here, so the number of tasks follows the slots rather than the draws' size
-    slots = numbered.repartition(max(1, -(-total // 500_000)), "shard", "src").mapInPandas(deal, "shard long, src int, pass long, block long")
+    slots = numbered.repartition(max(1, -(-total // 500_000)), "shard", "src").mapInPandas(tidy(deal), "shard long, src int, pass long, block long")
 
     # a block's uses are counted before the join, so a document's words meet one row a block
     uses = slots.groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))

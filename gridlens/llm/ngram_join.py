@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, drop_ids, encode, id_bits, id_slot, materialize, may_be_in, mix64, slices, table
+from .common import Words, drop_ids, encode, id_bits, id_slot, materialize, may_be_in, mix64, slices, table, tidy
 
 GROUPS = 512
 _MULTIPLIERS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -153,7 +153,7 @@ def _heavy(rows: DataFrame, width: int, most: int, window: int = 2 << 20) -> tup
                     held, size, seen = [], 0, set()
         yield out()
 
-    top = rows.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(most).toPandas()
+    top = rows.select("text").mapInPandas(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(most).toPandas()
     keys = top["key"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], top["n"].to_numpy(dtype=np.int64)[order]
@@ -197,7 +197,7 @@ def _signatures(rows: DataFrame, width: int, t: Threshold, heavy: tuple[np.ndarr
                     {"id": part["id"].to_numpy(), "cls": pd.array([o[0] for o in out], dtype="Int64"), "n": [o[1] for o in out], "prefix": [o[2] for o in out], "n_index": [o[3] for o in out], "counts": [o[4] for o in out]}
                 )
 
-    return rows.mapInPandas(run, "id long, cls long, n long, prefix array<long>, n_index int, counts binary")
+    return rows.mapInPandas(tidy(run), "id long, cls long, n long, prefix array<long>, n_index int, counts binary")
 
 
 def _first_pairs(entries: DataFrame, small: int, t: Threshold) -> DataFrame:
@@ -246,7 +246,7 @@ def _first_pairs(entries: DataFrame, small: int, t: Threshold) -> DataFrame:
         if large.any():
             yield pd.DataFrame({"kind": 1, "a": x[2, large], "b": x[0, large]})
 
-    return entries.mapInPandas(run, "kind int, a long, b long")
+    return entries.mapInPandas(tidy(run), "kind int, a long, b long")
 
 
 def _short(s: np.ndarray) -> bytes:
@@ -274,7 +274,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
             ok = np.minimum(x, y).sum(1, dtype=np.int64) >= t.overlap(p["n_a"].to_numpy(), p["n_b"].to_numpy())
             yield p.loc[ok, ["a", "b", "rep_a", "rep_b"]]
 
-    return pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").mapInPandas(bounded, "a long, b long, rep_a long, rep_b long")
+    return pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").mapInPandas(tidy(bounded), "a long, b long, rep_a long, rep_b long")
 
 
 def _confirm(likely: DataFrame, rows: DataFrame, width: int, t: Threshold) -> DataFrame:
@@ -295,7 +295,7 @@ def _confirm(likely: DataFrame, rows: DataFrame, width: int, t: Threshold) -> Da
 
     placed = rows.where("id IS NOT NULL").select(id_slot("id").alias("slot"), "text")
     # an id may stand on several texts, and a slot for several ids: the class key of the text decides in the joins below
-    items = materialize(placed.mapInPandas(sets, "cls long, items binary"), "join-sets")
+    items = materialize(placed.mapInPandas(tidy(sets), "cls long, items binary"), "join-sets")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -309,7 +309,7 @@ def _confirm(likely: DataFrame, rows: DataFrame, width: int, t: Threshold) -> Da
             yield p.loc[np.array(ok, bool), ["a", "b"]]
 
     left = likely.select("a", "b").join(items.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a")
-    return left.join(items.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInPandas(exact, "a long, b long")
+    return left.join(items.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInPandas(tidy(exact), "a long, b long")
 
 
 def _as_edges(links: DataFrame) -> DataFrame:

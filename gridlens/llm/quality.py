@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, Words, encode, mix64, share, slices, table
+from .common import WHITE, Words, encode, mix64, share, slices, table, tidy
 
 STATS = ("repeats", "symbols", "shouts", "capitals", "bars", "variety", "stops", "commonest", "word_length", "marked", "runs")
 #: Per statistic: poor at or beyond the first bound, good at or beyond the second, no vote between; and the fewest words for a vote.
@@ -224,7 +224,7 @@ def learn(docs: DataFrame, most_rows: int = 6_000, id_col: str = "doc_id", text_
             yield pd.DataFrame({"pattern": key, "n": count})
 
     # 3 ** 11 patterns at most
-    seen = rows.select("text").mapInPandas(patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
+    seen = rows.select("text").mapInPandas(tidy(patterns), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
     codes = seen["pattern"].to_numpy(dtype=np.int64)
     labels = fit_labels((codes[:, None] // 3 ** np.arange(m) % 3 - 1).astype(np.int8), seen["n"].to_numpy(dtype=float))
     total = int(seen["n"].sum())
@@ -237,7 +237,7 @@ def learn(docs: DataFrame, most_rows: int = 6_000, id_col: str = "doc_id", text_
                 got = list(_row_indexes(n_words, words, shapes, stats))
                 yield pd.DataFrame({"target": labels.posterior(votes(stats, n_words)), "n": n_words, "idx": [g[0].astype(np.int32) for g in got], "val": [g[1].astype(np.float32) for g in got]})
 
-    got = chosen.mapInPandas(sparse, "target double, n long, idx array<int>, val array<float>").where("n > 0").toPandas()
+    got = chosen.mapInPandas(tidy(sparse), "target double, n long, idx array<int>, val array<float>").where("n > 0").toPandas()
     return QualityModel(labels, fit_scorer(list(zip(got["idx"], got["val"], strict=True)), got["target"].to_numpy(dtype=float)))
 
 
@@ -250,7 +250,7 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataF
         for b in batches:
             yield b.assign(poor_score=shared().score([encode(t) for t in b.iloc[:, position]]))
 
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField("poor_score", T.DoubleType())]))
+    return docs.mapInPandas(tidy(run), T.StructType([*docs.schema.fields, T.StructField("poor_score", T.DoubleType())]))
 
 
 THRESHOLD = 0.5

@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import share, table
+from .common import share, table, tidy
 
 MARK = "▁"
 _PARTS = re.compile(f"{MARK}+(?={MARK}[^{MARK}\n])|{MARK}+(?=\n|\\Z)|{MARK}?[^{MARK}\n]+|\n")
@@ -356,7 +356,7 @@ def encode_texts(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", tex
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(tidy(run), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode_ids(encoded: DataFrame, model: PieceModel, id_col: str = "doc_id") -> DataFrame:
@@ -383,7 +383,7 @@ def decode_ids(encoded: DataFrame, model: PieceModel, id_col: str = "doc_id") ->
 
     rows = encoded.select(encoded[id_col].alias("id"), "ids")
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(tidy(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

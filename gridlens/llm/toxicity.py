@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, encode, materialize, separators, share, slices, table
+from .common import Words, encode, materialize, separators, share, slices, table, tidy
 
 SEPS = separators(b".,!?;:\"'()[]{}|<>*%$&#/\\+=~`^_-")
 #: Bytes of a token's beginnings, the longest last.
@@ -156,7 +156,7 @@ def _counts(sample: DataFrame, most_tokens: int) -> tuple[tuple[np.ndarray, np.n
     def out(kind: int, part: tuple) -> pd.DataFrame:
         return pd.DataFrame({"kind": kind, "key": part[0].view(np.int64), "toxic": part[1], "n": part[2]})
 
-    counted = sample.select("text", "label").mapInPandas(run, "kind int, key long, toxic long, n long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    counted = sample.select("text", "label").mapInPandas(tidy(run), "kind int, key long, toxic long, n long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     out = []
     for kind in range(len(ROOTS) + 1):
         top = counted.where((F.col("kind") == kind) & (F.col("n") > 1)).orderBy(F.desc("n"), "key").limit(most_tokens).toPandas()
@@ -217,7 +217,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, most_toke
             rows = [(n, np.array([s[2] for s in seg])) for n, seg, _, _ in _scan(m, [encode(t) for t in b["text"]], y)]
             yield pd.DataFrame({"label": y, "n": [r[0] for r in rows], "segments": [r[1] for r in rows]})
 
-    seen = sample.select("text", "label").mapInPandas(run, "label long, n long, segments array<double>")
+    seen = sample.select("text", "label").mapInPandas(tidy(run), "label long, n long, segments array<double>")
     # the 32 best segments of a text bound what the driver fits the two curves on
     pdf = seen.select("label", "n", F.slice(F.sort_array("segments", asc=False), 1, 32).alias("segments")).toPandas()
     best = np.array([max(s, default=0.0) for s in pdf["segments"]])
@@ -251,7 +251,7 @@ def score(docs: DataFrame, model: SegmentModel, passages: bool = True, text_col:
             scores = m.probability(np.minimum(np.array(sums), 40))
             yield b.assign(toxic_score=scores, toxic_passages=found) if passages else b.assign(toxic_score=scores)
 
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, *extra]))
+    return docs.mapInPandas(tidy(run), T.StructType([*docs.schema.fields, *extra]))
 
 
 def held_out(doc_id: Column) -> Column:

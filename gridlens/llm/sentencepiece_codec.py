@@ -67,8 +67,8 @@ def load_model(path: str) -> PieceModel:
 class Codec:
     """Encodes; keeps the ids of parts it has met, up to ``most_parts``."""
 
-    def __init__(self, model: PieceModel, most_parts: int = 450_000):
-        self.model, self.most = model, most_parts
+    def __init__(self, model: PieceModel, most_parts: int = 450_000, lot: int = 250_000):
+        self.model, self.most, self.lot = model, most_parts, lot
         normal = [i for i, k in enumerate(model.kinds) if k == 1]
         self.id_of = {model.pieces[i]: i for i in normal}
         self.byte_id = {int(model.pieces[i][3:5], 16): i for i, k in enumerate(model.kinds) if k == 6}
@@ -292,7 +292,7 @@ class Codec:
                 self.known[p] = self._run(len(p))
             if rest := list(fresh - marks):
                 # some hundred thousand characters at a time keep the arrays of edges small
-                size = np.cumsum([len(p) for p in rest]) // 250_000
+                size = np.cumsum([len(p) for p in rest]) // self.lot
                 for lot in np.split(np.array(rest, dtype=object), np.flatnonzero(np.diff(size)) + 1):
                     self._learn(lot.tolist())
         lone = np.array([self.id_of[MARK]], dtype="<i4").tobytes()
@@ -341,13 +341,13 @@ def _bisect(keys: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndar
     return low
 
 
-def encode_texts(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", step: int = 500) -> DataFrame:
-    """Id and ids (array<int>)."""
+def encode_texts(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", step: int = 500, most_parts: int = 450_000, lot: int = 250_000) -> DataFrame:
+    """Id and ids (array<int>). Fewer ``most_parts`` kept and smaller ``lot``s of characters take less memory and more time."""
     shared = share(docs.sparkSession, model)  # one vocabulary
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gc.collect()  # the caches of earlier tasks of this worker
-        codec = Codec(shared())
+        codec = Codec(shared(), most_parts, lot)
         for b in batches:
             for lo in range(0, len(b), step):
                 part = b.iloc[lo : lo + step]
@@ -394,6 +394,6 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the token ids of each document's whole text."""
-    encoded = encode_texts(docs, load_model(default_model_path()))
+    """Pipeline stage, the last: the token ids of each document's whole text. Executors are full of other stages' memory here."""
+    encoded = encode_texts(docs, load_model(default_model_path()), step=200, most_parts=120_000, lot=80_000)
     return encoded.selectExpr("doc_id", "CAST(size(ids) AS LONG) AS n_tokens", "ids")

@@ -32,6 +32,35 @@ def test_main_text_of_a_full_page(spark):
     assert H.extract(none, H.infer_wrappers(none)).count() == 0
 
 
+NOISY = {
+    '<p class="ad">buy</p>': "",
+    '<p class="ad">buy': "",
+    '<ul><li class="related">buy<li>item</ul>': " item",
+    '<ul><li class="related"><ul><li>buy</li><li>buy</ul></li><li>item</li></ul>': " item",
+    '<table><tr class="header"><td>buy<tr><td>cell</table>': " cell",
+    '<table><tr><td class="ad">buy<td>cell</table>': " cell",
+    '<p>in <span class="alert">buy <span>buy</span> buy</span>side</p>': " in side",
+    '<p>in <i aria-hidden="true"></i>side</p>': " in side",
+    '<p>in <a class="social-link">buy</p>': " in",
+    '<p>in <a class="social-link">buy<p>side': " in side",
+    '<p>x<img class="banner">y</p>': " xy",
+    '<div class="ad">buy<p>buy</div>': "",
+}
+
+
+@pytest.mark.parametrize("middle", NOISY)
+def test_noise_ends_where_its_element_ends(middle):
+    for page in (f"<body><article><p>first</p>{middle}<p>last</p></article></body>", f"<body><div><p>first</p>{middle}<p>last</p></div></body>"):
+        assert H._clean(H._alone(list(H.tokens(page)))) == f"first{NOISY[middle]} last"
+
+
+def test_noise_ends_on_the_wrapper_path(spark):
+    rows = [(k, f"http://h.org/{k}", f"<body><article><p>first {k}</p>{m}<p>last {k}</p></article></body>") for k, m in enumerate(NOISY)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(df, H.infer_wrappers(df)).collect()}
+    assert got == {k: f"first {k}{NOISY[m]} last {k}" for k, m in enumerate(NOISY)}
+
+
 def test_wrapper_is_generalised(spark):
     streams = [["<a1>", "#", "</a1>"], ["<a1>", ("+", ("<p>", "#")), "</a1>"], ["<a1>", "<p>", "#", "<x>", "</a1>"]]
     w = [(i, False) for i in streams[0]]

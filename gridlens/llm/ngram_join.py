@@ -160,7 +160,7 @@ def _heavy(rows: DataFrame, width: int, most: int, window: int = 2 << 20) -> tup
 
 
 def _signatures(rows: DataFrame, width: int, t: Threshold, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """id, cls, n, prefix (first shingles in order; null where this task had the class before), n_index (how many of them index), counts."""
+    """id, cls, n, prefix (first shingles in order; null where this task had the class before or the id is null), n_index (how many of them index), counts."""
     shared = rows.sparkSession.sparkContext.broadcast(heavy)  # bounded by the number of heavy shingles
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,13 +170,14 @@ def _signatures(rows: DataFrame, width: int, t: Threshold, heavy: tuple[np.ndarr
             for lo in range(0, len(b), 1000):
                 part = b.iloc[lo : lo + 1000]
                 out = []
-                for s in _sets(part["text"], width):
+                for s, named in zip(_sets(part["text"], width), part["id"].notna(), strict=True):
                     n = len(s)
                     if not n:
                         out.append((None, 0, None, 0, b""))
                         continue
                     key = class_key(s)
-                    if key in met:
+                    # a row without id is never indexed, so the class isn't met by it
+                    if key in met or not named:
                         out.append((key, n, None, 0, _packed(s)))
                         continue
                     if len(met) >= 1_000_000:

@@ -67,6 +67,13 @@ def test_join_of_odd_rows(spark, odd_docs, no_docs):
     assert J.jaccard_components(no_docs).count() == 0
 
 
+def test_join_of_a_copy_behind_a_row_without_id(spark):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(None, " ".join(words)), (7, " ".join(words)), (3, " ".join(words[:-1] + ["other"])), (9, "a text of its own here")]
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {None: None, 7: 3, 3: 3, 9: 9}
+
+
 def test_join_against_sql(spark, data):
     from oracle import check
 

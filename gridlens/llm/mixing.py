@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_ids, materialize, mix64, table, tidy
+from .common import materialize, mix64, table, tidy
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -182,7 +182,38 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def copies(mixed: DataFrame, key_col: str, source_col: str) -> DataFrame:
+    """``mixed`` with ``copies``: how often a whole document stands for the words taken of it.
+
+    A remainder of a document's size is drawn systematically, documents in the order of their size: the words put out
+    for a source then differ from those taken by no more than about its largest document. Running sums come in two
+    steps, per slice of equal sizes and then within it.
+    """
+    unit = 1 << 20
+    rows = mixed.where("size > 0").withColumn("__k", F.xxhash64(source_col)).withColumn("__part", F.pmod(F.xxhash64(key_col), F.lit(64)))
+    rows = rows.withColumn("__rest", F.round((F.col("taken") % F.col("size")) * float(unit) / F.col("size")).cast("long"))
+    within = Window.partitionBy("__k", "size", "__part").orderBy(key_col).rowsBetween(Window.unboundedPreceding, -1)
+    running = Window.partitionBy("__k").orderBy("size", "__part").rowsBetween(Window.unboundedPreceding, -1)
+    slices = rows.groupBy("__k", "size", "__part").agg(F.sum("__rest").alias("__n"))
+    slices = slices.withColumn("__before", F.coalesce(F.sum("__n").over(running), F.lit(0))).drop("__n")
+    rows = rows.withColumn("__inner", F.coalesce(F.sum("__rest").over(within), F.lit(0))).join(slices, ["__k", "size", "__part"])
+    at = F.col("__before") + F.col("__inner") + unit // 2
+    more = F.shiftright(at + F.col("__rest"), 20) - F.shiftright(at, 20)
+    return rows.withColumn("copies", F.floor(F.col("taken") / F.col("size")) + more).drop("__k", "__part", "__rest", "__inner", "__before")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents of which the mix takes any word stay, and rows without id; all columns stay."""
-    found, _, _ = mix(docs)
-    return drop_ids(docs, materialize(found.where("taken = 0").select("doc_id"), "mix-left"), "doc_id")
+    """Pipeline stage: the mix in whole documents, repeats as repeated rows; all columns stay.
+
+    Rows are told apart by id, source and text. Rows that share all three share their copies out evenly. Texts without
+    words are in no mix and go.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "source", "text"))
+    found, _, _ = mix(keyed, id_col="__row")
+    per_row = copies(materialize(found, "mix-taken"), "__row", "source").groupBy("__row").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__same"))
+    wanted = materialize(per_row.where("__copies > 0"), "mix-copies")
+    rank = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*columns)))
+    placed = keyed.join(wanted, "__row").withColumn("__rank", rank)
+    times = F.floor(F.col("__copies") / F.col("__same")) + (F.col("__rank") <= F.col("__copies") % F.col("__same")).cast("long")
+    return placed.withColumn("__time", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*columns)

@@ -111,6 +111,19 @@ def test_join_stage_keeps_one_of_each(spark, odd_docs):
     assert kept.count() == odd_docs.dropDuplicates(["doc_id"]).count()
 
 
+def test_mixing_stage_puts_out_the_mix(spark):
+    rng = random.Random(3)
+    docs = [(k if k % 50 else None, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(1, 150))), f"s{k % 3}", k) for k in range(1500)]
+    docs += [(7, "one id on", "s0", -1), (7, "two texts", "s1", -2), (3, "", "s2", -3), (4, None, "s2", -4)] + [docs[10]] * 5
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, n int")
+    targets = {r.source: r.target for r in M.mix(df)[0].collect()}
+    out = [tuple(r) for r in M.stage(spark, df, "").collect()]
+    assert set(out) <= set(docs)
+    words = {k: sum(len(t.split()) for _, t, s, _ in out if s == k) for k in targets}
+    assert all(abs(words[k] - targets[k]) <= 64 + 2 * 150 for k in targets)
+    assert words["s0"] > 4 * words["s2"] and max(out.count(d) for d in set(docs) - {docs[10]}) in (2, 3)
+
+
 @pytest.mark.parametrize("sizes", [[10, 0, 1000, 7], [5], [0, 0], [], [100] * 7, [1, 10**6]])
 def test_capped_shares(sizes):
     got = M.capped_shares(sizes, [M.WEIGHTS[k % 3] for k in range(len(sizes))], 3)

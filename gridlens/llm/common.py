@@ -102,6 +102,15 @@ def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     return marked.where("NOT __met").union(doubtful).select(*columns)
 
 
+def keep_once(docs: DataFrame, repeated: DataFrame, key_col: str) -> DataFrame:
+    """``docs`` with one row for each key in ``repeated``; rows with null key stay. Only rows whose hash occurs there are shuffled."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(*columns, (may_be_in(repeated.select(F.col(key_col).alias("id")), key_col) & F.col(key_col).isNotNull()).alias("__met"))
+    one = F.min_by(F.struct(*columns), F.xxhash64(*columns))
+    doubtful = marked.where("__met").groupBy(F.col(key_col).alias("__once")).agg(one.alias("__one")).select("__one.*")
+    return marked.where("NOT __met").select(*columns).union(doubtful.select(*columns))
+
+
 def separators(extra: bytes = b"") -> np.ndarray:
     """Lookup table over byte values: ASCII white space, and ``extra``, part words."""
     mask = np.zeros(256, dtype=bool)

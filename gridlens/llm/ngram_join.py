@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, drop_ids, encode, id_bits, id_slot, materialize, may_be_in, mix64, slices, table, tidy
+from .common import Words, drop_ids, encode, id_bits, id_slot, keep_once, materialize, may_be_in, mix64, slices, table, tidy
 
 GROUPS = 512
 _MULTIPLIERS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -160,7 +160,7 @@ def _heavy(rows: DataFrame, width: int, most: int, window: int = 2 << 20) -> tup
 
 
 def _signatures(rows: DataFrame, width: int, t: Threshold, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """id, cls, n, prefix (first shingles in order; null where this task had the class before or the id is null), n_index (how many of them index), counts."""
+    """id, row, cls, n, prefix (first shingles in order; null where this task had the class before or the id is null), n_index (how many of them index), counts."""
     shared = rows.sparkSession.sparkContext.broadcast(heavy)  # bounded by the number of heavy shingles
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,10 +195,10 @@ def _signatures(rows: DataFrame, width: int, t: Threshold, heavy: tuple[np.ndarr
                         prefix = s[:probe]
                     out.append((key, n, prefix.view(np.int64), t.index(n), _packed(s)))
                 yield pd.DataFrame(
-                    {"id": part["id"].to_numpy(), "cls": pd.array([o[0] for o in out], dtype="Int64"), "n": [o[1] for o in out], "prefix": [o[2] for o in out], "n_index": [o[3] for o in out], "counts": [o[4] for o in out]}
+                    {"id": part["id"].to_numpy(), "row": part["row"].to_numpy(), "cls": pd.array([o[0] for o in out], dtype="Int64"), "n": [o[1] for o in out], "prefix": [o[2] for o in out], "n_index": [o[3] for o in out], "counts": [o[4] for o in out]}
                 )
 
-    return rows.mapInPandas(tidy(run), "id long, cls long, n long, prefix array<long>, n_index int, counts binary")
+    return rows.mapInPandas(tidy(run), "id long, row long, cls long, n long, prefix array<long>, n_index int, counts binary")
 
 
 def _first_pairs(entries: DataFrame, small: int, t: Threshold) -> DataFrame:
@@ -396,9 +396,19 @@ def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (3, 4), small: int = 8, heavy: int = 100_000
 ) -> DataFrame:
     """id, n_shingles, component_id: one row for each row of ``docs``."""
+    found = _components(docs, id_col, text_col, width, threshold, small, heavy)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _row_key(id_col: str, text_col: str) -> Column:
+    """Tells rows apart that share an id but not the text."""
+    return F.xxhash64(id_col, text_col)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: tuple[int, int], small: int, heavy: int) -> DataFrame:
+    """id, row (its key), n, component_id, root: the component itself, as two of them may share their smallest id."""
     t = Threshold(*threshold)
-    spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), _row_key(id_col, text_col).alias("row"))
     signed = materialize(_signatures(rows, width, t, _heavy(rows, width, heavy)), "join-signatures")
     usable = signed.where("id IS NOT NULL AND n > 0")
     classes = usable.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts"))
@@ -431,12 +441,12 @@ def jaccard_components(
     roots = _roots(edges if settled else contract(edges, 60)[0])
     named = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_class = named.join(lowest, "root").select("cls", "component_id")
+    by_class = named.join(lowest, "root").select("cls", "component_id", "root")
     # rows without set join nothing; their key is spread so that they don't meet in one task
     key = F.when(F.col("n") > 0, F.col("cls")).otherwise(F.xxhash64("id"))
-    out = signed.select("id", "n", key.alias("cls")).join(by_class, "cls", "left")
+    out = signed.select("id", "row", "n", key.alias("cls")).join(by_class, "cls", "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("id", "row", "n", component.alias("component_id"), "root")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,9 +454,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest id stays, once; all columns stay. Rows without id stay."""
-    found = materialize(jaccard_components(docs), "join-stage")
-    return drop_ids(docs, found.where("component_id IS NOT NULL AND doc_id != component_id").select("doc_id"), "doc_id")
+    """Pipeline stage: of each component the row with the smallest id stays, once; all columns stay. Rows without id stay.
+
+    Rows are told apart by id and text, so an id on several texts is judged for each of them. Texts without words are
+    linked with nothing: of them only repeats of one id and text go.
+    """
+    found = _components(docs, "doc_id", "text", 5, (3, 4), 8, 100_000).where("id IS NOT NULL").select("id", "row", "n", "root")
+    found = materialize(found, "join-stage")
+    lowest = found.where("n > 0").groupBy("root").agg(F.min(F.struct("id", "row")).alias("low"))
+    gone = materialize(found.where("n > 0").join(lowest, "root").where("row != low.row").select(F.col("row").alias("__row")), "join-gone")
+    repeated = found.groupBy("row").count().where("count > 1").select(F.col("row").alias("__row"))
+    keyed = docs.withColumn("__row", F.when(F.col("doc_id").isNotNull(), _row_key("doc_id", "text")))
+    return keep_once(drop_ids(keyed, gone, "__row"), repeated, "__row").drop("__row")
 
 
 OP9_SQL = r"""

@@ -111,6 +111,16 @@ def test_join_stage_keeps_one_of_each(spark, odd_docs):
     assert kept.count() == odd_docs.dropDuplicates(["doc_id"]).count()
 
 
+def test_join_stage_decides_for_each_row(spark):
+    words = [f"w{k}" for k in range(40)]
+    near, text = " ".join(words[:-1] + ["other"]), " ".join(words)
+    eighth = "the eighth of these rows is told twice"
+    own, else_ = "a clean text of its own that stays", "and one more that nothing else is like"
+    rows = [(1, text, 1), (5, near, 2), (5, own, 3), (5, else_, 4), (1, text, 5), (8, eighth, 6), (8, eighth, 6), (None, text, 7), (None, text, 7), (9, "", 8), (9, "", 8)]
+    kept = J.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, n int"), "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", text), ("5", own), ("5", else_), ("8", eighth), ("None", text), ("None", text), ("9", "")])
+
+
 def test_mixing_stage_puts_out_the_mix(spark):
     rng = random.Random(3)
     docs = [(k if k % 50 else None, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(1, 150))), f"s{k % 3}", k) for k in range(1500)]

@@ -2,7 +2,8 @@
 
 Learning: token counts by class come from a bounded sample of labelled texts. A token's share of toxic texts has a
 Dirichlet prior centred on the share of tokens with the same first 8 bytes, that one on the same first 6, then 4, then
-all; its score is the log-odds against the overall share, less ``drift``. Scoring: one linear scan finds all maximal-scoring segments of
+all; its score is the log-odds against the overall share, less ``drift``; a positive token's repeat within a few words counts
+a quarter. Scoring: one linear scan finds all maximal-scoring segments of
 a text (Ruzzo and Tompa 1999). Their scores are put on the scale of Gumbel's law for texts of that length, fitted on
 clean labelled texts, the significant ones are summed (or the best one counts, if none is), and a logistic curve maps
 that to 0..1.
@@ -27,6 +28,8 @@ from pyspark.sql import types as T
 from .common import Words, encode, materialize, separators, share, slices, table, tidy
 
 SEPS = separators(b".,!?;:\"'()[]{}|<>*%$&#/\\+=~`^_-")
+#: A repeat within so many words of the token's last occurrence counts by this share.
+NEAR, REPEAT = 32, 0.25
 #: Bytes of a token's beginnings, the longest last.
 ROOTS = (4, 6, 8)
 
@@ -109,13 +112,14 @@ def _scan(m: SegmentModel, texts: list[bytes], labels: np.ndarray | None = None)
         left = None if labels is None else np.repeat(labels[lo:hi], np.diff(w.first))
         keys = _keys(w)
         scores = token_scores(m, keys, left)
-        # a token speaks once in a text, as its counts are of texts: repeats only separate
+        # counts are of texts, so a token's repeat close by says less; further off it is a passage of its own
         up = np.flatnonzero(scores > 0)
         of = np.repeat(np.arange(hi - lo), np.diff(w.first))[up]
         order = np.lexsort((up, keys[-1][up], of))
         again = np.zeros(len(up), bool)
-        again[1:] = (of[order][1:] == of[order][:-1]) & (keys[-1][up][order][1:] == keys[-1][up][order][:-1])
-        scores[up[order][again]] = -m.drift
+        place, key = up[order], keys[-1][up][order]
+        again[1:] = (of[order][1:] == of[order][:-1]) & (key[1:] == key[:-1]) & (place[1:] - place[:-1] <= NEAR)
+        scores[place[again]] *= REPEAT
         for i in range(hi - lo):
             a, b = w.first[i], w.first[i + 1]
             yield int(b - a), [(s + a, e + a, v) for s, e, v in maximal_segments(scores[a:b])], w, int(a)

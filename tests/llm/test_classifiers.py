@@ -61,6 +61,22 @@ def test_passages_and_odd_rows(spark, labelled, odd_docs, no_docs):
     assert X.score(no_docs, m).count() == 0
 
 
+def test_repeated_passages_and_words(spark, labelled):
+    m = X.learn(*labelled)
+    calm, passage = "nothing here but calm words and plain remark " * 12, "you utter idiot fool "
+    texts = {
+        1: calm + passage + calm + passage + calm,
+        2: "".join(f"{w} {calm}" for w in passage.split()) + passage + calm,
+        3: calm + passage + calm,
+        4: "idiot fool " * 6,
+        5: calm * 4,
+    }
+    got = {r.doc_id: r for r in X.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), m).collect()}
+    found = {k: sum("idiot" in p.text and "fool" in p.text for p in r.toxic_passages) for k, r in got.items()}
+    assert found == {1: 2, 2: 1, 3: 1, 4: 1, 5: 0}
+    assert all(got[k].toxic_score > 0.7 for k in (1, 2, 3, 4)) and got[5].toxic_score < 0.7
+
+
 def test_labels_of_one_class(spark, labelled, odd_docs):
     docs, labels = labelled
     for part in (labels.where("label = 0"), labels.where("doc_id = -1")):

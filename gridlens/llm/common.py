@@ -7,9 +7,10 @@ import ctypes
 import gc
 import os
 import pickle
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,19 +18,23 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables. Batches that go to Python are bounded in bytes, as texts differ much in length."""
+    """One of the given tables. Batches that go to Python are bounded in bytes, as texts differ much in length; that is a
+    setting of the session, which its other queries keep as well."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
+    """The cluster's shared folder; a temporary one only where a session on one machine names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         named = f"{tempfile.gettempdir()}/gridlens-{os.getpid()}"
     return named.rstrip("/")
 
@@ -93,22 +98,43 @@ def may_be_in(ids: DataFrame, col: str) -> Column:
     return met(id_slot(col))
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, made longer until no column is called so, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """``docs`` without the ids in ``gone``; rows with null id stay. Only rows whose hash occurs in ``gone`` are shuffled."""
-    gone = gone.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
+    met, out = unused([id_col, *docs.columns], "met"), unused([id_col, *docs.columns], "gone")
+    gone = gone.select(F.col(id_col).alias(out)).where(F.col(out).isNotNull()).distinct()
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.select(*columns, may_be_in(gone, id_col).alias("__met"))
-    doubtful = marked.where("__met").join(gone.withColumnRenamed("id", "__gone"), F.col(id_col) == F.col("__gone"), "left_anti")
-    return marked.where("NOT __met").union(doubtful).select(*columns)
+    marked = docs.select(*columns, may_be_in(gone.select(F.col(out).alias("id")), id_col).alias(met))
+    doubtful = marked.where(F.col(met)).join(gone, F.col(id_col) == F.col(out), "left_anti")
+    return marked.where(~F.col(met)).union(doubtful).select(*columns)
 
 
 def keep_once(docs: DataFrame, repeated: DataFrame, key_col: str) -> DataFrame:
     """``docs`` with one row for each key in ``repeated``; rows with null key stay. Only rows whose hash occurs there are shuffled."""
+    met = unused(docs.columns, "met")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.select(*columns, (may_be_in(repeated.select(F.col(key_col).alias("id")), key_col) & F.col(key_col).isNotNull()).alias("__met"))
+    marked = docs.select(*columns, (may_be_in(repeated.select(F.col(key_col).alias("id")), key_col) & F.col(key_col).isNotNull()).alias(met))
     one = F.min_by(F.struct(*columns), F.xxhash64(*columns))
-    doubtful = marked.where("__met").groupBy(F.col(key_col).alias("__once")).agg(one.alias("__one")).select("__one.*")
-    return marked.where("NOT __met").select(*columns).union(doubtful.select(*columns))
+    doubtful = marked.where(F.col(met)).groupBy(F.col(key_col).alias("key")).agg(one.alias("one")).select("one.*")
+    return marked.where(~F.col(met)).select(*columns).union(doubtful.select(*columns))
+
+
+def spread_join(pairs: DataFrame, side: DataFrame, key: str, by: str, counted: DataFrame, total: int) -> DataFrame:
+    """Inner join on ``key`` with one row a key in ``side``. A key that many of the ``total`` rows of ``counted`` hold is
+    dealt out by ``by`` and its row of ``side`` repeated for each part."""
+    most = max(256, total // 1000)
+    often = counted.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > most)
+    often = F.broadcast(often.select(key, F.ceil(F.col("n_rows") / most).cast("int").alias("n_parts")))  # 1000 rows at most
+    dealt = pairs.join(often, key, "left").withColumn("dealt", F.coalesce(F.pmod(F.xxhash64(by), "n_parts").cast("int"), F.lit(0))).drop("n_parts")
+    repeated = side.join(often, key, "left").withColumn("dealt", F.explode(F.sequence(F.lit(0), F.coalesce("n_parts", F.lit(1)) - 1))).drop("n_parts")
+    return dealt.join(repeated, [key, "dealt"]).drop("dealt")
 
 
 def separators(extra: bytes = b"") -> np.ndarray:
@@ -146,6 +172,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Hands memory that isn't used any more back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can do it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A batch function that leaves its worker small: workers are kept for later tasks, and several wait at a time."""
 
@@ -155,14 +189,35 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         finally:
             for k in range(2):
                 _powers[k] = np.ones(1, dtype=np.uint64)
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only where the C library can do it
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return inner
 
 
+def byte_texts(column: pa.Array) -> list[bytes]:
+    """A column of strings as UTF-8; null as empty."""
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    return [t or b"" for t in column.cast(kind).to_pylist()]
+
+
+def with_columns(docs: DataFrame, text_col: str, fields: list[T.StructField], made: Callable[[list[bytes]], list[pa.Array]]) -> DataFrame:
+    """``docs`` with columns that ``made`` gives for the texts of a batch. An input column of such a name is replaced.
+
+    All other columns pass through as they are, in Arrow, so that nothing is rounded or converted on the way.
+    """
+    names = {f.name.lower() for f in fields}
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
+    position = kept.columns.index(text_col)
+    schema = T.StructType([*kept.schema.fields, *fields])
+    own = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *made(byte_texts(b.column(position)))], names=own)
+
+    return kept.mapInArrow(tidy(run), schema)
+
+
 class Words:
     """Words of a list of texts: byte spans in one buffer, and where each text's words begin."""
 

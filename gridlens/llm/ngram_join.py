@@ -4,15 +4,17 @@ A text's set is its distinct word shingles, as 64-bit hashes. Hash groups turn a
 sum of coordinate minima of two vectors bounds the overlap of the sets. The join runs in these steps, none of which
 drops a link between different sets:
 
-1. Equal sets form one class; from here on a class is one row.
+1. Equal sets form one class; from here on a class is one row, made from the text of its smallest id.
 2. A class emits its first shingles under one fixed order, rare ones first. Two sets at or over the threshold share one
    of them (prefix filter), so every link lies within the bucket of some shingle. The order puts shingles that many
-   texts share last; it comes from counts over all texts and only steers the cost, never the result.
+   texts share last; it comes from counts over all texts and only steers the cost, never the result. Buckets of shingles
+   that very many texts share are dealt out over several tasks.
 3. Buckets of up to ``small`` classes, and a star around one class in larger ones, give first candidates. The count
-   bound prunes them, exact overlap of the sets confirms them, and confirmed links are contracted into components.
+   bound prunes them, exact overlap of the 64-bit sets confirms them, and confirmed links are contracted into components.
 4. In the larger buckets, classes of different components are then compared by packed R-trees over their count
-   vectors: a node holds the coordinate maxima and the range of set sizes of what is below it, and is left out if the
-   bound with the query vector falls short. Rounds of growing width go on until no unseen pair survives.
+   vectors, one for each block of a band of set sizes: a node holds the coordinate maxima and the range of set sizes of
+   what is below it, and is left out if the bound with the query vector falls short. Rounds of growing width go on until
+   no unseen pair survives.
 
 Cases: texts without words have an empty set and are linked with nothing; texts of fewer words than a shingle have
 their whole word sequence as the one shingle; null texts count as empty; repeated rows fall in one class; a row with
@@ -22,6 +24,7 @@ Two different sets with equal 64-bit class keys would be taken as one: about n *
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, drop_ids, encode, id_bits, id_slot, keep_once, materialize, may_be_in, mix64, slices, table, tidy
+from .common import Words, drop_ids, encode, id_bits, id_slot, keep_once, materialize, may_be_in, mix64, slices, spread_join, table, tidy, unused
 
 GROUPS = 512
 _MULTIPLIERS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -132,85 +135,97 @@ class CountTree:
         return self.order[nodes]
 
 
-def _heavy(rows: DataFrame, width: int, most: int, window: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many texts share, with their counts: the ``most`` most frequent. Steers the order of step 2."""
+def _scan(rows: DataFrame, width: int, window: int = 2 << 20) -> DataFrame:
+    """id, row, cls, n of each row; and rows with ``times`` set: shingle and how many texts of a window of one task hold it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, seen = [], 0, set()
 
         def out() -> pd.DataFrame:
             key, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            return pd.DataFrame({"key": key[n > 2].view(np.int64), "n": n[n > 2]})
+            often = n > 2
+            return pd.DataFrame({"id": None, "named": None, "row": None, "cls": None, "n": None, "shingle": key[often].view(np.int64), "times": n[often]})
 
         for b in batches:
-            for s in _sets(b["text"], width):
-                if len(s) and (key := class_key(s)) not in seen:
-                    seen.add(key)
-                    held.append(s)
-                    size += len(s)
-                if size >= window:
-                    yield out()
-                    held, size, seen = [], 0, set()
+            for lo in range(0, len(b), 1000):
+                part, keys, sizes = b.iloc[lo : lo + 1000], [], []
+                for s in _sets(part["text"], width):
+                    key = class_key(s) if len(s) else None
+                    keys.append(key)
+                    sizes.append(len(s))
+                    if len(s) and key not in seen:
+                        seen.add(key)
+                        held.append(s)
+                        size += len(s)
+                    if size >= window:
+                        yield out()
+                        held, size, seen = [], 0, set()
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "named": part["named"].to_numpy(), "row": part["row"].to_numpy(), "cls": pd.array(keys, dtype="Int64"), "n": sizes, "shingle": None, "times": None})
         yield out()
 
-    top = rows.select("text").mapInPandas(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(most).toPandas()
-    keys = top["key"].to_numpy(dtype=np.int64).view(np.uint64)
+    # nulls would turn a batch's ids into floats
+    whole = rows.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNotNull().alias("named"), "row", "text")
+    found = whole.mapInPandas(tidy(run), "id long, named boolean, row long, cls long, n long, shingle long, times long")
+    return found.withColumn("id", F.when(F.col("named"), F.col("id"))).drop("named")
+
+
+def _heavy(scanned: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts share, with their counts: the ``most`` most frequent. Steers the order of step 2."""
+    counted = scanned.where("times IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("n"))
+    top = counted.orderBy(F.desc("n"), "shingle").limit(most).toPandas()
+    keys = top["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], top["n"].to_numpy(dtype=np.int64)[order]
 
 
-def _signatures(rows: DataFrame, width: int, t: Threshold, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """id, row, cls, n, prefix (first shingles in order; null where this task had the class before or the id is null), n_index (how many of them index), counts."""
-    shared = rows.sparkSession.sparkContext.broadcast(heavy)  # bounded by the number of heavy shingles
+def _signatures(rows: DataFrame, wanted: DataFrame, width: int, t: Threshold, heavy: tuple[np.ndarray, np.ndarray], bucket: int = 50_000) -> DataFrame:
+    """cls, id, row, n, prefix (first shingles in order), deals (over how many tasks the bucket of each is dealt), n_index
+    (how many of them index) and counts, for the rows in ``wanted``. Others may come with them, and classes repeatedly."""
+    context = rows.sparkSession.sparkContext
+    shared, bits = context.broadcast(heavy), context.broadcast(id_bits(wanted.select(F.col("row").alias("id"))))  # both of fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts = shared.value
-        met: set[int] = set()
         for b in batches:
+            slot = b["slot"].to_numpy(dtype=np.int64)
+            b = b[(bits.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1]
             for lo in range(0, len(b), 1000):
                 part = b.iloc[lo : lo + 1000]
                 out = []
-                for s, named in zip(_sets(part["text"], width), part["id"].notna(), strict=True):
+                for i, row, s in zip(part["id"].tolist(), part["row"].tolist(), _sets(part["text"], width), strict=True):
                     n = len(s)
                     if not n:
-                        out.append((None, 0, None, 0, b""))
                         continue
-                    key = class_key(s)
-                    # a row without id is never indexed, so the class isn't met by it
-                    if key in met or not named:
-                        out.append((key, n, None, 0, _packed(s)))
-                        continue
-                    if len(met) >= 1_000_000:
-                        met.clear()
-                    met.add(key)
                     probe = t.probe(n)
+                    deals = np.ones(probe, np.int32)
+                    prefix = s[:probe]
                     if len(keys):
                         at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                         known = keys[at] == s
                         prefix = s[~known][:probe]
-                        if len(prefix) < probe:
-                            common = s[known]
-                            prefix = np.concatenate((prefix, common[np.argsort(counts[at[known]], kind="stable")][: probe - len(prefix)]))
-                    else:
-                        prefix = s[:probe]
-                    out.append((key, n, prefix.view(np.int64), t.index(n), _packed(s)))
-                yield pd.DataFrame(
-                    {"id": part["id"].to_numpy(), "row": part["row"].to_numpy(), "cls": pd.array([o[0] for o in out], dtype="Int64"), "n": [o[1] for o in out], "prefix": [o[2] for o in out], "n_index": [o[3] for o in out], "counts": [o[4] for o in out]}
-                )
+                        if (rare := len(prefix)) < probe:
+                            times = counts[at[known]]
+                            order = np.argsort(times, kind="stable")[: probe - rare]
+                            prefix = np.concatenate((prefix, s[known][order]))
+                            deals[rare:] = np.minimum(times[order] // bucket + 1, 1 << 20)
+                    out.append((class_key(s), i, row, n, prefix.view(np.int64), deals, t.index(n), _packed(s)))
+                yield pd.DataFrame(out, columns=["cls", "id", "row", "n", "prefix", "deals", "n_index", "counts"])
 
-    return rows.mapInPandas(tidy(run), "id long, row long, cls long, n long, prefix array<long>, n_index int, counts binary")
+    placed = rows.where("id IS NOT NULL").select("id", "row", id_slot("row").alias("slot"), "text")
+    return placed.mapInPandas(tidy(run), "cls long, id long, row long, n long, prefix array<long>, deals array<int>, n_index int, counts binary")
 
 
 def _first_pairs(entries: DataFrame, small: int, t: Threshold) -> DataFrame:
-    """Entries sorted by shingle within partitions; kind 0: candidate pairs a, b; kind 1: members a of a large bucket, with its shingle in b."""
+    """Entries sorted by shingle and deal within partitions. kind 0: candidate pairs a, b; kind 1: members a of a large
+    bucket, with its shingle in b; kind 2: the same for the one class that was compared with the others of its deal."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for b in batches:
             mark = b["mark"].to_numpy(np.int64)
-            chunk = np.stack((b["shingle"].to_numpy(np.int64), mark >> 1, b["cls"].to_numpy(np.int64), 1 - (mark & 1)))
+            chunk = np.stack((b["shingle"].to_numpy(np.int64), mark >> 1, b["cls"].to_numpy(np.int64), 1 - (mark & 1), b["deal"].to_numpy(np.int64)))
             rest = chunk if rest is None else np.concatenate((rest, chunk), axis=1)
-            last = np.searchsorted(rest[0], rest[0, -1])
+            last = int(np.argmax((rest[0] == rest[0, -1]) & (rest[4] == rest[4, -1])))
             if last:
                 yield from work(rest[:, :last])
                 rest = rest[:, last:]
@@ -219,11 +234,12 @@ def _first_pairs(entries: DataFrame, small: int, t: Threshold) -> DataFrame:
 
     def work(x: np.ndarray) -> Iterator[pd.DataFrame]:
         again = np.zeros(x.shape[1], bool)
-        again[1:] = (x[0, 1:] == x[0, :-1]) & (x[2, 1:] == x[2, :-1])
+        again[1:] = (x[0, 1:] == x[0, :-1]) & (x[2, 1:] == x[2, :-1]) & (x[4, 1:] == x[4, :-1])
         x = x[:, ~again]
-        start = np.flatnonzero(np.concatenate(([True], x[0, 1:] != x[0, :-1])))
+        start = np.flatnonzero(np.concatenate(([True], (x[0, 1:] != x[0, :-1]) | (x[4, 1:] != x[4, :-1]))))
         size = np.diff(np.append(start, x.shape[1]))
         run_of = np.repeat(np.arange(len(start)), size)
+        dealt = x[4] >= 0
         a, b = [], []
         # within a bucket rows are sorted by n, indexing ones first: the earlier one is the smaller set and has to index this shingle
         for step in range(1, min(small, int(size.max(initial=0)))):
@@ -231,11 +247,11 @@ def _first_pairs(entries: DataFrame, small: int, t: Threshold) -> DataFrame:
             ok = i[(x[3, i] == 1) & (x[1, i] * t.den >= x[1, i + step] * t.num)]
             a.append(x[2, ok])
             b.append(x[2, ok + step])
-        large = size[run_of] > small
+        large = (size[run_of] > small) | dealt
         if large.any():
             # the smallest key: the buckets of near copies then mostly agree on one class
-            order = np.lexsort((x[2], run_of))
-            centre = order[start][run_of[large]]
+            lowest = np.lexsort((x[2], run_of))[start]
+            centre = lowest[run_of[large]]
             lo, hi = np.minimum(x[1, centre], x[1, large]), np.maximum(x[1, centre], x[1, large])
             ok = (x[2, centre] != x[2, large]) & (lo * t.den >= hi * t.num)
             a.append(x[2, centre][ok])
@@ -245,27 +261,24 @@ def _first_pairs(entries: DataFrame, small: int, t: Threshold) -> DataFrame:
             pairs = np.unique(np.stack((np.minimum(one, two), np.maximum(one, two))), axis=1) if total else None
             yield pd.DataFrame({"kind": 0, "a": pairs[0], "b": pairs[1]})
         if large.any():
-            yield pd.DataFrame({"kind": 1, "a": x[2, large], "b": x[0, large]})
+            # a set that doesn't index the shingle only meets smaller ones that do
+            last = np.maximum.accumulate(np.where(x[3] == 1, np.arange(x.shape[1]), -1))
+            meets = (last >= start[run_of]) & (x[1, last] * t.den >= x[1] * t.num)
+            stay = large & (meets | dealt)
+            yield pd.DataFrame({"kind": 1, "a": x[2, stay], "b": x[0, stay]})
+            centres = lowest[dealt[start]]
+            yield pd.DataFrame({"kind": 2, "a": x[2, centres], "b": x[0, centres]})
 
     return entries.mapInPandas(tidy(run), "kind int, a long, b long")
 
 
-def _short(s: np.ndarray) -> bytes:
-    """The upper 40 bits of each hash, still sorted: sets of 500 have a chance match in 2 of 10 ** 7 pairs."""
-    return (s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _long(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
 def _likely(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
-    """Distinct pairs a, b that the count bound leaves, with the ids that stand for them."""
+    """Distinct pairs a, b that the count bound leaves, with the rows that stand for them."""
+    pairs = materialize(pairs.select("a", "b").distinct(), "join-pairs")
+    total = pairs.count()
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     classes = classes.where(may_be_in(asked, "cls"))  # so that only these are shuffled
-    side = lambda k: classes.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), F.col("counts").alias(f"c_{k}"), F.col("rep").alias(f"rep_{k}"))
+    side = lambda k: classes.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), F.col("counts").alias(f"c_{k}"), F.col("row").alias(f"row_{k}"))
 
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -273,14 +286,16 @@ def _likely(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
                 continue
             x, y = _vectors(p["c_a"], p["n_a"].to_numpy()), _vectors(p["c_b"], p["n_b"].to_numpy())
             ok = np.minimum(x, y).sum(1, dtype=np.int64) >= t.overlap(p["n_a"].to_numpy(), p["n_b"].to_numpy())
-            yield p.loc[ok, ["a", "b", "rep_a", "rep_b"]]
+            yield p.loc[ok, ["a", "b", "row_a", "row_b"]]
 
-    return pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").mapInPandas(tidy(bounded), "a long, b long, rep_a long, rep_b long")
+    met = spread_join(spread_join(pairs, side("b"), "b", "a", pairs, total), side("a"), "a", "b", pairs, total)
+    return met.select("a", "b", "n_a", "n_b", "c_a", "c_b", "row_a", "row_b").mapInPandas(tidy(bounded), "a long, b long, row_a long, row_b long")
 
 
 def _confirm(likely: DataFrame, rows: DataFrame, width: int, t: Threshold) -> DataFrame:
     """Pairs a, b whose sets reach the threshold. Sets are made again where the texts lie; texts are never shuffled."""
-    needed = likely.select(F.col("rep_a").alias("id"), F.col("a").alias("cls")).union(likely.select("rep_b", "b")).distinct()
+    total = likely.count()
+    needed = likely.select(F.explode(F.array("row_a", "row_b")).alias("id")).distinct()
     shared = rows.sparkSession.sparkContext.broadcast(id_bits(needed))  # of fixed size
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -292,40 +307,42 @@ def _confirm(likely: DataFrame, rows: DataFrame, width: int, t: Threshold) -> Da
                 found = {class_key(s): s for s in _sets(texts.iloc[lo : lo + 500], width) if len(s)}
                 found = {k: s for k, s in found.items() if k not in met}
                 met.update(found)
-                yield pd.DataFrame({"cls": list(found), "items": [_short(s) for s in found.values()]})
+                yield pd.DataFrame({"cls": list(found), "items": [s.astype("<u8").tobytes() for s in found.values()]})
 
-    placed = rows.where("id IS NOT NULL").select(id_slot("id").alias("slot"), "text")
-    # an id may stand on several texts, and a slot for several ids: the class key of the text decides in the joins below
+    placed = rows.where("id IS NOT NULL").select(id_slot("row").alias("slot"), "text")
+    # a slot may stand for several rows: the class key of the text decides in the joins below
     items = materialize(placed.mapInPandas(tidy(sets), "cls long, items binary"), "join-sets")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             ok = []
             for x, y in zip(p["x"], p["y"], strict=True):
-                x, y = _long(x), _long(y)
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 x, y = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 common = int((y[at] == x).sum())
                 ok.append(t.den * common >= t.num * (len(x) + len(y) - common))
             yield p.loc[np.array(ok, bool), ["a", "b"]]
 
-    left = likely.select("a", "b").join(items.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a")
-    return left.join(items.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInPandas(tidy(exact), "a long, b long")
+    # the centres of stars have the smaller keys: the other ends first, so that a centre's set isn't shuffled with each of its pairs
+    met = spread_join(likely.select("a", "b"), items.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b", "a", likely, total)
+    met = spread_join(met, items.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a", "b", likely, total)
+    return met.select("a", "b", "x", "y").mapInPandas(tidy(exact), "a long, b long")
 
 
 def _as_edges(links: DataFrame) -> DataFrame:
     return links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
 
 
-def contract(edges: DataFrame, most_rounds: int) -> tuple[DataFrame, bool]:
-    """Rounds of large and small stars over edges (u, v < u): the edges after them, and whether nothing changes any more.
+def contract(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Rounds of large and small stars over edges (u, v < u), as many as it takes until nothing changes, or ``rounds``.
 
     Each round is written; a hub's edges are re-pointed to its smallest neighbour, so no list of neighbours is built.
     """
     edges = materialize(edges, "edges")
     mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     last = mark(edges)
-    for _ in range(most_rounds):
+    while rounds is None or rounds > 0:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -335,27 +352,30 @@ def contract(edges: DataFrame, most_rounds: int) -> tuple[DataFrame, bool]:
         edges = materialize(after.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
         now = mark(edges)
         if now == last:
-            return edges, True
+            break
         last = now
-    return edges, False
+        rounds = None if rounds is None else rounds - 1
+    return edges
 
 
 def _roots(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """node, root: the smallest node that each linked node reaches; nodes that are the smallest themselves are left out."""
-    return _roots(contract(_as_edges(links), most_rounds)[0])
+    return _roots(contract(_as_edges(links)))
 
 
 def _tree_pairs(named: DataFrame, classes: DataFrame, t: Threshold, width: int, block: int = 4096) -> DataFrame:
     """``named``: shingle, cls, root. Pairs of different components that share a bucket and that R-trees leave.
 
     Buckets with one largest component form a family: near copies share many shingles, and their buckets would all compare
-    the same classes. The family's classes are cut into blocks with a tree each; members of the largest component
-    needn't ask, as every pair of two components has another end, which asks all blocks. For each class and component the
-    ``width`` best pairs are given; a row with ``cut`` names a class and the root of a component of which some were left out.
+    the same classes. Members of the largest component needn't ask, as every pair of two components has another end,
+    which asks. A family of more than ``block`` classes is cut into bands of set sizes, so that partners lie in one band
+    or in neighbouring ones, and bands into blocks, of those asked, with a tree each, and of those that ask. For
+    each class and component the ``width`` best pairs are given; a row with ``cut`` names a class and the root of a
+    component of which some were left out.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -384,19 +404,29 @@ def _tree_pairs(named: DataFrame, classes: DataFrame, t: Threshold, width: int,
     per = named.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"))
     top = per.groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle", F.col("top.root").alias("family"))
     family = materialize(named.join(top, "shingle").select("family", "cls", "root").distinct(), "join-family")
-    parts = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    known = classes.where(may_be_in(family.select(F.col("cls").alias("id")), "cls")).select("cls", "n", "counts")
-    rows = family.join(parts, "family").join(known, "cls")
-    held = rows.select("family", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part"), "cls", "root", "n", "counts", F.lit(False).alias("ask"))
-    ask = rows.where("root != family").select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cls", "root", "n", "counts", F.lit(True).alias("ask"))
-    return held.union(ask).groupBy("family", "part").applyInPandas(run, "a long, b long, cut boolean")
+    known = classes.where(may_be_in(family.select(F.col("cls").alias("id")), "cls"))
+    whole = family.groupBy("family").agg((F.count(F.lit(1)) > block).alias("wide"))
+    # a little wider than the threshold asks for, so that rounding doesn't part two partners by more than one band
+    band = F.floor(F.log(F.col("n").cast("double")) / (1.001 * math.log(t.den / t.num))).cast("int")
+    placed = family.join(known.select("cls", "n"), "cls").join(whole, "family").withColumn("band", F.when(F.col("wide"), band).otherwise(0))
+    placed = materialize(placed.select("family", "band", "cls", "root", (F.col("root") != F.col("family")).alias("asks")), "join-placed")
+    of = placed.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"), F.ceil(F.count_if("asks") / block).cast("int").alias("ask_parts"))
+    other = of.withColumnRenamed("band", "at").withColumnRenamed("parts", "parts_at").withColumnRenamed("ask_parts", "ask_parts_at")
+    both = materialize(of.join(other, "family").where("abs(band - at) <= 1 AND ask_parts_at > 0"), "join-bands")  # a row for each two bands that meet
+    part, ask_part = F.pmod(F.xxhash64("cls"), "parts").cast("int"), F.pmod(F.xxhash64(F.lit(1), "cls"), "ask_parts_at").cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = placed.join(both, ["family", "band"]).select("family", "band", part.alias("part"), "at", each("ask_parts_at").alias("ask_part"), "cls", "root", F.lit(False).alias("ask"))
+    asking = placed.where("asks").withColumnRenamed("band", "at").join(both, ["family", "at"])
+    asking = asking.select("family", "band", each("parts").alias("part"), "at", ask_part.alias("ask_part"), "cls", "root", F.lit(True).alias("ask"))
+    rows = held.union(asking).join(known.select("cls", "n", "counts"), "cls")
+    return rows.groupBy("family", "band", "part", "at", "ask_part").applyInPandas(run, "a long, b long, cut boolean")
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (3, 4), small: int = 8, heavy: int = 100_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (3, 4), small: int = 8, heavy: int = 100_000, deal: int = 50_000, block: int = 4096
 ) -> DataFrame:
-    """id, n_shingles, component_id: one row for each row of ``docs``."""
-    found = _components(docs, id_col, text_col, width, threshold, small, heavy)
+    """id, n_shingles, component_id: one row for each row of ``docs``. The last four steer the cost only."""
+    found = _components(docs, id_col, text_col, width, threshold, small, heavy, deal, block)
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
@@ -405,29 +435,36 @@ def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(id_col, text_col)
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: tuple[int, int], small: int, heavy: int) -> DataFrame:
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: tuple[int, int], small: int = 8, heavy: int = 100_000, deal: int = 50_000, block: int = 4096) -> DataFrame:
     """id, row (its key), n, component_id, root: the component itself, as two of them may share their smallest id."""
     t = Threshold(*threshold)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), _row_key(id_col, text_col).alias("row"))
-    signed = materialize(_signatures(rows, width, t, _heavy(rows, width, heavy)), "join-signatures")
-    usable = signed.where("id IS NOT NULL AND n > 0")
-    classes = usable.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts"))
-    classes = materialize(classes, "join-classes")
-    # a class comes once from each task that met it; its repeats are dropped again in the bucket
-    exploded = usable.where("prefix IS NOT NULL").select("cls", "n", "n_index", F.posexplode("prefix").alias("pos", "shingle"))
-    entries = exploded.select("shingle", "cls", (F.col("n") * 2 + (F.col("pos") >= F.col("n_index")).cast("int")).alias("mark"))
-    first = materialize(_first_pairs(entries.repartition("shingle").sortWithinPartitions("shingle", "mark", "cls"), small, t), "join-first")
-    tried = materialize(_likely(first.where("kind = 0"), classes, t), "join-likely")
+    scanned = materialize(_scan(rows, width), "join-rows")
+    listed = scanned.where("times IS NULL").select("id", "row", "cls", "n")
+    wanted = listed.where("id IS NOT NULL AND n > 0").groupBy("cls").agg(F.min(F.struct("id", "row")).alias("low")).select("low.row")
+    signed = materialize(_signatures(rows, wanted, width, t, _heavy(scanned, heavy), deal), "join-signatures")
+    classes = signed.groupBy("cls").agg(F.min(F.struct("id", "row")).alias("low"), F.first("n").alias("n"), F.first("counts").alias("counts"))
+    classes = materialize(classes.select("cls", F.col("low.id").alias("rep"), F.col("low.row").alias("row"), "n", "counts"), "join-classes")
+    # a class may come from several rows; its repeats are dropped again in the bucket
+    exploded = signed.select("cls", "n", "n_index", F.posexplode(F.arrays_zip("prefix", "deals")).alias("pos", "at"))
+    deal = F.when(F.col("at.deals") > 1, F.pmod(F.xxhash64("cls"), F.col("at.deals")).cast("int")).otherwise(-1)
+    entries = exploded.select(F.col("at.prefix").alias("shingle"), "cls", (F.col("n") * 2 + (F.col("pos") >= F.col("n_index")).cast("int")).alias("mark"), deal.alias("deal"))
+    placed = entries.repartition("shingle", "deal").sortWithinPartitions("shingle", "deal", "mark", "cls")
+    first = materialize(_first_pairs(placed, small, t), "join-first")
+    # the deals of one bucket meet in a star of their centres
+    centres = first.where("kind = 2").select(F.col("b").alias("shingle"), F.col("a").alias("cls"))
+    stars = centres.join(centres.groupBy("shingle").agg(F.min("cls").alias("low")), "shingle").where("cls != low").select(F.col("low").alias("a"), F.col("cls").alias("b"))
+    tried = materialize(_likely(first.where("kind = 0").select("a", "b").union(stars), classes, t), "join-likely")
     # one round contracts most of what is linked; how far it comes only decides which pairs are looked at below
-    edges, settled = contract(_as_edges(_confirm(tried, rows, width, t)), 1)
+    edges = contract(_as_edges(_confirm(tried, rows, width, t)), 1)
     members = first.where("kind = 1").select(F.col("a").alias("cls"), F.col("b").alias("shingle"))
     best = 32
     while True:
         named = members.join(_roots(edges).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        found = materialize(_tree_pairs(named, classes, t, best), "join-tree")
+        found = materialize(_tree_pairs(named, classes, t, best, block), "join-tree")
         pairs = found.where("NOT cut").select("a", "b")
         fresh = materialize(_likely(pairs.join(tried, ["a", "b"], "left_anti"), classes, t), "join-likely")
-        edges, settled = contract(edges.union(_as_edges(_confirm(fresh, rows, width, t)).select("u", "v")), 60)
+        edges = contract(edges.union(_as_edges(_confirm(fresh, rows, width, t)).select("u", "v")))
         # pairs left out matter only between what is still apart
         by = [_roots(edges).select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b")]
         apart = found.where("cut").join(by[0], "a", "left").join(by[1], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
@@ -438,13 +475,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, thresho
         touched = members.join(again, "cls", "left_semi").select("shingle").distinct()
         members = materialize(members.join(touched, "shingle", "left_semi"), "join-members")
         best *= 8
-    roots = _roots(edges if settled else contract(edges, 60)[0])
-    named = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = classes.select("cls", "rep").join(_roots(edges).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_class = named.join(lowest, "root").select("cls", "component_id", "root")
     # rows without set join nothing; their key is spread so that they don't meet in one task
     key = F.when(F.col("n") > 0, F.col("cls")).otherwise(F.xxhash64("id"))
-    out = signed.select("id", "row", "n", key.alias("cls")).join(by_class, "cls", "left")
+    out = listed.select("id", "row", "n", key.alias("cls")).join(by_class, "cls", "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return out.select("id", "row", "n", component.alias("component_id"), "root")
 
@@ -459,13 +495,14 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by id and text, so an id on several texts is judged for each of them. Texts without words are
     linked with nothing: of them only repeats of one id and text go.
     """
-    found = _components(docs, "doc_id", "text", 5, (3, 4), 8, 100_000).where("id IS NOT NULL").select("id", "row", "n", "root")
+    found = _components(docs, "doc_id", "text", 5, (3, 4)).where("id IS NOT NULL").select("id", "row", "n", "root")
     found = materialize(found, "join-stage")
+    own = unused(docs.columns, "row")
     lowest = found.where("n > 0").groupBy("root").agg(F.min(F.struct("id", "row")).alias("low"))
-    gone = materialize(found.where("n > 0").join(lowest, "root").where("row != low.row").select(F.col("row").alias("__row")), "join-gone")
-    repeated = found.groupBy("row").count().where("count > 1").select(F.col("row").alias("__row"))
-    keyed = docs.withColumn("__row", F.when(F.col("doc_id").isNotNull(), _row_key("doc_id", "text")))
-    return keep_once(drop_ids(keyed, gone, "__row"), repeated, "__row").drop("__row")
+    gone = materialize(found.where("n > 0").join(lowest, "root").where("row != low.row").select(F.col("row").alias(own)), "join-gone")
+    repeated = found.groupBy("row").count().where("count > 1").select(F.col("row").alias(own))
+    keyed = docs.withColumn(own, F.when(F.col("doc_id").isNotNull(), _row_key("doc_id", "text")))
+    return keep_once(drop_ids(keyed, gone, own), repeated, own).drop(own)
 
 
 OP9_SQL = r"""

@@ -59,6 +59,24 @@ def test_join_against_all_pairs(spark, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(rows)
 
 
+def test_join_of_dealt_buckets_and_bands(spark):
+    """Buckets over several tasks, families in bands and blocks: the result is the same."""
+    rng = random.Random(8)
+    passage = [f"pas{k}" for k in range(60)]
+    texts = [" ".join(edited(passage, rng.randrange(0, 9), rng)) for _ in range(150)]
+    texts += [" ".join(passage + [f"own{k}x{j}" for j in range(rng.randrange(2, 60))]) for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = plain_components(list(enumerate(texts)))
+    for options in ({}, {"deal": 4, "small": 2}, {"block": 8, "small": 2}, {"deal": 4, "block": 8, "small": 3, "heavy": 40}, {"small": 1000}):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(df, **options).collect()} == want
+
+
+def test_ids_beyond_what_a_double_holds(spark):
+    rows = [(2**60 + 1, "one two three four five six"), (2**60 + 3, "one two three four five six"), (None, "else")]
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {2**60 + 1: 2**60 + 1, 2**60 + 3: 2**60 + 1, None: None}
+
+
 def test_join_of_odd_rows(spark, odd_docs, no_docs):
     got = J.jaccard_components(odd_docs).collect()
     assert len(got) == odd_docs.count()
@@ -111,6 +129,12 @@ def test_join_stage_keeps_one_of_each(spark, odd_docs):
     assert kept.count() == odd_docs.dropDuplicates(["doc_id"]).count()
 
 
+def test_stages_keep_columns_of_clashing_names(spark, odd_docs):
+    for stage in (J.stage, M.stage):
+        kept = stage(spark, odd_docs, "")
+        assert kept.columns == odd_docs.columns and {(r["__met"], r["__gone"], r.copies) for r in kept.collect()} == {(1, 2, 3)}
+
+
 def test_join_stage_decides_for_each_row(spark):
     words = [f"w{k}" for k in range(40)]
     near, text = " ".join(words[:-1] + ["other"]), " ".join(words)
@@ -166,6 +190,36 @@ def test_mix_of_given_documents(spark, data):
     assert mixed(got) == mixed(queries.QUERIES["op8_mixing_sources"](spark, data))
 
 
+def test_taken_words_against_plain_packing(spark, data):
+    """Draws, quotas and words packed into blocks once more, in plain loops; only the permutation is the operator's."""
+    from pyspark.sql import functions as F
+
+    df = spark.read.parquet(f"{data}/documents.parquet")
+    docs, _, _ = M.mix(df, block=16, shard_slots=100)
+    per = {}
+    for r in df.select("doc_id", "source", "text", F.xxhash64("doc_id").alias("h")).collect():
+        if n := len((r.text or "").encode().split()):
+            per.setdefault(r.source, []).append((r.h, r.doc_id, n))
+    names = sorted(per, key=lambda x: (x is None, x or ""))
+    sizes = [sum(n for *_, n in per[k]) for k in names]
+    targets = M.capped_shares(sizes, [M.WEIGHTS[k % 3] for k in range(len(names))], 3)
+    blocks = [-(-n // 16) for n in sizes]
+    quota = [min(3 * b, round(t * b / n)) for t, b, n in zip(targets, blocks, sizes, strict=True)]
+    want = {}
+    for src, name in enumerate(names):
+        uses = [0] * blocks[src]
+        for slot in range(quota[src]):
+            turn = slot // blocks[src]
+            key = M.mix64(np.array([(11 << 48) + (src << 8) + turn], dtype=np.uint64))
+            uses[int(M.permuted(np.array([slot % blocks[src]]), np.array([blocks[src]]), key)[0])] += 1
+        at = 0
+        for _, i, n in sorted(per[name]):
+            want[i] = sum(uses[w // 16] for w in range(at, at + n))
+            at += n
+    got = {r.doc_id: r.taken for r in docs.collect()}
+    assert got == {i: want.get(i, 0) for i in got}
+
+
 def test_mix_takes_whole_slots(spark, odd_docs, no_docs):
     docs, slots, spans = M.mix(odd_docs)
     rows = docs.collect()

@@ -51,7 +51,7 @@ NOISY = {
 @pytest.mark.parametrize("middle", NOISY)
 def test_noise_ends_where_its_element_ends(middle):
     for page in (f"<body><article><p>first</p>{middle}<p>last</p></article></body>", f"<body><div><p>first</p>{middle}<p>last</p></div></body>"):
-        assert H._clean(H._alone(list(H.tokens(page)))) == f"first{NOISY[middle]} last"
+        assert " ".join(c for b in H._alone(list(H.tokens(page))) if (c := H._clean(b))) == f"first{NOISY[middle]} last"
 
 
 def test_noise_ends_on_the_wrapper_path(spark):
@@ -61,6 +61,32 @@ def test_noise_ends_on_the_wrapper_path(spark):
     assert got == {k: f"first {k}{NOISY[m]} last {k}" for k, m in enumerate(NOISY)}
 
 
+def template_page(k, tail=""):
+    paragraphs = "".join(f"<p>sentence {k} number {i}</p>" for i in range(2 + k % 4))
+    return f"<body><div><p>Welcome to our place</p></div><div><h2>title {k}</h2>{paragraphs}<p>Call us any time</p></div>{tail}<div>All rights lie with us</div></body>"
+
+
+def test_template_texts_go_by_comparing_pages(spark):
+    """Nothing but the other pages of the host tells the template of these from their content."""
+    want = lambda k: " ".join([f"title {k}", *[f"sentence {k} number {i}" for i in range(2 + k % 4)]])
+    rows = [(k, f"http://h.org/{k}", template_page(k)) for k in range(40)] + [(100, "http://alone.org/", template_page(100)), (101, None, template_page(101))]
+    df = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(df, H.infer_wrappers(df, group=3)).collect()}
+    assert {k: t for k, t in got.items() if k < 100} == {k: want(k) for k in range(40)}
+    for k in (100, 101):
+        assert got[k] == f"Welcome to our place {want(k)} Call us any time All rights lie with us"
+
+
+def test_copies_of_one_article_keep_their_text(spark):
+    rows = [(k, f"http://h.org/{k}", f"<body><article><h1>one title</h1><p>the same long paragraph on every page of this host</p><p>tail {k}</p></article></body>") for k in range(30)]
+    rows += [(100 + k, f"http://i.org/{k}", f"<body><article><h1>title {k}</h1>{'<p>licence line</p>' * (k % 2)}<p>text {k} of its own</p></article></body>") for k in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(df, H.infer_wrappers(df)).collect()}
+    for k in range(30):
+        assert got[k] == f"one title the same long paragraph on every page of this host tail {k}"
+        assert got[100 + k] == f"title {k}{' licence line' * (k % 2)} text {k} of its own"
+
+
 def test_wrapper_is_generalised(spark):
     streams = [["<a1>", "#", "</a1>"], ["<a1>", ("+", ("<p>", "#")), "</a1>"], ["<a1>", "<p>", "#", "<x>", "</a1>"]]
     w = [(i, False) for i in streams[0]]

@@ -6,7 +6,7 @@ of a text's votes is the soft label of a logistic scorer over hashed words, hash
 statistics, fitted on a bounded sample.
 
 Cases: null and empty texts get no vote, and as score the scorer's offset; texts are read whole; repeated rows each
-get their score; an empty table gives no rows; columns other than the text aren't inputs.
+get their score; an empty table gives no rows; columns other than the text aren't inputs; one named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, Words, encode, mix64, share, slices, table, tidy
+from .common import WHITE, Words, encode, give_back, mix64, share, slices, table, tidy, unused, with_columns
 
 STATS = ("repeats", "symbols", "shouts", "capitals", "bars", "variety", "stops", "commonest", "word_length", "marked", "runs")
 #: Per statistic: poor at or beyond the first bound, good at or beyond the second, no vote between; and the fewest words for a vote.
@@ -178,17 +179,17 @@ def _row_indexes(n_words: np.ndarray, words: np.ndarray, shapes: np.ndarray, sta
         yield np.concatenate((idx, bins[i])), np.concatenate((c / max(n, 1), np.ones(bins.shape[1])))
 
 
-def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, ridge: float = 1e-4, rounds: int = 300, rate: float = 0.5) -> np.ndarray:
-    """Logistic weights by adaptive gradient steps on soft labels."""
+def fit_scorer(lengths: np.ndarray, idx: np.ndarray, val: np.ndarray, target: np.ndarray, ridge: float = 1e-4, rounds: int = 300, rate: float = 0.5) -> np.ndarray:
+    """Logistic weights by adaptive gradient steps on soft labels; ``lengths``: how many of the features each row has."""
     weights = np.zeros(WIDTH)
-    if not rows:
+    if not len(lengths):
         return weights
-    of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    idx, val = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    idx = idx.astype(np.int64)
     seen = np.full(WIDTH, 1e-6)
     for _ in range(rounds):
-        z = np.bincount(of, weights=val * weights[idx], minlength=len(rows)) + weights[-1]
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(rows)
+        z = np.bincount(of, weights=val * weights[idx], minlength=len(lengths)) + weights[-1]
+        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(lengths)
         grad = np.bincount(idx, weights=val * err[of], minlength=WIDTH) + ridge * weights
         grad[-1] = err.sum()
         seen += grad * grad
@@ -213,8 +214,8 @@ class QualityModel:
 
 
 def learn(docs: DataFrame, most_rows: int = 6_000, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """The label model from all rows; the scorer from ``most_rows`` rows or so, chosen by a hash of their ids."""
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    """The label model from all rows; the scorer from ``most_rows`` rows at most, chosen by a hash of their ids and texts."""
+    rows = docs.select(F.xxhash64(docs[id_col], docs[text_col]).alias("key"), docs[text_col].alias("text"))
     m = len(STATS)
 
     def patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,29 +229,34 @@ def learn(docs: DataFrame, most_rows: int = 6_000, id_col: str = "doc_id", text_
     codes = seen["pattern"].to_numpy(dtype=np.int64)
     labels = fit_labels((codes[:, None] // 3 ** np.arange(m) % 3 - 1).astype(np.int8), seen["n"].to_numpy(dtype=float))
     total = int(seen["n"].sum())
-    share = min(1.0, most_rows / max(total, 1))
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("text")
+    # some more than wanted, as the number that a hash picks varies
+    share = min(1.0, 1.1 * most_rows / max(total, 1))
+    chosen = rows.where(F.pmod("key", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: set[int] = set()
         for b in batches:
+            b = b[~b["key"].duplicated() & ~b["key"].isin(met)]
+            met.update(b["key"].tolist())
+            at = 0
             for stats, n_words, words, shapes in _batch([encode(t) for t in b["text"]]):
                 got = list(_row_indexes(n_words, words, shapes, stats))
-                yield pd.DataFrame({"target": labels.posterior(votes(stats, n_words)), "n": n_words, "idx": [g[0].astype(np.int32) for g in got], "val": [g[1].astype(np.float32) for g in got]})
+                yield pd.DataFrame({"key": b["key"].to_numpy()[at : at + len(got)], "target": labels.posterior(votes(stats, n_words)), "n": n_words, "idx": [g[0].astype(np.int32) for g in got], "val": [g[1].astype(np.float32) for g in got]})
+                at += len(got)
 
-    got = chosen.mapInPandas(tidy(sparse), "target double, n long, idx array<int>, val array<float>").where("n > 0").toPandas()
-    return QualityModel(labels, fit_scorer(list(zip(got["idx"], got["val"], strict=True)), got["target"].to_numpy(dtype=float)))
+    got = chosen.mapInPandas(tidy(sparse), "key long, target double, n long, idx array<int>, val array<float>").where("n > 0")
+    got = got.dropDuplicates(["key"]).orderBy("key").limit(most_rows).select("target", "idx", "val").toArrow().combine_chunks()
+    flat = lambda c: np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in got.column(c).chunks] or [np.zeros(0)])
+    lengths = np.concatenate([np.diff(x.offsets.to_numpy()) for x in got.column("idx").chunks] or [np.zeros(0, int)])
+    weights = fit_scorer(lengths, flat("idx"), flat("val"), got.column("target").to_numpy())
+    give_back()
+    return QualityModel(labels, weights)
 
 
-def score(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "poor_score") -> DataFrame:
     """``docs`` with ``poor_score``."""
     shared = share(docs.sparkSession, model)  # of fixed size
-    position = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(poor_score=shared().score([encode(t) for t in b.iloc[:, position]]))
-
-    return docs.mapInPandas(tidy(run), T.StructType([*docs.schema.fields, T.StructField("poor_score", T.DoubleType())]))
+    return with_columns(docs, text_col, [T.StructField(score_col, T.DoubleType())], lambda texts: [pa.array(shared().score(texts))])
 
 
 THRESHOLD = 0.5
@@ -264,5 +270,5 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents judged poor go; all columns stay."""
-    columns = docs.columns
-    return score(docs, learn(docs)).where(F.col("poor_score") < THRESHOLD).select(*columns)
+    named = unused(docs.columns, "poor_score")
+    return score(docs, learn(docs), score_col=named).where(F.col(named) < THRESHOLD).drop(named)

@@ -11,7 +11,8 @@ that to 0..1.
 Cases: null and empty texts have no token and get the score of a text without significant segment; texts are read
 whole; labels that are null or whose id is null are ignored, and of several labels of one id the highest counts;
 repeated rows each get their score; with labels of one class only, or none, every score is the smoothed class share;
-an empty table gives no rows. Ids, languages and sources are never inputs of a score.
+an empty table gives no rows; an input column named as a result is replaced. Ids, languages and sources are never inputs
+of a score.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, encode, materialize, separators, share, slices, table, tidy
+from .common import Words, encode, give_back, materialize, separators, share, slices, table, tidy, unused, with_columns
 
 SEPS = separators(b".,!?;:\"'()[]{}|<>*%$&#/\\+=~`^_-")
 #: A repeat within so many words of the token's last occurrence counts by this share.
@@ -125,8 +127,8 @@ def _scan(m: SegmentModel, texts: list[bytes], labels: np.ndarray | None = None)
             yield int(b - a), [(s + a, e + a, v) for s, e, v in maximal_segments(scores[a:b])], w, int(a)
 
 
-def _counts(sample: DataFrame, most_tokens: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
-    """Texts by class that hold a token, or a token's beginning: the ``most_tokens`` most frequent of each."""
+def _counts(sample: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """Texts by class that hold a token, or a token's beginning, for all that occur in the sample."""
 
     def merged(parts: list[tuple]) -> tuple:
         keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
@@ -160,14 +162,15 @@ def _counts(sample: DataFrame, most_tokens: int) -> tuple[tuple[np.ndarray, np.n
     def out(kind: int, part: tuple) -> pd.DataFrame:
         return pd.DataFrame({"kind": kind, "key": part[0].view(np.int64), "toxic": part[1], "n": part[2]})
 
-    counted = sample.select("text", "label").mapInPandas(tidy(run), "kind int, key long, toxic long, n long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    counted = sample.select("text", "label").mapInPandas(tidy(run), "kind int, key long, toxic long, n long").groupBy("kind", "key").agg(F.sum("toxic").cast("int").alias("toxic"), F.sum("n").cast("int").alias("n"))
+    counted = materialize(counted, "toxic-counts")
     out = []
     for kind in range(len(ROOTS) + 1):
-        top = counted.where((F.col("kind") == kind) & (F.col("n") > 1)).orderBy(F.desc("n"), "key").limit(most_tokens).toPandas()
-        keys = top["key"].to_numpy(dtype=np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        toxic = top["toxic"].to_numpy(dtype=np.int64)[order]
-        out.append((keys[order], np.stack((toxic, top["n"].to_numpy(dtype=np.int64)[order] - toxic), axis=1)))
+        found = counted.where(F.col("kind") == kind).select("key", "toxic", "n").toArrow()  # as many as the sample's words at most
+        keys, toxic, n = (found.column(c).to_numpy() for c in ("key", "toxic", "n"))
+        order = np.argsort(keys.view(np.uint64))
+        out.append((keys.view(np.uint64)[order], np.stack((toxic, n - toxic), axis=1)[order]))
+        give_back()
     return tuple(out)
 
 
@@ -204,14 +207,14 @@ def _summed(m: SegmentModel, segments: np.ndarray, length: int) -> float:
     return float(e[e > 0].sum() or e.max())
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, most_tokens: int = 150_000, weight: float = 4.0, drift: float = 2.0) -> SegmentModel:
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, weight: float = 4.0, drift: float = 2.0) -> SegmentModel:
     """``docs``: doc_id, text; ``labels``: doc_id, label 0/1. At most ``most_rows`` labelled rows, by a hash of the id, are learned from."""
     named = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("long").alias("label"))
     picked = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "toxic-sample")  # most_rows bounds the broadcast
     classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     pos, neg = classes.get(1, 0), classes.get(0, 0)
-    m = SegmentModel(_counts(sample, most_tokens), (pos + 0.5) / (pos + neg + 1), weight, drift)
+    m = SegmentModel(_counts(sample), (pos + 0.5) / (pos + neg + 1), weight, drift)
     if not pos or not neg:
         return replace(m, tables=tuple((k[:0], c[:0]) for k, c in m.tables), slope=0.0, offset=float(np.log(m.base / (1 - m.base))))
 
@@ -221,41 +224,42 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, most_toke
             rows = [(n, np.array([s[2] for s in seg])) for n, seg, _, _ in _scan(m, [encode(t) for t in b["text"]], y)]
             yield pd.DataFrame({"label": y, "n": [r[0] for r in rows], "segments": [r[1] for r in rows]})
 
-    seen = sample.select("text", "label").mapInPandas(tidy(run), "label long, n long, segments array<double>")
-    # the 32 best segments of a text bound what the driver fits the two curves on
-    pdf = seen.select("label", "n", F.slice(F.sort_array("segments", asc=False), 1, 32).alias("segments")).toPandas()
-    best = np.array([max(s, default=0.0) for s in pdf["segments"]])
-    y, n = pdf["label"].to_numpy(), pdf["n"].to_numpy()
-    scale, size = _gumbel(best[y == 0], n[y == 0])
+    seen = materialize(sample.select("text", "label").mapInPandas(tidy(run), "label long, n long, segments array<double>"), "toxic-segments")
+    clean = seen.where("label = 0").select("n", F.coalesce(F.array_max("segments"), F.lit(0.0)).alias("best")).toPandas()  # two numbers a row of the sample
+    scale, size = _gumbel(clean["best"].to_numpy(), clean["n"].to_numpy())
     m = replace(m, scale=scale, size=size)
-    x = np.array([_summed(m, np.asarray(s, dtype=float), k) for s, k in zip(pdf["segments"], n, strict=True)])
-    slope, offset = _logistic(np.minimum(x, 40), y)
+    law = replace(m, tables=())
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"label": b["label"], "x": [_summed(law, np.asarray(s, dtype=float), n) for s, n in zip(b["segments"], b["n"], strict=True)]})
+
+    pdf = seen.mapInPandas(tidy(sums), "label long, x double").toPandas()
+    slope, offset = _logistic(np.minimum(pdf["x"].to_numpy(), 40), pdf["label"].to_numpy())
+    give_back()
     return replace(m, slope=slope, offset=offset)
 
 
-def score(docs: DataFrame, model: SegmentModel, passages: bool = True, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: SegmentModel, passages: bool = True, text_col: str = "text", score_col: str = "toxic_score") -> DataFrame:
     """``docs`` with ``toxic_score`` and, if asked for, ``toxic_passages``: array<struct<text, evidence>>."""
-    shared = share(docs.sparkSession, model)  # bounded by the number of tokens that learn() keeps
-    position = docs.columns.index(text_col)
-    extra = [T.StructField("toxic_score", T.DoubleType())]
+    shared = share(docs.sparkSession, model)  # bounded by the words of the sample that learn() takes
+    extra = [T.StructField(score_col, T.DoubleType())]
     if passages:
         extra.append(T.StructField("toxic_passages", T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("evidence", T.DoubleType())]))))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(texts: list[bytes]) -> list[pa.Array]:
         m = shared()
-        for b in batches:
-            texts = [encode(t) for t in b.iloc[:, position]]
-            sums, found = [], []
-            for n, seg, w, _ in _scan(m, texts):
-                best = np.array([s[2] for s in seg])
-                sums.append(_summed(m, best, n))
-                if passages:
-                    e = m.evidence(best, np.full(len(seg), n))
-                    found.append([{"text": w.buffer[w.starts[s] : w.ends[t - 1]].tobytes().decode("utf-8", "replace"), "evidence": float(v)} for (s, t, _), v in zip(seg, e, strict=True) if v > 0])
-            scores = m.probability(np.minimum(np.array(sums), 40))
-            yield b.assign(toxic_score=scores, toxic_passages=found) if passages else b.assign(toxic_score=scores)
+        sums, found = [], []
+        for n, seg, w, _ in _scan(m, texts):
+            best = np.array([s[2] for s in seg])
+            sums.append(_summed(m, best, n))
+            if passages:
+                e = m.evidence(best, np.full(len(seg), n))
+                found.append([{"text": w.buffer[w.starts[s] : w.ends[t - 1]].tobytes().decode("utf-8", "replace"), "evidence": float(v)} for (s, t, _), v in zip(seg, e, strict=True) if v > 0])
+        out = [pa.array(m.probability(np.minimum(np.array(sums, dtype=float), 40)))]
+        return [*out, pa.array(found, pa.list_(pa.struct([("text", pa.string()), ("evidence", pa.float64())])))] if passages else out
 
-    return docs.mapInPandas(tidy(run), T.StructType([*docs.schema.fields, *extra]))
+    return with_columns(docs, text_col, extra, made)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -284,5 +288,6 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents judged toxic go; all columns stay."""
-    columns = docs.columns
-    return score(docs, trained(spark, docs, sf_dir), passages=False).where(F.col("toxic_score") < THRESHOLD).select(*columns)
+    named = unused(docs.columns, "toxic_score")
+    found = score(docs, trained(spark, docs, sf_dir), passages=False, score_col=named)
+    return found.where(F.col(named) < THRESHOLD).drop(named)

@@ -1,6 +1,6 @@
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, id long, hash string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, id long, hash string, toxic_score double, poor_score string, __met int, __gone int, row long, copies int, Met int"
 
 
 @pytest.fixture()
@@ -18,7 +18,7 @@ def odd_docs(spark):
         (6, long, "en", None, len(long), 0.3, 3, "z"),
         (7, "ünï <|im_end|> 日本 \x00 \U0001f600 ▁", "xx", "a", 5, 0.3, 3, "z"),
     ]
-    return spark.createDataFrame(rows, DOCS)
+    return spark.createDataFrame([(*r, 0.5, "poor", 1, 2, r[0], 3, None) for r in [rows[5], *rows]], DOCS)
 
 
 @pytest.fixture()

@@ -84,6 +84,83 @@ def test_labels_of_one_class(spark, labelled, odd_docs):
         assert len(scores) == 1
 
 
+def plain_segments(x):
+    """The best segment, then what lies before it and after it."""
+    out, todo = [], [(0, len(x))]
+    while todo:
+        lo, hi = todo.pop()
+        best, total, start = (0.0, 0, 0), 0.0, lo
+        for i in range(lo, hi):
+            if total <= 0:
+                total, start = 0.0, i
+            total += x[i]
+            if total > best[0]:
+                best = (total, start, i + 1)
+        if best[0] > 0:
+            out.append(best[0])
+            todo += [(lo, best[1]), (best[2], hi)]
+    return out
+
+
+def plain_toxicity(docs, labels):
+    """The score of every text, token by token with dicts; only the fits of the two curves are the operator's."""
+    import math
+    import re
+
+    def tokens(text):
+        return [w for w in re.split(b"[" + re.escape(bytes(np.flatnonzero(X.SEPS).tolist())) + b"]+", (text or "").encode().lower()) if w]
+
+    cut = [*X.ROOTS, 10**9]
+    sample = [(t, labels[i]) for i, t in docs if i in labels]
+    known = [{} for _ in cut]
+    for text, y in sample:
+        for k, n in enumerate(cut):
+            for key in {w[:n] for w in tokens(text)}:
+                known[k].setdefault(key, [0, 0])[1 - y] += 1
+    pos = sum(y for _, y in sample)
+    base = (pos + 0.5) / (len(sample) + 1)
+
+    def segments(text, y=None):
+        last, x = {}, []
+        words = tokens(text)
+        for at, w in enumerate(words):
+            share = base
+            for k, n in enumerate(cut):
+                toxic, clean = known[k].get(w[:n], (0, 0))
+                if y is not None:
+                    toxic, clean = toxic - (y == 1), clean - (y == 0)
+                share = (toxic + 4 * share) / (toxic + clean + 4)
+            v = math.log(share / (1 - share)) - math.log(base / (1 - base)) - 2
+            if v > 0:
+                if at - last.get(w, -(10**9)) <= X.NEAR:
+                    v *= X.REPEAT
+                last[w] = at
+            x.append(v)
+        return len(words), plain_segments(x)
+
+    seen = [(y, *segments(t, y)) for t, y in sample]
+    scale, size = X._gumbel(np.array([max(s, default=0.0) for y, _, s in seen if y == 0]), np.array([n for y, n, _ in seen if y == 0]))
+
+    def summed(n, found):
+        e = [scale * s - math.log(size * max(n, 1)) for s in [*found, 0.0]]
+        return sum(v for v in e if v > 0) or max(e)
+
+    slope, offset = X._logistic(np.array([min(summed(n, s), 40) for _, n, s in seen]), np.array([y for y, _, _ in seen]))
+    return {i: 1 / (1 + math.exp(-min(max(slope * min(summed(*segments(t)), 40) + offset, -30), 30))) for i, t in docs}
+
+
+def test_toxicity_against_a_plain_version(spark):
+    import zlib
+
+    folder = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    want = plain_toxicity(docs, labels)
+    got = {r.doc_id: r for r in queries.QUERIES["op5_toxicity"](spark, folder).collect()}
+    assert set(got) == set(want) and max(abs(got[i].score - w) for i, w in want.items()) < 1e-6
+    assert all(got[i].predicted == (got[i].score >= 0.7) for i in want)
+
+
 def test_held_out_rule(spark):
     import zlib
 
@@ -120,6 +197,81 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     assert Q.score(no_docs, Q.learn(no_docs)).count() == 0
 
 
+def mixed(x):
+    """The finaliser of a 64-bit hash, in integers."""
+    m = (1 << 64) - 1
+    x ^= x >> 31
+    x = x * 0xBF58476D1CE4E5B9 & m
+    x ^= x >> 29
+    x = x * 0x94D049BB133111EB & m
+    return x ^ x >> 32
+
+
+def plain_hash(word):
+    """The polynomial hash of a word's bytes."""
+    base = 0x9E3779B97F4A7C15 | 1
+    return mixed(sum((b + 1) * pow(base, k, 1 << 64) for k, b in enumerate(word)) & ((1 << 64) - 1))
+
+
+def plain_quality(text, weights):
+    """The chance of being poor by the learned weights, word by word."""
+    import math
+    import re
+
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0d]+", raw)
+    if not words:
+        return 1 / (1 + math.exp(-weights[-1]))
+    n, inside = len(words), b"".join(words)
+    kind = {b: chr(Q._CLASS[b]) for b in range(256)}
+    marks, letters = bytes(np.flatnonzero(Q._MARK).tolist()), [b for b in inside if kind[b] in "aA"]
+    times = {}
+    for w in words:
+        times[w] = times.get(w, 0) + 1
+    stats = {
+        "repeats": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        "symbols": sum(b in marks for b in inside) / len(inside),
+        "shouts": inside.count(b"!") / n,
+        "capitals": sum(kind[b] == "A" for b in letters) / max(len(letters), 1),
+        "bars": inside.count(b"|") / n,
+        "variety": len(times) / min(n, math.sqrt(n * 200)),
+        "stops": (inside.count(b".") + inside.count(b",")) / n,
+        "commonest": max(times.values()) / n,
+        "word_length": len(inside) / n,
+        "marked": sum(any(b in marks for b in w) for w in words) / n,
+        "runs": sum(a == b and kind[a] not in "aA0 " for a, b in zip(raw, raw[1:], strict=False)) / n,
+    }
+    z = weights[-1]
+    for k, (name, (poor, good, _)) in enumerate(Q.VOTES.items()):
+        x = stats[name] / (2 * good if name in Q._LOWER_IS_POOR else 4 * poor)
+        z += weights[(1 << Q.WORD_BITS) + (1 << Q.SHAPE_BITS) + k * Q._BINS + int(math.sqrt(min(max(x, 0), 0.9999)) * Q._BINS)]
+    for w in words:
+        shape = re.sub(r"(.)\1+", r"\1", "".join(kind[b] for b in w), flags=re.S).encode()
+        z += (weights[plain_hash(w) >> (64 - Q.WORD_BITS)] + weights[(1 << Q.WORD_BITS) + (mixed(plain_hash(shape)) >> (64 - Q.SHAPE_BITS))]) / n
+    return 1 / (1 + math.exp(-min(max(z, -30), 30)))
+
+
+def test_quality_against_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    m = Q.learn(docs)
+    for r in Q.score(docs, m).collect():
+        assert abs(r.poor_score - plain_quality(r.text, m.weights)) < 1e-9
+
+
+def test_scores_beside_clashing_names(spark, labelled, odd_docs):
+    """A column named as a result is replaced; the stages keep it, and ids aren't rounded on the way."""
+    big = 2**60 + 1
+    rows = spark.createDataFrame([(big, "a calm text", 0.25, "x"), (None, "a calm text", None, None)], "doc_id long, text string, toxic_score double, poor_score string")
+    assert X.score(rows, X.learn(*labelled), passages=False).columns == ["doc_id", "text", "poor_score", "toxic_score"]
+    kept = Q.score(rows, Q.learn(rows)).collect()
+    assert [r.doc_id for r in kept] == [big, None] and [r.toxic_score for r in kept] == [0.25, None]
+    stage = Q.stage(spark, odd_docs, "")
+    assert stage.columns == odd_docs.columns and {r.poor_score for r in stage.collect()} == {"poor"}
+    folder = "/root/testdata/sf0.001"
+    stage = X.stage(spark, odd_docs, folder)
+    assert stage.columns == odd_docs.columns and {r.toxic_score for r in stage.collect()} == {0.5}
+
+
 def test_features_by_plain_counting():
     texts = ["Stop stop stop!! NOW | x*y", "", "a b a b a b", "  ", "Über größe 12"]
     stats, n, words, shapes = Q.features([t.encode() for t in texts])

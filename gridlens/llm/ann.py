@@ -8,8 +8,8 @@ Every usable row is indexed. Equal vectors are indexed once with their ``k + 1``
 as ties go to smaller ids. All cells of one first centroid form a slab, cut into blocks of ``block`` vectors, so that a
 crowded cell is many small tasks; a query goes to a block once, with the list of the cells that it visits there.
 
-Cases: vectors that are null, zero, of another length than most, or with null or non-finite components take no part,
-nor do rows without id; fewer than ``k`` candidates are all returned; a query without candidates returns no row;
+Cases: vectors that are null, zero, or with null or non-finite components take no part, nor do rows without id; vectors
+of different lengths have no distance, so each length is searched on its own; fewer than ``k`` candidates are all returned; a query without candidates returns no row;
 repeated rows count once; an empty table gives no rows; other columns are ignored.
 """
 
@@ -51,14 +51,14 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([_squared(x[lo : lo + 4096], c).argmin(1) for lo in range(0, len(x), 4096)] or [np.zeros(0, int)])
 
 
-def cells_in_order(d1: np.ndarray, d2: np.ndarray, sizes: dict[tuple[int, int], int], enough: int) -> list[tuple[int, int]]:
-    """Non-empty cells by ascending ``d1[i] + d2[j]`` until they hold ``enough`` vectors."""
+def cells_in_order(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray | dict[tuple[int, int], int], enough: int) -> list[tuple[int, int]]:
+    """Non-empty cells by ascending ``d1[i] + d2[j]`` until they hold ``enough`` vectors; ``sizes``: how many each holds."""
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
     heap, pushed, found, held = [(d1[o1[0]] + d2[o2[0]], 0, 0)], {(0, 0)}, [], 0
     while heap and held < enough:
         _, a, b = heapq.heappop(heap)
         cell = (int(o1[a]), int(o2[b]))
-        if n := sizes.get(cell, 0):
+        if n := int(sizes[cell]) if isinstance(sizes, np.ndarray) else sizes.get(cell, 0):
             found.append(cell)
             held += n
         for step in ((a + 1, b), (a, b + 1)):
@@ -91,14 +91,20 @@ def search(
     vectors without any cluster structure (64 independent components) 0.6 gives about 0.96, 0.3 about 0.85 and 0.1 about 0.55; data
     with clusters do with far less.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    top = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not top:
-        return empty  # no usable vector at all
-    dim = top[0]["dim"]
-    rows = rows.where(F.size("v") == dim)
+    kind = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    found = None
+    for r in rows.select(F.size("v").alias("dim")).distinct().orderBy("dim").collect():  # one row a length
+        one = _search(rows.where(F.size("v") == r["dim"]), queries, r["dim"], kind, k, sample, per_cell, most_centroids, visit, least, block, rounds, seed)
+        found = one if found is None else found.union(one)
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
+
+
+def _search(
+    rows: DataFrame, queries: Column, dim: int, kind: str, k: int, sample: int, per_cell: int, most_centroids: int, visit: float, least: int, block: int, rounds: int, seed: int
+) -> DataFrame:
+    """The same over rows (vec_id, v) of one length."""
+    spark = rows.sparkSession
     # distinct vectors with their smallest ids; the rank limit is applied before the shuffle as well
     ranked = rows.dropDuplicates(["vec_id", "v"]).withColumn("__at", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("__at") <= k + 1)
     kept = materialize(ranked.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "ann-vectors")
@@ -114,12 +120,12 @@ def search(
                 x = np.stack(b["v"].to_numpy()).astype(np.float64)
                 yield b.assign(c1=_nearest(x[:, :half], books[0]), c2=_nearest(x[:, half:], books[1]))
 
-    index = materialize(kept.mapInPandas(tidy(assign), "v array<float>, ids array<long>, c1 int, c2 int"), "ann-index")
-    sizes = {(r["c1"], r["c2"]): r["count"] for r in index.groupBy("c1", "c2").count().collect()}
-    slabs: dict[int, int] = {}
-    for (c1, _), count in sizes.items():
-        slabs[c1] = slabs.get(c1, 0) + count
-    blocks = {c1: -(-count // block) for c1, count in slabs.items()}
+    index = materialize(kept.mapInPandas(tidy(assign), f"v {kind}, ids array<long>, c1 int, c2 int"), "ann-index")
+    counted = index.groupBy("c1", "c2").count().toArrow()  # most_centroids squared at most
+    sizes = np.zeros((len(books[0]), len(books[1])), dtype=np.int64)
+    sizes[counted.column("c1").to_numpy(), counted.column("c2").to_numpy()] = counted.column("count").to_numpy()
+    blocks = {c1: -(-int(count) // block) for c1, count in enumerate(sizes.sum(1)) if count}
+    shared = spark.sparkContext.broadcast(sizes)
     enough = max(least, int(np.ceil(visit * n))) + k
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,7 +138,7 @@ def search(
                 at, out = [], []
                 for q in range(lo, min(lo + 200, len(b))):
                     visited: dict[int, list[int]] = {}
-                    for c1, c2 in cells_in_order(d1[q], d2[q], sizes, enough):
+                    for c1, c2 in cells_in_order(d1[q], d2[q], shared.value, enough):
                         visited.setdefault(c1, []).append(c2)
                     for c1, seconds in visited.items():
                         out += [(c1, part, seconds) for part in range(blocks[c1])]
@@ -142,12 +148,13 @@ def search(
     # queries with equal vectors walk once: the smallest id stands for them
     asking = rows.where(queries).dropDuplicates(["vec_id", "v"])
     stands = asking.groupBy("v").agg(F.min("vec_id").alias("query_id"))
-    visits = stands.select("query_id", "v").mapInPandas(tidy(walk), "c1 int, part int, seconds array<int>, q long, qv array<float>")
+    tasks = max(1, -(-stands.count() // 128))
+    visits = stands.select("query_id", "v").repartition(tasks, "query_id").mapInPandas(tidy(walk), f"c1 int, part int, seconds array<int>, q long, qv {kind}")
     pieces = F.create_map(*[x for c1, count in sorted(blocks.items()) for x in (F.lit(c1), F.lit(count))])
     dealt = index.withColumn("part", F.pmod(F.xxhash64(F.col("ids")[0]), F.try_element_at(pieces, F.col("c1"))).cast("int"))
 
     def rank(_: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(held):
+        if not len(asked) or not len(held):  # a block that nobody visits
             return pd.DataFrame({"q": [], "ids": pd.Series([], dtype=object), "score": []})
         x = np.stack(held["v"].to_numpy()).astype(np.float64)
         ids, out = held["ids"].to_numpy(), []

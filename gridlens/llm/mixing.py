@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, table, tidy
+from .common import materialize, mix64, table, tidy, unused
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -77,12 +77,14 @@ def mix(
     """Documents (id, source, size, source_size, target, taken), slots (shard, source, pass, block), and spans of documents in blocks.
 
     What is known per source is collected: the number of sources must fit the driver, as it must for weights to be set.
-    Offsets within a source come in two steps, per slice of ids and then within it, so a hot source is many tasks.
+    Offsets within a source come in two steps, per slice of ids and then within it, so a hot source is many tasks; the
+    slices grow in number with the rows. The slots that the shards draw are numbered in the same way.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"))
     rows = materialize(rows, "mix-sizes")
-    known = rows.groupBy("source").agg(F.sum("size").alias("n")).collect()
+    known = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    bits = 8 + (sum(r["rows"] for r in known) // 100_000).bit_length()
     known.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["n"]) for r in known]
     targets = capped_shares(sizes, [weights[i % len(weights)] for i in range(len(known))], passes)
@@ -97,15 +99,15 @@ def mix(
     tagged = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).select("id", rows["source"], "size", "src", "source_size", "target", "n_blocks")
 
     # word offsets: documents are sliced by ranges of their hash, and the slices' totals are summed up first
-    order_key = F.coalesce(F.xxhash64("id"), F.lit(0))
-    placed = tagged.where("size > 0").withColumn("order_key", order_key).withColumn("slice", F.shiftright("order_key", 56))
+    order_key = F.when(F.col("id").isNull(), F.lit(-(1 << 63))).otherwise(F.xxhash64("id"))
+    placed = tagged.where("size > 0").withColumn("order_key", order_key).withColumn("slice", F.shiftright("order_key", max(64 - bits, 32)))
     within = Window.partitionBy("src", "slice").orderBy("order_key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     running = Window.partitionBy("src").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = placed.groupBy("src", "slice").agg(F.sum("size").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0))).drop("n")
     first_block, last_block = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     spans = (
         placed.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .join(F.broadcast(slices), ["src", "slice"])  # 256 rows a source at most
+        .join(slices, ["src", "slice"])
         .withColumn("start", F.col("before") + F.col("inner"))
         .select("id", "src", "size", "start", F.explode(F.sequence(first_block, last_block)).alias("block"))
         .withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block))
@@ -127,8 +129,12 @@ def mix(
             yield pd.DataFrame(out, columns=["shard", "src", "n"])
 
     drawn = materialize(spark.range(n_shards).mapInPandas(tidy(draw), "shard long, src int, n long"), "mix-draws")
-    run = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = drawn.withColumn("first", F.coalesce(F.sum("n").over(run), F.lit(0)))
+    lot = F.floor(F.col("shard") / 1024).alias("lot")
+    run = Window.partitionBy("src").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
+    lots = drawn.groupBy("src", lot).agg(F.sum("n").alias("n")).select("src", "lot", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("before"))
+    run = Window.partitionBy("src", "lot").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = drawn.select("*", lot).withColumn("inner", F.coalesce(F.sum("n").over(run), F.lit(0))).join(lots, ["src", "lot"])
+    numbered = numbered.select("shard", "src", "n", (F.col("before") + F.col("inner")).alias("first"))
     tops = {r["src"]: int(r["n"]) for r in drawn.groupBy("src").agg(F.sum("n").alias("n")).collect()}
     # slots over a quota go to sources under theirs: the over-drawn and the missing slots are numbered alike and matched by number
     over, under = [], []
@@ -183,23 +189,23 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def copies(mixed: DataFrame, key_col: str, source_col: str) -> DataFrame:
-    """``mixed`` with ``copies``: how often a whole document stands for the words taken of it.
+    """Key and ``copies`` of each row of ``mixed`` with words: how often a whole document stands for the words taken of it.
 
     A remainder of a document's size is drawn systematically, documents in the order of their size: the words put out
     for a source then differ from those taken by no more than about its largest document. Running sums come in two
     steps, per slice of equal sizes and then within it.
     """
     unit = 1 << 20
-    rows = mixed.where("size > 0").withColumn("__k", F.xxhash64(source_col)).withColumn("__part", F.pmod(F.xxhash64(key_col), F.lit(64)))
-    rows = rows.withColumn("__rest", F.round((F.col("taken") % F.col("size")) * float(unit) / F.col("size")).cast("long"))
-    within = Window.partitionBy("__k", "size", "__part").orderBy(key_col).rowsBetween(Window.unboundedPreceding, -1)
-    running = Window.partitionBy("__k").orderBy("size", "__part").rowsBetween(Window.unboundedPreceding, -1)
-    slices = rows.groupBy("__k", "size", "__part").agg(F.sum("__rest").alias("__n"))
-    slices = slices.withColumn("__before", F.coalesce(F.sum("__n").over(running), F.lit(0))).drop("__n")
-    rows = rows.withColumn("__inner", F.coalesce(F.sum("__rest").over(within), F.lit(0))).join(slices, ["__k", "size", "__part"])
-    at = F.col("__before") + F.col("__inner") + unit // 2
-    more = F.shiftright(at + F.col("__rest"), 20) - F.shiftright(at, 20)
-    return rows.withColumn("copies", F.floor(F.col("taken") / F.col("size")) + more).drop("__k", "__part", "__rest", "__inner", "__before")
+    rows = mixed.where("size > 0").select(F.col(key_col).alias("key"), F.xxhash64(source_col).alias("k"), "size", "taken", F.pmod(F.xxhash64(key_col), F.lit(64)).alias("part"))
+    rows = rows.withColumn("rest", F.round((F.col("taken") % F.col("size")) * float(unit) / F.col("size")).cast("long"))
+    within = Window.partitionBy("k", "size", "part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    running = Window.partitionBy("k").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)
+    slices = rows.groupBy("k", "size", "part").agg(F.sum("rest").alias("n"))
+    slices = slices.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0))).drop("n")
+    rows = rows.withColumn("inner", F.coalesce(F.sum("rest").over(within), F.lit(0))).join(slices, ["k", "size", "part"])
+    at = F.col("before") + F.col("inner") + unit // 2
+    more = F.shiftright(at + F.col("rest"), 20) - F.shiftright(at, 20)
+    return rows.select(F.col("key").alias(key_col), (F.floor(F.col("taken") / F.col("size")) + more).alias("copies"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -209,11 +215,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     words are in no mix and go.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "source", "text"))
-    found, _, _ = mix(keyed, id_col="__row")
-    per_row = copies(materialize(found, "mix-taken"), "__row", "source").groupBy("__row").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__same"))
-    wanted = materialize(per_row.where("__copies > 0"), "mix-copies")
-    rank = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*columns)))
-    placed = keyed.join(wanted, "__row").withColumn("__rank", rank)
-    times = F.floor(F.col("__copies") / F.col("__same")) + (F.col("__rank") <= F.col("__copies") % F.col("__same")).cast("long")
-    return placed.withColumn("__time", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*columns)
+    own, n_copies, n_same, rank, time = (unused(docs.columns, n) for n in ("row", "copies", "same", "rank", "time"))
+    keyed = docs.withColumn(own, F.xxhash64("doc_id", "source", "text"))
+    found, _, _ = mix(keyed, id_col=own)
+    per_row = copies(materialize(found, "mix-taken"), own, "source").groupBy(own).agg(F.sum("copies").alias(n_copies), F.count(F.lit(1)).alias(n_same))
+    wanted = materialize(per_row.where(F.col(n_copies) > 0), "mix-copies")
+    placed = keyed.join(wanted, own).withColumn(rank, F.row_number().over(Window.partitionBy(own).orderBy(F.xxhash64(*columns))))
+    times = F.floor(F.col(n_copies) / F.col(n_same)) + (F.col(rank) <= F.col(n_copies) % F.col(n_same)).cast("long")
+    return placed.withColumn(time, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*columns)

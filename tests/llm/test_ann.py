@@ -68,6 +68,13 @@ def test_few_and_no_candidates(spark):
     assert ann.search(df.where("vec_id = 7"), q).collect() == []
 
 
+def test_doubles_keep_their_precision(spark):
+    rows = [(k, [1.0 + k * 1e-9, 2.0]) for k in range(30)] + [(1000, [3.0, 4.0, 5.0]), (1001, [3.0, 4.0, 6.0])]
+    got = answers(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0))
+    assert [v for v, _ in got[0]] == list(range(1, 11)) and all(abs(s - v * 1e-9) < 1e-15 for v, s in got[0])
+    assert got[1000] == [(1001, 1.0)]
+
+
 def test_cells_in_order():
     rng = np.random.default_rng(3)
     d1, d2 = rng.random(7), rng.random(5)

@@ -20,7 +20,8 @@ def test_stages_on_given_documents(spark, data):
             rows = [(r.doc_id, r.text) for r in before.collect()]
             want = {root for _, root in plain_components(rows).values()}
             assert {r.doc_id for r in docs.collect()} == want
-    assert kept == sorted(kept, reverse=True) and kept[-1] > 0
+    # the mix repeats documents, so rows may grow there; the stages before it only take rows away
+    assert kept[:3] == sorted(kept[:3], reverse=True) and kept[4] == kept[3] > 0
     assert all(np.array(r.ids).size == r.n_tokens for r in docs.collect())
 
 

@@ -28,8 +28,8 @@ def issues(rows: DataFrame, label: str, classes: tuple[str, ...], tolerated: tup
     out = missing.select(F.lit("missing_labels").alias("id"), "severity", F.lit("Expected classes don't occur").alias("title"), F.col("missing").alias("detail"), F.lit("Collect more episodes").alias("fix"))
     uneven = stats.imbalance(rows, label).where("unbalanced")
     out = out.unionByName(uneven.select(F.lit("imbalance").alias("id"), F.lit("medium").alias("severity"), F.lit("Classes are uneven").alias("title"), F.format_string("%.2f", "ratio").alias("detail"), F.lit("Weigh or undersample classes").alias("fix")))
-    counts = record_counts(rows, fields)
-    for col, ident, severity, title in (("wrong_size", "shape", "high", "Arrays of a wrong length"), ("nans", "nan", "high", "NaN values"), ("infs", "inf", "high", "Infinite values")):
+    counts = record_counts(rows, fields) if fields else None
+    for col, ident, severity, title in () if counts is None else (("wrong_size", "shape", "high", "Arrays of a wrong length"), ("nans", "nan", "high", "NaN values"), ("infs", "inf", "high", "Infinite values")):
         found = counts.where(F.col(col) > 0)
         detail = F.concat_ws(": ", "field", F.col(col).cast("string"))
         out = out.unionByName(found.select(F.concat(F.lit(f"{ident}_"), "field").alias("id"), F.lit(severity).alias("severity"), F.lit(title).alias("title"), detail.alias("detail"), none.alias("fix")))

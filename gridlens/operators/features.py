@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import unused
+
 #: Fixed value: the voltage that scales to 1.
 VOLTAGE_BASE = 150.0
 
@@ -42,7 +44,8 @@ def both_directions(edges: DataFrame, src: str = "src", dst: str = "dst") -> Dat
     """Every edge forwards and backwards with its other columns repeated: one explode instead of a union of two scans."""
     rest = [c for c in edges.columns if c not in (src, dst)]
     ends = F.array(F.struct(F.col(src).alias("a"), F.col(dst).alias("b"), F.lit(False).alias("r")), F.struct(F.col(dst).alias("a"), F.col(src).alias("b"), F.lit(True).alias("r")))
-    return edges.withColumn("__e", F.explode(ends)).select(*rest, F.col("__e.a").alias(src), F.col("__e.b").alias(dst), F.col("__e.r").alias("reversed"))
+    e = unused(edges.columns, "end")
+    return edges.withColumn(e, F.explode(ends)).select(*rest, F.col(f"{e}.a").alias(src), F.col(f"{e}.b").alias(dst), F.col(f"{e}.r").alias("reversed"))
 
 
 def explode_records(records: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:

@@ -53,6 +53,11 @@ def priority_line(rho: Column, trips: Column, injected_line: Column, maintenance
     )
 
 
+def substation(line: Column, origins: Column) -> Column:
+    """Where the line begins: ``origins`` is the metadata's array of origin substations by line. Null for no line."""
+    return A.gather(origins, line)
+
+
 def screening_label(rho: Column, status: Column, maintenance: Column) -> Column:
     """The coarse ladder: overload, line_down, maintenance, normal; empty or null arrays decide nothing."""
     return (

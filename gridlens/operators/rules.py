@@ -7,11 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.names import unused
 from ..schemas import RULE_FIELDS
+from ..sources.scratch import written
+from .splits import with_ordinal
 
 Completer = Callable[[str], str]
 
@@ -48,11 +51,15 @@ def string_field(value: Column, name: str) -> Column:
 
 def parse_candidates(rows: DataFrame, answer_col: str) -> DataFrame:
     """One row per item of the carved JSON array: the columns of ``rows``, ``pos``, ``item`` (variant) and the checked ``rule``."""
-    spark = rows.sparkSession
-    carved = rows.withColumn("__v", F.try_parse_json(X.carve_array(F.col(answer_col))))
-    items = carved.lateralJoin(spark.tvf.variant_explode(F.col("__v").outer()))
-    picked = items.select(*rows.columns, F.col("pos").cast("long").alias("pos"), F.col("value").alias("item"))
-    return picked.withColumn("rule", checked({f: string_field(F.col("item"), f) for f in RULE_FIELDS}))
+    return array_items(rows, answer_col).withColumn("rule", checked({f: string_field(F.col("item"), f) for f in RULE_FIELDS}))
+
+
+def array_items(rows: DataFrame, answer_col: str) -> DataFrame:
+    """One row per item of the JSON array in an answer: the columns of ``rows``, ``pos``, ``item``; nulls if there is none."""
+    parsed = unused([*rows.columns, "pos", "key", "value"], "parsed")
+    carved = rows.withColumn(parsed, F.try_parse_json(X.carve_array(F.col(answer_col))))
+    items = carved.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col(parsed).outer()))
+    return items.select(*rows.columns, F.col("pos").cast("long").alias("pos"), F.col("value").alias("item"))
 
 
 def call_model(chunks: DataFrame, prompt_col: str, complete: Completer, retries: int = 1) -> DataFrame:
@@ -88,6 +95,25 @@ def by_chunk(candidates: DataFrame, chunk_col: str, order_col: str, rule_col: st
     return candidates.groupBy(chunk_col).agg(F.min(order_col).alias("first_seen"), F.count(F.lit(1)).alias("n_rules"), F.transform(listed, lambda x: x["r"]).alias("rules"))
 
 
+def validate(rules: DataFrame, chunks: DataFrame, chunk_col: str, text_col: str, template: str, complete: Completer) -> DataFrame:
+    """``rules``: chunk and ``rule``; ``chunks``: chunk and its text. Adds outcome, reason, the final rule and ``validate_ms``.
+
+    One model call for each chunk that has rules, with all of them as JSON in the prompt (``{chunk}``, ``{rules}``); a
+    call that fails flags all its rules. The call's time is shared out evenly among them.
+    """
+    keyed = rules.withColumn("rule_id", F.col("rule.rule_id"))
+    asked = by_chunk(keyed, chunk_col, "rule_id", "rule").join(chunks.select(chunk_col, F.col(text_col).alias("chunk_text")), chunk_col, "left")
+    prompt = X.fill(template, chunk=F.coalesce("chunk_text", F.lit("")), rules=F.to_json("rules"))
+    # calls are made once: their answers serve as verdicts, as failures and for their times
+    answered = written(call_model(asked.select(chunk_col, "n_rules", prompt.alias("prompt")), "prompt", complete).drop("prompt"), "answers")
+    item = F.col("item")
+    verdicts = array_items(answered.where("error IS NULL"), "answer").select(
+        chunk_col, "pos", string_field(item, "rule_id").alias("rule_id"), string_field(item, "verdict").alias("verdict"), F.try_variant_get(item, "$.corrected_fields", "map<string,string>").alias("corrected")
+    )
+    calls = answered.select(chunk_col, F.col("error").isNotNull().alias("failed"), (F.col("elapsed_ms") / F.greatest("n_rules", F.lit(1))).alias("validate_ms"))
+    return route(keyed.join(calls, chunk_col), verdicts, [chunk_col, "rule_id"], failed=F.col("failed")).drop("failed", "rule_id")
+
+
 def last_verdicts(verdicts: DataFrame, keys: list[str], order_col: str) -> DataFrame:
     """Well-formed verdicts only, upper-cased; of several for one rule the last counts."""
     word = F.upper("verdict")
@@ -104,24 +130,21 @@ def route(rules: DataFrame, verdicts: DataFrame, keys: list[str], order_col: str
     fix = F.coalesce(F.col("v.corrected"), F.create_map().cast("map<string,string>"))
     merged = checked({f: F.when(F.array_contains(F.map_keys(fix), f), F.try_element_at(fix, F.lit(f))).otherwise(F.col(f"rule.{f}")) for f in RULE_FIELDS})
     word = F.col("v.verdict")
-    out = joined.withColumn("__m", merged)
+    m = unused([*joined.columns, "outcome", "reason", "final_rule"], "merged")
+    out = joined.withColumn(m, merged)
     outcome = (
-        F.when(word == "CONFIRM", "confirmed").when((word == "CORRECT") & F.col("__m").isNotNull(), "corrected").when(word == "REJECT", "rejected").otherwise("flagged")
+        F.when(word == "CONFIRM", "confirmed").when((word == "CORRECT") & F.col(m).isNotNull(), "corrected").when(word == "REJECT", "rejected").otherwise("flagged")
     )
-    reason = F.when(word.isNull(), "NO_VERDICT").when((word == "CORRECT") & F.col("__m").isNull(), "INVALID_CORRECTION")
+    reason = F.when(word.isNull(), "NO_VERDICT").when((word == "CORRECT") & F.col(m).isNull(), "INVALID_CORRECTION")
     if failed is not None:
         outcome, reason = F.when(failed, "flagged").otherwise(outcome), F.when(failed, "VALIDATOR_FAIL").otherwise(reason)
-    final = F.when(outcome == "corrected", F.col("__m")).otherwise(F.col("rule"))
+    final = F.when(outcome == "corrected", F.col(m)).otherwise(F.col("rule"))
     return out.select(*rules.columns, outcome.alias("outcome"), reason.alias("reason"), final.alias("final_rule"))
 
 
 def numbered(rules: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """``rule_id`` R_001, R_002, ... in the order of (group, order): groups are counted first, then numbered each on its own."""
-    before = rules.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    running = Window.partitionBy(F.lit(1)).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select(group, F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rules.withColumn("__i", within).join(before, group).withColumn("rule_id", X.rule_id(F.col("__before") + F.col("__i"))).drop("__i", "__before")
+    """``rule_id`` R_001, R_002, ... in the order of (group, order)."""
+    return with_ordinal(rules, group, *order).withColumn("rule_id", X.rule_id(F.col("ordinal") + 1)).drop("ordinal")
 
 
 def merge_duplicates(rows: DataFrame, keys: list[str], order: str, source: str, exact: bool = False) -> DataFrame:
@@ -147,3 +170,19 @@ def run_figures(routed: DataFrame, file_col: str, ms: Column | None = None) -> D
     counts = [F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in ("confirmed", "corrected", "rejected", "flagged")]
     extra = [F.sum(ms).alias("total_ms"), F.avg(ms).alias("ms_per_rule")] if ms is not None else []
     return routed.rollup(F.col(file_col).alias("file")).agg(F.count(F.lit(1)).alias("n_candidates"), *counts, *extra).withColumn("n_kept", F.col("n_confirmed") + F.col("n_corrected"))
+
+
+def extraction_rates(candidates: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: share of the known rules that were extracted, share of extracted rules that are known ones, and share of
+    candidates that parse. ``candidates`` has the checked ``rule``; rules are compared by ``keys``, in any case."""
+    own = lambda of: [F.lower(F.col(of + k)).alias(k) for k in keys]
+    found = candidates.groupBy(*own("rule.")).agg(F.count(F.lit(1)).alias("n"), F.count("rule").alias("n_valid"))
+    listed = known.select(*own("")).distinct().withColumn("listed", F.lit(True))
+    met = found.join(listed, keys, "full_outer")
+    share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    known_valid = F.sum(F.when(F.col("listed"), F.col("n_valid")))
+    return met.agg(
+        share(F.count_if(F.col("listed") & (F.col("n_valid") > 0)), F.count_if("listed")).alias("coverage"),
+        share(F.coalesce(known_valid, F.lit(0)), F.sum("n_valid")).alias("precision"),
+        share(F.sum("n_valid"), F.sum("n")).alias("parse_rate"),
+    )

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import operator
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import unused
+
 _WORD = re.compile(r"\s*(?:(\d+(?:\.\d+)?)|([A-Za-z_]\w*)|(<=|>=|==|!=|<|>|=|\(|\)))")
+_SIGNS = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "=": operator.eq, "==": operator.eq, "!=": operator.ne}
 
 
-def condition(text: str, columns: Mapping[str, Column]) -> Column:
-    """``name op number`` terms with AND, OR and parentheses, over the named columns only; anything else is an error.
+def _read(text: str, names: Iterable[str], compare: Callable, both_of: Callable, either_of: Callable):
+    """``name op number`` terms with AND, OR and parentheses, over the given names only; anything else is an error.
 
-    Rules come from a model, so their text never reaches an SQL expression.
+    Values come to ``compare`` as (name, None) or (None, number), what it makes of them to the other two.
     """
+    names = set(names)
     words, at = [], 0
     while at < len(text.rstrip()):
         m = _WORD.match(text, at)
@@ -28,19 +33,19 @@ def condition(text: str, columns: Mapping[str, Column]) -> Column:
     def upper() -> str:
         return words[place][0].strip().upper() if place < len(words) else ""
 
-    def value() -> Column:
+    def value() -> tuple[str | None, float | None]:
         nonlocal place
         if place >= len(words):
             raise ValueError(f"the condition {text!r} ends too early")
         m = words[place]
         place += 1
         if m[1] is not None:
-            return F.lit(float(m[1]))
-        if m[2] in columns:
-            return columns[m[2]]
+            return None, float(m[1])
+        if m[2] in names:
+            return m[2], None
         raise ValueError(f"unknown name {m[0].strip()!r} in {text!r}")
 
-    def term() -> Column:
+    def term():
         nonlocal place
         if upper() == "(":
             place += 1
@@ -50,27 +55,25 @@ def condition(text: str, columns: Mapping[str, Column]) -> Column:
             place += 1
             return inner
         left, sign = value(), upper()
-        place += 1
-        right = value()
-        made = {"<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right, "=": left == right, "==": left == right, "!=": left != right}
-        if sign not in made:
+        if sign not in _SIGNS:
             raise ValueError(f"a comparison is missing in {text!r}")
-        return made[sign]
+        place += 1
+        return compare(left, sign, value())
 
-    def both() -> Column:
+    def both():
         nonlocal place
         out = term()
         while upper() == "AND":
             place += 1
-            out = out & term()
+            out = both_of(out, term())
         return out
 
-    def either() -> Column:
+    def either():
         nonlocal place
         out = both()
         while upper() == "OR":
             place += 1
-            out = out | both()
+            out = either_of(out, both())
         return out
 
     out = either()
@@ -79,18 +82,48 @@ def condition(text: str, columns: Mapping[str, Column]) -> Column:
     return out
 
 
+def condition(text: str, columns: Mapping[str, Column]) -> Column:
+    """A single condition as a column. Rules come from a model, so their text never reaches an SQL expression."""
+    one = lambda v: F.lit(v[1]) if v[0] is None else columns[v[0]]
+    return _read(text, columns, lambda left, sign, right: _SIGNS[sign](one(left), one(right)), lambda a, b: a & b, lambda a, b: a | b)
+
+
+def clauses(text: str, names: tuple[str, ...]) -> list[list[tuple]]:
+    """The condition as alternatives of terms that must all hold: (left name, left number, sign, right name, right number)."""
+    return _read(text, names, lambda left, sign, right: [[(*left, sign, *right)]], lambda a, b: [x + y for x in a for y in b], lambda a, b: a + b)
+
+
+_TERM = "struct<left:string,left_number:double,sign:string,right:string,right_number:double>"
+
+
+def rule_table(spark: SparkSession, rules: list[dict[str, str]], names: tuple[str, ...]) -> DataFrame:
+    """entity (lower case), rules: array<struct<rule_id, explanation, clauses>>."""
+    rows = [(r["entity"].lower(), r["rule_id"], r["explanation"], clauses(r["condition"], names)) for r in rules]
+    flat = spark.createDataFrame(rows, f"entity string, rule_id string, explanation string, clauses array<array<{_TERM}>>")
+    return flat.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("rule_id", "explanation", "clauses"))).alias("rules"))
+
+
 def shield(predictions: DataFrame, rules: list[dict[str, str]], key: str, names: tuple[str, ...], entity_col: str = "entity") -> DataFrame:
     """key, decision, explanation, n_violated. A rule is looked at where its entity is the prediction's, in any case.
 
-    The rule set is a parameter of the plan: each prediction is judged in one pass without a join.
+    Predictions meet the rules of their entity in a join; a rule's condition is data that is read there, so that plans
+    don't grow with the number of rules. Nulls in a comparison violate nothing.
     """
-    columns = {n: F.col(n) for n in names}
-    hits = [
-        F.when((F.lower(entity_col) == r["entity"].lower()) & condition(r["condition"], columns), F.lit(r["explanation"])) for r in sorted(rules, key=lambda r: r["rule_id"])
-    ]
-    found = F.array_sort(F.array_compact(F.array(*hits))) if hits else F.array().cast("array<string>")
-    judged = predictions.withColumn("__e", found)
-    return judged.select(key, F.when(F.size("__e") > 0, "BLOCK").otherwise("PASS").alias("decision"), F.array_join("__e", " | ").alias("explanation"), F.size("__e").cast("long").alias("n_violated"))
+    by, held, hits, values = (unused([*predictions.columns, "entity", "rules"], n) for n in ("by", "held", "hits", "values"))
+    listed = rule_table(predictions.sparkSession, rules, names).select(F.col("entity").alias(by), F.col("rules").alias(held))
+    joined = predictions.withColumn(by, F.lower(entity_col)).withColumn(values, F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))])).join(listed, by, "left")
+
+    def side(term: Column, name: str) -> Column:
+        return F.when(term[name].isNull(), term[f"{name}_number"]).otherwise(F.try_element_at(F.col(values), term[name]))
+
+    def holds(term: Column) -> Column:
+        a, b, sign = side(term, "left"), side(term, "right"), term["sign"]
+        return F.when(sign == "<", a < b).when(sign == "<=", a <= b).when(sign == ">", a > b).when(sign == ">=", a >= b).when(sign == "!=", a != b).otherwise(a == b)
+
+    violated = F.filter(F.col(held), lambda r: F.exists(r["clauses"], lambda c: F.forall(c, holds)))
+    found = F.array_sort(F.transform(violated, lambda r: r["explanation"]))
+    judged = joined.withColumn(hits, F.coalesce(found, F.array().cast("array<string>")))
+    return judged.select(key, F.when(F.size(hits) > 0, "BLOCK").otherwise("PASS").alias("decision"), F.array_join(hits, " | ").alias("explanation"), F.size(hits).cast("long").alias("n_violated"))
 
 
 def shield_rates(judged: DataFrame, unsafe: Column) -> DataFrame:

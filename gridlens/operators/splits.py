@@ -5,25 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import unused
+from ..sources.scratch import written
 
-def with_ordinal(rows: DataFrame, order: str, slices: int = 64) -> DataFrame:
-    """``ordinal``: 0-based place in the order of ``order``. Range slices are counted first, then numbered each on its own."""
-    bounds = rows.agg(F.percentile_approx(order, F.array(*[F.lit(k / slices) for k in range(1, slices)]), 10_000).alias("b"))
-    # one row of bounds goes to every task; a row's slice is the number of bounds below it
-    cut = rows.join(F.broadcast(bounds)).withColumn("__s", F.size(F.filter("b", lambda x: x < F.col(order)))).drop("b")
-    counts = cut.groupBy("__s").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(1)).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("__s").orderBy(order)) - 1
-    return cut.withColumn("__i", within).join(F.broadcast(before.drop("__n")), "__s").withColumn("ordinal", F.col("__before") + F.col("__i")).drop("__s", "__i", "__before")
+
+def with_ordinal(rows: DataFrame, *order: str) -> DataFrame:
+    """``ordinal``: 0-based place in the order of ``order``; rows equal there are in the order of a hash of the whole row.
+
+    Rows are dealt out by ranges of the order, as many as the session's shuffle has, and numbered each within its range;
+    ranges are counted, and the counts summed up. A range of equal keys is cut by the hash. The numbered rows are
+    written, so that a task that runs again finds the ranges that were counted.
+    """
+    part, at, tie, before = (unused(rows.columns, n) for n in ("part", "at", "tie", "before"))
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    ranged = rows.select(*columns, F.xxhash64(*columns).alias(tie)).repartitionByRange(*order, tie).sortWithinPartitions(*order, tie)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = written(ranged.select(*columns, F.spark_partition_id().alias(part), within.alias(at)), "ordinal")
+    running = Window.partitionBy(F.lit(1)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias(before))
+    counts = counts.select(part, F.coalesce(F.sum(before).over(running), F.lit(0)).alias(before))
+    return placed.join(counts, part).select(*columns, (F.col(before) + F.col(at)).alias("ordinal"))
 
 
 def ordered_split(rows: DataFrame, order: str, train: float = 0.7, val: float = 0.15) -> DataFrame:
     """``split`` by cut points int(n * train) and int(n * (train + val)) in the given order."""
-    n = rows.agg(F.count(F.lit(1)).alias("__total"))
+    total = unused([*rows.columns, "ordinal", "split"], "total")
+    n = rows.agg(F.count(F.lit(1)).alias(total))
     at = F.col("ordinal")
-    cut = lambda share: F.floor(F.col("__total") * F.lit(float(share)))
-    numbered = with_ordinal(rows, order).join(F.broadcast(n))
-    return numbered.withColumn("split", F.when(at < cut(train), "train").when(at < cut(train + val), "val").otherwise("test")).drop("__total")
+    cut = lambda share: F.floor(F.col(total) * F.lit(float(share)))
+    numbered = with_ordinal(rows, order).join(F.broadcast(n))  # one row
+    return numbered.withColumn("split", F.when(at < cut(train), "train").when(at < cut(train + val), "val").otherwise("test")).drop(total)
 
 
 def split_by_group(rows: DataFrame, group: str, train: float = 0.7, val: float = 0.15) -> DataFrame:
@@ -32,9 +43,10 @@ def split_by_group(rows: DataFrame, group: str, train: float = 0.7, val: float =
     return rows.join(groups, group)
 
 
-def hash_share(key: str, scale: int = 1_000_000, multiplier: int = 2_654_435_761, modulus: int = 4_294_967_296) -> Column:
+def hash_share(key: str | Column, scale: int = 1_000_000, multiplier: int = 2_654_435_761, modulus: int = 4_294_967_296) -> Column:
     """A reproducible number below ``scale`` from an integer key."""
-    return F.pmod(F.floor(F.pmod(F.col(key) * multiplier, F.lit(modulus)) / 1024), F.lit(scale))
+    key = F.col(key) if isinstance(key, str) else key
+    return F.pmod(F.floor(F.pmod(key * multiplier, F.lit(modulus)) / 1024), F.lit(scale))
 
 
 def undersample(rows: DataFrame, key: str, label: str, thinned: str, share: float) -> DataFrame:
@@ -46,6 +58,7 @@ def in_split(rows: DataFrame, index: DataFrame, key: str) -> DataFrame:
     return rows.join(index.select(key), key, "left_semi")
 
 
-def shuffled(rows: DataFrame, seed: int) -> DataFrame:
-    """A training order; validation and test sets keep theirs."""
-    return rows.orderBy(F.rand(seed))
+def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """``ordinal``: a training order, the same for the same seed, by a hash of an integer key; validation and test sets keep theirs."""
+    by = unused(rows.columns, "by")
+    return with_ordinal(rows.withColumn(by, hash_share(F.col(key) + seed)), by, key).drop(by)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,12 +67,54 @@ def zscore(rows: DataFrame, key: str, array_col: str, stats: DataFrame, exempt:
     return rows.join(F.broadcast(packed)).select(key, z.alias("z"))
 
 
+def quantiles(values: DataFrame, col: str, shares: tuple[float, ...], cells: int = 4096) -> list[float | None]:
+    """Exact quantiles, interpolated between neighbours, of finite values.
+
+    Values are counted in ``cells`` of equal width; the cell that holds a rank is cut again, until it holds one value. So
+    a pass gives a bounded number of counts, and a few passes do, whatever the number of values.
+    """
+    x = F.col(col).cast("double")
+    whole = values.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    if not whole["n"]:
+        return [None] * len(shares)
+    places = [share * (whole["n"] - 1) for share in shares]
+    todo = {r: (whole["lo"], whole["hi"], 0) for p in places for r in (math.floor(p), math.ceil(p))}
+    found: dict[int, float] = {}
+    while todo:
+        spans = sorted({(lo, hi) for lo, hi, _ in todo.values() if lo < hi})
+        counts: dict[tuple[float, float], list] = {span: [] for span in spans}
+        if spans:
+            inside = [F.struct(F.lit(k).alias("k"), F.when((x >= lo) & (x <= hi), F.least(F.floor((x - lo) / (hi - lo) * cells), F.lit(cells - 1))).alias("c")) for k, (lo, hi) in enumerate(spans)]
+            placed = values.select(x.alias("x"), F.explode(F.array(*inside)).alias("s")).where("s.c IS NOT NULL")
+            for r in placed.groupBy("s.k", "s.c").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("k", "c").collect():
+                counts[spans[r["k"]]].append(r)
+        for rank, (lo, hi, below) in list(todo.items()):
+            for r in counts.get((lo, hi), ()):
+                if rank < below + r["n"]:
+                    lo, hi = r["lo"], r["hi"]
+                    break
+                below += r["n"]
+            todo[rank] = (lo, hi, below)
+            if lo == hi:
+                found[rank] = lo
+                del todo[rank]
+    return [found[math.floor(p)] + (found[math.ceil(p)] - found[math.floor(p)]) * (p - math.floor(p)) for p in places]
+
+
 def value_profile(values: DataFrame, col: str) -> DataFrame:
     """min, max, mean, p95, p99 of finite values, interpolated and rounded to 4 places."""
-    x = F.col(col).cast("double")
-    p = F.percentile(x, F.array(F.lit(0.95), F.lit(0.99)))
-    out = values.where(A.is_finite(x)).agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("mean"), p.alias("p"))
-    return out.select(*[F.round(c, 4).alias(n) for n, c in (("min", F.col("lo")), ("max", F.col("hi")), ("mean", F.col("mean")), ("p95", F.col("p")[0]), ("p99", F.col("p")[1]))])
+    finite = values.select(F.col(col).cast("double").alias("x")).where(A.is_finite(F.col("x")))
+    p95, p99 = (F.lit(q).cast("double") for q in quantiles(finite, "x", (0.95, 0.99)))
+    return finite.agg(*[F.round(c, 4).alias(n) for n, c in (("min", F.min("x")), ("max", F.max("x")), ("mean", F.avg("x")), ("p95", p95), ("p99", p99))])
+
+
+def run_summary(rows: DataFrame, time: str) -> DataFrame:
+    """One row: first and last time in ISO form, seconds between (one place), records, and whole records a second."""
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    one = rows.agg(F.min(time).alias("lo"), F.max(time).alias("hi"), F.count(F.lit(1)).alias("n"))
+    seconds = F.timestamp_diff("MICROSECOND", "lo", "hi") / 1e6
+    per = F.round(F.col("n") / F.greatest(seconds, F.lit(1e-9))).cast("long")
+    return one.select(stamp("lo").alias("run_start"), stamp("hi").alias("run_end"), F.round(seconds, 1).alias("total_time_sec"), F.col("n").alias("total_records"), per.alias("records_per_sec"))
 
 
 def episode_lengths(rows: DataFrame, episode: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -43,6 +43,11 @@ laddered AS (SELECT *, list_filter(new_trips, lambda i: injected IS NULL OR i <>
   list_position(rho, list_max(rho)) - 1 AS top_at, nullif(coalesce(list_position(maintenance, true), 0), 0) - 1 AS maint_at FROM trips)"""
 
 
+def origins() -> Column:
+    """The substation where each of the 64 lines begins."""
+    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i * 7 % 36).cast("long"))
+
+
 def _trips(spark: SparkSession, d: str) -> DataFrame:
     rows = L.with_previous(observations(spark, d), "status", "episode", "vec_id")
     return rows.withColumn("new_trips", L.new_trips(F.col("previous_status"), F.col("status")))
@@ -91,7 +96,8 @@ def env_trips(spark, d):
 def priority_label(spark, d):
     t = _trips(spark, d).withColumn("maint_at", A.first_true(F.col("maintenance")))
     args = (F.col("rho"), F.col("new_trips"), F.col("injected"), F.col("maint_at"))
-    return t.select("vec_id", L.priority_label(*args, F.lit("normal")).alias("label"), L.priority_line(*args).cast("long").alias("line"))
+    found = t.select("vec_id", L.priority_label(*args, F.lit("normal")).alias("label"), L.priority_line(*args).cast("long").alias("line"))
+    return found.withColumn("substation", L.substation(F.col("line"), origins()))
 
 
 def screening_label(spark, d):
@@ -137,10 +143,11 @@ PLANS = {
     "env_trips": (env_trips, f"WITH {_STEPS} SELECT vec_id, array_to_string(alien, ',') AS \"foreign\", list_min(alien) AS lowest FROM laddered"),
     "priority_label": (
         priority_label,
-        f"""WITH {_STEPS} SELECT vec_id, CASE WHEN maint_at IS NOT NULL THEN 'maintenance' WHEN top > 1 THEN 'overload' WHEN len(alien) > 0 THEN 'cascade'
+        f"""WITH {_STEPS}, found AS (SELECT vec_id, CASE WHEN maint_at IS NOT NULL THEN 'maintenance' WHEN top > 1 THEN 'overload' WHEN len(alien) > 0 THEN 'cascade'
   WHEN injected IS NOT NULL AND top > 0.75 THEN 'overload' WHEN injected IS NOT NULL THEN 'line_trip' ELSE 'normal' END AS label,
   CAST(CASE WHEN maint_at IS NOT NULL THEN maint_at WHEN top > 1 THEN top_at WHEN len(alien) > 0 THEN list_min(alien)
-  WHEN injected IS NOT NULL AND top > 0.75 THEN top_at WHEN injected IS NOT NULL THEN injected END AS BIGINT) AS line FROM laddered""",
+  WHEN injected IS NOT NULL AND top > 0.75 THEN top_at WHEN injected IS NOT NULL THEN injected END AS BIGINT) AS line FROM laddered)
+SELECT *, list_transform(range(64), lambda i: i * 7 % 36)[line + 1] AS substation FROM found""",
     ),
     "screening_label": (screening_label, f"WITH {OBS} SELECT vec_id, {_SCREEN} AS label FROM obs"),
     "probe_rates": (

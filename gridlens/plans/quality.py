@@ -185,6 +185,16 @@ def tripped_lines(spark, d):
     return out.select("episode", "step", "n_tripped", F.array_join(F.transform("tripped", lambda x: x.cast("string")), ",").alias("tripped"))
 
 
+def run_summary(spark, d):
+    return S.run_summary(events(spark, d), "ts")
+
+
+def train_order(spark, d):
+    """The train split of ``ordered_split`` in a shuffled order; the other splits keep theirs."""
+    train = P.ordered_split(events(spark, d).select("event_id"), "event_id").where("split = 'train'").select("event_id")
+    return P.shuffled(train, "event_id", 17).select("event_id", F.col("ordinal").alias("place"))
+
+
 _HASH = "(((event_id * 2654435761) % 4294967296) // 1024) % 1000000"
 _SPLIT = """split AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS ordinal, count(*) OVER () AS total FROM events),
 named AS (SELECT event_id, event_type, ordinal, CASE WHEN ordinal < floor(total * 0.7::DOUBLE) THEN 'train' WHEN ordinal < floor(total * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM split)"""
@@ -294,5 +304,22 @@ SELECT user_id, event_id, score FROM b WHERE score > greatest(coalesce(before, 0
         speed_bands,
         "SELECT CASE WHEN n >= 20 THEN 'fast' WHEN n >= 12 THEN 'moderate' WHEN n >= 5 THEN 'slow' ELSE 'very slow' END AS band, count(*) AS users FROM (SELECT count(*) AS n FROM events GROUP BY user_id) GROUP BY 1",
     ),
-    "tripped_lines": (tripped_lines, None),
+    "tripped_lines": (
+        tripped_lines,
+        """WITH RECURSIVE s AS (SELECT user_id AS episode, event_id AS step, event_type AS kind, event_id % 9 AS line, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT episode, 0 AS i, CAST(NULL AS BIGINT) AS step, CAST([] AS BIGINT[]) AS now, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT episode FROM s)
+UNION ALL SELECT episode, i, step, now, CASE WHEN kind = 'purchase' THEN CAST([] AS BIGINT[]) ELSE now END FROM (SELECT s.episode, s.i, s.step, s.kind,
+  list_sort(list_distinct(CASE kind WHEN 'click' THEN list_filter(kept, lambda x: x <> line) WHEN 'view' THEN list_append(kept, line) WHEN 'error' THEN list_concat(kept, [line, line + 20]) ELSE kept END)) AS now
+  FROM f JOIN s ON s.episode = f.episode AND s.i = f.i + 1))
+SELECT episode, step, CAST(len(now) AS BIGINT) AS n_tripped, array_to_string(now, ',') AS tripped FROM f WHERE i > 0""",
+    ),
+    "run_summary": (
+        run_summary,
+        """WITH r AS (SELECT min(ts) AS lo, max(ts) AS hi, count(*) AS n FROM events), t AS (SELECT *, (epoch_us(hi) - epoch_us(lo)) / 1e6 AS sec FROM r)
+SELECT strftime(lo, '%Y-%m-%dT%H:%M:%S.%f') AS run_start, strftime(hi, '%Y-%m-%dT%H:%M:%S.%f') AS run_end, round(sec, 1) AS total_time_sec, n AS total_records, CAST(round(n / greatest(sec, 1e-9)) AS BIGINT) AS records_per_sec FROM t""",
+    ),
+    "train_order": (
+        train_order,
+        f"WITH {_SPLIT}, t AS (SELECT event_id FROM named WHERE split = 'train') SELECT event_id, row_number() OVER (ORDER BY {_HASH.replace('event_id', '(event_id + 17)')}, event_id) - 1 AS place FROM t",
+    ),
 }

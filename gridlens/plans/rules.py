@@ -34,7 +34,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("rho > "), (i % 13).cast("string")).alias("condition"),
         _pick(_ACTION, i).alias("action"),
         _pick(_SEVERITY, i).alias("severity"),
-        F.substring("text", 1, 20).alias("explanation"),
+        F.col("text").alias("explanation"),
     )
 
 
@@ -43,7 +43,7 @@ def _sql_list(values: list[str | None]) -> str:
 
 
 _CAND = f"""cand AS (SELECT doc_id, lang, 'r' || doc_id AS rule_id, source, {_sql_list(_ENTITY)}[doc_id % 8 + 1] AS entity, 'rho > ' || (doc_id % 13) AS condition,
-  {_sql_list(_ACTION)}[doc_id % 5 + 1] AS action, {_sql_list(_SEVERITY)}[doc_id % 7 + 1] AS severity, substr(text, 1, 20) AS explanation FROM documents),
+  {_sql_list(_ACTION)}[doc_id % 5 + 1] AS action, {_sql_list(_SEVERITY)}[doc_id % 7 + 1] AS severity, text AS explanation FROM documents),
 checked AS (SELECT doc_id, lang, rule_id, source, entity, condition, CASE WHEN upper(action) IN {tuple(R.ACTIONS)} THEN upper(action) ELSE 'OTHER' END AS action, lower(severity) AS severity, explanation
   FROM cand WHERE lower(entity) IN {tuple(R.ENTITIES)} AND lower(severity) IN {tuple(R.SEVERITIES)} AND source IS NOT NULL AND explanation IS NOT NULL)"""
 
@@ -89,6 +89,39 @@ def rule_numbers(spark, d):
     return R.numbered(valid, "lang", ["doc_id"]).select("doc_id", "rule_id")
 
 
+def stand_in_validator(prompt: str) -> str:
+    """A fixed opinion on each rule in place of a model's: by its number, action and severity."""
+    chunk, listed = prompt.split("\n", 1)
+    if int(chunk.removeprefix("part ")) % 13 == 0:
+        raise TimeoutError("no answer")
+    out = []
+    for rule in json.loads(listed):
+        i = int(rule["rule_id"][1:])
+        if i % 9 == 0:
+            continue
+        fix = {"entity": "nowhere"} if i % 10 == 0 else {"severity": "HIGH"}
+        word = "MAYBE" if i % 11 == 0 else "Reject" if rule["action"] == "ALERT" else "CORRECT" if rule["severity"] == "low" else "confirm"
+        out.append({"rule_id": rule["rule_id"], "verdict": word, "corrected_fields": fix if word == "CORRECT" else None, "reason": "[so]"})
+    return f"<think>[{len(out)} rules]</think>```json\n{json.dumps(out)}\n```"
+
+
+def validated_rules(spark, d):
+    """Valid candidates in parts of seven documents, one validator call for each part."""
+    part = F.floor(F.col("doc_id") / 7)
+    rules = R.check_rules(candidates(spark, d)).where("rule IS NOT NULL").select("doc_id", part.alias("part"), "rule")
+    parts = rules.select("part", F.concat(F.lit("part "), F.col("part").cast("string")).alias("text")).distinct()
+    out = R.validate(rules, parts, "part", "text", "{chunk}\n{rules}", stand_in_validator)
+    return out.select("doc_id", "outcome", "reason", F.col("final_rule.severity").alias("severity"), F.col("final_rule.entity").alias("entity"), (F.col("validate_ms") >= 0).alias("timed"))
+
+
+def extraction_rates(spark, d):
+    """Rules known are those of documents labelled good."""
+    c = R.check_rules(candidates(spark, d))
+    known = candidates(spark, d).join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi").where("entity IS NOT NULL")
+    out = R.extraction_rates(c, known, ["entity", "condition", "severity"])
+    return out.select(*[F.round(x, 6).alias(x) for x in ("coverage", "precision", "parse_rate")])
+
+
 def candidates_by_chunk(spark, d):
     turns = table(spark, d, "conversations")
     out = R.by_chunk(turns, "conv_id", "turn", "role")
@@ -109,12 +142,12 @@ def chunk_documents(spark, d):
 
 
 def _answers(spark, d):
-    head = F.substring("text", 1, 40)
+    head = F.col("text")
     kinds = [
         F.concat(F.lit("<think>[0] "), head, F.lit('\n</think> ```json [{"rule_id":"R_'), F.col("doc_id").cast("string"), F.lit('"}] ``` end')),
         F.concat(F.lit("no array: "), head),
         F.lit("]x["),
-        F.lit("```json\n[1, 2]\n```"),
+        F.concat(F.lit("```json\n[1, 2, "), head, F.lit("]\n ```  \n")),
         F.concat(F.lit("[a [b] "), head, F.lit(" c] ]tail")),
     ]
     return table(spark, d, "documents").select("doc_id", F.get(F.array(*kinds), (F.col("doc_id") % 5).cast("int")).alias("answer"))
@@ -122,24 +155,24 @@ def _answers(spark, d):
 
 def carve_arrays(spark, d):
     a = F.col("answer")
-    return _answers(spark, d).select("doc_id", X.strip_think(a).alias("bare"), X.carve_array(a).alias("carved"), X.carve_array_leading_fence(a).alias("carved_leading"))
+    found = _answers(spark, d).select("doc_id", X.strip_think(a).alias("bare"), X.carve_array(a).alias("carved"), X.carve_array_leading_fence(a).alias("carved_leading"))
+    return found.select("doc_id", *[F.md5(c).alias(c) for c in ("bare", "carved", "carved_leading")])
 
 
 def _rule_json(rule_id: str) -> str:
     return json.dumps({"source": "s", "entity": "bUs", "condition": "c", "action": "trip", "severity": "HIGH", "explanation": "e", "extra": 1})[:-1] + f', "rule_id": {rule_id}}}'
 
 
-_JSON = ["[" + _rule_json('"R_1"') + ", " + _rule_json("5") + ", 7]", "[" + _rule_json("null") + ', {"entity": "bus"}]', "not json [", '{"a": 1} [' + _rule_json('"R_9"') + "]"]
-
-
 def rule_json(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", _pick(_JSON, F.col("doc_id")).alias("answer"))
-    out = R.parse_candidates(rows, "answer").where("rule IS NOT NULL")
-    return out.select("doc_id", "pos", *[F.col(f"rule.{f}").alias(f) for f in ("rule_id", "entity", "action", "severity")])
+    """Answers that hold the documents themselves as rules, every fourth with a number as its id, beside items that are no rules."""
+    rule = F.to_json(F.struct(*[F.when(F.col("doc_id") % 4 != 1, F.col(f)).alias(f) if f == "rule_id" else f for f in RULE_FIELDS]))
+    answer = F.concat(F.lit("the rules: ```json ["), F.when(F.col("doc_id") % 4 == 1, F.regexp_replace(rule, r"^\{", '{"rule_id":7,')).otherwise(rule), F.lit(', 7, {"entity": "bus"}] ```'))
+    out = R.parse_candidates(candidates(spark, d).select("doc_id", answer.alias("answer")), "answer").where("rule IS NOT NULL")
+    return out.select("doc_id", "pos", *[F.col(f"rule.{f}").alias(f) for f in ("rule_id", "entity", "action", "severity")], F.md5("rule.explanation").alias("digest"))
 
 
 def prompt_fill(spark, d):
-    prompt = X.fill("Text: {chunk}\nRules: {rules}", chunk=F.substring("text", 1, 30), rules=F.col("lang"))
+    prompt = X.fill("Text: {chunk}\nRules: {rules}", chunk=F.col("text"), rules=F.col("lang"))
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", prompt.alias("prompt"))
 
 
@@ -195,8 +228,19 @@ x AS (SELECT s_suppkey, list_sort(list_filter([CASE WHEN e = 1 AND rho > 1 THEN
   CASE WHEN e = 0 AND (rho < 0.2::DOUBLE OR rho >= 1.5::DOUBLE) AND temp < 5000 THEN 'bus out of range' END], lambda v: v IS NOT NULL)) AS hits FROM p),
 s AS (SELECT s_suppkey, CASE WHEN len(hits) > 0 THEN 'BLOCK' ELSE 'PASS' END AS decision, array_to_string(hits, ' | ') AS explanation, CAST(len(hits) AS BIGINT) AS n_violated FROM x)"""
 _CUT = """CASE WHEN start + 1200 >= n THEN n WHEN strpos(reverse(substr(text, start + 961, 240)), chr(10)) BETWEEN 1 AND 239 THEN start + 1200 - strpos(reverse(substr(text, start + 961, 240)), chr(10)) ELSE start + 1200 END"""
+_CHUNKS = f"""d AS (SELECT doc_id, text, length(text) AS n FROM documents), s AS (SELECT doc_id, CAST(0 AS BIGINT) AS start FROM d WHERE n > 0
+UNION ALL SELECT doc_id, CAST(e - 200 AS BIGINT) FROM (SELECT s.doc_id, n, {_CUT} AS e FROM s JOIN d USING (doc_id)) WHERE e < n),
+c AS (SELECT doc_id, start, CAST({_CUT} AS BIGINT) AS "end", text FROM s JOIN d USING (doc_id)),
+t AS (SELECT doc_id, start, "end", regexp_replace(substr(text, start + 1, "end" - start), '^\\s+|\\s+$', '', 'g') AS piece FROM c)"""
 _MERGE = """SELECT min(doc_id) AS doc_id, lang, {} AS sources, count(*) AS n FROM (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, source FROM documents) GROUP BY lang, text"""
-_THINK = "trim(regexp_replace(answer, '<think>.*?</think>', '', 'gs'), ' ' || chr(10))"
+_SPACE = r"[\t-\r\x{85}\p{Z}]+"
+
+
+def _trim(text: str) -> str:
+    """White space of any alphabet off both ends."""
+    return f"regexp_replace({text}, '^{_SPACE}|{_SPACE}$', '', 'g')"
+
+
 
 PLANS = {
     "rule_check": (rule_check, f"WITH {_CAND} SELECT * FROM checked"),
@@ -220,26 +264,21 @@ SELECT min(o) AS doc_id, lang, string_agg(source, '; ' ORDER BY o) AS sources, C
     ),
     "chunk_documents": (
         chunk_documents,
-        f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents), s AS (SELECT doc_id, CAST(0 AS BIGINT) AS start FROM d WHERE n > 0
-UNION ALL SELECT doc_id, CAST(e - 200 AS BIGINT) FROM (SELECT s.doc_id, n, {_CUT} AS e FROM s JOIN d USING (doc_id)) WHERE e < n),
-c AS (SELECT doc_id, start, CAST({_CUT} AS BIGINT) AS "end", text FROM s JOIN d USING (doc_id)),
-t AS (SELECT doc_id, start, "end", regexp_replace(substr(text, start + 1, "end" - start), '^\\s+|\\s+$', '', 'g') AS piece FROM c)
+        f"""WITH RECURSIVE {_CHUNKS}
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk, start, "end", md5(piece) AS digest FROM t WHERE piece <> ''""",
     ),
     "carve_arrays": (
         carve_arrays,
-        f"""WITH a AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '<think>[0] ' || substr(text, 1, 40) || chr(10) || '</think> ```json [{{"rule_id":"R_' || doc_id || '"}}] ``` end' WHEN 1 THEN 'no array: ' || substr(text, 1, 40)
-  WHEN 2 THEN ']x[' WHEN 3 THEN '```json' || chr(10) || '[1, 2]' || chr(10) || '```' ELSE '[a [b] ' || substr(text, 1, 40) || ' c] ]tail' END AS answer FROM documents),
-b AS (SELECT doc_id, {_THINK} AS bare FROM a), f AS (SELECT doc_id, bare, trim(regexp_replace(bare, '```(json)?', '', 'g'), ' ' || chr(10)) AS plain, CASE doc_id % 5 WHEN 3 THEN '[1, 2]' WHEN 0 THEN '' ELSE bare END AS led FROM b),
+        f"""WITH a AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '<think>[0] ' || text || chr(10) || '</think> ```json [{{"rule_id":"R_' || doc_id || '"}}] ``` end' WHEN 1 THEN 'no array: ' || text
+  WHEN 2 THEN ']x[' WHEN 3 THEN '```json' || chr(10) || '[1, 2, ' || text || ']' || chr(10) || ' ```  ' || chr(10) ELSE '[a [b] ' || text || ' c] ]tail' END AS answer FROM documents),
+b AS (SELECT doc_id, {_trim("regexp_replace(answer, '<think>.*?</think>', '', 'gs')")} AS bare FROM a), c AS (SELECT doc_id, bare, string_split(bare, chr(10)) AS lines FROM b),
+f AS (SELECT doc_id, bare, {_trim("regexp_replace(bare, '```(json)?', '', 'g')")} AS plain, CASE WHEN starts_with(bare, '```') THEN array_to_string(lines[2:CASE WHEN starts_with({_trim("lines[-1]")}, '```') THEN len(lines) - 1 ELSE len(lines) END], chr(10)) ELSE bare END AS led FROM c),
 m AS (SELECT *, strpos(plain, '[') AS o, length(plain) - strpos(reverse(plain), ']') + 1 AS c, strpos(led, '[') AS o2, length(led) - strpos(reverse(led), ']') + 1 AS c2 FROM f)
-SELECT doc_id, bare, CASE WHEN o > 0 AND contains(plain, ']') AND c > o THEN substr(plain, o, c - o + 1) END AS carved,
-  CASE WHEN o2 > 0 AND contains(led, ']') THEN CASE WHEN c2 >= o2 THEN substr(led, o2, c2 - o2 + 1) ELSE '' END END AS carved_leading FROM m""",
-    ),
-    "rule_json": (
-        rule_json,
-        """SELECT doc_id, CAST(0 AS BIGINT) AS pos, CASE doc_id % 4 WHEN 0 THEN 'R_1' ELSE 'R_9' END AS rule_id, 'bUs' AS entity, 'OTHER' AS action, 'high' AS severity FROM documents WHERE doc_id % 4 IN (0, 3)""",
+SELECT doc_id, md5(bare) AS bare, md5(CASE WHEN o > 0 AND contains(plain, ']') AND c > o THEN substr(plain, o, c - o + 1) END) AS carved,
+  md5(CASE WHEN o2 > 0 AND contains(led, ']') THEN CASE WHEN c2 >= o2 THEN substr(led, o2, c2 - o2 + 1) ELSE '' END END) AS carved_leading FROM m""",
     ),
-    "prompt_fill": (prompt_fill, "SELECT doc_id, 'Text: ' || substr(text, 1, 30) || chr(10) || 'Rules: ' || lang AS prompt FROM documents WHERE text IS NOT NULL"),
+    "rule_json": (rule_json, f"WITH {_CAND} SELECT doc_id, CAST(0 AS BIGINT) AS pos, rule_id, entity, action, severity, md5(explanation) AS digest FROM checked WHERE doc_id % 4 <> 1"),
+    "prompt_fill": (prompt_fill, "SELECT doc_id, 'Text: ' || text || chr(10) || 'Rules: ' || lang AS prompt FROM documents WHERE text IS NOT NULL"),
     "file_stems": (file_stems, "SELECT page_id, replace(regexp_replace(regexp_extract(regexp_extract(url, '://([^?#]*)', 1) || '_candidates.v2.jsonl', '([^/]*)$', 1), '\\.[^.]*$', ''), '_candidates', '') AS stem FROM pages"),
     "page_documents": (
         page_documents,
@@ -252,5 +291,23 @@ g AS (SELECT conv_id, string_agg('[Page ' || turn || ']' || chr(10) || t, chr(10
         f"""WITH {_SHIELD}, u AS (SELECT decision = 'BLOCK' AS b, s_suppkey % 17 > 8 AS unsafe FROM s) SELECT round(coalesce(count(*) FILTER (b AND unsafe)::DOUBLE / nullif(count(*) FILTER (unsafe), 0), 0), 6) AS compliance,
   round(coalesce(count(*) FILTER (b AND NOT unsafe)::DOUBLE / nullif(count(*) FILTER (NOT unsafe), 0), 0), 6) AS false_block_rate, round(coalesce(count(*) FILTER (b AND unsafe)::DOUBLE / nullif(count(*) FILTER (b), 0), 0), 6) AS block_precision FROM u""",
     ),
-    "rule_pipeline": (rule_pipeline, None),
+    "validated_rules": (
+        validated_rules,
+        f"""WITH {_CAND}, v AS (SELECT *, doc_id // 7 % 13 = 0 AS failed, CASE WHEN doc_id % 9 = 0 OR doc_id % 11 = 0 THEN NULL WHEN action = 'ALERT' THEN 'REJECT' WHEN severity = 'low' THEN 'CORRECT' ELSE 'CONFIRM' END AS verdict FROM checked),
+o AS (SELECT *, CASE WHEN failed THEN 'flagged' WHEN verdict = 'CONFIRM' THEN 'confirmed' WHEN verdict = 'CORRECT' AND doc_id % 10 <> 0 THEN 'corrected' WHEN verdict = 'REJECT' THEN 'rejected' ELSE 'flagged' END AS outcome FROM v)
+SELECT doc_id, outcome, CASE WHEN failed THEN 'VALIDATOR_FAIL' WHEN verdict IS NULL THEN 'NO_VERDICT' WHEN verdict = 'CORRECT' AND doc_id % 10 = 0 THEN 'INVALID_CORRECTION' END AS reason,
+  CASE WHEN outcome = 'corrected' THEN 'high' ELSE severity END AS severity, entity, true AS timed FROM o""",
+    ),
+    "extraction_rates": (
+        extraction_rates,
+        f"""WITH {_CAND}, known AS (SELECT DISTINCT lower(entity) AS e, lower(condition) AS c, lower(severity) AS s FROM cand WHERE entity IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+found AS (SELECT lower(entity) AS e, lower(condition) AS c, lower(severity) AS s FROM checked), hits AS (SELECT k.e IS NOT NULL AS hit FROM found f LEFT JOIN known k USING (e, c, s))
+SELECT round((SELECT count(*) FROM known WHERE (e, c, s) IN (SELECT (e, c, s) FROM found))::DOUBLE / nullif((SELECT count(*) FROM known), 0), 6) AS coverage,
+  round((SELECT avg(hit::INT) FROM hits), 6) AS precision, round((SELECT count(*) FROM checked)::DOUBLE / (SELECT count(*) FROM cand), 6) AS parse_rate""",
+    ),
+    "rule_pipeline": (
+        rule_pipeline,
+        f"""WITH RECURSIVE {_CHUNKS}, a AS (SELECT lang, length(piece) + 6 AS n FROM t JOIN documents USING (doc_id) WHERE piece <> '')
+SELECT lang, count(*) AS n_chunks, count(*) FILTER (n % 7 <> 0) AS n_rules, count(*) FILTER (n % 7 = 0) AS n_errors, count(DISTINCT n % 50) FILTER (n % 7 <> 0) AS distinct_ids FROM a GROUP BY 1""",
+    ),
 }

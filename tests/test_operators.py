@@ -248,6 +248,69 @@ def test_shield(spark):
             shield.condition(bad, {"rho": F.col("rho")})
 
 
+def test_conditions_as_clauses():
+    got = shield.clauses("(a > 1 OR b <= 2.5) AND 3 != a", ("a", "b"))
+    assert got == [[("a", None, ">", None, 1.0), (None, 3.0, "!=", "a", None)], [("b", None, "<=", None, 2.5), (None, 3.0, "!=", "a", None)]]
+    with pytest.raises(ValueError):
+        shield.clauses("c > 1", ("a", "b"))
+
+
+def test_many_rules_in_one_plan(spark):
+    rs = [{"rule_id": f"R_{k:05}", "entity": "line" if k % 2 else "bus", "condition": f"rho > {k} AND rho < {k + 2}", "explanation": f"R_{k:05}"} for k in range(3000)]
+    df = spark.createDataFrame([(1, "line", 1001.5), (2, "bus", 0.5), (3, "load", 5.0), (4, "line", None)], "k int, entity string, rho double")
+    got = {r.k: r.explanation for r in shield.shield(df, rs, "k", ("rho",)).collect()}
+    assert got == {1: "R_01001", 2: "R_00000", 3: "", 4: ""}
+
+
+def test_ordinals_of_equal_keys_beside_clashing_names(spark):
+    rows = [(k % 3, k, k, "x") for k in range(300)]
+    df = spark.createDataFrame(rows, "k int, part int, At int, tie string").repartition(7)
+    got = splits.with_ordinal(df, "k").collect()
+    assert sorted(r.ordinal for r in got) == list(range(300)) and all(r.ordinal // 100 == r.k for r in got)
+    assert sorted((r.k, r.part, r.At, r.tie) for r in got) == sorted(rows)
+    empty = df.where("k = 9")
+    assert splits.with_ordinal(empty, "k").count() == 0
+    edges = features.both_directions(spark.createDataFrame([(1, 2, 5)], "src int, dst int, `end` int")).collect()
+    assert sorted((r.src, r.dst, r["end"], r.reversed) for r in edges) == [(1, 2, 5, False), (2, 1, 5, True)]
+
+
+def test_shuffled_keeps_every_row(spark):
+    df = spark.range(500).withColumnRenamed("id", "key")
+    one_, two = ([r.key for r in splits.shuffled(df, "key", seed).orderBy("ordinal").collect()] for seed in (1, 2))
+    assert sorted(one_) == sorted(two) == list(range(500)) and one_ != two != sorted(two)
+    assert one_ == [r.key for r in splits.shuffled(df.repartition(3), "key", 1).orderBy("ordinal").collect()]
+
+
+@pytest.mark.parametrize("values", [[1.0], [2.0, 1.0], [5.0] * 50 + [1.0], [float(k * k % 97) / 7 for k in range(500)], [1e300, -1e300, 3.0, 1e-300], []])
+def test_quantiles(spark, values):
+    import numpy as np
+
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = stats.quantiles(df, "x", (0.0, 0.5, 0.95, 0.99, 1.0), cells=4)
+    assert got == [None] * 5 if not values else np.allclose(got, np.quantile(values, (0.0, 0.5, 0.95, 0.99, 1.0)), rtol=1e-12)
+
+
+def test_validator_calls(spark):
+    given = [rule(rule_id=f"R_{k}") for k in range(6)]
+    rows = [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 4), ("b", 5)]
+    names = ", ".join(f"{f} string" for f in schemas.RULE_FIELDS)
+    df = spark.createDataFrame([(c, *[given[k][f] for f in schemas.RULE_FIELDS]) for c, k in rows], f"chunk string, {names}")
+    checked_rules = rules.check_rules(df).select("chunk", "rule")
+    prompts = spark.createDataFrame([("a", "text a"), ("b", "text b"), ("c", "no rules")], "chunk string, text string")
+
+    def complete(prompt):
+        if "text b" in prompt:
+            raise TimeoutError("late")
+        verdicts = [{"rule_id": "R_0", "verdict": "confirm"}, {"rule_id": "R_1", "verdict": "CORRECT", "corrected_fields": {"severity": "LOW"}}, {"rule_id": "R_2", "verdict": "REJECT"}, {"rule_id": 3, "verdict": "CONFIRM"}, "junk"]
+        return f"<think>{prompt.count('R_')}</think>{json.dumps(verdicts)}"
+
+    got = {r.final_rule.rule_id: r for r in rules.validate(checked_rules, prompts, "chunk", "text", "{chunk}: {rules}", complete).collect()}
+    assert {k: (r.outcome, r.reason) for k, r in got.items()} == {
+        "R_0": ("confirmed", None), "R_1": ("corrected", None), "R_2": ("rejected", None), "R_3": ("flagged", "NO_VERDICT"), "R_4": ("flagged", "VALIDATOR_FAIL"), "R_5": ("flagged", "VALIDATOR_FAIL")
+    }
+    assert got["R_1"].final_rule.severity == "low" and got["R_4"].validate_ms == 0 <= got["R_0"].validate_ms
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (2, 1)], "t int, p int")
     got = {r.label: (r.precision, r.recall, round(r.f1, 6), r.support) for r in metrics.per_class(df, "t", "p").collect()}

@@ -5,12 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
 import pickle
-import re
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,34 +16,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import unused
+from ..sources.scratch import shared_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables. Batches that go to Python are bounded in bytes, as texts differ much in length; that is a
     setting of the session, which its other queries keep as well."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where a session on one machine names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
-        named = f"{tempfile.gettempdir()}/gridlens-{os.getpid()}"
-    return named.rstrip("/")
-
-
 def share(spark: SparkSession, model: object) -> Callable[[], object]:
-    """Broadcasts a model of bounded size by value, so that executors need not have its class installed."""
-    sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
-    read: list[object] = []
+    """Broadcasts a model of bounded size so that executors need not have its class installed: the class goes by value, and
+    arrays as they are, of which a worker then holds one copy."""
+    plain = {k: v for k, v in vars(model).items() if type(v).__module__ in ("builtins", "numpy")}
+    rest = cloudpickle.dumps((type(model), {k: v for k, v in vars(model).items() if k not in plain}))
+    sent = spark.sparkContext.broadcast((rest, plain))
+    made: list[object] = []
 
     def get() -> object:
-        if not read:
-            read.append(pickle.loads(sent.value))
-        return read[0]
+        if not made:
+            kind, own = pickle.loads(sent.value[0])
+            made.append(object.__new__(kind))
+            vars(made[0]).update(sent.value[1] | own)
+        return made[0]
 
     return get
 
@@ -65,7 +59,7 @@ def clear_intermediates(spark: SparkSession) -> None:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -98,14 +92,6 @@ def may_be_in(ids: DataFrame, col: str) -> Column:
     return met(id_slot(col))
 
 
-def unused(columns: Iterable[str], name: str) -> str:
-    """``name``, made longer until no column is called so, in whatever case."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """``docs`` without the ids in ``gone``; rows with null id stay. Only rows whose hash occurs in ``gone`` are shuffled."""
     met, out = unused([id_col, *docs.columns], "met"), unused([id_col, *docs.columns], "gone")

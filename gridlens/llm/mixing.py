@@ -20,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, table, tidy, unused
+from ..functions.names import unused
+from .common import materialize, mix64, table, tidy
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -91,10 +93,10 @@ def mix(
     n_blocks = [-(-s // block) for s in sizes]
     # the last block of a source may be short, so quotas are counted in words per block of that source
     quota = [min(passes * n, round(t * n / s)) if s else 0 for t, n, s in zip(targets, n_blocks, sizes, strict=True)]
-    plan = spark.createDataFrame(
-        [(k, r["source"], s, t, n, q) for k, (r, s, t, n, q) in enumerate(zip(known, sizes, targets, n_blocks, quota, strict=True))],
-        "src int, source string, source_size long, target double, n_blocks long, quota long",
-    )
+    fields = [("src", pa.int32()), ("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("n_blocks", pa.int64()), ("quota", pa.int64())]
+    columns = (range(len(known)), [r["source"] for r in known], sizes, targets, n_blocks, quota)
+    # as an Arrow table, which takes no Python workers to be read
+    plan = spark.createDataFrame(pa.table([pa.array(list(c), kind) for c, (_, kind) in zip(columns, fields, strict=True)], names=[f for f, _ in fields]))
     plan = F.broadcast(plan)  # one row a source
     tagged = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).select("id", rows["source"], "size", "src", "source_size", "target", "n_blocks")
 

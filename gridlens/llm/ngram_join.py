@@ -33,7 +33,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, drop_ids, encode, id_bits, id_slot, keep_once, materialize, may_be_in, mix64, slices, spread_join, table, tidy, unused
+from ..functions.names import unused
+from .common import Words, drop_ids, encode, id_bits, id_slot, keep_once, materialize, may_be_in, mix64, slices, spread_join, table, tidy
 
 GROUPS = 512
 _MULTIPLIERS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)

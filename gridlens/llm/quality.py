@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, Words, encode, give_back, mix64, share, slices, table, tidy, unused, with_columns
+from ..functions.names import unused
+from .common import WHITE, Words, encode, give_back, mix64, share, slices, table, tidy, with_columns
 
 STATS = ("repeats", "symbols", "shouts", "capitals", "bars", "variety", "stops", "commonest", "word_length", "marked", "runs")
 #: Per statistic: poor at or beyond the first bound, good at or beyond the second, no vote between; and the fewest words for a vote.

@@ -42,7 +42,10 @@ class PieceModel:
     dummy_prefix: bool = True
 
 
-def default_model_path() -> str:
+def default_model_path(spark: SparkSession | None = None) -> str:
+    """Where the session's ``gridlens.sentencepiece.model`` says, else the public vocabulary of this machine."""
+    if spark is not None and (named := spark.conf.get("gridlens.sentencepiece.model", None)):
+        return named
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
@@ -64,53 +67,50 @@ def load_model(path: str) -> PieceModel:
     return PieceModel(tuple(p.piece for p in proto.pieces), kinds, tuple(p.score for p in proto.pieces), norm.add_dummy_prefix)
 
 
-class Codec:
-    """Encodes; keeps the ids of parts it has met, up to ``most_parts``."""
+class Tables:
+    """What encoding needs to know of a model, as flat arrays: made once by the driver and sent to the tasks."""
 
-    def __init__(self, model: PieceModel, most_parts: int = 450_000, lot: int = 250_000):
-        self.model, self.most, self.lot = model, most_parts, lot
+    def __init__(self, model: PieceModel):
+        self.size, self.dummy_prefix = len(model.pieces), model.dummy_prefix
         normal = [i for i, k in enumerate(model.kinds) if k == 1]
-        self.id_of = {model.pieces[i]: i for i in normal}
+        id_of = {model.pieces[i]: i for i in normal}
+        self.single = {p: i for p, i in id_of.items() if len(p) == 1}
         self.byte_id = {int(model.pieces[i][3:5], 16): i for i, k in enumerate(model.kinds) if k == 6}
-        self.runs = sorted((len(p), i) for p, i in self.id_of.items() if not p.strip(MARK))
+        self.runs = sorted((len(p), i) for p, i in id_of.items() if not p.strip(MARK))
         words = [i for i in normal if model.pieces[i].strip(MARK) or model.pieces[i] == MARK]
-        size = len(model.pieces)
-        self.length = np.array([len(p) for p in model.pieces], dtype=np.int64)
+        self.length = np.array([len(p) for p in model.pieces], dtype=np.int32)
         by_score = sorted(words, key=lambda i: -model.scores[i])
-        self.rank = np.full(size, _NEVER, dtype=np.int64)
+        self.rank = np.full(self.size, _NEVER, dtype=np.int64)
         self.rank[by_score] = np.arange(len(by_score))
-        self._pairs(words)
-        self._splits(words)
+        pairs = self._pairs(model.pieces, words, id_of)
+        self._splits(model.pieces, words, id_of, pairs)
         self.usable = np.array([i for i in words if self.real[i]], dtype=np.int64)
         spelt = [[ord(c) for c in model.pieces[i]] for i in self.usable.tolist()]
-        self.spelling = np.zeros((len(spelt), max(map(len, spelt))), dtype=np.int64)
+        self.spelling = np.zeros((len(spelt), max(map(len, spelt))), dtype=np.int32)
         for row, points in zip(self.spelling, spelt, strict=True):
             row[: len(points)] = points
-        self.cache_keys = np.full(1 << 21, -1, dtype=np.int64)
-        self.cache_said = np.zeros(1 << 21, dtype=bool)
-        self.known: dict[str, bytes] = {}
 
-    def _pairs(self, words: list[int]) -> None:
+    def _pairs(self, pieces: tuple[str, ...], words: list[int], id_of: dict[str, int]) -> dict[int, int]:
         """All (left, right) whose concatenation is a piece, as sorted keys with that piece."""
         found = []
         for i in words:
-            p = self.model.pieces[i]
+            p = pieces[i]
             for cut in range(1, len(p)):
-                if (a := self.id_of.get(p[:cut])) is not None and (b := self.id_of.get(p[cut:])) is not None:
-                    found.append((a * len(self.model.pieces) + b, i))
+                if (a := id_of.get(p[:cut])) is not None and (b := id_of.get(p[cut:])) is not None:
+                    found.append((a * self.size + b, i))
         found.sort()
         self.pair_keys = np.array([f[0] for f in found], dtype=np.int64)
-        self.pair_to = np.array([f[1] for f in found], dtype=np.int64)
-        self.joined = dict(found)
+        self.pair_to = np.array([f[1] for f in found], dtype=np.int32)
+        return dict(found)
 
-    def _splits(self, words: list[int]) -> None:
+    def _splits(self, pieces: tuple[str, ...], words: list[int], id_of: dict[str, int], joined: dict[int, int]) -> None:
         """For each piece, its last merge when encoded alone, when it comes about, and whether it comes about at all."""
-        size = len(self.model.pieces)
+        size = self.size
         self.left, self.right = np.full(size, -1, dtype=np.int64), np.full(size, -1, dtype=np.int64)
         self.born, self.real = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=bool)
         for i in words:
-            p = self.model.pieces[i]
-            parts = [self.id_of.get(c, -1) for c in p]
+            p = pieces[i]
+            parts = [id_of.get(c, -1) for c in p]
             if len(p) == 1:
                 self.real[i] = True
                 continue
@@ -118,7 +118,7 @@ class Codec:
                 continue
             latest = -1
             while len(parts) > 1:
-                best = min(((self.rank[m], k, m) for k, ab in enumerate(zip(parts, parts[1:], strict=False)) if (m := self.joined.get(ab[0] * size + ab[1])) is not None), default=None)
+                best = min(((self.rank[m], k, m) for k, ab in enumerate(zip(parts, parts[1:], strict=False)) if (m := joined.get(ab[0] * size + ab[1])) is not None), default=None)
                 if best is None:
                     break
                 latest = max(latest, int(best[0]))
@@ -128,13 +128,35 @@ class Codec:
             if len(parts) == 1:
                 self.real[i], self.born[i] = True, latest
 
+
+class Codec:
+    """Encodes; keeps the ids of parts it has met, up to about ``most_bytes`` of memory."""
+
+    def __init__(self, tables: Tables | PieceModel, most_bytes: int = 96 << 20, lot: int = 250_000):
+        self.t = t = tables if isinstance(tables, Tables) else Tables(tables)
+        self.most, self.lot = most_bytes, lot
+        self.cache_keys = np.full(1 << 20, -1, dtype=np.int64)
+        self.cache_said = np.zeros(1 << 20, dtype=bool)
+        self.lone = np.array([t.single[MARK]], dtype="<i4").tobytes()
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def _keep(self, part: str, ids: bytes) -> None:
+        self.known[part] = ids
+        self.held += 200 + 2 * len(part) + len(ids)
+
     def _merge_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a * len(self.model.pieces) + b
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.rank[self.pair_to[at]], _NEVER)
+        t = self.t
+        key = a * t.size + b
+        at = np.minimum(np.searchsorted(t.pair_keys, key), len(t.pair_keys) - 1)
+        return np.where((t.pair_keys[at] == key) & (a >= 0) & (b >= 0), t.rank[t.pair_to[at]], _NEVER)
 
     def _follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether b may follow a: going back in time from both whole pieces, no pair at the border was ever due to merge."""
+        born, to_left, to_right = self.t.born, self.t.left, self.t.right
         said = np.ones(len(a), dtype=bool)
         left, right = a.copy(), b.copy()
         until_left, until_right = np.full(len(a), _NEVER - 1), np.full(len(a), _NEVER - 1)
@@ -147,11 +169,11 @@ class Codec:
             said[live[cross]] = False
             live = live[~cross]
             x, y = left[live], right[live]
-            back = self.born[x] > self.born[y]
-            done = (self.born[x] < 0) & (self.born[y] < 0)
+            back = born[x] > born[y]
+            done = (born[x] < 0) & (born[y] < 0)
             one, two = live[back & ~done], live[~back & ~done]
-            until_left[one], left[one] = self.born[left[one]], self.right[left[one]]
-            until_right[two], right[two] = self.born[right[two]], self.left[right[two]]
+            until_left[one], left[one] = born[left[one]], to_right[left[one]]
+            until_right[two], right[two] = born[right[two]], to_left[right[two]]
             live = live[~done]
         return said
 
@@ -159,14 +181,14 @@ class Codec:
         """As above, with a table of answers; -1 stands for a character without piece or the begin, which merges with nothing."""
         said = np.ones(len(a), dtype=bool)
         ask = np.flatnonzero((a >= 0) & (b >= 0))
-        key = a[ask] * len(self.model.pieces) + b[ask]
+        key = a[ask] * self.t.size + b[ask]
         slot = (key * np.int64(0x9E3779B97F4A7C1) >> np.int64(20)) & np.int64(len(self.cache_keys) - 1)
         hit = self.cache_keys[slot] == key
         said[ask[hit]] = self.cache_said[slot[hit]]
         if not hit.all():
             missed = ask[~hit]
             fresh, inverse = np.unique(key[~hit], return_inverse=True)
-            answer = self._follow(fresh // len(self.model.pieces), fresh % len(self.model.pieces))
+            answer = self._follow(fresh // self.t.size, fresh % self.t.size)
             said[missed] = answer[inverse]
             place = (fresh * np.int64(0x9E3779B97F4A7C1) >> np.int64(20)) & np.int64(len(self.cache_keys) - 1)
             # slots may repeat: each gets the key and the answer of the same, last, entry
@@ -179,7 +201,7 @@ class Codec:
         """Start and piece of every occurrence of every piece in ``codes`` (0 ends a part); ``code_of`` maps code points."""
         bits = max(1, (int(code_of.max()) + 1).bit_length())
         per = 63 // bits
-        longest = self.spelling.shape[1]
+        longest = self.t.spelling.shape[1]
         padded = np.concatenate((codes, np.zeros(per * (-(-longest // per)) + per, dtype=np.int64)))
         keys = []
         for base in range(0, longest, per):
@@ -189,10 +211,10 @@ class Codec:
             keys.append(k)
         suffixes = np.lexsort(keys[::-1])
         keys = [k[suffixes] for k in keys]
-        letters = np.where(self.spelling < len(code_of), code_of[np.minimum(self.spelling, len(code_of) - 1)], 0)
-        lengths = self.length[self.usable]
+        letters = np.where(self.t.spelling < len(code_of), code_of[np.minimum(self.t.spelling, len(code_of) - 1)], 0)
+        lengths = self.t.length[self.t.usable].astype(np.int64)
         there = (letters > 0).sum(1) == lengths
-        wanted, letters, lengths = self.usable[there], letters[there], lengths[there]
+        wanted, letters, lengths = self.t.usable[there], letters[there], lengths[there]
         if not len(wanted):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         low_keys, high_keys = np.zeros((len(keys), len(wanted)), np.int64), np.zeros((len(keys), len(wanted)), np.int64)
@@ -219,7 +241,7 @@ class Codec:
         begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
         points = np.unique(raw)
         code_of = np.zeros(int(points[-1]) + 1, dtype=np.int64)
-        spelled = [p for p in points.tolist() if chr(p) in self.id_of]
+        spelled = [p for p in points.tolist() if chr(p) in self.t.single]
         code_of[spelled] = np.arange(1, len(spelled) + 1)
         codes = code_of[raw]
         unknown = codes == 0
@@ -227,7 +249,7 @@ class Codec:
         starts, pieces = self._edges(codes, code_of)
         lone = np.flatnonzero(unknown)
         starts, pieces = np.concatenate((starts, lone)), np.concatenate((pieces, np.full(len(lone), -1)))
-        lengths = np.where(pieces >= 0, self.length[pieces], 1)
+        lengths = np.where(pieces >= 0, self.t.length[pieces], 1)
         part_of = np.repeat(np.arange(len(parts)), sizes + 1)
         end_at = starts - begin[part_of[starts]] + lengths
         order = np.argsort(end_at.astype(np.uint32), kind="stable")
@@ -248,7 +270,7 @@ class Codec:
         at, live, out = (begin + sizes).copy(), np.arange(len(parts)), []
         while len(live := live[at[live] > begin[live]]):
             p = last[at[live]]
-            step = np.where(p >= 0, self.length[p], 1)
+            step = np.where(p >= 0, self.t.length[p], 1)
             at[live] -= step
             out.append((live, p, at[live]))
         if not out:
@@ -264,44 +286,42 @@ class Codec:
             if k in odd:
                 own: list[int] = []
                 for i, x in zip(ids[lo:hi].tolist(), where[lo:hi].tolist(), strict=True):
-                    own += [i] if i >= 0 else [self.byte_id[b] for b in chr(int(raw[x])).encode("utf-8", "surrogatepass")]
-                self.known[part] = np.array(own, dtype="<i4").tobytes()
+                    own += [i] if i >= 0 else [self.t.byte_id[b] for b in chr(int(raw[x])).encode("utf-8", "surrogatepass")]
+                self._keep(part, np.array(own, dtype="<i4").tobytes())
             else:
-                self.known[part] = flat[4 * lo : 4 * hi]
+                self._keep(part, flat[4 * lo : 4 * hi])
 
     def _run(self, n: int) -> bytes:
         """Space marks alone: their merges all have one score, so the longest piece is taken from the left each time."""
         out = []
         while n:
-            k, piece = max(r for r in self.runs if r[0] <= n)
+            k, piece = max(r for r in self.t.runs if r[0] <= n)
             out.append(piece)
             n -= k
         return np.array(out, dtype="<i4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        marked = [(MARK if self.model.dummy_prefix else "") + t.replace(" ", MARK) if t else "" for t in texts]
+        marked = [(MARK if self.t.dummy_prefix else "") + t.replace(" ", MARK) if t else "" for t in texts]
         split = [_PARTS.findall(t) for t in marked]
+        if self.held > self.most:
+            self.forget()
         fresh = set().union(*split).difference(self.known)
         if fresh:
-            if len(self.known) + len(fresh) > self.most:
-                self.known.clear()
-                fresh = set().union(*split)
             marks = {p for p in fresh if p[0] == MARK and not p.strip(MARK)}
             for p in marks:
-                self.known[p] = self._run(len(p))
+                self._keep(p, self._run(len(p)))
             if rest := list(fresh - marks):
                 # some hundred thousand characters at a time keep the arrays of edges small
                 size = np.cumsum([len(p) for p in rest]) // self.lot
                 for lot in np.split(np.array(rest, dtype=object), np.flatnonzero(np.diff(size)) + 1):
                     self._learn(lot.tolist())
-        lone = np.array([self.id_of[MARK]], dtype="<i4").tobytes()
         out = []
         for text, parts in zip(marked, split, strict=True):
             ids = [self.known[p] for p in parts]
             for k in range(len(parts) - 1) if MARK + MARK in text else ():
                 p = parts[k]
-                if p[0] == MARK and not p.strip(MARK) and parts[k + 1][0] == MARK and ids[k + 1][:4] == lone:
+                if p[0] == MARK and not p.strip(MARK) and parts[k + 1][0] == MARK and ids[k + 1][:4] == self.lone:
                     # the mark before the word stayed alone, so it belongs to the run
                     ids[k], ids[k + 1] = self._run(len(p) + 1), ids[k + 1][4:]
             out.append(b"".join(ids))
@@ -341,16 +361,18 @@ def _bisect(keys: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndar
     return low
 
 
-def encode_texts(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", step: int = 500, most_parts: int = 450_000, lot: int = 250_000) -> DataFrame:
-    """Id and ids (array<int>). Fewer ``most_parts`` kept and smaller ``lot``s of characters take less memory and more time."""
-    shared = share(docs.sparkSession, model)  # one vocabulary
+def encode_texts(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", step: int = 4 << 20, most_bytes: int = 96 << 20, lot: int = 250_000) -> DataFrame:
+    """Id and ids (array<int>). Fewer characters of texts at a ``step``, fewer ``most_bytes`` of parts kept and smaller
+    ``lot``s of characters take less memory and more time; the ids are the same."""
+    shared = share(docs.sparkSession, Tables(model))  # one vocabulary
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gc.collect()  # the caches of earlier tasks of this worker
-        codec = Codec(shared(), most_parts, lot)
+        codec = Codec(shared(), most_bytes, lot)
         for b in batches:
-            for lo in range(0, len(b), step):
-                part = b.iloc[lo : lo + step]
+            ends = np.cumsum([len(t) if isinstance(t, str) else 0 for t in b["text"]]) // step
+            for rows in np.split(np.arange(len(b)), np.flatnonzero(np.diff(ends)) + 1):
+                part = b.iloc[rows]
                 found = codec.encode([t if isinstance(t, str) else None for t in part["text"]])
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "ids": [np.frombuffer(x, "<i4") for x in found]})
 
@@ -387,7 +409,7 @@ def decode_ids(encoded: DataFrame, model: PieceModel, id_col: str = "doc_id") ->
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = load_model(default_model_path())
+    model = load_model(default_model_path(spark))
     docs = table(spark, sf_dir, "documents")
     found = decode_ids(encode_texts(docs, model), model)
     return found.selectExpr("doc_id", "n_tokens", "ids_sha256", "CAST(length(decoded) AS LONG) AS n_chars", "decoded_sha256")
@@ -395,5 +417,5 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: the token ids of each document's whole text. Executors are full of other stages' memory here."""
-    encoded = encode_texts(docs, load_model(default_model_path()), step=200, most_parts=120_000, lot=80_000)
+    encoded = encode_texts(docs, load_model(default_model_path(spark)), step=1 << 19, most_bytes=24 << 20, lot=80_000)
     return encoded.selectExpr("doc_id", "CAST(size(ids) AS LONG) AS n_tokens", "ids")

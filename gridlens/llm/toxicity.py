@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, encode, give_back, materialize, separators, share, slices, table, tidy, unused, with_columns
+from ..functions.names import unused
+from .common import Words, encode, give_back, materialize, separators, share, slices, table, tidy, with_columns
 
 SEPS = separators(b".,!?;:\"'()[]{}|<>*%$&#/\\+=~`^_-")
 #: A repeat within so many words of the token's last occurrence counts by this share.

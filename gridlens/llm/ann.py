@@ -77,8 +77,9 @@ def search(
     sample: int = 16384,
     per_cell: int = 16,
     most_centroids: int = 1024,
-    visit: float = 0.6,
-    least: int = 4096,
+    visit: float | None = None,
+    least: int = 1024,
+    aim: float = 0.96,
     block: int = 2048,
     rounds: int = 12,
     seed: int = 7,
@@ -87,21 +88,48 @@ def search(
 
     The codebooks are fitted on ``sample`` vectors at most, taken by a hash of their ids. They have about
     sqrt(n / per_cell) centroids, ``most_centroids`` at most, so what is broadcast has a fixed bound. A query visits
-    cells until they hold the share ``visit`` of the distinct vectors, ``least`` at least. Recall depends on that share: for
-    vectors without any cluster structure (64 independent components) 0.6 gives about 0.96, 0.3 about 0.85 and 0.1 about 0.55; data
-    with clusters do with far less.
+    cells until they hold the share ``visit`` of the distinct vectors, ``least`` at least. If no share is given, it is
+    measured: for 128 of the queries the exact neighbours are sought among all vectors, and the share is chosen that
+    finds ``aim`` of them. Vectors without any cluster structure need about half of all; data with clusters do with far less.
     """
     kind = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     found = None
     for r in rows.select(F.size("v").alias("dim")).distinct().orderBy("dim").collect():  # one row a length
-        one = _search(rows.where(F.size("v") == r["dim"]), queries, r["dim"], kind, k, sample, per_cell, most_centroids, visit, least, block, rounds, seed)
+        one = _search(rows.where(F.size("v") == r["dim"]), queries, r["dim"], kind, k, sample, per_cell, most_centroids, visit, least, aim, block, rounds, seed)
         found = one if found is None else found.union(one)
     return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
 
 
+def _needed(index: DataFrame, stands: DataFrame, books: list[np.ndarray], half: int, sizes: np.ndarray, k: int, aim: float, most: int = 128) -> float:
+    """The share of vectors to visit that finds ``aim`` of the exact neighbours of ``most`` queries, chosen by a hash."""
+    picked = stands.orderBy(F.xxhash64("query_id"), "query_id").limit(most).select("v").collect()
+    if not picked:
+        return 0.0
+    asked = np.array([r["v"] for r in picked], dtype=np.float64)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                d = _squared(np.stack(b["v"].to_numpy()).astype(np.float64), asked)
+                best = np.argsort(d, axis=0)[: k + 1]
+                q = np.broadcast_to(np.arange(len(asked)), best.shape)
+                yield pd.DataFrame({"q": q.ravel(), "d": d[best, q].ravel(), "c1": b["c1"].to_numpy()[best].ravel(), "c2": b["c2"].to_numpy()[best].ravel()})
+
+    near = index.select("v", "c1", "c2").mapInPandas(tidy(nearest), "q int, d double, c1 int, c2 int")
+    place = F.row_number().over(Window.partitionBy("q").orderBy("d"))
+    # the nearest is the query itself
+    hits = near.withColumn("place", place).where(F.col("place").between(2, k + 1)).select("q", "c1", "c2").collect()
+    d1, d2 = _squared(asked[:, :half], books[0]), _squared(asked[:, half:], books[1])
+    before = []
+    for q in range(len(asked)):
+        far = d1[q][:, None] + d2[q][None, :]
+        before += [sizes[far <= far[r["c1"], r["c2"]]].sum() for r in hits if r["q"] == q]
+    return float(np.quantile(before, aim) / sizes.sum()) if before else 0.0
+
+
 def _search(
-    rows: DataFrame, queries: Column, dim: int, kind: str, k: int, sample: int, per_cell: int, most_centroids: int, visit: float, least: int, block: int, rounds: int, seed: int
+    rows: DataFrame, queries: Column, dim: int, kind: str, k: int, sample: int, per_cell: int, most_centroids: int, visit: float | None, least: int, aim: float, block: int, rounds: int, seed: int
 ) -> DataFrame:
     """The same over rows (vec_id, v) of one length."""
     spark = rows.sparkSession
@@ -126,6 +154,11 @@ def _search(
     sizes[counted.column("c1").to_numpy(), counted.column("c2").to_numpy()] = counted.column("count").to_numpy()
     blocks = {c1: -(-int(count) // block) for c1, count in enumerate(sizes.sum(1)) if count}
     shared = spark.sparkContext.broadcast(sizes)
+    # queries with equal vectors walk once: the smallest id stands for them
+    asking = rows.where(queries).dropDuplicates(["vec_id", "v"])
+    stands = asking.groupBy("v").agg(F.min("vec_id").alias("query_id"))
+    if visit is None:
+        visit = _needed(index, stands, books, half, sizes, k, aim)
     enough = max(least, int(np.ceil(visit * n))) + k
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,9 +178,6 @@ def _search(
                         at += [q] * blocks[c1]
                 yield pd.DataFrame(out, columns=["c1", "part", "seconds"]).assign(q=b["query_id"].to_numpy()[at], qv=b["v"].to_numpy()[at])
 
-    # queries with equal vectors walk once: the smallest id stands for them
-    asking = rows.where(queries).dropDuplicates(["vec_id", "v"])
-    stands = asking.groupBy("v").agg(F.min("vec_id").alias("query_id"))
     tasks = max(1, -(-stands.count() // 128))
     visits = stands.select("query_id", "v").repartition(tasks, "query_id").mapInPandas(tidy(walk), f"c1 int, part int, seconds array<int>, q long, qv {kind}")
     pieces = F.create_map(*[x for c1, count in sorted(blocks.items()) for x in (F.lit(c1), F.lit(count))])

@@ -105,6 +105,25 @@ def stand_in_validator(prompt: str) -> str:
     return f"<think>[{len(out)} rules]</think>```json\n{json.dumps(out)}\n```"
 
 
+def dry_run(spark, d):
+    def refused(prompt: str) -> str:
+        raise AssertionError("a dry run makes no call")
+
+    docs = table(spark, d, "documents")
+    return R.extract(docs, "doc_id", "text", "{chunk}", refused, dry_run=True, sep="\n")
+
+
+def extracted_rules(spark, d):
+    """Documents as files: rules of a stand-in model, one to three a chunk, numbered through all files."""
+
+    def complete(prompt: str) -> str:
+        rule = _rule_json(json.dumps("own"))
+        return f"<think>hm</think>[{', '.join([rule] * (1 + len(prompt) % 3))}, 7]"
+
+    out = R.extract(table(spark, d, "documents"), "doc_id", "text", "Text: {chunk}", complete, sep="\n")
+    return out.select("doc_id", "chunk", "rule.rule_id", "rule.action", "rule.severity")
+
+
 def validated_rules(spark, d):
     """Valid candidates in parts of seven documents, one validator call for each part."""
     part = F.floor(F.col("doc_id") / 7)
@@ -290,6 +309,12 @@ g AS (SELECT conv_id, string_agg('[Page ' || turn || ']' || chr(10) || t, chr(10
         shield_rates,
         f"""WITH {_SHIELD}, u AS (SELECT decision = 'BLOCK' AS b, s_suppkey % 17 > 8 AS unsafe FROM s) SELECT round(coalesce(count(*) FILTER (b AND unsafe)::DOUBLE / nullif(count(*) FILTER (unsafe), 0), 0), 6) AS compliance,
   round(coalesce(count(*) FILTER (b AND NOT unsafe)::DOUBLE / nullif(count(*) FILTER (NOT unsafe), 0), 0), 6) AS false_block_rate, round(coalesce(count(*) FILTER (b AND unsafe)::DOUBLE / nullif(count(*) FILTER (b), 0), 0), 6) AS block_precision FROM u""",
+    ),
+    "dry_run": (dry_run, f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, (SELECT count(*) FROM t WHERE t.doc_id = u.doc_id AND piece <> '') AS n_chunks FROM (SELECT DISTINCT doc_id FROM documents) u"),
+    "extracted_rules": (
+        extracted_rules,
+        f"""WITH RECURSIVE {_CHUNKS}, k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk, length(piece) + 6 AS n FROM t WHERE piece <> ''),
+r AS (SELECT doc_id, chunk, unnest(range(1 + n % 3)) AS pos FROM k) SELECT doc_id, chunk, printf('R_%03d', row_number() OVER (ORDER BY doc_id, chunk, pos)) AS rule_id, 'OTHER' AS action, 'high' AS severity FROM r""",
     ),
     "validated_rules": (
         validated_rules,

@@ -17,6 +17,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 LINE_FIELDS = ("rho", "p_or", "q_or", "p_ex", "q_ex", "v_or", "v_ex")
 BUS_FIELDS = ("load_p", "load_q", "gen_p", "gen_q", "topo_vect")
 
+#: Field names of the records.
 OBSERVATION = _struct(
     **{k: _F for k in LINE_FIELDS},
     line_status=T.ArrayType(T.BooleanType()),
@@ -29,6 +30,7 @@ OBSERVATION = _struct(
     reward=T.DoubleType(),
 )
 
+#: Field names of the metadata.
 METADATA = _struct(
     env_name=_S,
     smoke_run=T.BooleanType(),
@@ -49,6 +51,7 @@ METADATA = _struct(
     edge_feature_dim=T.IntegerType(),
 )
 
+#: Field names of rules and verdicts.
 RULE_FIELDS = ("rule_id", "source", "entity", "condition", "action", "severity", "explanation")
 RULE = _struct(**{k: _S for k in RULE_FIELDS})
 CANDIDATE = _struct(rule=RULE, chunk=_S)

@@ -309,6 +309,8 @@ def test_validator_calls(spark):
         "R_0": ("confirmed", None), "R_1": ("corrected", None), "R_2": ("rejected", None), "R_3": ("flagged", "NO_VERDICT"), "R_4": ("flagged", "VALIDATOR_FAIL"), "R_5": ("flagged", "VALIDATOR_FAIL")
     }
     assert got["R_1"].final_rule.severity == "low" and got["R_4"].validate_ms == 0 <= got["R_0"].validate_ms
+    skipped = rules.validate(checked_rules, prompts, "chunk", "text", "{chunk}", None).collect()
+    assert len(skipped) == 6 and {(r.outcome, r.reason) for r in skipped} == {("confirmed", None)}
 
 
 def test_metrics(spark):
@@ -359,3 +361,16 @@ def test_trips_batch_and_stream(spark, tmp_path):
     q = trips.tripped_stream(stream).writeStream.format("memory").queryName("trips").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.episode, r.step): r.tripped for r in spark.table("trips").collect()} == want
+
+
+def test_label_counts_over_a_stream(spark, tmp_path):
+    from gridlens.streaming import trips
+
+    rows = [(f"2024-01-01 0{h}:{m:02}:00", "a" if m % 2 else "b") for h in range(3) for m in range(0, 60, 7)]
+    spark.createDataFrame(rows, "ts string, kind string").coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts string, kind string").json(str(tmp_path / "in"))
+    counted = trips.label_counts_stream(stream, "ts", "kind")
+    q = counted.writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(str(r.start)[11:13], r.label): r.n for r in spark.table("counts").collect()}
+    assert got == {(f"{h:02}", k): n for h in range(3) for k, n in (("a", 4), ("b", 5))}

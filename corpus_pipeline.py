@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over documents, each on all that the one before it kept."""
+"""The corpus pipeline: five stages over documents, each on all that the one before it kept.
+
+Cases: rows are judged one by one, so an id on several texts is several documents; rows without id are judged like
+others and stay in the join, as nothing could name their group; null and empty texts are no toxic and no poor ones, are
+linked with nothing, and go in the mix, which is made of words; the mix repeats rows; other columns, of whatever name,
+stay in all stages but the last; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 

@@ -212,7 +212,9 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, weight: f
     """``docs``: doc_id, text; ``labels``: doc_id, label 0/1. At most ``most_rows`` labelled rows, by a hash of the id, are learned from."""
     named = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("long").alias("label"))
     picked = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "toxic-sample")  # most_rows bounds the broadcast
+    named_docs = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # most_rows bounds the broadcast
+    # an id that stands on many rows is learned from once
+    sample = materialize(named_docs.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label")), "toxic-sample")
     classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     pos, neg = classes.get(1, 0), classes.get(0, 0)
     m = SegmentModel(_counts(sample), (pos + 0.5) / (pos + neg + 1), weight, drift)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from test_joins_and_mixing import plain_components
 
@@ -25,6 +26,19 @@ def test_stages_on_given_documents(spark, data):
     assert all(np.array(r.ids).size == r.n_tokens for r in docs.collect())
 
 
+@pytest.mark.parametrize("kind", ["odd", "none"])
+def test_stages_on_odd_rows(spark, data, odd_docs, no_docs, kind):
+    import corpus_pipeline as P
+    from gridlens.llm.common import materialize
+
+    docs = odd_docs if kind == "odd" else no_docs
+    for name, stage in P.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, data), f"odd-{name}")
+        assert docs.columns == odd_docs.columns
+    last = P.STAGES[-1][1](spark, docs, data).collect()
+    assert last == [] if kind == "none" else {r.doc_id for r in last} >= {1, 5, 6, 7} and all(r.n_tokens > 0 for r in last)
+
+
 def test_run_gives_token_ids(spark, data):
     import __spark_entry__ as entry
 

@@ -80,16 +80,21 @@ def id_bits(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def may_be_in(ids: DataFrame, col: str) -> Column:
-    """Whether the value of ``col`` may be among ``ids`` (column ``id``): never wrong about a no, seldom about a yes."""
-    shared = ids.sparkSession.sparkContext.broadcast(id_bits(ids))  # of fixed size
+def may_be_in(rows: DataFrame, ids: DataFrame, col: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: whether the value of ``col`` may be among ``ids`` (column ``id``); never wrong about a no, seldom
+    about a yes."""
+    words, slot = unused([*rows.columns, name], "words"), unused([*rows.columns, name], "slot")
+    one = pa.table({words: pa.array([id_bits(ids).view(np.int32)], pa.list_(pa.int32()))})
+    one = F.broadcast(rows.sparkSession.createDataFrame(one))  # one row of fixed size, 1 MB
+    met = F.expr(f"shiftright(get(`{words}`, CAST(`{slot}` >> 5 AS INT)), CAST(`{slot}` & 31 AS INT)) & 1 = 1")
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    return rows.select(*columns, id_slot(col).alias(slot)).join(one).select(*columns, met.alias(name))
 
-    @F.pandas_udf("boolean")
-    def met(slot: pd.Series) -> pd.Series:
-        s = slot.to_numpy(dtype=np.int64)
-        return pd.Series((shared.value[s >> 5] >> (s & 31).astype(np.uint32)) & 1 == 1)
 
-    return met(id_slot(col))
+def among(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """The rows whose ``col`` may be among ``ids``."""
+    name = unused(rows.columns, "met")
+    return may_be_in(rows, ids, col, name).where(F.col(name)).drop(name)
 
 
 def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
@@ -97,7 +102,7 @@ def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     met, out = unused([id_col, *docs.columns], "met"), unused([id_col, *docs.columns], "gone")
     gone = gone.select(F.col(id_col).alias(out)).where(F.col(out).isNotNull()).distinct()
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.select(*columns, may_be_in(gone.select(F.col(out).alias("id")), id_col).alias(met))
+    marked = may_be_in(docs, gone.select(F.col(out).alias("id")), id_col, met)
     doubtful = marked.where(F.col(met)).join(gone, F.col(id_col) == F.col(out), "left_anti")
     return marked.where(~F.col(met)).union(doubtful).select(*columns)
 
@@ -106,10 +111,11 @@ def keep_once(docs: DataFrame, repeated: DataFrame, key_col: str) -> DataFrame:
     """``docs`` with one row for each key in ``repeated``; rows with null key stay. Only rows whose hash occurs there are shuffled."""
     met = unused(docs.columns, "met")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.select(*columns, (may_be_in(repeated.select(F.col(key_col).alias("id")), key_col) & F.col(key_col).isNotNull()).alias(met))
+    marked = may_be_in(docs, repeated.select(F.col(key_col).alias("id")), key_col, met)
+    again = F.col(met) & F.col(key_col).isNotNull()
     one = F.min_by(F.struct(*columns), F.xxhash64(*columns))
-    doubtful = marked.where(F.col(met)).groupBy(F.col(key_col).alias("key")).agg(one.alias("one")).select("one.*")
-    return marked.where(~F.col(met)).select(*columns).union(doubtful.select(*columns))
+    doubtful = marked.where(again).groupBy(F.col(key_col).alias("key")).agg(one.alias("one")).select("one.*")
+    return marked.where(~again).select(*columns).union(doubtful.select(*columns))
 
 
 def spread_join(pairs: DataFrame, side: DataFrame, key: str, by: str, counted: DataFrame, total: int) -> DataFrame:

@@ -30,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import unused
-from .common import Words, drop_ids, encode, id_bits, id_slot, keep_once, materialize, may_be_in, mix64, slices, spread_join, table, tidy
+from .common import Words, among, drop_ids, encode, keep_once, materialize, mix64, slices, spread_join, table, tidy
 
 GROUPS = 512
 _MULTIPLIERS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -179,50 +180,70 @@ def _heavy(scanned: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], top["n"].to_numpy(dtype=np.int64)[order]
 
 
-def _signatures(rows: DataFrame, wanted: DataFrame, width: int, t: Threshold, heavy: tuple[np.ndarray, np.ndarray], bucket: int = 50_000) -> DataFrame:
-    """cls, id, row, n, prefix (first shingles in order), deals (over how many tasks the bucket of each is dealt), n_index
-    (how many of them index) and counts, for the rows in ``wanted``. Others may come with them, and classes repeatedly."""
-    context = rows.sparkSession.sparkContext
-    shared, bits = context.broadcast(heavy), context.broadcast(id_bits(wanted.select(F.col("row").alias("id"))))  # both of fixed size
+def _entries(rows: DataFrame, wanted: DataFrame, width: int, t: Threshold, heavy: tuple[np.ndarray, np.ndarray], bucket: int) -> DataFrame:
+    """Index entries of the rows in ``wanted``: shingle, cls, mark (twice the set's size, plus one if the shingle is only
+    looked up), and deal (which part of a dealt bucket, from 1; else 0) for the first shingles of each. And a row for
+    each class, whose ``info`` holds id, row and count vector. Other rows may come with them, and classes repeatedly."""
+    shared = rows.sparkSession.sparkContext.broadcast(heavy)  # bounded by the number of heavy shingles
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(s: np.ndarray, probe: int, key: int) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = shared.value
+        deal = np.zeros(probe, np.int32)
+        if not len(keys):
+            return s[:probe], deal
+        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+        known = keys[at] == s
+        prefix = s[~known][:probe]
+        if (rare := len(prefix)) < probe:
+            times = counts[at[known]]
+            order = np.argsort(times, kind="stable")[: probe - rare]
+            prefix = np.concatenate((prefix, s[known][order]))
+            parts = np.minimum(times[order] // bucket + 1, 1 << 20)
+            deal[rare:] = np.where(parts > 1, int(mix64(np.array([key]))[0] >> np.uint64(2)) % parts + 1, 0)
+        return prefix, deal
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            slot = b["slot"].to_numpy(dtype=np.int64)
-            b = b[(bits.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1]
-            for lo in range(0, len(b), 1000):
-                part = b.iloc[lo : lo + 1000]
-                out = []
+            for lo in range(0, len(b), 500):
+                part = b.iloc[lo : lo + 500]
+                shingle, deal, cls, size, index, info = [], [], [], [], [], []
                 for i, row, s in zip(part["id"].tolist(), part["row"].tolist(), _sets(part["text"], width), strict=True):
-                    n = len(s)
-                    if not n:
-                        continue
-                    probe = t.probe(n)
-                    deals = np.ones(probe, np.int32)
-                    prefix = s[:probe]
-                    if len(keys):
-                        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                        known = keys[at] == s
-                        prefix = s[~known][:probe]
-                        if (rare := len(prefix)) < probe:
-                            times = counts[at[known]]
-                            order = np.argsort(times, kind="stable")[: probe - rare]
-                            prefix = np.concatenate((prefix, s[known][order]))
-                            deals[rare:] = np.minimum(times[order] // bucket + 1, 1 << 20)
-                    out.append((class_key(s), i, row, n, prefix.view(np.int64), deals, t.index(n), _packed(s)))
-                yield pd.DataFrame(out, columns=["cls", "id", "row", "n", "prefix", "deals", "n_index", "counts"])
-
-    placed = rows.where("id IS NOT NULL").select("id", "row", id_slot("row").alias("slot"), "text")
-    return placed.mapInPandas(tidy(run), "cls long, id long, row long, n long, prefix array<long>, deals array<int>, n_index int, counts binary")
+                    if n := len(s):
+                        cls.append(class_key(s))
+                        prefix, parts = first(s, t.probe(n), cls[-1])
+                        shingle.append(prefix)
+                        deal.append(parts)
+                        size.append(n)
+                        index.append(t.index(n))
+                        info.append(np.array([i, row], dtype="<i8").tobytes() + _packed(s))
+                if not cls:
+                    continue
+                many = np.array([len(p) for p in shingle])
+                pos = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                mark = np.repeat(np.array(size) * 2, many) + (pos >= np.repeat(index, many))
+                yield pd.DataFrame({"shingle": np.concatenate(shingle).view(np.int64), "cls": np.repeat(np.array(cls, dtype=np.int64), many), "mark": mark, "deal": np.concatenate(deal), "info": None})
+                yield pd.DataFrame({"shingle": cls, "cls": cls, "mark": np.array(size) * 2, "deal": 0, "info": info})
+
+    placed = among(rows.where("id IS NOT NULL").select("id", "row", "text"), wanted.select(F.col("row").alias("id")), "row")
+    return placed.mapInPandas(tidy(run), "shingle long, cls long, mark long, deal int, info binary")
 
 
 def _first_pairs(entries: DataFrame, small: int, t: Threshold) -> DataFrame:
     """Entries sorted by shingle and deal within partitions. kind 0: candidate pairs a, b; kind 1: members a of a large
-    bucket, with its shingle in b; kind 2: the same for the one class that was compared with the others of its deal."""
+    bucket, with its shingle in b; kind 2: the same for the one class that was compared with the others of its deal; kind
+    3: classes a with their sizes b, and id, row and counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for b in batches:
+            told = b["info"].notna()
+            if told.any():
+                c = b[told]
+                own = np.frombuffer(b"".join(x[:16] for x in c["info"]), "<i8").reshape(-1, 2)
+                yield pd.DataFrame({"kind": 3, "a": c["cls"], "b": c["mark"] // 2, "id": own[:, 0], "row": own[:, 1], "counts": [x[16:] for x in c["info"]]})
+                b = b[~told]
+            if not len(b):
+                continue
             mark = b["mark"].to_numpy(np.int64)
             chunk = np.stack((b["shingle"].to_numpy(np.int64), mark >> 1, b["cls"].to_numpy(np.int64), 1 - (mark & 1), b["deal"].to_numpy(np.int64)))
             rest = chunk if rest is None else np.concatenate((rest, chunk), axis=1)
@@ -240,7 +261,7 @@ def _first_pairs(entries: DataFrame, small: int, t: Threshold) -> DataFrame:
         start = np.flatnonzero(np.concatenate(([True], (x[0, 1:] != x[0, :-1]) | (x[4, 1:] != x[4, :-1]))))
         size = np.diff(np.append(start, x.shape[1]))
         run_of = np.repeat(np.arange(len(start)), size)
-        dealt = x[4] >= 0
+        dealt = x[4] > 0
         a, b = [], []
         # within a bucket rows are sorted by n, indexing ones first: the earlier one is the smaller set and has to index this shingle
         for step in range(1, min(small, int(size.max(initial=0)))):
@@ -260,17 +281,20 @@ def _first_pairs(entries: DataFrame, small: int, t: Threshold) -> DataFrame:
         if a and (total := sum(map(len, a))):
             one, two = np.concatenate(a), np.concatenate(b)
             pairs = np.unique(np.stack((np.minimum(one, two), np.maximum(one, two))), axis=1) if total else None
-            yield pd.DataFrame({"kind": 0, "a": pairs[0], "b": pairs[1]})
+            yield out(0, pairs[0], pairs[1])
         if large.any():
             # a set that doesn't index the shingle only meets smaller ones that do
             last = np.maximum.accumulate(np.where(x[3] == 1, np.arange(x.shape[1]), -1))
             meets = (last >= start[run_of]) & (x[1, last] * t.den >= x[1] * t.num)
             stay = large & (meets | dealt)
-            yield pd.DataFrame({"kind": 1, "a": x[2, stay], "b": x[0, stay]})
+            yield out(1, x[2, stay], x[0, stay])
             centres = lowest[dealt[start]]
-            yield pd.DataFrame({"kind": 2, "a": x[2, centres], "b": x[0, centres]})
+            yield out(2, x[2, centres], x[0, centres])
+
+    def out(kind: int, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"kind": kind, "a": a, "b": b, "id": None, "row": None, "counts": None})
 
-    return entries.mapInPandas(tidy(run), "kind int, a long, b long")
+    return entries.mapInPandas(tidy(run), "kind int, a long, b long, id long, row long, counts binary")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
@@ -278,7 +302,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
     pairs = materialize(pairs.select("a", "b").distinct(), "join-pairs")
     total = pairs.count()
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    classes = classes.where(may_be_in(asked, "cls"))  # so that only these are shuffled
+    classes = among(classes, asked, "cls")  # so that only these are shuffled
     side = lambda k: classes.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), F.col("counts").alias(f"c_{k}"), F.col("row").alias(f"row_{k}"))
 
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,22 +320,19 @@ def _likely(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
 def _confirm(likely: DataFrame, rows: DataFrame, width: int, t: Threshold) -> DataFrame:
     """Pairs a, b whose sets reach the threshold. Sets are made again where the texts lie; texts are never shuffled."""
     total = likely.count()
-    needed = likely.select(F.explode(F.array("row_a", "row_b")).alias("id")).distinct()
-    shared = rows.sparkSession.sparkContext.broadcast(id_bits(needed))  # of fixed size
+    needed = likely.select(F.explode(F.array("row_a", "row_b")).alias("id"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: set[int] = set()
         for b in batches:
-            slot = b["slot"].to_numpy(dtype=np.int64)
-            texts = b["text"][(shared.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1]
-            for lo in range(0, len(texts), 500):
-                found = {class_key(s): s for s in _sets(texts.iloc[lo : lo + 500], width) if len(s)}
+            for lo in range(0, len(b), 500):
+                found = {class_key(s): s for s in _sets(b["text"].iloc[lo : lo + 500], width) if len(s)}
                 found = {k: s for k, s in found.items() if k not in met}
                 met.update(found)
                 yield pd.DataFrame({"cls": list(found), "items": [s.astype("<u8").tobytes() for s in found.values()]})
 
-    placed = rows.where("id IS NOT NULL").select(id_slot("row").alias("slot"), "text")
-    # a slot may stand for several rows: the class key of the text decides in the joins below
+    # the filter lets some others pass: the class key of the text decides in the joins below
+    placed = among(rows.where("id IS NOT NULL").select("row", "text"), needed, "row").select("text")
     items = materialize(placed.mapInPandas(tidy(sets), "cls long, items binary"), "join-sets")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -335,15 +356,18 @@ def _as_edges(links: DataFrame) -> DataFrame:
     return links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
 
 
-def contract(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Rounds of large and small stars over edges (u, v < u), as many as it takes until nothing changes, or ``rounds``.
+def contract(edges: DataFrame) -> DataFrame:
+    """Rounds of large and small stars over edges (u, v < u), as many as it takes until only stars are left.
 
     Each round is written; a hub's edges are re-pointed to its smallest neighbour, so no list of neighbours is built.
     """
-    edges = materialize(edges, "edges")
-    mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    last = mark(edges)
-    while rounds is None or rounds > 0:
+    edges = materialize(edges.distinct(), "edges")
+    while True:
+        # stars: every node has one edge to a smaller one, which has none itself
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+        odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("is_low")).where("up > 1 OR up = 1 AND is_low = 0")
+        if not odd.limit(1).count():
+            return edges
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -351,24 +375,30 @@ def contract(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         after = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(after.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
-        now = mark(edges)
-        if now == last:
-            break
-        last = now
-        rounds = None if rounds is None else rounds - 1
-    return edges
 
 
 def _roots(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
+def _apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` whose a and b aren't linked by ``edges``, which are stars."""
+    by = [_roots(edges).select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b")]
+    met = pairs.join(by[0], "a", "left").join(by[1], "b", "left")
+    return met.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
+
+
+def _link(edges: DataFrame, likely: DataFrame, rows: DataFrame, width: int, t: Threshold) -> DataFrame:
+    """``edges`` with what ``likely`` pairs link, contracted."""
+    return contract(edges.union(_as_edges(_confirm(likely, rows, width, t))))
+
+
 def connected(links: DataFrame) -> DataFrame:
     """node, root: the smallest node that each linked node reaches; nodes that are the smallest themselves are left out."""
     return _roots(contract(_as_edges(links)))
 
 
-def _tree_pairs(named: DataFrame, classes: DataFrame, t: Threshold, width: int, block: int = 4096) -> DataFrame:
+def _tree_pairs(named: DataFrame, classes: DataFrame, t: Threshold, width: int, block: int = 2048) -> DataFrame:
     """``named``: shingle, cls, root. Pairs of different components that share a bucket and that R-trees leave.
 
     Buckets with one largest component form a family: near copies share many shingles, and their buckets would all compare
@@ -405,7 +435,7 @@ def _tree_pairs(named: DataFrame, classes: DataFrame, t: Threshold, width: int,
     per = named.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"))
     top = per.groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle", F.col("top.root").alias("family"))
     family = materialize(named.join(top, "shingle").select("family", "cls", "root").distinct(), "join-family")
-    known = classes.where(may_be_in(family.select(F.col("cls").alias("id")), "cls"))
+    known = among(classes, family.select(F.col("cls").alias("id")), "cls")
     whole = family.groupBy("family").agg((F.count(F.lit(1)) > block).alias("wide"))
     # a little wider than the threshold asks for, so that rounding doesn't part two partners by more than one band
     band = F.floor(F.log(F.col("n").cast("double")) / (1.001 * math.log(t.den / t.num))).cast("int")
@@ -424,7 +454,7 @@ def _tree_pairs(named: DataFrame, classes: DataFrame, t: Threshold, width: int,
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (3, 4), small: int = 8, heavy: int = 100_000, deal: int = 50_000, block: int = 4096
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (3, 4), small: int = 8, heavy: int = 100_000, deal: int = 50_000, block: int = 2048
 ) -> DataFrame:
     """id, n_shingles, component_id: one row for each row of ``docs``. The last four steer the cost only."""
     found = _components(docs, id_col, text_col, width, threshold, small, heavy, deal, block)
@@ -436,28 +466,24 @@ def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(id_col, text_col)
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: tuple[int, int], small: int = 8, heavy: int = 100_000, deal: int = 50_000, block: int = 4096) -> DataFrame:
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: tuple[int, int], small: int = 8, heavy: int = 100_000, deal: int = 50_000, block: int = 2048) -> DataFrame:
     """id, row (its key), n, component_id, root: the component itself, as two of them may share their smallest id."""
     t = Threshold(*threshold)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), _row_key(id_col, text_col).alias("row"))
     scanned = materialize(_scan(rows, width), "join-rows")
     listed = scanned.where("times IS NULL").select("id", "row", "cls", "n")
     wanted = listed.where("id IS NOT NULL AND n > 0").groupBy("cls").agg(F.min(F.struct("id", "row")).alias("low")).select("low.row")
-    signed = materialize(_signatures(rows, wanted, width, t, _heavy(scanned, heavy), deal), "join-signatures")
-    classes = signed.groupBy("cls").agg(F.min(F.struct("id", "row")).alias("low"), F.first("n").alias("n"), F.first("counts").alias("counts"))
-    classes = materialize(classes.select("cls", F.col("low.id").alias("rep"), F.col("low.row").alias("row"), "n", "counts"), "join-classes")
-    # a class may come from several rows; its repeats are dropped again in the bucket
-    exploded = signed.select("cls", "n", "n_index", F.posexplode(F.arrays_zip("prefix", "deals")).alias("pos", "at"))
-    deal = F.when(F.col("at.deals") > 1, F.pmod(F.xxhash64("cls"), F.col("at.deals")).cast("int")).otherwise(-1)
-    entries = exploded.select(F.col("at.prefix").alias("shingle"), "cls", (F.col("n") * 2 + (F.col("pos") >= F.col("n_index")).cast("int")).alias("mark"), deal.alias("deal"))
+    entries = _entries(rows, wanted, width, t, _heavy(scanned, heavy), deal)
     placed = entries.repartition("shingle", "deal").sortWithinPartitions("shingle", "deal", "mark", "cls")
     first = materialize(_first_pairs(placed, small, t), "join-first")
+    classes = first.where("kind = 3").groupBy(F.col("a").alias("cls")).agg(F.min(F.struct("id", "row")).alias("low"), F.first("b").alias("n"), F.first("counts").alias("counts"))
+    classes = materialize(classes.select("cls", F.col("low.id").alias("rep"), F.col("low.row").alias("row"), "n", "counts"), "join-classes")
     # the deals of one bucket meet in a star of their centres
     centres = first.where("kind = 2").select(F.col("b").alias("shingle"), F.col("a").alias("cls"))
     stars = centres.join(centres.groupBy("shingle").agg(F.min("cls").alias("low")), "shingle").where("cls != low").select(F.col("low").alias("a"), F.col("cls").alias("b"))
     tried = materialize(_likely(first.where("kind = 0").select("a", "b").union(stars), classes, t), "join-likely")
-    # one round contracts most of what is linked; how far it comes only decides which pairs are looked at below
-    edges = contract(_as_edges(_confirm(tried, rows, width, t)), 1)
+    none = docs.sparkSession.createDataFrame(pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())}))
+    edges = _link(none, tried, rows, width, t)
     members = first.where("kind = 1").select(F.col("a").alias("cls"), F.col("b").alias("shingle"))
     best = 32
     while True:
@@ -465,11 +491,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, thresho
         found = materialize(_tree_pairs(named, classes, t, best, block), "join-tree")
         pairs = found.where("NOT cut").select("a", "b")
         fresh = materialize(_likely(pairs.join(tried, ["a", "b"], "left_anti"), classes, t), "join-likely")
-        edges = contract(edges.union(_as_edges(_confirm(fresh, rows, width, t)).select("u", "v")))
+        edges = _link(edges, fresh, rows, width, t)
         # pairs left out matter only between what is still apart
-        by = [_roots(edges).select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b")]
-        apart = found.where("cut").join(by[0], "a", "left").join(by[1], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-        again = materialize(apart.select(F.col("a").alias("cls")).distinct(), "join-apart")
+        again = materialize(_apart(found.where("cut").select("a", "b"), edges).select(F.col("a").alias("cls")).distinct(), "join-apart")
         if not again.limit(1).count():
             break
         tried = tried.union(fresh)

@@ -200,10 +200,12 @@ def copies(mixed: DataFrame, key_col: str, source_col: str) -> DataFrame:
     unit = 1 << 20
     rows = mixed.where("size > 0").select(F.col(key_col).alias("key"), F.xxhash64(source_col).alias("k"), "size", "taken", F.pmod(F.xxhash64(key_col), F.lit(64)).alias("part"))
     rows = rows.withColumn("rest", F.round((F.col("taken") % F.col("size")) * float(unit) / F.col("size")).cast("long"))
-    within = Window.partitionBy("k", "size", "part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    running = Window.partitionBy("k").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    within = ahead(["k", "size", "part"], "key")
     slices = rows.groupBy("k", "size", "part").agg(F.sum("rest").alias("n"))
-    slices = slices.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0))).drop("n")
+    sizes = slices.groupBy("k", "size").agg(F.sum("n").alias("n")).select("k", "size", F.coalesce(F.sum("n").over(ahead(["k"], "size")), F.lit(0)).alias("smaller"))
+    slices = slices.withColumn("inner", F.coalesce(F.sum("n").over(ahead(["k", "size"], "part")), F.lit(0))).join(sizes, ["k", "size"])
+    slices = slices.select("k", "size", "part", (F.col("smaller") + F.col("inner")).alias("before"))
     rows = rows.withColumn("inner", F.coalesce(F.sum("rest").over(within), F.lit(0))).join(slices, ["k", "size", "part"])
     at = F.col("before") + F.col("inner") + unit // 2
     more = F.shiftright(at + F.col("rest"), 20) - F.shiftright(at, 20)

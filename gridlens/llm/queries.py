@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat_format, html_extract, media, mixing, ngram_join, period_runs, quality, sentencepiece_codec, toxicity, turn_repair, url_filter
+from . import ann, chat_format, html_extract, license_scan, media, mixing, ngram_join, period_runs, quality, sentencepiece_codec, toxicity, turn_repair, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat_format.op1,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing_sources": mixing.op8,
     "op9_ngram_jaccard_join": ngram_join.op9,
     "op10_quality_classifier": quality.op10,
+    "op11_license_scans": license_scan.op11,
     "op12_period_runs": period_runs.op12,
     "op13_turn_repair": turn_repair.op13,
 }
@@ -27,6 +28,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": chat_format.OP1_SQL,
     "op2_url_filters": url_filter.OP2_SQL,
     "op9_ngram_jaccard_join": ngram_join.OP9_SQL,
+    "op11_license_scans": license_scan.OP11_SQL,
     "op12_period_runs": period_runs.OP12_SQL,
     "op13_turn_repair": turn_repair.OP13_SQL,
 }

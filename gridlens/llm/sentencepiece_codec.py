@@ -30,6 +30,8 @@ from .common import share, table, tidy
 MARK = "▁"
 _PARTS = re.compile(f"{MARK}+(?={MARK}[^{MARK}\n])|{MARK}+(?=\n|\\Z)|{MARK}?[^{MARK}\n]+|\n")
 _NEVER = np.int64(1) << 40
+#: Characters from which a part is gone through by itself rather than beside others.
+LONG = 512
 
 
 @dataclass(frozen=True)
@@ -233,17 +235,63 @@ class Codec:
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return suffixes[np.repeat(low, n) + offset], np.repeat(wanted, n)
 
+    def _codes(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code points as small numbers, 0 for those without piece, and the table of these numbers."""
+        points = np.unique(raw)
+        code_of = np.zeros(int(points[-1]) + 1, dtype=np.int64)
+        spelled = [p for p in points.tolist() if chr(p) in self.t.single]
+        code_of[spelled] = np.arange(1, len(spelled) + 1)
+        return code_of[raw], code_of
+
+    def _learn_long(self, part: str, window: int = 1 << 16) -> None:
+        """Ids of one long part. Edges are found a window at a time and relaxed in the order of their starts, one by one; what
+        may follow what is asked beforehand for all pieces that meet anywhere in the window."""
+        raw = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        n, longest, size = len(raw), self.t.spelling.shape[1], self.t.size
+        last = [-1] * (n + 1)
+        before_at, before = np.zeros(0, np.int64), np.zeros(0, np.int64)  # ends and pieces of edges that reach into the window
+        for lo in range(0, n, window):
+            codes, code_of = self._codes(np.append(raw[lo : lo + window + longest], 0))
+            codes[-1] = 0
+            starts, pieces = self._edges(codes, code_of)
+            starts, pieces = starts[starts < window] + lo, pieces[starts < window]
+            lone = np.flatnonzero(codes[: min(window, n - lo)] == 0) + lo
+            starts, pieces = np.concatenate((starts, lone)), np.concatenate((pieces, np.full(len(lone), -1)))
+            order = np.argsort(starts, kind="stable")
+            starts, pieces = starts[order], pieces[order]
+            ends = starts + np.where(pieces >= 0, self.t.length[pieces], 1)
+            before_at, before = np.concatenate((before_at, ends)), np.concatenate((before, pieces))
+            order = np.argsort(before_at, kind="stable")
+            before_at, before = before_at[order], before[order]
+            first, end = np.searchsorted(before_at, starts), np.searchsorted(before_at, starts, side="right")
+            many = end - first
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+            left, right = before[at], np.repeat(pieces, many)
+            keys = np.unique((left * size + right)[(left >= 0) & (right >= 0)])
+            good = set(keys[self.may_follow(keys // size, keys % size)].tolist())
+            for s, p, e in zip(starts.tolist(), pieces.tolist(), ends.tolist(), strict=True):
+                if p < 0 or (b := last[s]) < 0 or b * size + p in good:
+                    last[e] = p
+            keep = before_at > lo + window - 1
+            before_at, before = before_at[keep], before[keep]
+        ids: list[int] = []
+        while n:
+            p = last[n]
+            if p >= 0:
+                ids.append(p)
+                n -= int(self.t.length[p])
+            else:
+                n -= 1
+                ids += [self.t.byte_id[b] for b in reversed(chr(int(raw[n])).encode("utf-8", "surrogatepass"))]
+        self._keep(part, np.array(ids[::-1], dtype="<i4").tobytes())
+
     def _learn(self, parts: list[str]) -> None:
         """Ids of parts not met so far, all at once."""
         text = "\0".join(parts) + "\0"
         raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-        points = np.unique(raw)
-        code_of = np.zeros(int(points[-1]) + 1, dtype=np.int64)
-        spelled = [p for p in points.tolist() if chr(p) in self.t.single]
-        code_of[spelled] = np.arange(1, len(spelled) + 1)
-        codes = code_of[raw]
+        codes, code_of = self._codes(raw)
         unknown = codes == 0
         unknown[begin + sizes] = False
         starts, pieces = self._edges(codes, code_of)
@@ -311,7 +359,9 @@ class Codec:
             marks = {p for p in fresh if p[0] == MARK and not p.strip(MARK)}
             for p in marks:
                 self._keep(p, self._run(len(p)))
-            if rest := list(fresh - marks):
+            for p in (long := {p for p in fresh - marks if len(p) > LONG}):
+                self._learn_long(p)
+            if rest := list(fresh - marks - long):
                 # some hundred thousand characters at a time keep the arrays of edges small
                 size = np.cumsum([len(p) for p in rest]) // self.lot
                 for lot in np.split(np.array(rest, dtype=object), np.flatnonzero(np.diff(size)) + 1):

@@ -16,6 +16,7 @@ def odd_docs(spark):
         (None, "the quick brown fox jumps over the lazy dog again", "en", "a", 3, 0.5, 7, "h"),
         (5, "two words", "fr", "c", 9, 0.2, 2, "y"),
         (6, long, "en", None, len(long), 0.3, 3, "z"),
+        (8, "x" * 3000 + "0123456789abcdef" * 500, "xx", "a", 5, 0.3, 3, "z"),
         (7, "ünï <|im_end|> 日本 \x00 \U0001f600 ▁", "xx", "a", 5, 0.3, 3, "z"),
     ]
     return spark.createDataFrame([(*r, 0.5, "poor", 1, 2, r[0], 3, None) for r in [rows[5], *rows]], DOCS)

@@ -35,6 +35,21 @@ def test_against_the_library(model, plain):
     same(codec, model, plain, [" " * n + tail for n in range(1, 40) for tail in ("", "x", "\n", "日")])
 
 
+def test_long_parts_without_blank(model, plain):
+    import time
+
+    codec, rng = S.Codec(model), random.Random(9)
+    letters = "etaoinshrdlu0123456789-_日本語é\U0001f600\U000e0001"
+    long = ["a" * 3000, "ab" * 40_000, "日本語" * 2000, "the" * 700 + "\n" + "x" * 513, "\U000e0001" * 600, "=" * 70_000]
+    long += ["".join(rng.choice(letters) for _ in range(n)) for n in (512, 513, 65_536, 65_537, 140_000)]
+    long += ["".join(model.pieces[rng.randrange(259, len(model.pieces))] for _ in range(5000)).replace("▁", "") for _ in range(3)]
+    same(codec, model, plain, long)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    began = time.perf_counter()
+    same(codec, model, plain, [text, text + "\n" + text])
+    assert time.perf_counter() - began < 30  # two seconds on a quiet machine
+
+
 def test_spread_over_batches_and_odd_rows(spark, model, plain, odd_docs, no_docs):
     got = S.decode_ids(S.encode_texts(odd_docs, model), model).collect()
     texts = {}

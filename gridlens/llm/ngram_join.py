@@ -228,13 +228,15 @@ def _entries(rows: DataFrame, wanted: DataFrame, width: int, t: Threshold, heavy
     return placed.mapInPandas(tidy(run), "shingle long, cls long, mark long, deal int, info binary")
 
 
-def _first_pairs(entries: DataFrame, small: int, t: Threshold) -> DataFrame:
+def _first_pairs(entries: DataFrame, small: int, t: Threshold, piece: int = 1 << 16) -> DataFrame:
     """Entries sorted by shingle and deal within partitions. kind 0: candidate pairs a, b; kind 1: members a of a large
     bucket, with its shingle in b; kind 2: the same for the one class that was compared with the others of its deal; kind
-    3: classes a with their sizes b, and id, row and counts."""
+    3: classes a with their sizes b, and id, row and counts. A bucket of over ``piece`` entries that wasn't dealt out, as
+    nothing told its size, is dealt out here: it is worked on a piece at a time, and its pieces meet as deals do."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        held: list[np.ndarray] = []  # the last bucket met so far, and nothing else
+        cut: tuple[int, int] | None = None  # the bucket that has been cut into pieces
         for b in batches:
             told = b["info"].notna()
             if told.any():
@@ -245,16 +247,26 @@ def _first_pairs(entries: DataFrame, small: int, t: Threshold) -> DataFrame:
             if not len(b):
                 continue
             mark = b["mark"].to_numpy(np.int64)
-            chunk = np.stack((b["shingle"].to_numpy(np.int64), mark >> 1, b["cls"].to_numpy(np.int64), 1 - (mark & 1), b["deal"].to_numpy(np.int64)))
-            rest = chunk if rest is None else np.concatenate((rest, chunk), axis=1)
-            last = int(np.argmax((rest[0] == rest[0, -1]) & (rest[4] == rest[4, -1])))
-            if last:
-                yield from work(rest[:, :last])
-                rest = rest[:, last:]
-        if rest is not None and rest.shape[1]:
-            yield from work(rest)
-
-    def work(x: np.ndarray) -> Iterator[pd.DataFrame]:
+            x = np.stack((b["shingle"].to_numpy(np.int64), mark >> 1, b["cls"].to_numpy(np.int64), 1 - (mark & 1), b["deal"].to_numpy(np.int64)))
+            bucket = (int(x[0, -1]), int(x[4, -1]))
+            last = int(np.argmax((x[0] == bucket[0]) & (x[4] == bucket[1])))
+            if held and (last or (int(held[0][0, 0]), int(held[0][4, 0])) != bucket):
+                yield from work(np.concatenate([*held, x[:, :last]], axis=1), cut)
+                held, x = [], x[:, last:]
+            elif last:
+                yield from work(x[:, :last], cut)
+                x = x[:, last:]
+            held.append(x)
+            if sum(h.shape[1] for h in held) > piece:
+                cut = bucket
+                yield from work(np.concatenate(held, axis=1), cut)
+                held = []
+        if held:
+            yield from work(np.concatenate(held, axis=1), cut)
+
+    def work(x: np.ndarray, cut: tuple[int, int] | None) -> Iterator[pd.DataFrame]:
+        if cut is not None and cut[1] == 0:
+            x[4, (x[0] == cut[0]) & (x[4] == 0)] = 1
         again = np.zeros(x.shape[1], bool)
         again[1:] = (x[0, 1:] == x[0, :-1]) & (x[2, 1:] == x[2, :-1]) & (x[4, 1:] == x[4, :-1])
         x = x[:, ~again]
@@ -454,10 +466,10 @@ def _tree_pairs(named: DataFrame, classes: DataFrame, t: Threshold, width: int,
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (3, 4), small: int = 8, heavy: int = 100_000, deal: int = 50_000, block: int = 2048
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (3, 4), small: int = 8, heavy: int = 100_000, deal: int = 50_000, block: int = 2048, piece: int = 1 << 16
 ) -> DataFrame:
-    """id, n_shingles, component_id: one row for each row of ``docs``. The last four steer the cost only."""
-    found = _components(docs, id_col, text_col, width, threshold, small, heavy, deal, block)
+    """id, n_shingles, component_id: one row for each row of ``docs``. The last five steer the cost only."""
+    found = _components(docs, id_col, text_col, width, threshold, small, heavy, deal, block, piece)
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
@@ -466,7 +478,7 @@ def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(id_col, text_col)
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: tuple[int, int], small: int = 8, heavy: int = 100_000, deal: int = 50_000, block: int = 2048) -> DataFrame:
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: tuple[int, int], small: int = 8, heavy: int = 100_000, deal: int = 50_000, block: int = 2048, piece: int = 1 << 16) -> DataFrame:
     """id, row (its key), n, component_id, root: the component itself, as two of them may share their smallest id."""
     t = Threshold(*threshold)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), _row_key(id_col, text_col).alias("row"))
@@ -475,7 +487,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, thresho
     wanted = listed.where("id IS NOT NULL AND n > 0").groupBy("cls").agg(F.min(F.struct("id", "row")).alias("low")).select("low.row")
     entries = _entries(rows, wanted, width, t, _heavy(scanned, heavy), deal)
     placed = entries.repartition("shingle", "deal").sortWithinPartitions("shingle", "deal", "mark", "cls")
-    first = materialize(_first_pairs(placed, small, t), "join-first")
+    first = materialize(_first_pairs(placed, small, t, piece), "join-first")
     classes = first.where("kind = 3").groupBy(F.col("a").alias("cls")).agg(F.min(F.struct("id", "row")).alias("low"), F.first("b").alias("n"), F.first("counts").alias("counts"))
     classes = materialize(classes.select("cls", F.col("low.id").alias("rep"), F.col("low.row").alias("row"), "n", "counts"), "join-classes")
     # the deals of one bucket meet in a star of their centres

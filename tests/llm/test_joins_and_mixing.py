@@ -71,6 +71,20 @@ def test_join_of_dealt_buckets_and_bands(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(df, **options).collect()} == want
 
 
+def test_join_of_buckets_that_nothing_told(spark):
+    """No counts at all, so that buckets of the passage aren't dealt out beforehand: they are worked on in pieces."""
+    rng = random.Random(11)
+    passage = [f"pas{k}" for k in range(40)]
+    texts = [" ".join(edited(passage, rng.randrange(0, 7), rng)) for _ in range(120)] + [" ".join(passage + [f"own{k}x{j}" for j in range(rng.randrange(2, 30))]) for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = J.jaccard_components(df, heavy=0, piece=20, small=3, block=16).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(list(enumerate(texts)))
+
+
 def test_ids_beyond_what_a_double_holds(spark):
     rows = [(2**60 + 1, "one two three four five six"), (2**60 + 3, "one two three four five six"), (None, "else")]
     got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()

@@ -23,7 +23,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -208,13 +208,19 @@ def _summed(m: SegmentModel, segments: np.ndarray, length: int) -> float:
     return float(e[e > 0].sum() or e.max())
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, weight: float = 4.0, drift: float = 2.0) -> SegmentModel:
-    """``docs``: doc_id, text; ``labels``: doc_id, label 0/1. At most ``most_rows`` labelled rows, by a hash of the id, are learned from."""
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, weight: float = 4.0, drift: float = 2.0, most_bytes: int = 128 << 20) -> SegmentModel:
+    """``docs``: doc_id, text; ``labels``: doc_id, label 0/1. At most ``most_rows`` labelled rows with texts of ``most_bytes``
+    in all, by a hash of the id, are learned from: some 20 million words, which bounds the model's tables."""
     named = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("long").alias("label"))
     picked = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     named_docs = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # most_rows bounds the broadcast
     # an id that stands on many rows is learned from once
     sample = materialize(named_docs.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label")), "toxic-sample")
+    long = F.coalesce(F.octet_length("text"), F.lit(0))
+    if (sample.agg(F.sum(long)).first()[0] or 0) > most_bytes:
+        upto = F.sum(long).over(Window.partitionBy(F.lit(1)).orderBy(F.xxhash64("doc_id"), "doc_id"))  # most_rows rows, without their texts
+        fits = sample.select("doc_id", upto.alias("upto"))
+        sample = materialize(sample.join(F.broadcast(fits.where(F.col("upto") <= most_bytes).select("doc_id")), "doc_id"), "toxic-sample")
     classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     pos, neg = classes.get(1, 0), classes.get(0, 0)
     m = SegmentModel(_counts(sample), (pos + 0.5) / (pos + neg + 1), weight, drift)

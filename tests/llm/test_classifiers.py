@@ -281,3 +281,10 @@ def test_features_by_plain_counting():
     assert stats[0, at["repeats"]] == 0 and stats[2, at["commonest"]] == 0.5
     assert stats[0, at["shouts"]] == 2 / 6 and stats[0, at["bars"]] == 1 / 6 and stats[0, at["marked"]] == 1 / 6
     assert not stats[1].any() and not stats[3].any()
+
+
+def test_bytes_bound_what_is_learned_from(labelled):
+    docs, labels = labelled
+    whole, part, none = X.learn(docs, labels), X.learn(docs, labels, most_bytes=2000), X.learn(docs, labels, most_bytes=5)
+    n = [sum(int(c.sum()) for _, c in m.tables) for m in (whole, part, none)]
+    assert n[0] > 4 * n[1] > 0 and n[2] == 0

@@ -142,7 +142,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
     out = read_back(format_conversations(turns))
     said = F.array_join(F.transform("turns_back", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("turns_back", lambda x: x["loss"]), lambda x: x["text"]), "")
+    # under the mask of the output itself: what its flagged segments say
+    learned = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     return out.select(
         "conv_id",
         F.size("turns_back").cast("long").alias("n_turns"),

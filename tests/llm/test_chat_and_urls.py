@@ -84,6 +84,15 @@ def test_odd_urls_and_purity(spark):
     assert U.judge(df.where("page_id = -1"), labels).count() == 0
 
 
+def test_flags_and_roles_read_back_agree(spark, data):
+    """The loss mask of the output's segments is the one of the roles that are read back from the string."""
+    turns = spark.read.parquet(f"{data}/conversations.parquet")
+    for r in C.read_back(C.format_conversations(turns)).select("segments", "formatted", "turns_back").collect():
+        assert "".join(s.text for s in r.segments) == r.formatted
+        assert [s.text.replace("<||", "<|") for s in r.segments if s.loss] == [t.text for t in r.turns_back if t.loss]
+        assert any(s.loss for s in r.segments) == any(t.role == "assistant" for t in r.turns_back)
+
+
 def test_digest_is_of_read_back_text(spark, data):
     r = queries.QUERIES["op1_chat_formatting"](spark, data).where(F.col("conv_id") == -1).collect()[0]
     text = "<|im_end|><|im_start|>assistant ok"

@@ -67,29 +67,35 @@ def zscore(rows: DataFrame, key: str, array_col: str, stats: DataFrame, exempt:
     return rows.join(F.broadcast(packed)).select(key, z.alias("z"))
 
 
+def _binade(x: Column) -> Column:
+    """A whole number that never falls as ``x`` grows; values of one number have one sign and differ by less than a factor of two."""
+    return F.when(x == 0, 0).otherwise(F.signum(x) * (F.floor(F.log2(F.abs(x))) + 1076)).cast("long")
+
+
 def quantiles(values: DataFrame, col: str, shares: tuple[float, ...], cells: int = 4096) -> list[float | None]:
     """Exact quantiles, interpolated between neighbours, of finite values.
 
-    Values are counted in ``cells`` of equal width; the cell that holds a rank is cut again, until it holds one value. So
-    a pass gives a bounded number of counts, and a few passes do, whatever the number of values.
+    Values are counted by their powers of two first; the cell that holds a rank is cut into ``cells`` of equal width, and
+    again, until it holds one value. A power of two has 2 ** 52 doubles, so six passes do at most, whatever the values,
+    and each gives a bounded number of counts.
     """
     x = F.col(col).cast("double")
-    whole = values.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-    if not whole["n"]:
+
+    def counted(cell: Column, *by: str) -> list:
+        found = values.select(x.alias("x"), cell.alias("s")) if not by else values.select(x.alias("x"), F.explode(cell).alias("s")).where("s.c IS NOT NULL")
+        return found.where("x IS NOT NULL").groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("s").collect()
+
+    rows = counted(_binade(x))
+    total = sum(r["n"] for r in rows)
+    if not total:
         return [None] * len(shares)
-    places = [share * (whole["n"] - 1) for share in shares]
-    todo = {r: (whole["lo"], whole["hi"], 0) for p in places for r in (math.floor(p), math.ceil(p))}
+    places = [share * (total - 1) for share in shares]
+    todo = {r: (-math.inf, math.inf, 0) for p in places for r in (math.floor(p), math.ceil(p))}
+    counts: dict[tuple[float, float], list] = {(-math.inf, math.inf): rows}
     found: dict[int, float] = {}
     while todo:
-        spans = sorted({(lo, hi) for lo, hi, _ in todo.values() if lo < hi})
-        counts: dict[tuple[float, float], list] = {span: [] for span in spans}
-        if spans:
-            inside = [F.struct(F.lit(k).alias("k"), F.when((x >= lo) & (x <= hi), F.least(F.floor((x - lo) / (hi - lo) * cells), F.lit(cells - 1))).alias("c")) for k, (lo, hi) in enumerate(spans)]
-            placed = values.select(x.alias("x"), F.explode(F.array(*inside)).alias("s")).where("s.c IS NOT NULL")
-            for r in placed.groupBy("s.k", "s.c").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("k", "c").collect():
-                counts[spans[r["k"]]].append(r)
         for rank, (lo, hi, below) in list(todo.items()):
-            for r in counts.get((lo, hi), ()):
+            for r in counts[lo, hi]:
                 if rank < below + r["n"]:
                     lo, hi = r["lo"], r["hi"]
                     break
@@ -98,7 +104,18 @@ def quantiles(values: DataFrame, col: str, shares: tuple[float, ...], cells: int
             if lo == hi:
                 found[rank] = lo
                 del todo[rank]
-    return [found[math.floor(p)] + (found[math.ceil(p)] - found[math.floor(p)]) * (p - math.floor(p)) for p in places]
+        spans = sorted({(lo, hi) for lo, hi, _ in todo.values()})
+        counts = {span: [] for span in spans}
+        if spans:
+            inside = [F.struct(F.lit(k).alias("k"), F.when((x >= lo) & (x <= hi), F.least(F.floor((x - lo) / (hi - lo) * cells), F.lit(cells - 1))).alias("c")) for k, (lo, hi) in enumerate(spans)]
+            for r in counted(F.array(*inside), "k"):
+                counts[spans[r["s"]["k"]]].append(r)
+
+    def between(p: float) -> float:
+        a, b, part = found[math.floor(p)], found[math.ceil(p)], p - math.floor(p)
+        return a + (b - a) * part if math.isfinite(b - a) else a * (1 - part) + b * part
+
+    return [between(p) for p in places]
 
 
 def value_profile(values: DataFrame, col: str) -> DataFrame:

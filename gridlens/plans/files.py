@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,7 @@ from ..operators import stats as S
 from ..schemas import METADATA
 from ..sources import readers as R
 from ..sources import writers as W
+from ..sources.pdf import pdf_pages, write_pdf
 from ..sources.scratch import shared_path
 from .labels import CLASSES, events
 
@@ -87,6 +89,19 @@ def audit_report(spark, d):
     return spark.createDataFrame([(W.render_report(stats, issues),)], "page string")
 
 
+def pdf_documents(spark, d):
+    """Conversations as PDF files of one turn a page, plain and compressed ones by turns, read back into documents."""
+
+    def bound(batches):
+        for b in batches:
+            yield pd.DataFrame({"conv_id": b["conv_id"], "content": [write_pdf(list(p), i % 2 == 0) for i, p in zip(b["conv_id"], b["pages"], strict=True)]})
+
+    turns = R.table(spark, d, "conversations")
+    pages = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t")).select("conv_id", F.transform("t", lambda x: F.coalesce(x["text"], F.lit(""))).alias("pages"))
+    files = pages.mapInPandas(bound, "conv_id long, content binary")
+    return R.pages_to_document(pdf_pages(files, "conv_id"), "conv_id", "page", "text").select("conv_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n_chars"))
+
+
 _ROWS = "SELECT event_id, user_id, event_type, value, props FROM events"
 
 PLANS = {
@@ -103,6 +118,12 @@ UNION ALL SELECT 'malformed', count(*), NULL FROM events WHERE event_id % 11 = 0
         split_files,
         """WITH s AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS o, count(*) OVER () AS n FROM events)
 SELECT event_id, event_type FROM s WHERE o >= floor(n * 0.7::DOUBLE) AND o < floor(n * 0.85::DOUBLE)""",
+    ),
+    "pdf_documents": (
+        pdf_documents,
+        """WITH n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS page, text FROM conversations),
+p AS (SELECT conv_id, page, trim(text, ' ' || chr(10)) AS t FROM n WHERE trim(coalesce(text, ''), ' ' || chr(10)) <> ''),
+g AS (SELECT conv_id, string_agg('[Page ' || page || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY page) AS text FROM p GROUP BY 1) SELECT conv_id, md5(text) AS digest, CAST(length(text) AS BIGINT) AS n_chars FROM g""",
     ),
     "summary_file": (summary_file, "SELECT count(*) AS episodes, min(n) AS shortest, max(n) AS longest FROM (SELECT count(*) AS n FROM events GROUP BY user_id)"),
     "audit_report": (

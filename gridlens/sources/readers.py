@@ -71,6 +71,6 @@ def pages_to_document(pages: DataFrame, doc_col: str, page_col: str, text_col: s
     """Numbered pages with text joined to one document: ``[Page n]``, the stripped text, blank lines between."""
     from ..functions.text import strip
 
-    body = pages.withColumn("__t", strip(F.coalesce(text_col, F.lit("")))).where("__t != ''")
-    line = F.struct(F.col(page_col).alias("page"), F.concat(F.lit("[Page "), F.col(page_col).cast("string"), F.lit("]\n"), F.col("__t")).alias("text"))
+    body = pages.select(F.col(doc_col), F.col(page_col).alias("page"), strip(F.coalesce(text_col, F.lit(""))).alias("said")).where("said != ''")
+    line = F.struct("page", F.concat(F.lit("[Page "), F.col("page").cast("string"), F.lit("]\n"), F.col("said")).alias("text"))
     return body.groupBy(doc_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["text"]), "\n\n").alias("text"))

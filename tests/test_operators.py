@@ -290,6 +290,40 @@ def test_quantiles(spark, values):
     assert got == [None] * 5 if not values else np.allclose(got, np.quantile(values, (0.0, 0.5, 0.95, 0.99, 1.0)), rtol=1e-12)
 
 
+def test_quantiles_end(spark):
+    """Values of all sizes take six passes at most."""
+    import random
+    import struct
+
+    class Counted:
+        def __init__(self, df):
+            self.df, self.passes = df, 0
+
+        def select(self, *columns):
+            self.passes += 1
+            return self.df.select(*columns)
+
+    rng = random.Random(4)
+    doubles = [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(2000)]
+    for values in (
+        [-1.7e308, 0.0, 1.7e308],
+        [5e-324, 1e-323, -5e-324, 0.0, -0.0, 2.2e-308, 1.5e-323],
+        [7.25] * 1000,
+        [1.0 + k * 2.0**-52 for k in range(5)] + [1.9],
+        [x for x in doubles if x - x == 0],
+        [-1.7e308] * 3 + [1.7e308] * 3 + [None] * 2,
+    ):
+        df = Counted(spark.createDataFrame([(v,) for v in values], "x double"))
+        kept = sorted(v for v in values if v is not None)
+        shares = [k / (len(kept) - 1) for k in {0, len(kept) // 3, len(kept) // 2, len(kept) - 1}]
+        got = stats.quantiles(df, "x", shares)
+        assert df.passes <= 6
+        for share, v in zip(shares, got, strict=True):
+            assert v == pytest.approx(kept[round(share * (len(kept) - 1))], rel=1e-9)
+    half = stats.quantiles(spark.createDataFrame([(-1.7e308,), (1.7e308,)], "x double"), "x", (0.25, 0.5))
+    assert half == [pytest.approx(-0.85e308), 0.0]
+
+
 def test_validator_calls(spark):
     given = [rule(rule_id=f"R_{k}") for k in range(6)]
     rows = [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 4), ("b", 5)]

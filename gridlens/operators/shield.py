@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import operator
 import re
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import unused
+from ..sources.scratch import written
 
-_WORD = re.compile(r"\s*(?:(\d+(?:\.\d+)?)|([A-Za-z_]\w*)|(<=|>=|==|!=|<|>|=|\(|\)))")
+_WORD = re.compile(r"\s*(?:(-?\d+(?:\.\d+)?)|([A-Za-z_]\w*)|(<=|>=|==|!=|<|>|=|\(|\)))")
 _SIGNS = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "=": operator.eq, "==": operator.eq, "!=": operator.ne}
 
 
@@ -113,19 +114,102 @@ def shield(predictions: DataFrame, rules: list[dict[str, str]], key: str, names:
     listed = rule_table(predictions.sparkSession, rules, names).select(F.col("entity").alias(by), F.col("rules").alias(held))
     joined = predictions.withColumn(by, F.lower(entity_col)).withColumn(values, F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))])).join(listed, by, "left")
 
-    def side(term: Column, name: str) -> Column:
-        return F.when(term[name].isNull(), term[f"{name}_number"]).otherwise(F.try_element_at(F.col(values), term[name]))
-
-    def holds(term: Column) -> Column:
-        a, b, sign = side(term, "left"), side(term, "right"), term["sign"]
-        return F.when(sign == "<", a < b).when(sign == "<=", a <= b).when(sign == ">", a > b).when(sign == ">=", a >= b).when(sign == "!=", a != b).otherwise(a == b)
-
-    violated = F.filter(F.col(held), lambda r: F.exists(r["clauses"], lambda c: F.forall(c, holds)))
+    violated = F.filter(F.col(held), lambda r: F.exists(r["clauses"], lambda c: F.forall(c, lambda t: _holds(t, F.col(values)))))
     found = F.array_sort(F.transform(violated, lambda r: r["explanation"]))
     judged = joined.withColumn(hits, F.coalesce(found, F.array().cast("array<string>")))
     return judged.select(key, F.when(F.size(hits) > 0, "BLOCK").otherwise("PASS").alias("decision"), F.array_join(hits, " | ").alias("explanation"), F.size(hits).cast("long").alias("n_violated"))
 
 
+def parsed_rules(rules: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """entity (lower case), rule_id, explanation, clauses, of a frame with entity, rule_id, condition, explanation."""
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            read = [[[dict(zip(("left", "left_number", "sign", "right", "right_number"), t, strict=True)) for t in c] for c in clauses(x, names)] for x in b["condition"]]
+            yield pd.DataFrame({"entity": b["entity"].str.lower(), "rule_id": b["rule_id"], "explanation": b["explanation"], "clauses": read})
+
+    return rules.select("entity", "rule_id", "explanation", "condition").mapInPandas(run, f"entity string, rule_id string, explanation string, clauses array<array<{_TERM}>>")
+
+
+def _side(term: Column, name: str, values: Column) -> Column:
+    return F.when(term[name].isNull(), term[f"{name}_number"]).otherwise(F.try_element_at(values, term[name]))
+
+
+def _holds(term: Column, values: Column) -> Column:
+    a, b, sign = _side(term, "left", values), _side(term, "right", values), term["sign"]
+    return F.when(sign == "<", a < b).when(sign == "<=", a <= b).when(sign == ">", a > b).when(sign == ">=", a >= b).when(sign == "!=", a != b).otherwise(a == b)
+
+
+_FLIPPED = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "=", "==": "="}
+
+
+def rule_index(parsed: DataFrame, cell: int = 256) -> tuple[DataFrame, DataFrame]:
+    """An index on conditions: the cells of each list of thresholds, and what they hold.
+
+    Each alternative of a rule is filed under one of its bounds, by entity, field and direction; a bound from above is
+    filed as one from below of the negative value, an equality by its value from below. Alternatives without bound, such
+    as those that compare two fields, are filed under no field and meet every prediction of their entity. Thresholds of
+    a list are sorted and cut into cells of ``cell``. Returns entity, field, way, tops: array<struct<low, cell>>, and entity,
+    field, way, cell, held: array<struct<bound, rule_id, explanation, terms>>.
+    """
+    one = F.explode("clauses").alias("terms")
+    rows = parsed.select("entity", "rule_id", "explanation", one)
+
+    def bound(t: Column) -> Column:
+        sign, flipped = t["sign"], F.create_map(*[F.lit(x) for kv in _FLIPPED.items() for x in kv])
+        named = F.when(t["left"].isNotNull() & t["right"].isNull(), F.struct(t["left"].alias("field"), sign.alias("sign"), t["right_number"].alias("x")))
+        turned = F.when(t["left"].isNull() & t["right"].isNotNull(), F.struct(t["right"].alias("field"), F.try_element_at(flipped, sign).alias("sign"), t["left_number"].alias("x")))
+        return F.when(sign != "!=", F.coalesce(named, turned))
+
+    first = F.get(F.filter(F.transform("terms", bound), lambda b: b.isNotNull()), 0)
+    filed = rows.withColumn("b", first)
+    below = F.col("b.sign").isin("<", "<=")
+    filed = filed.select(
+        "entity",
+        F.coalesce("b.field", F.lit("")).alias("field"),
+        F.when(below, -1).otherwise(1).alias("way"),
+        F.coalesce(F.when(below, -F.col("b.x")).otherwise(F.col("b.x")), F.lit(0.0)).alias("bound"),
+        "rule_id",
+        "explanation",
+        "terms",
+    )
+    by = ["entity", "field", "way"]
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("bound", "rule_id")) - 1
+    cells = filed.withColumn("cell", F.floor(place / cell)).groupBy(*by, "cell").agg(F.array_sort(F.collect_list(F.struct("bound", "rule_id", "explanation", "terms"))).alias("held"))
+    cells = written(cells, "rule-cells")
+    tops = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.get("held", 0)["bound"].alias("low"), "cell"))).alias("tops"))
+    return tops, cells
+
+
+def indexed_shield(predictions: DataFrame, parsed: DataFrame, key: str, names: tuple[str, ...], entity_col: str = "entity", cell: int = 256) -> DataFrame:
+    """As :func:`shield` for rules in a frame (:func:`parsed_rules`) and a unique ``key``; also ``looked_at``, how many conditions were tried.
+
+    A prediction is compared with the lowest thresholds of cells, then meets the cells it crosses, and in them the
+    conditions whose bound it crosses; only these are tried.
+    """
+    tops, cells = rule_index(parsed, cell)
+    values = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))])
+    rows = predictions.select(F.col(key).alias("key"), F.lower(entity_col).alias("entity"), values.alias("values"))
+    at = lambda field, way, low: F.coalesce(F.try_element_at("values", field) * way, F.when(field == "", F.lit(0.0))) >= low
+    crossed = F.filter("tops", lambda t: at(F.col("field"), F.col("way"), t["low"]))
+    met = rows.join(tops, "entity").select("key", "values", "entity", "field", "way", F.explode(F.transform(crossed, lambda t: t["cell"])).alias("cell"))
+    tried = met.join(cells, ["entity", "field", "way", "cell"]).select("key", "values", F.filter("held", lambda h: at(F.col("field"), F.col("way"), h["bound"])).alias("held"))
+    broken = F.filter("held", lambda h: F.forall(h["terms"], lambda t: _holds(t, F.col("values"))))
+    hits = tried.select("key", F.size("held").cast("long").alias("n"), F.transform(broken, lambda h: F.struct(h["explanation"], h["rule_id"])).alias("hits"))
+    per = hits.groupBy("key").agg(F.sum("n").alias("looked_at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
+    nothing = F.array().cast("array<string>")
+    out = predictions.select(F.col(key).alias("key")).join(per, "key", "left")
+    said = F.coalesce(F.transform("hits", lambda h: h["explanation"]), nothing)
+    return out.select(
+        F.col("key").alias(key),
+        F.when(F.size(said) > 0, "BLOCK").otherwise("PASS").alias("decision"),
+        F.array_join(said, " | ").alias("explanation"),
+        F.size(said).cast("long").alias("n_violated"),
+        F.coalesce("looked_at", F.lit(0)).cast("long").alias("looked_at"),
+    )
+
+
 def shield_rates(judged: DataFrame, unsafe: Column) -> DataFrame:
     """Compliance (unsafe ones blocked), false blocks (safe ones blocked), and precision of blocks."""
     blocked = F.col("decision") == "BLOCK"

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import files, graph, labels, quality, rules
+from . import files, graph, labels, networks, quality, rules
 
-PLANS = {**labels.PLANS, **graph.PLANS, **quality.PLANS, **rules.PLANS, **files.PLANS}
+PLANS = {**labels.PLANS, **graph.PLANS, **quality.PLANS, **rules.PLANS, **files.PLANS, **networks.PLANS}

@@ -87,6 +87,67 @@ def test_copies_of_one_article_keep_their_text(spark):
         assert got[100 + k] == f"title {k}{' licence line' * (k % 2)} text {k} of its own"
 
 
+def extracted(spark, pages):
+    df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(df, H.infer_wrappers(df)).collect()}
+    return [got[k] for k in range(len(pages))]
+
+
+def test_other_pages_take_no_text_away(spark):
+    """Half of a host's pages have an element before their text that is noise, the others have text there."""
+    for noise, main in (("aside", "article"), ("nav", "main")):
+        pages = [(f"http://{noise}.org/a{k}", f"<{main}><{noise}>side note {k}</{noise}><p>para {k}</p></{main}>") for k in range(6)]
+        pages += [(f"http://{noise}.org/b{k}", f"<{main}>lead text {k} right there<p>para {k}</p></{main}>") for k in range(6)]
+        pages += [(f"http://{noise}.org/c{k}", f"<{noise}>menu {k}</{noise}><{main}>lead {k}</{main}>") for k in range(3)]
+        assert extracted(spark, pages) == [f"para {k}" for k in range(6)] + [f"lead text {k} right there para {k}" for k in range(6)] + [f"lead {k}" for k in range(3)]
+
+
+def test_pages_without_host_are_not_compared(spark):
+    pages = [(None, "<article><aside>x</aside><p>one</p></article>"), (None, "<article>lead<p>two</p></article>"), ("", "<p>same</p>")] + [(None, f"<div>same</div><p>p {k}</p>") for k in range(8)]
+    assert extracted(spark, pages) == ["one", "lead two", "same"] + [f"same p {k}" for k in range(8)]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body class="single-post has-sidebar"><p>a</p><div class="sidebar">no</div></body>', "a"),
+        ('<html class="sticky-header"><body class="sidebar"><article>a</article></body></html>', "a"),
+        ('<article class="post comments-open">a<article class="comment">no</article></article>', "a"),
+        ('<article>a<section id="related-work">b</section><section id="related-posts">no</section></article>', "a b"),
+        ('<article><div class="article-header"><h1>t</h1></div>a<div class="site-header">no</div></article>', "t a"),
+        ('<div class="ad-box">no</div><main class="no-sidebar">a<p class="cookie_notice">no</p></main>', "a"),
+        ('<main class="sidebar">long text of the page<p>more</p></main><div>x</div>', "long text of the page more"),
+        ('<div>the text of the page</div><article class="comment">no</article><article class="comment">no</article>', "the text of the page"),
+        ('<div>the text of the page itself</div><article class="comment">no</article>', "the text of the page itself"),
+    ],
+)
+def test_class_words_of_real_pages(page, text):
+    assert " ".join(c for b in H._alone(list(H.tokens(page))) if (c := H._clean(b))) == text
+    assert " ".join(c for _, b, main in H.placed(page) if main and (c := H._clean(b))) == text
+
+
+def test_no_article_text_is_lost_beside_others(spark):
+    """Random pages of a few hosts: as each is read by itself."""
+    import random
+
+    rng = random.Random(12)
+    count = iter(range(10**6))
+
+    def element(depth):
+        kind = rng.choice(["#", "#", "p", "div", "ul", "aside", "nav", "section", "b", "ad"])
+        if kind == "#":
+            return f"text {next(count)} "
+        inner = "".join(element(depth + 1) for _ in range(rng.randrange(0, 4 - depth))) if depth < 3 else f"deep {next(count)}"
+        if kind == "ad":
+            return f'<div class="ad">{inner}</div>'
+        return f"<ul><li>{inner}</ul>" if kind == "ul" else f"<{kind}>{inner}</{kind}>"
+
+    body = lambda: "".join(element(0) for _ in range(rng.randrange(1, 6)))
+    pages = [(f"http://h{k % 5}.org/{k}", rng.choice(["<body><article>%s</article></body>", "<main>%s</main>", "<body>%s</body>", "<nav>m</nav><article>%s</article><footer>f</footer>"]) % body()) for k in range(200)]
+    want = [" ".join(c for b in H._alone(list(H.tokens(p))) if (c := H._clean(b))) for _, p in pages]
+    assert extracted(spark, pages) == want and sum(map(bool, want)) > 150
+
+
 def test_wrapper_is_generalised(spark):
     streams = [["<a1>", "#", "</a1>"], ["<a1>", ("+", ("<p>", "#")), "</a1>"], ["<a1>", "<p>", "#", "<x>", "</a1>"]]
     w = [(i, False) for i in streams[0]]

@@ -177,8 +177,10 @@ def _sql_two_layers(x: str, hidden: list, last: list) -> str:
 
 
 def _train(spark, d):
-    """The rows of the train split, in the order of their ids."""
-    return P.ordered_split(table(spark, d, "embeddings"), "vec_id").where("split = 'train'").select("vec_id", "embedding")
+    """The rows of the train split, in the order of their ids, which alone are numbered."""
+    rows = table(spark, d, "embeddings")
+    ids = P.ordered_split(rows.select("vec_id"), "vec_id").where("split = 'train'")
+    return P.in_split(rows.select("vec_id", "embedding"), ids, "vec_id")
 
 
 def norm_stats(spark, d):

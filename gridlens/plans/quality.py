@@ -120,7 +120,7 @@ def macro_f1(spark, d):
 
 
 def top3_hits(spark, d):
-    hit = M.top_k_hit(F.slice(F.transform("embedding", lambda v: v.cast("double")), 1, 10), F.col("label"), 3)
+    hit = M.top_k_hit(F.transform("embedding", lambda v: v.cast("double")), F.col("label"), 3)
     return table(spark, d, "embeddings").groupBy("label").agg(F.round(M.rate(hit), 6).alias("top3"), F.count(F.lit(1)).alias("n"))
 
 
@@ -278,7 +278,7 @@ UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support),
     "macro_f1": (macro_f1, f"WITH {_PER} SELECT round(avg(f1), 6) AS macro_f1 FROM f"),
     "top3_hits": (
         top3_hits,
-        """WITH v AS (SELECT vec_id, label, CAST(unnest(embedding[1:10]) AS DOUBLE) AS x, unnest(range(10)) AS i FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k FROM v),
+        """WITH v AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(64)) AS i FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k FROM v),
 h AS (SELECT vec_id, label, max((i = label)::INT) AS hit FROM r WHERE k <= 3 GROUP BY 1, 2) SELECT label, round(avg(hit), 6) AS top3, count(*) AS n FROM h GROUP BY 1""",
     ),
     "scorecard": (scorecard, f"WITH {_ENVS} SELECT * FROM card"),

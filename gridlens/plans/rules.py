@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.tables import register
 from ..operators import rules as R
 from ..operators import shield as H
 from ..schemas import RULE_FIELDS
@@ -133,6 +134,14 @@ def validated_rules(spark, d):
     return out.select("doc_id", "outcome", "reason", F.col("final_rule.severity").alias("severity"), F.col("final_rule.entity").alias("entity"), (F.col("validate_ms") >= 0).alias("timed"))
 
 
+def unvalidated_rules(spark, d):
+    """Validation left out: all valid candidates are confirmed as they are."""
+    rules = R.check_rules(candidates(spark, d)).where("rule IS NOT NULL").select("doc_id", F.floor(F.col("doc_id") / 7).alias("part"), "rule")
+    parts = rules.select("part", F.lit("").alias("text")).distinct()
+    out = R.validate(rules, parts, "part", "text", "{chunk}{rules}", None)
+    return out.select("doc_id", "outcome", F.col("final_rule.severity").alias("severity"), F.col("final_rule.action").alias("action"))
+
+
 def extraction_rates(spark, d):
     """Rules known are those of documents labelled good."""
     c = R.check_rules(candidates(spark, d))
@@ -160,12 +169,31 @@ def chunk_documents(spark, d):
     return out.select("doc_id", "chunk", "start", "end", F.md5("text").alias("digest"))
 
 
+def chunk_sql(spark, d):
+    """The same from SQL, by the table function; other columns pass through."""
+    register(spark)
+    return spark.sql(
+        """SELECT doc_id, lang, chunk, start, `end`, md5(piece) AS digest
+        FROM chunk_table(rows => TABLE(SELECT doc_id, lang, text FROM {docs}), text_col => 'text', separator => '\n')""",
+        docs=table(spark, d, "documents"),
+    )
+
+
+def chunk_lateral(spark, d):
+    """The same by a lateral join, as figures of each document."""
+    register(spark)
+    return spark.sql(
+        """SELECT doc_id, count(*) AS n_chunks, sum(length(piece)) AS n_chars FROM {docs} AS d, LATERAL chunk_text(d.text, 1200, 200, '\n') GROUP BY doc_id""",
+        docs=table(spark, d, "documents"),
+    )
+
+
 def _answers(spark, d):
     head = F.col("text")
     kinds = [
         F.concat(F.lit("<think>[0] "), head, F.lit('\n</think> ```json [{"rule_id":"R_'), F.col("doc_id").cast("string"), F.lit('"}] ``` end')),
         F.concat(F.lit("no array: "), head),
-        F.lit("]x["),
+        F.concat(F.lit("]x["), F.translate(head, "[]", "()")),
         F.concat(F.lit("```json\n[1, 2, "), head, F.lit("]\n ```  \n")),
         F.concat(F.lit("[a [b] "), head, F.lit(" c] ]tail")),
     ]
@@ -286,10 +314,16 @@ SELECT min(o) AS doc_id, lang, string_agg(source, '; ' ORDER BY o) AS sources, C
         f"""WITH RECURSIVE {_CHUNKS}
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk, start, "end", md5(piece) AS digest FROM t WHERE piece <> ''""",
     ),
+    "chunk_sql": (
+        chunk_sql,
+        f"""WITH RECURSIVE {_CHUNKS}
+SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk, start, "end", md5(piece) AS digest FROM t JOIN documents USING (doc_id) WHERE piece <> ''""",
+    ),
+    "chunk_lateral": (chunk_lateral, f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(piece)) AS BIGINT) AS n_chars FROM t WHERE piece <> '' GROUP BY 1"),
     "carve_arrays": (
         carve_arrays,
         f"""WITH a AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '<think>[0] ' || text || chr(10) || '</think> ```json [{{"rule_id":"R_' || doc_id || '"}}] ``` end' WHEN 1 THEN 'no array: ' || text
-  WHEN 2 THEN ']x[' WHEN 3 THEN '```json' || chr(10) || '[1, 2, ' || text || ']' || chr(10) || ' ```  ' || chr(10) ELSE '[a [b] ' || text || ' c] ]tail' END AS answer FROM documents),
+  WHEN 2 THEN ']x[' || translate(text, '[]', '()') WHEN 3 THEN '```json' || chr(10) || '[1, 2, ' || text || ']' || chr(10) || ' ```  ' || chr(10) ELSE '[a [b] ' || text || ' c] ]tail' END AS answer FROM documents),
 b AS (SELECT doc_id, {_trim("regexp_replace(answer, '<think>.*?</think>', '', 'gs')")} AS bare FROM a), c AS (SELECT doc_id, bare, string_split(bare, chr(10)) AS lines FROM b),
 f AS (SELECT doc_id, bare, {_trim("regexp_replace(bare, '```(json)?', '', 'g')")} AS plain, CASE WHEN starts_with(bare, '```') THEN array_to_string(lines[2:CASE WHEN starts_with({_trim("lines[-1]")}, '```') THEN len(lines) - 1 ELSE len(lines) END], chr(10)) ELSE bare END AS led FROM c),
 m AS (SELECT *, strpos(plain, '[') AS o, length(plain) - strpos(reverse(plain), ']') + 1 AS c, strpos(led, '[') AS o2, length(led) - strpos(reverse(led), ']') + 1 AS c2 FROM f)
@@ -323,6 +357,7 @@ o AS (SELECT *, CASE WHEN failed THEN 'flagged' WHEN verdict = 'CONFIRM' THEN 'c
 SELECT doc_id, outcome, CASE WHEN failed THEN 'VALIDATOR_FAIL' WHEN verdict IS NULL THEN 'NO_VERDICT' WHEN verdict = 'CORRECT' AND doc_id % 10 = 0 THEN 'INVALID_CORRECTION' END AS reason,
   CASE WHEN outcome = 'corrected' THEN 'high' ELSE severity END AS severity, entity, true AS timed FROM o""",
     ),
+    "unvalidated_rules": (unvalidated_rules, f"WITH {_CAND} SELECT doc_id, 'confirmed' AS outcome, severity, action FROM checked"),
     "extraction_rates": (
         extraction_rates,
         f"""WITH {_CAND}, known AS (SELECT DISTINCT lower(entity) AS e, lower(condition) AS c, lower(severity) AS s FROM cand WHERE entity IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),

@@ -288,3 +288,18 @@ def test_bytes_bound_what_is_learned_from(labelled):
     whole, part, none = X.learn(docs, labels), X.learn(docs, labels, most_bytes=2000), X.learn(docs, labels, most_bytes=5)
     n = [sum(int(c.sum()) for _, c in m.tables) for m in (whole, part, none)]
     assert n[0] > 4 * n[1] > 0 and n[2] == 0
+
+
+def test_calibration_of_classes_that_are_nearly_apart():
+    """Toxic texts all at the cap, and of the clean ones a few as well: whole Newton steps ended with slope nought."""
+    rng = np.random.default_rng(2)
+    for spread in (1.5, 2.0, 2.5, 3.0, 3.5, 4.0):
+        for high in (1, 3, 10, 30):
+            clean = np.minimum(rng.gumbel(4, spread, 8000), 40)
+            clean[:high] = 40
+            x, y = np.append(clean, np.full(920, 40.0)), np.append(np.zeros(8000), np.ones(920))
+            slope, offset = X._logistic(x, y)
+            p = 1 / (1 + np.exp(-(slope * x + offset)))
+            assert (p[y == 1] >= X.THRESHOLD).all() and (p[y == 0] >= X.THRESHOLD).mean() < 0.01, (spread, high, slope, offset)
+            # no better fit near by
+            assert abs(p.mean() - y.mean()) < 1e-4

@@ -12,17 +12,20 @@ doesn't fit its wrapper, or has no siblings to be compared with, is read by its
 Cases: null or empty html gives an empty text; pages without host aren't compared, as they aren't of one site; unclosed
 tags, scripts and comments end where the page ends; repeated rows each get their text and count as one page for the
 template; on a host whose pages are mostly the same text (copies of one article) template and content can't be told
-apart, so the elements decide alone; an empty table gives no rows; very long pages are read whole, but those of more than
-``LONGEST`` tags and texts after folding aren't aligned with others; columns other than page_id, url and html are ignored.
+apart, so the elements decide alone; an empty table gives no rows; pages of any length are read whole and aligned with
+the others of their host; columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html
 import itertools
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -65,8 +68,8 @@ _NOISE_WORDS = frozenset(
 _NO_PART_BEFORE = frozenset("has no not with without is hide show".split())
 _NO_PART_AFTER = frozenset("open closed enabled disabled on off work works".split())
 _ARTICLE_WORDS = frozenset("article entry post content story section".split())
-#: The longest stream that is aligned.
-LONGEST = 4000
+#: Streams whose lengths multiply to more than this are cut into smaller pairs before they are aligned.
+ALIGN_WHOLE = 1 << 20
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
@@ -199,26 +202,101 @@ def fold(stream: list[Item], longest: int = 24) -> list[Item]:
 
 def _grouped(side: list[tuple[Item, bool]], groups: list[tuple]) -> list[tuple[Item, bool]]:
     """One occurrence of a block that the other side repeats counts as a repeat."""
-    for g in groups:
-        body, out, i = list(g[1]), [], 0
-        items = [it for it, _ in side]
-        while i < len(side):
-            one = items[i : i + len(body)] == body
-            if one or items[i] == g:
-                step = len(body) if one else 1
-                optional = all(o for _, o in side[i : i + step])
-                if out and out[-1][0] == g:
-                    out[-1] = (g, out[-1][1] and optional)
-                else:
-                    out.append((g, optional))
-                i += step
+
+    def places() -> dict[Item, list[int]]:
+        found: dict[Item, list[int]] = {}
+        for i, (it, _) in enumerate(side):
+            found.setdefault(it, []).append(i)
+        return found
+
+    where = places()
+    for g in dict.fromkeys(groups):
+        body, hits = list(g[1]), []  # hits: start and length
+        for i in sorted(where.get(g, []) + where.get(body[0], [])):
+            if hits and i < hits[-1][0] + hits[-1][1]:
+                continue
+            one = [it for it, _ in side[i : i + len(body)]] == body
+            if one or side[i][0] == g:
+                hits.append((i, len(body) if one else 1))
+        if all(side[i][0] == g for i, _ in hits) and all(i + n != k for (i, n), (k, _) in itertools.pairwise(hits)):
+            continue  # nothing to change
+        out: list[tuple[Item, bool]] = []
+        at = 0
+        for i, n in hits:
+            out += side[at:i]
+            optional = all(o for _, o in side[i : i + n])
+            if out and out[-1][0] == g:
+                out[-1] = (g, out[-1][1] and optional)
             else:
-                out.append(side[i])
-                i += 1
-        side = out
+                out.append((g, optional))
+            at = i + n
+        side = out + side[at:]
+        where = places()
     return side
 
 
+def _anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places, rising in both, where something begins that each of the two holds once: an item, else 2, 4 ... 64 of them."""
+    size = 1
+    while size <= 64 and size <= min(len(a), len(b)):
+        once_a, once_b = Counter(a), Counter(b)
+        at = {x: k for k, x in enumerate(b) if once_b[x] == 1}
+        both = [(i, at[x]) for i, x in enumerate(a) if once_a[x] == 1 and x in at]
+        if both:
+            # the longest rising sequence
+            ends: list[int] = []
+            last: list[int] = []
+            before: list[int] = []
+            for n, (_, j) in enumerate(both):
+                k = bisect_left(ends, j)
+                before.append(last[k - 1] if k else -1)
+                ends[k : k + 1] = [j]
+                last[k : k + 1] = [n]
+            n, out = last[-1], []
+            while n >= 0:
+                out.append(both[n])
+                n = before[n]
+            return out[::-1]
+        names: dict[tuple[int, int], int] = {}
+        a, b = ([names.setdefault(x, len(names)) for x in zip(s, s[size:], strict=False)] for s in (a, b))
+        size *= 2
+    return []
+
+
+def equal_blocks(one: list[Item], two: list[Item], whole: int = ALIGN_WHOLE) -> list[tuple[int, int, int]]:
+    """Start in ``one``, start in ``two`` and length of what is aligned, in order. A pair of long streams is cut at places that
+    surely belong together, or in halves where there are none, until its pieces can be compared whole; nothing is left out."""
+    names: dict[Item, int] = {}
+    a, b = ([names.setdefault(x, len(names)) for x in s] for s in (one, two))
+    out: list[tuple[int, int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, j, k, m = todo.pop()
+        if (j - i) * (m - k) > whole:
+            n = next((n for n, (x, y) in enumerate(zip(a[i:j], b[k:m], strict=False)) if x != y), min(j - i, m - k))
+            if n:
+                out.append((i, k, n))
+                i, k = i + n, k + n
+            n = next((n for n, (x, y) in enumerate(zip(reversed(a[i:j]), reversed(b[k:m]), strict=False)) if x != y), min(j - i, m - k))
+            if n:
+                out.append((j - n, m - n, n))
+                j, m = j - n, m - n
+        if (j - i) * (m - k) <= whole or j - i < 2 or m - k < 2:
+            out += [(i + x, k + y, n) for x, y, n in difflib.SequenceMatcher(None, a[i:j], b[k:m], autojunk=False).get_matching_blocks() if n]
+            continue
+        size, x, y = (j - i) * (m - k), i, k
+        for p, q in [*((i + p, k + q) for p, q in _anchors(a[i:j], b[k:m])), (j, m)]:
+            if p < j:
+                out.append((p, q, 1))
+            if (p - x) * (q - y) > max(whole, size * 7 // 8):
+                half, other = (x + p) // 2, (y + q) // 2
+                todo += [(x, half, y, other), (half, p, other, q)]
+            elif x < p and y < q:
+                todo.append((x, p, y, q))
+            x, y = p + 1, q + 1
+    return sorted(out)
+
+
 def align(wrapper: list[tuple[Item, bool]], stream: list[Item], optional: list[bool] | None = None) -> list[tuple[Item, bool]]:
     """The wrapper, (item, optional) in order, generalised so that it also reads ``stream``, itself a wrapper if ``optional`` is given."""
     other = list(zip(stream, optional or [False] * len(stream), strict=True))
@@ -226,11 +304,11 @@ def align(wrapper: list[tuple[Item, bool]], stream: list[Item], optional: list[b
     wrapper = _grouped(wrapper, [s for s in stream if isinstance(s, tuple) and s not in mine])
     other = _grouped(other, [i for i, _ in wrapper if isinstance(i, tuple)])
     out: list[tuple[Item, bool]] = []
-    for kind, i, j, k, m in difflib.SequenceMatcher(None, [w[0] for w in wrapper], [o[0] for o in other], autojunk=False).get_opcodes():
-        if kind == "equal":
-            out += [(w[0], w[1] or o[1]) for w, o in zip(wrapper[i:j], other[k:m], strict=True)]
-        else:
-            out += [(it, True) for it, _ in wrapper[i:j] + other[k:m]]
+    i = k = 0
+    for j, m, n in [*equal_blocks([w[0] for w in wrapper], [o[0] for o in other]), (len(wrapper), len(other), 0)]:
+        out += [(it, True) for it, _ in wrapper[i:j] + other[k:m]]
+        out += [(w[0], w[1] or o[1]) for w, o in zip(wrapper[j : j + n], other[m : m + n], strict=True)]
+        i, k = j + n, m + n
     return out
 
 
@@ -329,39 +407,50 @@ def numbered(wrapper: list[tuple[Item, bool]]) -> list:
     return [[mark(i), o] for i, o in wrapper]
 
 
-def _walk(items: list, stream: list[tuple[str, str, bool]]) -> list[int] | None:
-    """The slot of each text if the stream fits the wrapper, reading left to right without going back, else None."""
-    at, slots = 0, []
-    first = lambda it: it if isinstance(it, str) else first(it[1][0])
-
-    def fits(it: list | str) -> bool:
-        if at == len(stream):
-            return False
-        one = first(it)
-        return stream[at][0] == (one if one[0] == "<" else "#" + one.split(" ", 1)[1])
-
-    def read(it: list | str) -> bool:
-        nonlocal at
-        if not fits(it):
-            return False
-        if isinstance(it, str):
-            if it[0] == "#":
-                slots.append(int(it[1:].split(" ", 1)[0]))
-            at += 1
+class Walk:
+    """A numbered wrapper, made ready for being read along: where each first token stands, and the next item that must come."""
+
+    def __init__(self, items: list):
+        self.items = [it for it, _ in items]
+        self.where: dict[str, list[int]] = {}
+        self.must = [len(items)] * (len(items) + 1)
+        for n in range(len(items) - 1, -1, -1):
+            self.must[n] = self.must[n + 1] if items[n][1] else n
+        for n, it in enumerate(self.items):
+            self.where.setdefault(self._first(it), []).append(n)
+
+    def _first(self, it: list | str) -> str:
+        while not isinstance(it, str):
+            it = it[1][0]
+        return it if it[0] == "<" else "#" + it.split(" ", 1)[1]
+
+    def slots(self, stream: list[tuple[str, str, bool]]) -> list[int] | None:
+        """The slot of each text if the stream fits the wrapper, reading left to right without going back, else None."""
+        at, slots = 0, []
+
+        def read(it: list | str) -> bool:
+            nonlocal at
+            if at == len(stream) or stream[at][0] != self._first(it):
+                return False
+            if isinstance(it, str):
+                if it[0] == "#":
+                    slots.append(int(it[1:].split(" ", 1)[0]))
+                at += 1
+                return True
+            while at < len(stream) and stream[at][0] == self._first(it):
+                for x in it[1]:
+                    if not read(x):
+                        return False
             return True
-        while fits(it):
-            for x in it[1]:
-                if not read(x):
-                    return False
-        return True
 
-    for it, optional in items:
-        if fits(it):
-            if not read(it):
+        n = 0
+        while at < len(stream):
+            places = self.where.get(stream[at][0], [])
+            k = bisect_left(places, n)
+            if k == len(places) or self.must[n] < places[k] or not read(self.items[places[k]]):
                 return None
-        elif not optional:
-            return None
-    return slots if at == len(stream) else None
+            n = places[k] + 1
+        return slots if self.must[n] == len(self.items) else None
 
 
 def _alone(stream: list[tuple[str, str]]) -> list[str]:
@@ -392,20 +481,20 @@ def infer_wrappers(pages: DataFrame, group: int = 64) -> DataFrame:
     time are aligned to one, and those again, until each host has one."""
 
     def streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        met: set[tuple[str, str]] = set()
+        met: set[bytes] = set()
         for b in batches:
             folded = {(h, tuple(fold([t for t, _, _ in placed(p)]))) for h, p in zip(b["host"], b["html"], strict=True) if p}
-            out = {(h, json.dumps([[i, False] for i in stream])) for h, stream in folded if len(stream) <= LONGEST}
-            fresh = out - met
-            met = (met if len(met) < 10_000 else set()) | fresh
+            out = {(h, json.dumps([[i, False] for i in stream])) for h, stream in folded}
+            named = {hashlib.blake2b("\n".join(x).encode("utf-8", "surrogatepass"), digest_size=16).digest(): x for x in out}
+            fresh = [x for k, x in named.items() if k not in met]
+            met = (met if len(met) < 10_000 else set()) | set(named)
             yield pd.DataFrame(sorted(fresh), columns=["host", "part"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [json.loads(p) for p in sorted(set(pdf["part"]), key=lambda s: (-len(s), s))]
         wrapper = [(_tuples([i])[0], o) for i, o in rows[0]]
         for other in rows[1:]:
-            if len(wrapper) <= LONGEST:  # pages that only the others fit are read by their elements
-                wrapper = align(wrapper, _tuples([i for i, _ in other]), [o for _, o in other])
+            wrapper = align(wrapper, _tuples([i for i, _ in other]), [o for _, o in other])
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "part": [json.dumps(wrapper)]})
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -428,7 +517,8 @@ def read_blocks(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     """page_id, url, host, blocks: array<struct<slot, text>> of what isn't noise by its tags; slot -1: read without wrapper."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list] = {}
+        known: dict[str, Walk] = {}
+        held = 0
         for b in batches:
             blocks = []
             for page, wrapper in zip(b["html"], b["wrapper"], strict=True):
@@ -436,10 +526,12 @@ def read_blocks(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
                 slots = None
                 if wrapper is not None:
                     if wrapper not in known:
-                        if len(known) > 1000:
+                        held += len(wrapper)
+                        if held > 4 << 20:
                             known.clear()
-                        known[wrapper] = json.loads(wrapper)
-                    slots = _walk(known[wrapper], stream)
+                            held = len(wrapper)
+                        known[wrapper] = Walk(json.loads(wrapper))
+                    slots = known[wrapper].slots(stream)
                 texts = [(text, main) for t, text, main in stream if t[0] == "#"]
                 blocks.append([{"slot": k, "text": c} for k, (t, main) in zip(slots or [-1] * len(texts), texts, strict=True) if main and (c := _clean(t))])
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "host": b["host"], "blocks": blocks})

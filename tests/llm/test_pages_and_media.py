@@ -87,6 +87,48 @@ def test_copies_of_one_article_keep_their_text(spark):
         assert got[100 + k] == f"title {k}{' licence line' * (k % 2)} text {k} of its own"
 
 
+def test_long_pages_are_aligned_as_well(spark):
+    """Pages of over 4,000 tags and texts after folding, each with an element of its own, and so many of them that their wrapper is long."""
+    kinds = ["section", "blockquote", "figure"]
+    ones = [k for k in range(2300) if not bin(k).count("1") % 2]
+    order = [b - a - 1 for a, b in zip(ones, ones[1:], strict=False)][:1100]  # no stretch of it is repeated at once
+
+    def page(k, n):
+        middle = "".join(f"<{kinds[o]}><div>part {k} {i}</div></{kinds[o]}>" for i, o in enumerate(order[:n]))
+        own = "".join(f"<x-{k}-{i}><div>aside {k} {i}</div></x-{k}-{i}>" for i in range(60))
+        return f"<body><h1>Welcome to our place</h1>{own}{middle}<h6>Call us any time</h6></body>"
+
+    want = lambda k, n: " ".join([*[f"aside {k} {i}" for i in range(60)], *[f"part {k} {i}" for i in range(n)]])
+    rows = [(k, f"http://{h}.org/{k}", page(k, n)) for h, n, at in (("long", 1100, 0), ("many", 40, 100)) for k in range(at, at + (12 if n > 40 else 30))]
+    assert len(H.fold([t for t, _, _ in H.placed(rows[0][2])])) > 4000
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    wrappers = H.infer_wrappers(df)
+    got = {r.page_id: r.text for r in H.extract(df, wrappers).collect()}
+    for k in got:
+        assert got[k] == want(k, 1100 if k < 100 else 40)
+
+
+def test_streams_cut_for_alignment_are_all_read():
+    rng = np.random.default_rng(5)
+    for n in range(60):
+        names = [f"<{i}>" for i in range(int(rng.choice([2, 5, 400])))]
+        one = [str(x) for x in rng.choice(names, rng.integers(0, 120))]
+        two = [x for x in one if rng.random() < 0.8] + [str(x) for x in rng.choice(names, rng.integers(0, 40))]
+        for whole in (1, 50, 1 << 20):
+            found = H.equal_blocks(one, two, whole)
+            assert all(one[i : i + k] == two[j : j + k] for i, j, k in found)
+            assert all(a + k <= c and b + k <= d for (a, b, k), (c, d, _) in zip(found, found[1:], strict=False))
+        wide, again = H.equal_blocks(one, one, 1), H.equal_blocks(one, two, 50)
+        assert sum(k for *_, k in wide) == len(one)
+        assert len(one) < 100 or len(names) < 400 or sum(k for *_, k in again) > 0.7 * len(one)
+
+
+def test_blocks_of_the_other_side_are_grouped_everywhere():
+    g = ("+", ("<p>", "#"))
+    side = [(x, x == "<q>") for x in ["<q>", "<p>", "#", g, "<p>", "<p>", "#", "<b>", g, g]]
+    assert H._grouped(side, [g, ("+", ("<z>",)), g]) == [("<q>", True), (g, False), ("<p>", False), (g, False), ("<b>", False), (g, False)]
+
+
 def extracted(spark, pages):
     df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in H.extract(df, H.infer_wrappers(df)).collect()}

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files and broadcasts of plans that are done. It does so when the driver collects its
+    garbage, which a long row of small plans puts off while they, and the heap, grow in number and size."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 SLOTS = 1 << 23
 
 
@@ -74,9 +82,9 @@ def id_slot(col: str) -> Column:
 
 def id_bits(ids: DataFrame) -> np.ndarray:
     """A bit for each of a fixed number of hashes of the column ``id``. More ids only mean more rows that pass in vain."""
-    words = ids.select(id_slot("id").alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 31 AS INT)))").alias("bits")).toPandas()
+    words = ids.select(id_slot("id").alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 31 AS INT)))").alias("bits")).toArrow()
     bits = np.zeros(SLOTS >> 5, dtype=np.uint32)
-    bits[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
     return bits
 
 
@@ -118,14 +126,30 @@ def keep_once(docs: DataFrame, repeated: DataFrame, key_col: str) -> DataFrame:
     return marked.where(~again).select(*columns).union(doubtful.select(*columns))
 
 
-def spread_join(pairs: DataFrame, side: DataFrame, key: str, by: str, counted: DataFrame, total: int) -> DataFrame:
-    """Inner join on ``key`` with one row a key in ``side``. A key that many of the ``total`` rows of ``counted`` hold is
-    dealt out by ``by`` and its row of ``side`` repeated for each part."""
+def frequent(pairs: DataFrame, keys: tuple[str, ...], total: int) -> dict[str, DataFrame]:
+    """For each of ``keys``, columns of numbers: the values that many of the ``total`` rows of ``pairs`` hold, and in how many
+    parts (``n_parts``) their rows are dealt out. Keys without such values are left out. They are counted once and fetched,
+    1000 rows a key at most, so that the plans of the joins have them as constants and don't hold their counting as well."""
     most = max(256, total // 1000)
-    often = counted.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > most)
-    often = F.broadcast(often.select(key, F.ceil(F.col("n_rows") / most).cast("int").alias("n_parts")))  # 1000 rows at most
-    dealt = pairs.join(often, key, "left").withColumn("dealt", F.coalesce(F.pmod(F.xxhash64(by), "n_parts").cast("int"), F.lit(0))).drop("n_parts")
-    repeated = side.join(often, key, "left").withColumn("dealt", F.explode(F.sequence(F.lit(0), F.coalesce("n_parts", F.lit(1)) - 1))).drop("n_parts")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(k).cast("long").alias("key")) for k in keys])).alias("of")
+    counted = pairs.select(each).groupBy("of.side", "of.key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    found = counted.select("side", "key", F.ceil(F.col("n") / most).cast("int").alias("n_parts")).toArrow()
+    out = {}
+    for k in keys:
+        own = found.filter(pc.equal(found["side"], k))
+        if len(own):
+            out[k] = pairs.sparkSession.createDataFrame(pa.table({k: own["key"], "n_parts": own["n_parts"]}))
+    return out
+
+
+def spread_join(pairs: DataFrame, side: DataFrame, key: str, by: str, often: dict[str, DataFrame]) -> DataFrame:
+    """Inner join on ``key`` with one row a key in ``side``. A value in ``often`` is dealt out by ``by`` and its row of
+    ``side`` repeated for each part."""
+    if key not in often:
+        return pairs.join(side, key)
+    parts = F.broadcast(often[key])  # 1000 rows at most
+    dealt = pairs.join(parts, key, "left").withColumn("dealt", F.coalesce(F.pmod(F.xxhash64(by), "n_parts").cast("int"), F.lit(0))).drop("n_parts")
+    repeated = side.join(parts, key, "left").withColumn("dealt", F.explode(F.sequence(F.lit(0), F.coalesce("n_parts", F.lit(1)) - 1))).drop("n_parts")
     return dealt.join(repeated, [key, "dealt"]).drop("dealt")
 
 

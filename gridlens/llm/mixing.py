@@ -177,7 +177,8 @@ def mix(
     slots = numbered.repartition(max(1, -(-total // 500_000)), "shard", "src").mapInPandas(tidy(deal), "shard long, src int, pass long, block long")
 
     # a block's uses are counted before the join, so a document's words meet one row a block
-    uses = slots.groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
+    # and written, as the plans of slots and of spans are large ones each
+    uses = materialize(slots.groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses")), "mix-uses")
     words = F.col("words") * F.coalesce("uses", F.lit(0))
     sized = spans.join(uses.hint("merge"), ["src", "block"], "left").groupBy("src", "id", "start", "size").agg(F.sum(words).alias("taken")).select("src", "id", "size", "taken")
     empty = tagged.where("size = 0").select("src", "id", "size", F.lit(0).cast("long").alias("taken"))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import unused
-from .common import Words, among, drop_ids, encode, keep_once, materialize, mix64, slices, spread_join, table, tidy
+from .common import Words, among, drop_ids, encode, frequent, keep_once, let_go, materialize, mix64, slices, spread_join, table, tidy
 
 GROUPS = 512
 _MULTIPLIERS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -312,7 +312,8 @@ def _first_pairs(entries: DataFrame, small: int, t: Threshold, piece: int = 1 <<
 def _likely(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
     """Distinct pairs a, b that the count bound leaves, with the rows that stand for them."""
     pairs = materialize(pairs.select("a", "b").distinct(), "join-pairs")
-    total = pairs.count()
+    if not (total := pairs.count()):
+        return pairs.select("a", "b", F.lit(0).cast("long").alias("row_a"), F.lit(0).cast("long").alias("row_b"))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     classes = among(classes, asked, "cls")  # so that only these are shuffled
     side = lambda k: classes.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), F.col("counts").alias(f"c_{k}"), F.col("row").alias(f"row_{k}"))
@@ -325,13 +326,13 @@ def _likely(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
             ok = np.minimum(x, y).sum(1, dtype=np.int64) >= t.overlap(p["n_a"].to_numpy(), p["n_b"].to_numpy())
             yield p.loc[ok, ["a", "b", "row_a", "row_b"]]
 
-    met = spread_join(spread_join(pairs, side("b"), "b", "a", pairs, total), side("a"), "a", "b", pairs, total)
+    often = frequent(pairs, ("a", "b"), total)
+    met = spread_join(spread_join(pairs, side("b"), "b", "a", often), side("a"), "a", "b", often)
     return met.select("a", "b", "n_a", "n_b", "c_a", "c_b", "row_a", "row_b").mapInPandas(tidy(bounded), "a long, b long, row_a long, row_b long")
 
 
-def _confirm(likely: DataFrame, rows: DataFrame, width: int, t: Threshold) -> DataFrame:
+def _confirm(likely: DataFrame, total: int, rows: DataFrame, width: int, t: Threshold) -> DataFrame:
     """Pairs a, b whose sets reach the threshold. Sets are made again where the texts lie; texts are never shuffled."""
-    total = likely.count()
     needed = likely.select(F.explode(F.array("row_a", "row_b")).alias("id"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -359,8 +360,9 @@ def _confirm(likely: DataFrame, rows: DataFrame, width: int, t: Threshold) -> Da
             yield p.loc[np.array(ok, bool), ["a", "b"]]
 
     # the centres of stars have the smaller keys: the other ends first, so that a centre's set isn't shuffled with each of its pairs
-    met = spread_join(likely.select("a", "b"), items.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b", "a", likely, total)
-    met = spread_join(met, items.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a", "b", likely, total)
+    often = frequent(likely, ("a", "b"), total)
+    met = spread_join(likely.select("a", "b"), items.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b", "a", often)
+    met = spread_join(met, items.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a", "b", often)
     return met.select("a", "b", "x", "y").mapInPandas(tidy(exact), "a long, b long")
 
 
@@ -402,7 +404,8 @@ def _apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _link(edges: DataFrame, likely: DataFrame, rows: DataFrame, width: int, t: Threshold) -> DataFrame:
     """``edges`` with what ``likely`` pairs link, contracted."""
-    return contract(edges.union(_as_edges(_confirm(likely, rows, width, t))))
+    total = likely.count()
+    return contract(edges.union(_as_edges(_confirm(likely, total, rows, width, t)))) if total else edges
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -495,17 +498,23 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, thresho
     stars = centres.join(centres.groupBy("shingle").agg(F.min("cls").alias("low")), "shingle").where("cls != low").select(F.col("low").alias("a"), F.col("cls").alias("b"))
     tried = materialize(_likely(first.where("kind = 0").select("a", "b").union(stars), classes, t), "join-likely")
     none = docs.sparkSession.createDataFrame(pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())}))
+    let_go(docs.sparkSession)
     edges = _link(none, tried, rows, width, t)
     members = first.where("kind = 1").select(F.col("a").alias("cls"), F.col("b").alias("shingle"))
     best = 32
-    while True:
+    while members.limit(1).count():
+        let_go(docs.sparkSession)
         named = members.join(_roots(edges).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         found = materialize(_tree_pairs(named, classes, t, best, block), "join-tree")
         pairs = found.where("NOT cut").select("a", "b")
         fresh = materialize(_likely(pairs.join(tried, ["a", "b"], "left_anti"), classes, t), "join-likely")
+        let_go(docs.sparkSession)
         edges = _link(edges, fresh, rows, width, t)
         # pairs left out matter only between what is still apart
-        again = materialize(_apart(found.where("cut").select("a", "b"), edges).select(F.col("a").alias("cls")).distinct(), "join-apart")
+        cut = found.where("cut").select("a", "b")
+        if not cut.limit(1).count():
+            break
+        again = materialize(_apart(cut, edges).select(F.col("a").alias("cls")).distinct(), "join-apart")
         if not again.limit(1).count():
             break
         tried = tried.union(fresh)
@@ -534,6 +543,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = _components(docs, "doc_id", "text", 5, (3, 4)).where("id IS NOT NULL").select("id", "row", "n", "root")
     found = materialize(found, "join-stage")
+    let_go(spark)
     own = unused(docs.columns, "row")
     lowest = found.where("n > 0").groupBy("root").agg(F.min(F.struct("id", "row")).alias("low"))
     gone = materialize(found.where("n > 0").join(lowest, "root").where("row != low.row").select(F.col("row").alias(own)), "join-gone")

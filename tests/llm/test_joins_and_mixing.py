@@ -245,3 +245,28 @@ def test_mix_takes_whole_slots(spark, odd_docs, no_docs):
     assert set(uses.values()) == {1} and {k[2] for k in uses} <= {0, 1, 2}
     assert sum(r.words for r in spans.collect()) == sum(r.size for r in rows)
     assert M.mix(no_docs)[0].count() == 0
+
+
+def test_frequent_ends_of_pairs_are_dealt_from_constants(spark):
+    from pyspark.sql import functions as F
+
+    from gridlens.llm.common import frequent, spread_join
+
+    pairs = spark.range(1000).select((F.col("id") % 2 * F.col("id")).alias("a"), F.col("id").alias("b")).localCheckpoint()
+    side = spark.range(1200).select(F.col("id").alias("a"), (-F.col("id")).alias("x"))
+    often = frequent(pairs, ("a", "b"), 1000)
+    assert {k: [tuple(r) for r in v.collect()] for k, v in often.items()} == {"a": [(0, 2)]}
+    assert spread_join(pairs, side.withColumnRenamed("a", "b"), "b", "a", often).count() == 1000
+    met = spread_join(pairs, side, "a", "b", often)
+    assert "Aggregate" not in met._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.a, r.b, r.x) for r in met.collect()) == sorted((r.a, r.b, -r.a) for r in pairs.collect())
+
+
+def test_no_pairs_take_no_further_joins(spark, monkeypatch):
+    """Texts that share nothing: neither pairs nor links are looked for any more, on plans that would find none."""
+    called = []
+    for name in ("_confirm", "_tree_pairs", "contract"):
+        monkeypatch.setattr(J, name, lambda *a, name=name, f=getattr(J, name), **b: called.append(name) or f(*a, **b))
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(9))) for k in range(20)]
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {k: (5, k) for k in range(20)} and not called

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import unused
-from .common import materialize, mix64, table, tidy
+from .common import let_go, materialize, mix64, table, tidy
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -206,7 +206,7 @@ def copies(mixed: DataFrame, key_col: str, source_col: str) -> DataFrame:
     slices = rows.groupBy("k", "size", "part").agg(F.sum("rest").alias("n"))
     sizes = slices.groupBy("k", "size").agg(F.sum("n").alias("n")).select("k", "size", F.coalesce(F.sum("n").over(ahead(["k"], "size")), F.lit(0)).alias("smaller"))
     slices = slices.withColumn("inner", F.coalesce(F.sum("n").over(ahead(["k", "size"], "part")), F.lit(0))).join(sizes, ["k", "size"])
-    slices = slices.select("k", "size", "part", (F.col("smaller") + F.col("inner")).alias("before"))
+    slices = materialize(slices.select("k", "size", "part", (F.col("smaller") + F.col("inner")).alias("before")), "mix-before")
     rows = rows.withColumn("inner", F.coalesce(F.sum("rest").over(within), F.lit(0))).join(slices, ["k", "size", "part"])
     at = F.col("before") + F.col("inner") + unit // 2
     more = F.shiftright(at + F.col("rest"), 20) - F.shiftright(at, 20)
@@ -223,7 +223,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own, n_copies, n_same, rank, time = (unused(docs.columns, n) for n in ("row", "copies", "same", "rank", "time"))
     keyed = docs.withColumn(own, F.xxhash64("doc_id", "source", "text"))
     found, _, _ = mix(keyed, id_col=own)
-    per_row = copies(materialize(found, "mix-taken"), own, "source").groupBy(own).agg(F.sum("copies").alias(n_copies), F.count(F.lit(1)).alias(n_same))
+    found = materialize(found, "mix-taken")
+    let_go(spark)
+    per_row = copies(found, own, "source").groupBy(own).agg(F.sum("copies").alias(n_copies), F.count(F.lit(1)).alias(n_same))
     wanted = materialize(per_row.where(F.col(n_copies) > 0), "mix-copies")
     placed = keyed.join(wanted, own).withColumn(rank, F.row_number().over(Window.partitionBy(own).orderBy(F.xxhash64(*columns))))
     times = F.floor(F.col(n_copies) / F.col(n_same)) + (F.col(rank) <= F.col(n_copies) % F.col(n_same)).cast("long")

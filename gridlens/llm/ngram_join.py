@@ -373,22 +373,27 @@ def _as_edges(links: DataFrame) -> DataFrame:
 def contract(edges: DataFrame) -> DataFrame:
     """Rounds of large and small stars over edges (u, v < u), as many as it takes until only stars are left.
 
-    Each round is written; a hub's edges are re-pointed to its smallest neighbour, so no list of neighbours is built.
+    Each star is written; a hub's edges are re-pointed to its smallest neighbour, so no list of neighbours is built. A star
+    goes through its edges by one join with the nodes' smallest neighbours, whose own new edge comes from the row that holds it.
     """
     edges = materialize(edges.distinct(), "edges")
     while True:
         # stars: every node has one edge to a smaller one, which has none itself
-        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+        ends = edges.select(_exploded(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).select("of.*")
         odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("is_low")).where("up > 1 OR up = 1 AND is_low = 0")
         if not odd.limit(1).count():
             return edges
-        both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(low.select("u", F.col("m").alias("v"))).where("u != v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        after = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(after.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
+        both = edges.select(_exploded(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).select("of.*")
+        met = both.join(both.groupBy("u").agg(F.min("v").alias("low")), "u").withColumn("m", F.least("low", "u"))
+        beyond = F.when(F.col("v") > F.col("u"), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        own = F.when((F.col("v") == F.col("low")) & (F.col("u") != F.col("m")), F.struct("u", F.col("m").alias("v")))
+        large = materialize(met.select(_exploded(beyond, own)).where("of IS NOT NULL").select("of.*"), "edges")
+        met = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        edges = materialize(met.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).distinct(), "edges")
+
+
+def _exploded(*rows: Column) -> Column:
+    return F.explode(F.array(*rows)).alias("of")
 
 
 def _roots(edges: DataFrame) -> DataFrame:
@@ -505,7 +510,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, thresho
     while members.limit(1).count():
         let_go(docs.sparkSession)
         named = members.join(_roots(edges).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        found = materialize(_tree_pairs(named, classes, t, best, block), "join-tree")
+        found = materialize(_tree_pairs(materialize(named, "join-named"), classes, t, best, block), "join-tree")
         pairs = found.where("NOT cut").select("a", "b")
         fresh = materialize(_likely(pairs.join(tried, ["a", "b"], "left_anti"), classes, t), "join-likely")
         let_go(docs.sparkSession)

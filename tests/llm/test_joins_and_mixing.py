@@ -270,3 +270,30 @@ def test_no_pairs_take_no_further_joins(spark, monkeypatch):
     rows = [(k, " ".join(f"w{k}x{j}" for j in range(9))) for k in range(20)]
     got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {k: (5, k) for k in range(20)} and not called
+
+
+def test_each_star_of_a_contraction_is_a_plan_of_few_shuffles(spark, monkeypatch):
+    rng = random.Random(5)
+    links = [(k, k + 1) for k in range(40)] + [(1000, k) for k in range(1001, 1300)] + [tuple(rng.sample(range(2000, 2400), 2)) for _ in range(300)]
+    root = {k: k for p in links for k in p}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    plans = []
+    write = J.materialize
+
+    def kept(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(J, "materialize", kept)
+    edges = J.contract(spark.createDataFrame([(max(p), min(p)) for p in links], "u long, v long"))
+    assert sorted((r.u, r.v) for r in edges.collect()) == sorted((k, find(k)) for k in root if find(k) != k)
+    # a join, the smallest neighbours, and repeats taken out; no star within another's plan
+    assert len(plans) > 2 and max(p.count("Exchange") for p in plans) <= 3 and not any("Union" in p for p in plans)

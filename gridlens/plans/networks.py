@@ -169,8 +169,8 @@ def shield_index(spark, d):
     )
     j = F.col("s_suppkey")
     predictions = table(spark, d, "supplier").select("s_suppkey", F.get(F.array(*[F.lit(x) for x in ("bus", "Line", "load")]), F.pmod(j, F.lit(3)).cast("int")).alias("entity"), F.pmod(j, F.lit(60)).cast("double").alias("rho"), F.col("s_acctbal").alias("temp"))
-    out = H.indexed_shield(predictions, H.parsed_rules(rules, ("rho", "temp")), "s_suppkey", ("rho", "temp"), cell=64)
-    return out.select("s_suppkey", "decision", F.md5("explanation").alias("digest"), "n_violated")
+    out = H.indexed_shield(predictions, H.parsed_rules(rules, ("rho", "temp")), "s_suppkey", ("rho", "temp"), cell=64, digest=True)
+    return out.select("s_suppkey", "decision", F.col("explanation").alias("digest"), "n_violated")
 
 
 def finite_records(spark, d):

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -149,3 +150,24 @@ def test_many_rules_of_which_few_are_crossed(spark):
     predictions = spark.createDataFrame([(k, "bus", float(k), -1.0) for k in range(20)], "k long, entity string, rho double, temp double")
     got = {r.k: r for r in shield.indexed_shield(predictions, shield.parsed_rules(rules, ("rho", "temp")), "k", ("rho", "temp")).collect()}
     assert all(r.n_violated == 10 * k and r.looked_at <= 10 * k + 1 for k, r in got.items())
+
+
+def test_many_rules_on_few_conditions(spark, monkeypatch):
+    """Rules of one condition are tried as one, and texts put together in blocks and groups are those of the shield without index."""
+    monkeypatch.setattr(shield, "_BLOCK", 3)
+    monkeypatch.setattr(shield, "_GROUP", 4)
+    rng = random.Random(9)
+    forms = ["rho > {a}", "temp <= {a} AND rho >= 2", "{a} = rho OR temp < 1", "rho > temp", "rho != {a}"]
+    texts = [f.format(a=a) for f in forms for a in range(4)]
+    rules = [{"entity": rng.choice(["Bus", "line"]), "rule_id": f"r{k}", "condition": rng.choice(texts), "explanation": rng.choice([f"e{k}", "é | ", "", None])} for k in range(900)]
+    rows = [(k, rng.choice(["bus", "LINE", "none", None]), rng.choice([*map(float, range(6)), None]), float(rng.randrange(6))) for k in range(120)]
+    predictions = spark.createDataFrame(rows, "k long, entity string, rho double, temp double")
+    parsed = shield.parsed_rules(spark.createDataFrame(rules, "entity string, rule_id string, condition string, explanation string"), ("rho", "temp"))
+    want = {r.k: tuple(r) for r in shield.shield(predictions, rules, "k", ("rho", "temp")).collect()}
+    got = {r.k: r for r in shield.indexed_shield(predictions, parsed, "k", ("rho", "temp"), cell=8).collect()}
+    assert {k: tuple(r)[:4] for k, r in got.items()} == want
+    assert max(r.n_violated for r in got.values()) > 100
+    # 17 different conditions, of which four have two alternatives
+    assert max(r.looked_at for r in got.values()) <= len(set(texts)) + 4
+    digests = {r.k: r.explanation for r in shield.indexed_shield(predictions, parsed, "k", ("rho", "temp"), cell=8, digest=True).collect()}
+    assert digests == {k: hashlib.md5(w[2].encode()).hexdigest() for k, w in want.items()}

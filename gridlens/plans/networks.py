@@ -17,20 +17,21 @@ from ..operators import metrics as M
 from ..operators import shield as H
 from ..sources.lines import index_lines, lookup_lines
 from ..sources.readers import table
-from ..sources.scratch import shared_path
+from ..sources.scratch import shared_path, written
 
 
 def _keys(rows: DataFrame, source: str, target: str) -> DataFrame:
     return rows.select(F.col(source).alias("source"), F.col(target).alias("target"))
 
 
-def knowledge(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges."""
+def knowledge(spark: SparkSession, d: str, once: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges, each edge once if ``once``."""
     region, nation, supplier, part, customer = (table(spark, d, t) for t in ("region", "nation", "supplier", "part", "customer"))
     named = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
     ruled = part.withColumn("rule", F.concat_ws("-", "p_type", "p_size"))
-    supplied = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct().join(supplier, F.col("l_suppkey") == supplier["s_suppkey"])
-    lines = supplied.select(F.col("l_partkey").alias("line"), F.col("s_nationkey").alias("bus")).distinct()
+    supplied = table(spark, d, "lineitem").join(supplier, F.col("l_suppkey") == supplier["s_suppkey"])
+    lines = supplied.select(F.col("l_partkey").alias("line"), F.col("s_nationkey").alias("bus")).repartition("line").distinct()
+    lines = written(lines, "lines")  # a line's buses lie together
     devices = part.select(F.col("p_brand").alias("key")).union(region.select("r_name")).distinct()
     rules = ruled.select(F.col("rule").alias("key")).union(customer.select("c_mktsegment")).distinct()
     nodes = K.nodes(
@@ -54,7 +55,8 @@ def knowledge(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
             ("has_rule", "Line", "Rule", _keys(ruled, "p_partkey", "rule")),
             ("has_rule", "Load", "Rule", _keys(customer, "c_custkey", "c_mktsegment")),
             ("triggers", "Rule", "ProtectionDevice", _keys(ruled, "rule", "p_brand")),
-        ]
+        ],
+        once,
     )
     return nodes, edges
 
@@ -81,9 +83,10 @@ def kg_edges(spark, d):
 
 def kg_closure(spark, d):
     """All that each bus reaches along edges of whatever kind, by kind of node."""
-    nodes, edges = knowledge(spark, d)
-    found = K.closure(nodes.where("kind = 'Bus'"), edges)
-    return found.join(nodes.select("node", "kind"), "node").groupBy("start", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("hops").alias("hops"), F.max("hops").alias("furthest"))
+    nodes, edges = knowledge(spark, d, once=False)
+    numbered, sets = K.reached(nodes.where("kind = 'Bus'"), edges)
+    alike = sets.join(nodes.select("node", "kind"), "node").groupBy("kind", "block", "mask").agg(F.count(F.lit(1)).alias("n"), F.sum("hops").alias("hops"), F.max("hops").alias("furthest"))
+    return K.by_start(alike, numbered).groupBy("start", "kind").agg(*[f(c).alias(c) for f, c in ((F.sum, "n"), (F.sum, "hops"), (F.max, "furthest"))])
 
 
 def kg_chains(spark, d):

@@ -32,6 +32,33 @@ def test_closure_of_cycles_and_long_paths(spark):
     assert knowledge.closure(starts.where("node = 'none'"), edges).count() == 0
 
 
+def test_closure_of_many_starts_in_few_rows(spark, monkeypatch):
+    """A row holds up to 64 starts, and edges into nodes that all have reached are left out: most nodes here, but for a part out of reach."""
+    rng = random.Random(4)
+    pairs = [(str(rng.randrange(300)), str(rng.randrange(300))) for _ in range(1500)] + [(str(k), str((k + 1) % 300)) for k in range(300)] + [(f"far{k}", f"far{k + 1}") for k in range(20)]
+    edges = spark.createDataFrame([("x", a, b) for a, b in pairs] * 2, "kind string, source string, target string")
+    starts = spark.createDataFrame([(str(k),) for k in range(130)], "node string")
+    labels = []
+    monkeypatch.setattr(knowledge, "written", lambda df, label, old=knowledge.written: labels.append(label) or old(df, label))
+    numbered, sets = knowledge.reached(starts, edges)
+    assert labels.count("graph-steps") > 1
+    beyond = {}
+    for a, b in pairs:
+        beyond.setdefault(a, set()).add(b)
+    want = {}
+    for s in [r.node for r in starts.collect()]:
+        front, k = {s}, 0
+        while front:
+            want |= {(s, b): k for b in front}
+            k += 1
+            front = {b for a in front for b in beyond.get(a, ()) if (s, b) not in want}
+    got = {(r.start, r.node): r.hops for r in knowledge.by_start(sets, numbered).select("start", "node", "hops").collect()}
+    assert got == want
+    rows = {(r.node, r.block, r.hops) for r in sets.collect()}
+    assert len(rows) == sets.count() < len(want) / 10
+    assert numbered.agg(F.max("block"), F.max("bit")).first() == (2, 63)
+
+
 def test_kinds_and_dangling_edges(spark):
     keys = spark.createDataFrame([(1, "a"), (2, None), (None, "c")], "key long, label string")
     ends = spark.createDataFrame([(1, 2), (1, 2), (1, 9), (None, 1)], "source long, target long")
